@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .linededup import OP10_SQL, op10_line_dedup
 from .packing import op2_best_fit_packing
 from .sharding import op3_jump_sharding
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_jump_sharding": op3_jump_sharding,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
