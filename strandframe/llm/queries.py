@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .linededup import OP10_SQL, op10_line_dedup
+from .minhash import op5_minhash_near_dedup
 from .packing import op2_best_fit_packing
 from .sharding import op3_jump_sharding
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_jump_sharding": op3_jump_sharding,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
