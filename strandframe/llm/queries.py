@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from .chat import OP6_SQL, op6_chat_perspectives
 from .linededup import OP10_SQL, op10_line_dedup
 from .minhash import op5_minhash_near_dedup
+from .mixing import OP8_SQL, op8_mixing
 from .packing import op2_best_fit_packing
+from .pii import OP4_SQL, op4_pii
 from .sharding import op3_jump_sharding
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_jump_sharding": op3_jump_sharding,
+    "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_chat_perspectives": op6_chat_perspectives,
+    "op8_mixing": op8_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {
+    "op4_pii": OP4_SQL,
+    "op6_chat_perspectives": OP6_SQL,
+    "op8_mixing": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
+}
