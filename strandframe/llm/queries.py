@@ -9,8 +9,10 @@ from .mixing import OP8_SQL, op8_mixing
 from .packing import op2_best_fit_packing
 from .pii import OP4_SQL, op4_pii
 from .sharding import op3_jump_sharding
+from .topk import OP1_SQL, op1_exact_top_k
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_jump_sharding": op3_jump_sharding,
     "op4_pii": op4_pii,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_exact_top_k": OP1_SQL,
     "op4_pii": OP4_SQL,
     "op6_chat_perspectives": OP6_SQL,
     "op8_mixing": OP8_SQL,
