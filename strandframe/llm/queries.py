@@ -9,6 +9,7 @@ from .mixing import OP8_SQL, op8_mixing
 from .neargraph import op9_embedding_near_dedup
 from .packing import op2_best_fit_packing
 from .pii import OP4_SQL, op4_pii
+from .quality import op7_quality_classifier
 from .sharding import op3_jump_sharding
 from .topk import OP1_SQL, op1_exact_top_k
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_chat_perspectives": op6_chat_perspectives,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_mixing": op8_mixing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_line_dedup": op10_line_dedup,
