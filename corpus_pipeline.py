@@ -1,13 +1,62 @@
-"""Documents to packed sequences: the stages of the corpus pipeline, in order."""
+"""Documents to packed training sequences: the stages of the corpus pipeline, in order.
+
+Each stage takes what the one before kept, written as Parquet and read again, and all but the last return the columns
+of ``documents``. Null ids pass every stage: they are rejected by no classifier and linked with no other document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandframe.llm.common import materialize, table
+from strandframe.llm.linededup import drop_lines, line_bitmaps
+from strandframe.llm.minhash import near_duplicates
+from strandframe.llm.mixing import mix
+from strandframe.llm.packing import pack, pieces
+from strandframe.llm.quality import classify, score, trusted_ids
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for those whose id is in ``ids``; the ids are hashed, so the texts are never sorted."""
+    return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the model of trusted text is within their language's threshold. Where rows
+    share an id, one rejected row rejects them."""
+    verdict = classify(score(docs, trusted_ids(table(spark, sf_dir, "labels"))))
+    return _without(docs, materialize(verdict.filter("not keep").select(F.col("doc").alias("doc_id"))))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a document of smaller id holds; n_chars follows the text."""
+    kept = drop_lines(docs, line_bitmaps(docs))
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near-duplicates: five words, similarity of 0.8 or more."""
+    found = near_duplicates(docs, words=5, percent=80)
+    return _without(docs, found.filter("not kept").select(F.col("doc").alias("doc_id")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight asks: each at least once, none more than twice."""
+    return mix(docs, max_passes=2.0).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with the sequence and the place that each has."""
+    import public_tokenizers
+
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("mixing sources", mixing), ("best-fit packing", packing)]
+ORACLE_SQL = None  # hashing, model and packing are beyond SQL; tests/llm compares with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
