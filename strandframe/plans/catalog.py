@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import interval_queries, sequence_queries, summary_queries
+from .registry import QUERIES, SQL
 
 FLAGSHIP = "join_overlap"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "interval_queries", "sequence_queries", "summary_queries"]
