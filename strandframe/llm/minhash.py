@@ -5,9 +5,10 @@ id stands for. One hash function deals the set over bins; a bin's value is the s
 takes the value of a filled one picked by its own random walk (Shrivastava, 2017). Bands of bins give bucket keys.
 Within a bucket only a star of edges is a candidate: from the member that shares the most buckets with others, in a
 family of copies the one they were made from, to each of the rest. Candidates are confirmed on the full sets. Only
-buckets whose members are then still in different components are looked at again, block by block: pairs from
-different components whose signatures agree as far as a linked pair's may are confirmed too, so a star that misses
-loses nothing.
+buckets whose members are then still in different components are looked at again, block by block: first each member
+outside the block's largest component offers its likeliest partner in another one; then all pairs from different
+components are sifted by their signatures and their 1024 lowest hashes, and what may be a link is confirmed, so a star
+that misses loses nothing. Small sets, whose signatures say little, also meet by an exact prefix filter.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BIN_BITS = 7
 ROWS, BANDS = 5, 25
 WALK = 256
 BLOCK = 1024
+SMALL = 96  # sets up to this size also get the keys of an exact prefix filter
+LOWEST = 1024  # smallest hashes by which pairs are sifted before they are confirmed
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -100,7 +103,16 @@ def _bands(value: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def _keys(shingles: np.ndarray, value: np.ndarray, percent: int) -> np.ndarray:
+    """Bucket keys of a set: its bands, and for a small one the prefix of its sorted hashes that every linked set hits."""
+    bands = _bands(value)
+    if len(shingles) > SMALL:
+        return bands
+    prefix = len(shingles) - -(-percent * len(shingles) // 100) + 1
+    return np.r_[bands, mix(shingles[:prefix] + A)]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(doc, n_shingles, hi, lo, prints, bands): hi and lo identify the set, prints has one byte for each bin."""
 
     def sketch(batches):
@@ -117,7 +129,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                     pa.array([int(i[0]) for i in ids], pa.int64()),
                     pa.array([int(i[1]) for i in ids], pa.int64()),
                     pa.array([None if v is None else (v & np.uint64(255)).astype(np.uint8).tobytes() for v in values], pa.binary()),
-                    pa.array([None if v is None else _bands(v).view(np.int64) for v in values], pa.list_(pa.int64())),
+                    pa.array([None if v is None else _keys(s, v, percent).view(np.int64) for s, v in zip(sets, values)], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "n_shingles", "hi", "lo", "prints", "bands"])
 
@@ -125,16 +137,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, shingles binary) of the wanted nodes, from their whole texts."""
+    """(node, shingles, low) of the wanted nodes, from their whole texts; low has the upper halves of the lowest hashes."""
 
     def sets(batches):
         for batch in batches:
             for at, n in byte_slices(batch.column(1)):
-                got = [s.tobytes() for s in shingle_sets(batch.column(1).slice(at, n), words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(got, pa.binary())], ["node", "shingles"])
+                got = shingle_sets(batch.column(1).slice(at, n), words)
+                low = [(s[:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes() for s in got]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([s.tobytes() for s in got], pa.binary()), pa.array(low, pa.binary())], ["node", "shingles", "low"])
 
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string"))
-    return own.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
+    return own.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, shingles binary, low binary").groupBy("node").agg(F.max("shingles").alias("shingles"), F.max("low").alias("low"))
 
 
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -157,28 +170,86 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
-def _across(percent: int):
-    """Pairs of a cell's members in different components whose signatures agree far enough (4 deviations)."""
+def _sifted(low: list[np.ndarray], size: np.ndarray, i: int, to: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``to`` may be linked with i by their lowest hashes, and which of them are for certain (whole sets)."""
+    mine, lengths = low[i], np.array([len(low[t]) for t in to])
+    flat, who = np.concatenate([low[t] for t in to]), np.repeat(np.arange(len(to)), lengths)
+    whole = (size[to] <= LOWEST) & (size[i] <= LOWEST)
+    # where one set is cut off, only hashes up to the lower of both ends can be compared
+    ends = np.minimum(np.array([low[t][-1] if size[t] > LOWEST else 0xFFFFFFFF for t in to]), mine[-1] if size[i] > LOWEST else 0xFFFFFFFF)
+    shared = (mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat) & (flat <= ends[who])
+    both = np.bincount(who, weights=shared, minlength=len(to))
+    union = np.bincount(who, weights=flat <= ends[who], minlength=len(to)) + np.searchsorted(mine, ends, side="right") - both
+    share = percent / 100
+    slack = np.where(whole, 1e-9, 4 * np.sqrt(share * (1 - share) / np.maximum(union, 1)))
+    return both >= (share - slack) * union, whole
+
+
+def _across(percent: int, best_only: bool):
+    """Pairs of a cell's members in different components that may be linked by their sketches.
+
+    Each pair has a member outside the cell's largest component. ``best_only`` gives for each of these members its
+    most similar partner alone; else all pairs come, each in the first bucket that both are in, but of those known
+    to be links only one for a member and a component. Bounds are four deviations.
+    """
     share = percent / 100
-    least = share - 4 * (share * (1 - share) / (1 << BIN_BITS)) ** 0.5
 
     def pairs(key, cell):
         node, comp, size = (cell.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
-        side_a, side_b = cell.column("a").to_numpy(), cell.column("b").to_numpy()
+        sides = (cell.column("a").to_numpy(), cell.column("b").to_numpy())
         prints = np.frombuffer(b"".join(cell.column("prints").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-        ia, ib = np.flatnonzero(side_a), np.flatnonzero(side_b)
+        band = key[0].as_py()
+        if not best_only:
+            keys = [np.array(x, dtype=np.int64) for x in cell.column("bands").to_pylist()]
+            bands = np.array([k[:BANDS] for k in keys])
+            low = [np.frombuffer(x, dtype=np.uint32) for x in cell.column("low").to_pylist()]
+        names, number = np.unique(comp, return_inverse=True)
+        largest = names[np.bincount(number).argmax()]
         u, v = [], []
-        for i in ia.tolist():
-            to = ib[(comp[ib] != comp[i]) & (node[ib] > node[i]) & (100 * np.minimum(size[ib], size[i]) >= percent * np.maximum(size[ib], size[i]))]
-            if len(to):
-                to = to[(prints[to] == prints[i]).mean(axis=1) >= least]
-                u += [node[i]] * len(to)
-                v += node[to].tolist()
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        for i in np.flatnonzero(comp != largest).tolist():
+            other = (sides[0][i] & sides[1]) | (sides[1][i] & sides[0])
+            fits = other & (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if not best_only:
+                fits &= (comp == largest) | (node > node[i])
+            to = np.flatnonzero(fits)
+            if not len(to):
+                continue
+            agree = (prints[to] == prints[i]).mean(axis=1)
+            sampled = np.clip(np.minimum(size[to], size[i]) / 2, 1, 1 << BIN_BITS)
+            likely = agree >= share - 4 * np.sqrt(share * (1 - share) / sampled)
+            if best_only:
+                to = to[[np.where(likely, agree, -1).argmax()]] if likely.any() else to[:0]
+            elif likely.any():
+                to = to[likely]
+                same = bands[to] == bands[i]
+                first = np.where(same.any(axis=1), bands[i][same.argmax(axis=1)], band)
+                to = to[first == band]
+                if len(to):
+                    ok, certain = _sifted(low, size, i, to, percent)
+                    to, certain = to[ok], certain[ok]
+                    _, one = np.unique(comp[to[certain]], return_index=True)
+                    to = np.r_[to[certain][one], to[~certain]]
+            else:
+                to = to[:0]
+            u += [node[i]] * len(to)
+            v += node[to].tolist()
+        u, v = np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
     return pairs
 
 
+def _still_apart(entries: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Cells of at most two blocks of the members of those buckets whose members are in several components."""
+    member = _with_component(entries, comps)
+    mixed = member.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("band")
+    rest = member.join(mixed, "band", "left_semi").join(nodes, "node")
+    dealt = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    return cells.select("band", "i", "j", "comp", *nodes.columns, (F.col("mine") == F.col("i")).alias("a"), (F.col("mine") == F.col("j")).alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc, n_shingles, component_id, kept), one row for each row of ``docs``.
 
@@ -186,11 +257,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable by links. Documents without words, with a null text or a null id are linked with nothing;
     a null id has a null component and is kept. Repeated rows are one node, and each keeps its row; texts that share an
     id but differ are compared by one of them. A link between
-    different sets is found with probability above 0.999999 at 85 percent (25 bands of 5).
+    different sets of more than 96 shingles is found with probability of about 0.9999 or more at 85 percent (25 bands
+    of 5), one of smaller sets always.
     """
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
-    sketch = materialize(sketches(keyed, "_id", "_text", words))
+    sketch = materialize(sketches(keyed, "_id", "_text", words, percent))
     full = sketch.filter("n_shingles > 0 and doc is not null")
     classes = full.groupBy("hi", "lo").agg(F.min("doc").alias("node"))
     classes = materialize(classes)
@@ -208,18 +280,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(_sets_of(keyed, touched, "_id", "_text", words))
     links = materialize(_confirm(sets, stars, percent))
 
+    sketched = materialize(nodes.join(touched, "node", "left_semi").select("node", "n_shingles", "prints", "bands"))
     comps = components(links)
-    member = _with_component(entries, comps)
-    mixed = member.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("band")
-    rest = member.join(mixed, "band", "left_semi").join(nodes.select("node", "n_shingles", "prints"), "node")
-    dealt = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "comp", "n_shingles", "prints", "mine").distinct()
-    cells = cells.select("band", "i", "j", "node", "comp", "n_shingles", "prints", (F.col("mine") == F.col("i")).alias("a"), (F.col("mine") == F.col("j")).alias("b"))
-    more = cells.groupBy("band", "i", "j").applyInArrow(_across(percent), "u long, v long").distinct()
-    more = materialize(more.join(stars, ["u", "v"], "left_anti"))
-    found = _confirm(sets, more, percent)
-    comps = components(links.union(found))
+    tried = stars
+    for best_only in (True, False):
+        known = sketched.drop("bands") if best_only else sketched.join(sets.select("node", "low"), "node")
+        cells = _still_apart(entries, known, comps).groupBy("band", "i", "j")
+        more = cells.applyInArrow(_across(percent, best_only), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+        more = materialize(more)
+        links = materialize(links.union(_confirm(sets, more, percent)))
+        tried = tried.union(more)
+        comps = components(links)
 
     labelled = _with_component(classes, comps).select("hi", "lo", F.col("comp").alias("component_id"))
     out = sketch.select("doc", "n_shingles", "hi", "lo").join(labelled, ["hi", "lo"], "left")
