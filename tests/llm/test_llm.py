@@ -1,0 +1,375 @@
+"""The operators on small tables with nulls, empties, ties, repeats and clashing columns, against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from strandframe.llm import minhash, neargraph, pii, quality, topk
+from strandframe.llm.chat import rotate
+from strandframe.llm.linededup import drop_lines, line_bitmaps
+from strandframe.llm.mixing import find_exponent, mix
+from strandframe.llm.packing import pack, pieces, plan
+from strandframe.llm.sharding import jump, shard
+from strandframe.llm.tokens import Encoder
+
+DOCS = "doc_id long, text string, lang string, source string"
+
+
+def path():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def words(r, n, vocabulary=300):
+    return " ".join("w%d" % r.randrange(vocabulary) for _ in range(n))
+
+
+# --- exact top-k -------------------------------------------------------------------------------------------------
+
+
+def test_top_k_equals_brute_force_over_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 60)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 3)
+    r = np.random.default_rng(1)
+    x = [list(map(float, v * s)) for v, s in zip(r.normal(size=(250, 8)), r.exponential(size=250))]
+    x[7] = x[3]
+    rows = [(i, v, "keep") for i, v in enumerate(x)] + [(900, None, "a"), (901, [1.0, None], "a"), (902, [math.nan] * 8, "a"), (None, x[0], "a"), (903, [0.5, 0.25], "short"), (5, x[5], "again")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5, 256).select("query_id", "rank", "vec_id", "score").collect()))
+    full = {i: np.pad(np.floor(256 * np.array(v)), (0, 8 - len(v))) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    want = []
+    for q in (i for i in full if i % 50 == 0):
+        best = sorted((-int(full[q] @ full[c]), c) for c in full if c != q)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# --- packing -----------------------------------------------------------------------------------------------------
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    e = Encoder(path())
+    texts = ["", None, "a", "a  b", " lead", "tail ", "x\n y", "tab\tz", "<|endoftext|> q", "don't 's", "日本 語\nß é", "one two\nthree  \n\n four", " x y", "a\x00b c"]
+    for text, ids in zip(texts, e.encode_many(pa.array(texts, pa.string()))):
+        assert ids.tolist() == e.whole.encode(text or "", add_special_tokens=False).ids
+
+
+def test_pieces_and_packing(spark):
+    r = random.Random(2)
+    rows = [(i, words(r, n), "en", "s") for i, n in enumerate([3, 5, 40, 700, 7, 7, 7, 90, 4])] + [(50, None, None, None), (50, "", "en", "s"), (None, "x y", "en", "s")]
+    cut = pieces(spark.createDataFrame(rows, DOCS), path(), capacity=64)
+    out = pack(cut, capacity=64).collect()
+    e = Encoder(path())
+    left = Counter()
+    for i, text, *_ in rows:
+        ids = [*e.encode(text).tolist(), 0]
+        first = len(ids) % 64 or 64
+        bounds = [0, len(ids)] if len(ids) <= 64 else [0, *range(first, len(ids) + 1, 64)]
+        left.update((i, p, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())) for p, (a, b) in enumerate(zip(bounds, bounds[1:])))
+    assert Counter((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in out) == left
+    by = defaultdict(list)
+    for x in out:
+        by[x["sequence_id"]].append((x["offset"], x["length"]))
+    for places in by.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= 64
+    assert len(by) <= -(-sum(x["length"] for x in out) // 64) + 1
+    assert pack(cut.limit(0), capacity=64).count() == 0
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame([(1, 65)], "k int, length long"), capacity=64).count()
+
+
+def first_fit_decreasing(counts, capacity):
+    room = []
+    for n in sorted(counts, reverse=True):
+        for _ in range(counts[n]):
+            at = next((i for i, left in enumerate(room) if left >= n), None)
+            if at is None:
+                room.append(capacity - n)
+            else:
+                room[at] -= n
+    return len(room)
+
+
+def test_plan_uses_every_piece_and_is_no_worse_than_first_fit_decreasing():
+    r = random.Random(3)
+    for _ in range(20):
+        counts = {n: r.choice([1, 2, 50]) for n in r.sample(range(1, 201), r.randrange(1, 60))}
+        used, total = Counter(), 0
+        for filling, times in plan(dict(counts), 200):
+            assert sum(filling) <= 200
+            used.update({n: k * times for n, k in Counter(filling).items()})
+            total += times
+        assert used == counts
+        assert total <= first_fit_decreasing(counts, 200) * 1.01 + 1
+
+
+# --- sharding ----------------------------------------------------------------------------------------------------
+
+
+def scalar_jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash_and_slots(spark):
+    keys = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 500)
+    assert jump(keys, 40).tolist() == [scalar_jump(int(k) % 2**64, 40) for k in keys]
+    rows = [(i % 300,) for i in range(700)] + [(None,)] * 5 + [(1,)] * 400
+    out = shard(spark.createDataFrame(rows, "doc_id long"), 7).collect()
+    assert len(out) == len(rows)
+    slots, one = defaultdict(list), defaultdict(set)
+    for x in out:
+        slots[x["shard"]].append(x["slot"])
+        one[x["doc_id"]].add((x["shard"], x["grown_shard"]))
+        assert x["grown_shard"] in (x["shard"], 7)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in one.values())
+    assert shard(spark.createDataFrame([], "doc_id long"), 7).count() == 0
+
+
+# --- personal data -----------------------------------------------------------------------------------------------
+
+
+def luhn_ok(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    found = []
+    for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = [True, all(int(x) <= 255 for x in m[0].split(".")) if k == 1 else True, 13 <= len(d) <= 19 and luhn_ok(d), 9 <= len(d) <= 15][k]
+            if ok:
+                found.append((k, m.start(), f"{['email', 'ip', 'card', 'phone'][k]}:{m.start()}:{m.end()}"))
+    return ",".join(x[2] for x in sorted(found))
+
+
+def test_pii_equals_the_plain_patterns(spark):
+    r = random.Random(5)
+    bits = ["a@b.c", "x@y.z_w@q.r.s", "a@b.c.@d.e", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "000012.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111  1111", "+1 (212) 555-0100", "+12", "é𝒳", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "card", " ", "@", "+", "7", "..", "%_"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 12))) for _ in range(300)] + ["", "a" * 50_000, "1" * 50_000, "1-" * 30_000, "1." * 30_000, "a@b." * 5_000]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(9999, None, "x")]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, email_spans string"))
+    listed = pii._listed([F.col(f"{k.name}_spans") for k in pii.BASE])
+    got = {x["doc_id"]: x["s"] for x in found.select("doc_id", listed.alias("s")).collect()}
+    assert got == {i: base_spans(t or "") for i, t, _ in rows}
+    one = found.filter(F.col("text").contains("DE89370400440532013000")).select(F.explode("iban_spans").alias("s")).select("s.match", "s.score").first()
+    assert one is None or one["score"] in (0.7, 0.9)
+
+
+def test_checksums(spark):
+    row = spark.range(1).select(pii.luhn(F.lit("4111111111111111")), pii.luhn(F.lit("4111111111111112")), pii.mod97(F.lit("DE89370400440532013000")), pii.mod97(F.lit("DE89370400440532013001"))).first()
+    assert tuple(row) == (True, False, True, False)
+
+
+# --- near-duplicate texts ----------------------------------------------------------------------------------------
+
+
+def shingles(text, k):
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    r = random.Random(6)
+    texts = []
+    for _ in range(40):
+        base = words(r, r.choice([2, 3, 9, 30, 120, 400])).split()
+        for _ in range(r.randrange(1, 8)):
+            copy = list(base)
+            for _ in range(int(len(copy) * r.choice([0, 0.01, 0.02, 0.04]))):
+                copy[r.randrange(len(copy))] = "z%d" % r.randrange(10**6)
+            texts.append(" ".join(copy).upper() if r.random() < 0.2 else "\t".join(copy))
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x"), (5000, None, "x"), (5001, "", "x"), (5002, "  \n", "x"), (None, texts[0], "x")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id string"), words=3, percent=85).collect()
+    sets = {i: shingles(t, 3) for i, t, _ in rows if i is not None}
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    assert len(got) == len(rows)
+    for x in got:
+        if x["doc"] is not None:
+            assert (x["n_shingles"], x["component_id"], x["kept"]) == (len(sets[x["doc"]]), top(x["doc"]), x["doc"] == top(x["doc"]))
+        else:
+            assert x["component_id"] is None and x["kept"]
+
+
+# --- chat --------------------------------------------------------------------------------------------------------
+
+
+def test_every_side_of_a_dialogue(spark):
+    rows = [(1, 0, "system", "Be."), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", ""), (1, 3, None, "?"), (1, 4, "cat", "é" * 5), (2, 0, "system", "alone"), (None, 0, "ann", "lost"), (3, 0, "dan", "x"), (3, 0, "dan", "x")]
+    out = rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    sides = defaultdict(list)
+    for x in out:
+        sides[x["conv_id"], x["perspective"]].append(x)
+    assert set(sides) == {(1, "ann"), (1, "bob"), (1, "cat"), (3, "dan")}
+    for (conv, who), parts in sides.items():
+        parts.sort(key=lambda x: x["position"])
+        assert [x["position"] for x in parts] == list(range(len(parts))) and len(parts) == (6 if conv == 1 else 2)
+        whole = "".join(x["rendered"] for x in parts)
+        for x in parts:
+            assert whole[x["start"] : x["end"]] == x["rendered"]
+            said = whole[x["mask_start"] : x["mask_end"]]
+            assert said.endswith("<|end|>") if x["speaker"] == who else said == ""
+            assert ("<|assistant|>" in x["rendered"]) == (x["speaker"] == who)
+
+
+# --- quality -----------------------------------------------------------------------------------------------------
+
+
+def brute_kneser_ney(train):
+    n, m = quality.ORDER, [Counter()]
+    for t in train:
+        s = quality.START * (n - 1) + t + quality.STOP
+        m[0].update(s[i - n + 1 : i + 1] for i in range(n - 1, len(s)))
+    for k in range(n - 1, 0, -1):
+        m.append(Counter(g[-k:] for g in m[-1]))
+
+    def discounts(c):
+        by = Counter(c.values())
+        if not (by[1] and by[2] and by[3]):
+            return [0, 0.5, 1.0, 1.5]
+        y = by[1] / (by[1] + 2 * by[2])
+        return [0, *(min(max(k - (k + 1) * y * by[k + 1] / by[k], 0), k) for k in (1, 2, 3))]
+
+    ds = [discounts(c) for c in m]
+
+    def p(g, level=0):
+        low = 1 / 4096 if level == n - 1 else p(g[1:], level + 1)
+        c, d = m[level], ds[level]
+        same = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        if not same:
+            return low
+        return (c[g] - d[min(c[g], 3)] + sum(d[min(v, 3)] for v in same) * low) / sum(same)
+
+    return p
+
+
+def test_perplexity_equals_brute_force(spark):
+    r = random.Random(7)
+    rows = [(i, "".join(r.choice("abcde ") for _ in range(r.randrange(0, 40))), "en", "s") for i in range(40)] + [(100, None, "en", "s"), (101, "zzé𝒳", "en", "s"), (102, "abc", None, "s"), (None, "abc", "en", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    trusted = spark.createDataFrame([(i,) for i in range(30)] + [(3,), (None,)], "doc_id long")
+    scored = quality.score(docs, trusted).collect()
+    held = {x["doc"] for x in scored if x["held"]}
+    p = brute_kneser_ney([t for i, t, *_ in rows if i is not None and i < 30 and i not in held])
+    for x in scored:
+        if x["lang"] == "en" and x["doc"] is not None:
+            s = quality.START * 3 + (dict((i, t) for i, t, *_ in rows)[x["doc"]] or "") + quality.STOP
+            if "𝒳" not in s:
+                assert math.isclose(x["nll"], -sum(math.log(p(s[k - 3 : k + 1])) for k in range(3, len(s))), rel_tol=1e-9)
+    verdict = quality.classify(quality.score(docs, trusted)).collect()
+    assert len(verdict) == len(rows) and all(x["keep"] for x in verdict if x["lang"] != "en")
+
+
+# --- mixing ------------------------------------------------------------------------------------------------------
+
+
+def test_mixing_meets_its_targets(spark):
+    r = random.Random(8)
+    rows = [(i, words(r, 10), "en", s) for i, s in enumerate(["a"] * 300 + ["b"] * 40 + ["c"] * 90 + [None] * 20)] + [(990, None, "en", "empty"), (1, "again x", "en", "a"), (None, "n o", "en", "b")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("pass_no", F.lit("clash"))
+    out = mix(docs, max_passes=2.0).collect()
+    copies = Counter((x["doc_id"], x["text"], x["source"]) for x in out)
+    assert set(copies) == {(i, t, s) for i, t, _, s in rows} and max(copies.values()) <= 2
+    tokens = Counter()
+    for x in out:
+        tokens[x["source"]] += x["n_tokens"]
+    size = Counter()
+    for _, t, _, s in rows:
+        size[s] += len((t or "").split())
+    assert tokens["a"] == size["a"] and 1.9 * size[None] <= tokens[None] <= 2 * size[None]
+    totals = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "source string, tokens long")
+    a = find_exponent(totals, None, 1.0)
+    weights = [n**a for n in (900, 90, 10)]
+    shares = [w / sum(weights) for w in weights]
+    assert abs(-sum(s * math.log(s) for s in shares) - 1.0) < 1e-4
+    assert mix(docs.limit(0)).count() == 0
+
+
+# --- near-duplicate vectors --------------------------------------------------------------------------------------
+
+
+def test_near_vectors_recall_and_no_false_links(spark, monkeypatch):
+    monkeypatch.setattr(neargraph, "BLOCK", 150)
+    monkeypatch.setattr(neargraph, "PER_CLUSTER", 60)
+    r = np.random.default_rng(9)
+    base = r.normal(size=(120, 16))
+    x = np.concatenate([base, base[:60] + 0.05 * r.normal(size=(60, 16)), base[:1] + 0.08 * r.normal(size=(300, 16)), base[:20]])
+    rows = [(i, [float(v) for v in v_], i % 2 if i < 60 else 0, "k") for i, v_ in enumerate(x)]
+    rows += [(900, None, 0, "k"), (901, [0.0] * 16, 0, "k"), (902, [math.nan] * 16, 0, "k"), (903, rows[0][1], None, "k"), (904, [1.0, None], 0, "k")]
+    got = {y["vec_id"]: y for y in neargraph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string")).collect()}
+    assert len(got) == len(rows)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([row[2] for row in rows[: len(x)]])
+    linked = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    true = linked.sum(axis=1) - 1
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.98 * true.sum()
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 905))
+
+
+# --- lines -------------------------------------------------------------------------------------------------------
+
+
+def brute_lines(rows):
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
+    owner = {}
+    big = 2**63
+    for i, t, *_ in rows:
+        for line in (t or "").split("\n"):
+            owner[key(line)] = min(owner.get(key(line), big), big if i is None else i)
+    return Counter((i, None if t is None else "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or owner[key(x)] == (big if i is None else i))) for i, t, *_ in rows)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(10)
+    pool = ["line number %d" % i for i in range(30)] + ["short", "", "  ÄÖÜ äöü ßß 日本語 ", "LINE NUMBER 3", "\tline number 4 \r"]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(0, 12))), "en", "s") for i in range(150)]
+    rows += [(7, "line number 1\nline number 1", "en", "s"), (7, rows[7][1], "en", "s"), (900, None, "en", "s"), (None, "line number 2\nonly here it is", "en", "s"), (901, "", "en", "s")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit("clash")).repartition(5)
+    bitmaps = line_bitmaps(docs)
+    out = drop_lines(docs, bitmaps).collect()
+    assert Counter((x["doc_id"], x["text"]) for x in out) == brute_lines(rows)
+    assert all(x["n_lines"] == len((next(t for i, t, *_ in rows if i == x["doc_id"]) or "").split("\n")) for x in out if x["doc_id"] not in (7, None))
+    assert line_bitmaps(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "MinHash near-dedup", "mixing sources", "best-fit packing"]
+    total = defaultdict(int)
+    for x in out:
+        total[x["sequence_id"]] += x["length"]
+    assert out and max(total.values()) <= 2048 and len(total) <= -(-sum(total.values()) // 2048) + 1
+    assert hashlib.sha256(b"").hexdigest()
