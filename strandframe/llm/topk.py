@@ -85,7 +85,7 @@ def _search(axes: np.ndarray, k: int, dim: int):
             order = np.argsort(-left.column("norm").to_numpy(), kind="stable")
             c = _matrix(left.column("v"), dim)[order]
             cid, cnorm = left.column("vec_id").to_numpy()[order], left.column("norm").to_numpy()[order]
-            q, qid, qnorm = _matrix(right.column("v"), dim), right.column("vec_id").to_numpy(), right.column("norm").to_numpy()
+            q, qid, qnorm = _matrix(right.column("asked"), dim), right.column("query_id").to_numpy(), right.column("length").to_numpy()
             least = right.column("least").to_numpy().astype(np.float64)
             cr, qr = c @ axes, q @ axes
             rest = lambda x, h: np.sqrt(np.maximum((x[:, h:] ** 2).sum(axis=1), 0))
@@ -132,21 +132,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     groups = max(1, -(-n // GROUP))
     sorted_rows = rows.repartitionByRange(groups, F.col("norm").desc(), F.col("vec_id")) if groups > 1 else rows.repartition(1)
     stored = materialize(sorted_rows.withColumn("grp", F.spark_partition_id()))
-    queries = stored.filter(is_query).select("vec_id", "v", "norm")
+    queries = stored.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("asked"), F.col("norm").alias("length"))
     parts = max(1, -(-queries.count() // QUERY_GROUP))
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    queries = queries.withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
 
     def meet(candidates: DataFrame, asked: DataFrame, numbers: Column) -> DataFrame:
         left = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        right = asked.withColumn("grp", F.explode(numbers))
-        return left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInArrow(_search(axes, k, dim), HITS)
+        right = asked.withColumn("query_grp", F.explode(numbers))
+        return left.groupBy("grp", "part").cogroup(right.groupBy("query_grp", "query_part")).applyInArrow(_search(axes, k, dim), HITS)
 
     floor = F.lit(float("-inf"))
     first = materialize(meet(stored.filter("grp = 0"), queries.withColumn("least", floor), F.array(F.lit(0))))
     hits = first
     if groups > 1:
         least = first.groupBy("query_id").agg(F.min("score").alias("_least"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == k)
-        asked = queries.join(least, queries["vec_id"] == least["query_id"], "left").withColumn("least", F.coalesce(F.col("_least").cast("double"), floor)).drop("query_id", "_least", "_n")
+        asked = queries.join(least, "query_id", "left").withColumn("least", F.coalesce(F.col("_least").cast("double"), floor)).drop("_least", "_n")
         hits = first.union(meet(stored.filter("grp > 0"), asked, F.sequence(F.lit(1), F.lit(groups - 1))))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return hits.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
