@@ -178,3 +178,59 @@ def apply_variants(regions: DataFrame, variants: DataFrame) -> DataFrame:
     done = F.aggregate(F.coalesce("vs", F.array().cast("array<struct<at:int,ref:string,alt:string>>")), start, step)
     rows = rows.withColumn("_d", done)
     return rows.select("seq_id", F.concat(F.array_join("_d.parts", ""), F.substr(F.col("seq"), F.col("_d.at") + 1)).alias("personal"), F.col("_d.delta").alias("delta"), F.col("_d.n").alias("n_applied"))
+
+
+def shift_runs(seqs: DataFrame, shift: int, least: int) -> DataFrame:
+    """Runs of at least ``least`` bases that equal the base ``shift`` further on: start (from 0), length.
+
+    A run of ``shift`` or more bases is a tandem repeat of that unit; its copies are 1 + length / shift.
+    """
+    rows = kmer_table(seqs, 1)
+    w = Window.partitionBy("seq_id").orderBy("pos")
+    same = rows.withColumn("_later", F.lead("kmer", shift).over(w)).filter("kmer = _later")
+    island = same.withColumn("_island", F.col("pos") - F.row_number().over(w))
+    return island.groupBy("seq_id", "_island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length")).filter(F.col("length") >= least).drop("_island")
+
+
+def fuzzy_hits(seqs: DataFrame, pattern: str, errors: int) -> DataFrame:
+    """Starts where a pattern fits with at most ``errors`` mismatches: start, mismatches.
+
+    Of ``errors`` + 1 parts of the pattern one must fit exactly, so only such k-mers are compared base by base.
+    """
+    k, parts = len(pattern), errors + 1
+    cuts = [k * i // parts for i in range(parts + 1)]
+    seeded = F.lit(False)
+    for a, b in zip(cuts, cuts[1:]):
+        seeded = seeded | (F.substring("kmer", a + 1, b - a) == pattern[a:b])
+    rows = kmer_table(seqs, k).filter(seeded).withColumn("mismatches", bases.hamming(F.col("kmer"), F.lit(pattern)))
+    return rows.filter(F.col("mismatches") <= errors).select("seq_id", F.col("pos").alias("start"), "mismatches")
+
+
+def hit_runs(hits: DataFrame, gap: int) -> DataFrame:
+    """Runs of hits (seq_id, start, end) that follow each other at most ``gap`` apart: n, first start, last end."""
+    w = Window.partitionBy("seq_id").orderBy("start", "end")
+    new = F.coalesce((F.col("start") - F.lag("end").over(w) > gap).cast("int"), F.lit(1))
+    runs = hits.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("seq_id", "_run").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
+def pwm_information(pwm: DataFrame, pseudocount: float = 0.1) -> DataFrame:
+    """Per motif and place: the most frequent base (first in A, C, G, T of equals) and 2 - entropy in bits."""
+    total = F.sum("cnt").over(Window.partitionBy("motif_id", "pos")) + 4 * pseudocount
+    p = pwm.withColumn("p", (F.col("cnt") + pseudocount) / total)
+    return p.groupBy("motif_id", "pos").agg((2 + F.sum(F.col("p") * F.log2("p"))).alias("information"), F.min_by("base", F.struct(-F.col("p"), F.col("base"))).alias("base"))
+
+
+def codon_changes(variants: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Substitutions of one base in their codon, frames counted from each chunk's start: codon, changed, aa, new_aa and
+    effect (silent, missense, nonsense, readthrough)."""
+    from .intervals import point_join
+
+    held = chunks.select("chrom", F.col("chunk_start").alias("start_pos"), (F.col("chunk_start") + F.length("seq") - 1).alias("end_pos"), "seq")
+    hits = point_join(variants.filter("length(ref) = 1 and length(alt) = 1"), held)
+    at = (F.col("a_pos") - F.col("b_start_pos")).cast("int")
+    rows = hits.withColumn("at", at % 3).withColumn("codon", F.substr("b_seq", (at - at % 3 + 1).cast("int"), F.lit(3))).filter("length(codon) = 3")
+    changed = F.concat(F.substr(F.col("codon"), F.lit(1), F.col("at")), F.col("a_alt"), F.substr(F.col("codon"), F.col("at") + 2, F.lit(3)))
+    rows = rows.withColumn("changed", changed).withColumn("aa", bases.translate_codons(F.col("codon"))).withColumn("new_aa", bases.translate_codons(F.col("changed")))
+    effect = F.when(F.col("aa") == F.col("new_aa"), "silent").when(F.col("new_aa") == "*", "nonsense").when(F.col("aa") == "*", "readthrough").otherwise("missense")
+    return rows.select(F.col("a_chrom").alias("chrom"), F.col("a_pos").alias("pos"), F.col("a_alt").alias("alt"), "codon", "changed", "aa", "new_aa", effect.alias("effect"))
