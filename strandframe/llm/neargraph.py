@@ -20,7 +20,7 @@ from strandframe.operators.graph import components
 from .common import materialize, table
 
 SAMPLE = 20_000  # labelled vectors of a label that its centres are fitted on, at most about
-PER_CLUSTER, OVERLAP, BLOCK = 1500, 4, 2000
+PER_CLUSTER, OVERLAP, BLOCK = 250, 4, 2000
 NEAREST, DEGREE, FAR, ALPHA = 64, 24, 6, 1.2
 BEAM, AUDIT, AIM = 24, 16, 0.99
 
