@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .ordered import running
 
 BIN = 4096
+STRETCH = 1 << 17
 
 
 def region(features: DataFrame, chrom: str, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -117,13 +118,13 @@ def density(features: DataFrame, contigs: DataFrame, window: int) -> DataFrame:
 def greedy_non_overlap(features: DataFrame, rank: Column) -> DataFrame:
     """Features kept when taken by (rank, start, end) unless they overlap one kept before, per chromosome.
 
-    Only features of one island can overlap, so islands are folded by themselves.
+    Only features of one island can overlap, so islands are folded by themselves, those that begin in one stretch of
+    ``STRETCH`` bases in one group; a feature alone in its island is kept without a fold.
     """
-    isles = coalesce_intervals(features, ["chrom"], gap=0).select("chrom", F.col("start_pos").alias("isle"), F.col("end_pos").alias("isle_end"))
-    isles = isles.withColumnRenamed("isle", "start_pos").withColumnRenamed("isle_end", "end_pos")
+    isles = coalesce_intervals(features, ["chrom"], gap=0)
     placed = overlap_join(features.select("chrom", "start_pos", "end_pos", "feature_type", "name").withColumn("rank", rank), isles)
     cols = ["chrom", "start_pos", "end_pos", "feature_type", "name", "rank"]
-    rows = placed.select(*[F.col(f"a_{c}").alias(c) for c in cols], F.col("b_start_pos").alias("isle"))
+    rows = placed.select(*[F.col(f"a_{c}").alias(c) for c in cols], F.col("b_n").alias("n"), F.floor(F.col("b_start_pos") / STRETCH).alias("stretch"))
 
     def fold(pdf):
         import bisect
@@ -140,7 +141,8 @@ def greedy_non_overlap(features: DataFrame, rank: Column) -> DataFrame:
         return pdf.iloc[kept][cols]
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy("chrom", "isle").applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in cols))
+    folded = rows.filter("n > 1").groupBy("chrom", "stretch").applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in cols))
+    return folded.unionByName(rows.filter("n = 1").select(*cols))
 
 
 def infer_introns(exons: DataFrame) -> DataFrame:
