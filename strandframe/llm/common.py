@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.storage import materialize, shared_dir
 
-__all__ = ["ascii_lower", "byte_slices", "materialize", "numbered", "shared_dir", "table", "tasks_for", "with_lanes"]
+__all__ = ["ascii_lower", "byte_slices", "give_back", "materialize", "numbered", "shared_dir", "table", "tasks_for", "with_lanes"]
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,6 +52,20 @@ def numbered(laned: DataFrame, groups: list[str], order: list[str], name: str) -
     return ranked.join(starts, [*groups, "_lane"]).withColumn(name, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_lane", "_rank", "_start")
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the allocator keep for later: a worker that waits for its next task, of whatever
+    kind, should not hold what its last one needed."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def byte_slices(column, most: int = 8 << 20):
     """(start, length) of consecutive slices of an Arrow text column, each of one text or of at most ``most`` bytes."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

@@ -8,7 +8,7 @@ held-out fifth, whose perplexities give each language's threshold as a quantile.
 2. These meet in count tables, sharded by n-gram, that every order's discounts and back-off weights are joined from.
 3. Each cell asks for the log-probabilities of its own n-grams, and meets its documents' texts in one cogroup.
 
-So the shuffle carries each text once and each n-gram once a cell; no table goes to the driver or to every executor.
+So the shuffle carries each text once, compressed, and each n-gram once a cell; no table goes to the driver or to every executor.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import give_back, materialize, table
 
 ORDER, BITS = 4, 12
 PLAIN = 3072  # code points below it are symbols of their own; others share the rest of 4096 symbols
 CELL_ROWS = 4096
+HELD_CHARS = 12_000_000  # of text that a task holds before it gives out its cells
 START, STOP = "\x02", "\x03"
 HELD_OUT, QUANTILE, PRIOR, STEPS = 5, 0.995, 200.0, 10_000
 UNKNOWN = "(none)"
@@ -67,31 +68,68 @@ def _celled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, trusted:
     return out
 
 
-def _cell_counts(batches):
-    """(cell, lang, gram, n) for runs of rows of the same cell; n counts trusted documents' text only."""
-
-    def flush(held):
-        for (cell, lang), (texts, trusted) in held.items():
-            every, ends = grams(texts)
-            found = np.unique(every)
-            flag = np.repeat(np.array(trusted, dtype=bool), np.diff(np.r_[0, ends]))
-            seen, n = np.unique(every[flag], return_counts=True)
-            counts = np.zeros(len(found), dtype=np.int64)
-            counts[np.searchsorted(found, seen)] = n
-            size = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, cell)), pa.array([lang] * size, pa.string()), pa.array(found), pa.array(counts)], ["cell", "lang", "gram", "n"])
-
+def _cells_of(batches):
+    """Rows of (cell, lang, ...) by cell, a few million characters at a time: ((cell, lang), lists of the others)."""
     held, chars = {}, 0
     for batch in batches:
-        for cell, lang, text, trusted in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            texts, flags = held.setdefault((cell, lang), ([], []))
-            texts.append(text)
-            flags.append(trusted)
-            chars += len(text)
-            if chars > 6_000_000:
-                yield from flush(held)
+        names = batch.schema.names
+        text = names.index("text") - 2
+        for cell, lang, *rest in zip(*(batch.column(k).to_pylist() for k in range(len(names)))):
+            lists = held.setdefault((cell, lang), [[] for _ in rest])
+            for into, value in zip(lists, rest):
+                into.append(value)
+            chars += len(rest[text])
+            if chars > HELD_CHARS:
+                yield from held.items()
                 held, chars = {}, 0
-    yield from flush(held)
+    yield from held.items()
+
+
+def _runs(sizes: np.ndarray, most: int = 1_000_000):
+    """(start, end) of consecutive runs of texts, each of one text or of at most that many characters."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
+        yield at, to
+        at = to
+
+
+def _cell_counts(batches):
+    """(cell, lang, gram, n) for runs of rows of the same cell; n counts trusted documents' text only."""
+    for (cell, lang), (texts, trusted) in _cells_of(batches):
+        every, counted = [], []
+        for at, to in _runs(np.array([len(t) for t in texts])):
+            keys, ends = grams(texts[at:to])
+            every.append(np.unique(keys))
+            flag = np.repeat(np.array(trusted[at:to], dtype=bool), np.diff(np.r_[0, ends]))
+            counted.append(np.unique(keys[flag], return_counts=True))
+        found = np.unique(np.concatenate(every))
+        counts = np.zeros(len(found), dtype=np.int64)
+        for seen, n in counted:
+            counts[np.searchsorted(found, seen)] += n
+        size = len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, cell)), pa.array([lang] * size, pa.string()), pa.array(found), pa.array(counts)], ["cell", "lang", "gram", "n"])
+    give_back()
+
+
+def _packed(batches):
+    """(cell, lang, payload): the texts of a cell's rows with their ids and marks, compressed for the shuffle."""
+    import pickle
+
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for (cell, lang), lists in _cells_of(batches):
+        payload = press.compress(pickle.dumps(lists, protocol=5))
+        yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([lang]), pa.array([payload], pa.binary())], ["cell", "lang", "payload"])
+    give_back()
+
+
+def _join_small(rows: DataFrame, small: DataFrame, how: str = "inner", lanes: int = 64) -> DataFrame:
+    """Join on lang with a table of a few rows for each language, without sending a language to one task."""
+    spread = small.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    laned = rows.withColumn("_lane", F.pmod(F.xxhash64(*rows.columns), F.lit(lanes)).cast("int"))
+    return laned.join(spread, ["lang", "_lane"], how).drop("_lane")
 
 
 def _discounts(level: DataFrame) -> DataFrame:
@@ -118,7 +156,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for level in reversed(levels):
         d = F.when(F.col("n") >= 3, F.col("d3")).when(F.col("n") == 2, F.col("d2")).when(F.col("n") == 1, F.col("d1")).otherwise(0.0)
         ctx = F.shiftright(F.col("gram"), BITS)
-        seen = level.join(_discounts(level), "lang").withColumn("d", d).withColumn("context", ctx)
+        seen = _join_small(level, _discounts(level)).withColumn("d", d).withColumn("context", ctx)
         whole = seen.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("spare"))
         if lower is None:
             base = seen.withColumn("p_low", F.lit(1.0 / (1 << BITS)))
@@ -130,22 +168,26 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return lower[0].select("lang", "gram", F.log("p").alias("logp"))
 
 
-def _score(key, docs, asked):
+def _score(key, packed, asked):
     """Per document: symbols, and the sum of -log P over them, in the order of the text."""
-    texts = docs.column("text").to_pylist()
+    import pickle
+
+    import zstandard
+
     gram, logp = asked.column("gram").to_numpy(), asked.column("logp").to_numpy()
     order = np.argsort(gram, kind="stable")
     gram, logp = gram[order], logp[order]
-    nll = np.zeros(len(texts))
-    size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 3_000_000)) + at)
-        keys, ends = grams(texts[at:to])
-        found = logp[np.searchsorted(gram, keys)]
-        nll[at:to] = -np.add.reduceat(found, np.r_[0, ends[:-1]])
-        at = to
-    return pa.table({"doc": docs.column("doc"), "lang": docs.column("lang"), "held": docs.column("held"), "n_symbols": pa.array(size), "nll": pa.array(nll)})
+    out = []
+    for lang, payload in zip(packed.column("lang").to_pylist(), packed.column("payload")):
+        doc, texts, held = pickle.loads(zstandard.ZstdDecompressor().decompress(payload.as_py()))
+        size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        nll = np.zeros(len(texts))
+        for at, to in _runs(size):
+            keys, ends = grams(texts[at:to])
+            nll[at:to] = -np.add.reduceat(logp[np.searchsorted(gram, keys)], np.r_[0, ends[:-1]])
+        out.append(pa.table([pa.array(doc, pa.int64()), pa.array([lang] * len(doc), pa.string()), pa.array(held, pa.bool_()), pa.array(size), pa.array(nll)], names=["doc", "lang", "held", "n_symbols", "nll"]))
+    empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.bool_()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["doc", "lang", "held", "n_symbols", "nll"])
+    return pa.concat_tables(out or [empty])
 
 
 def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -162,7 +204,7 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     wanted = materialize(rows.select("cell", "lang", "text", "train").mapInArrow(_cell_counts, "cell long, lang string, gram long, n long"))
     counts = materialize(wanted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     asked = wanted.select("cell", "lang", "gram").distinct().join(kneser_ney(counts), ["lang", "gram"]).select("cell", "gram", "logp")
-    texts = rows.select("cell", "lang", "doc", "text", "held")
+    texts = rows.select("cell", "lang", "doc", "text", "held").mapInArrow(_packed, "cell long, lang string, payload binary")
     return texts.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_score, "doc long, lang string, held boolean, n_symbols long, nll double")
 
 
@@ -175,13 +217,13 @@ def classify(scored: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR
     """
     scored = materialize(scored)
     mean = scored.filter("held").groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean"))
-    drawn = scored.join(mean, "lang", "left").withColumn("bin", F.floor((F.col("nll") + prior * F.col("mean")) / (F.col("n_symbols") + prior) * STEPS))
+    drawn = _join_small(scored, mean, "left").withColumn("bin", F.floor((F.col("nll") + prior * F.col("mean")) / (F.col("n_symbols") + prior) * STEPS))
     drawn = materialize(drawn)
     bins = drawn.filter("held").groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("lang").orderBy("bin")
     cut = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
     cut = cut.filter(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(F.min("bin").alias("cut"))
-    out = drawn.join(cut, "lang", "left")
+    out = _join_small(drawn, cut, "left")
     perplexity = F.coalesce(F.exp(F.col("bin") / STEPS), F.exp(F.col("nll") / F.col("n_symbols")))
     return out.select("doc", "lang", "n_symbols", F.round(perplexity, 6).alias("perplexity"), F.round(F.exp((F.col("cut") + 1) / STEPS), 6).alias("threshold"), F.coalesce(F.col("bin") <= F.col("cut"), F.lit(True)).alias("keep"))
 
