@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import bases
+from strandframe.functions.classes import pseudogene_acronym, rna_subclass
 from strandframe.operators import sequences as sq
 
 from .registry import query
@@ -130,3 +131,27 @@ def agg_frequency_rank(v):
     words = v.sequences.select("grp", F.explode(bases.words(F.col("seq"), 4)).alias("kmer"))
     counts = words.groupBy("grp", F.least("kmer", bases.reverse_complement(F.col("kmer"))).alias("word")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("n").desc(), "word"))).filter("rank <= 10")
+
+
+RNA_NAMES = """SELECT p_partkey AS gene_id, CASE p_partkey % 5 WHEN 0 THEN 'snRNA' WHEN 1 THEN 'lncRNA' WHEN 2 THEN 'snoRNA' WHEN 3 THEN 'miRNA' ELSE 'rRNA' END AS biotype,
+concat(CASE p_partkey % 5 WHEN 0 THEN 'RNU' WHEN 1 THEN 'LINC' WHEN 2 THEN 'SNORD' WHEN 3 THEN 'MIR' ELSE 'RNA5SP' END, CAST(p_size AS STRING)) AS name FROM part"""
+BIOTYPES = """SELECT p_partkey AS gene_id, concat(CASE p_size % 3 WHEN 0 THEN 'transcribed_' WHEN 1 THEN 'translated_' ELSE '' END,
+CASE p_partkey % 4 WHEN 0 THEN 'processed' WHEN 1 THEN 'unprocessed' WHEN 2 THEN 'unitary' ELSE 'IG_V' END, '_pseudogene') AS biotype FROM part"""
+
+
+@query("agg_rna_subclasses", f"""WITH r AS ({RNA_NAMES}), c AS (SELECT biotype, CASE biotype
+WHEN 'snRNA' THEN CASE WHEN regexp_matches(name, '^RNU([12467]|5[A-F])-?([0-9]+)') THEN 'RNU' WHEN regexp_matches(name, '^U[12467]') THEN 'U' END
+WHEN 'lncRNA' THEN CASE WHEN regexp_matches(name, '^TTTY[0-9]') THEN 'TTTY' WHEN regexp_matches(name, '^[A-Z0-9]+[PL][0-9]') THEN 'gene + LP{{n}}' WHEN regexp_matches(name, '^LINC[0-9]+') THEN 'long intergenic noncoding' END
+WHEN 'snoRNA' THEN CASE WHEN regexp_matches(name, '^SNOR[AD][0-9]') THEN 'SNO' END WHEN 'miRNA' THEN CASE WHEN regexp_matches(name, '^MIR[0-9]+') THEN 'MIR' END
+ELSE CASE WHEN regexp_matches(name, '^RNA5SP[0-9][0-9]+') THEN 'RNA5SP{{n}}' WHEN regexp_matches(name, '^RNA5S[0-9]+') THEN 'RNA5S{{n}}' END END AS subclass FROM r)
+SELECT biotype, subclass, count(*) AS n FROM c GROUP BY biotype, subclass""")
+def agg_rna_subclasses(v):
+    rows = v.spark.sql(RNA_NAMES.replace("FROM part", "FROM {part}"), part=v.table("part"))
+    return rows.groupBy("biotype", rna_subclass(F.col("biotype"), F.col("name")).alias("subclass")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agg_pseudogene_classes", f"""WITH r AS ({BIOTYPES}) SELECT concat_ws('_', CASE WHEN contains(biotype, 'transcribed') THEN 'TC' WHEN contains(biotype, 'translated') THEN 'TL' END,
+CASE WHEN contains(biotype, 'unprocessed') THEN 'UP' WHEN contains(biotype, 'processed') THEN 'P' WHEN contains(biotype, 'unitary') THEN 'U' WHEN contains(biotype, 'IG') THEN 'IG' END, CASE WHEN contains(biotype, 'V') THEN 'V' END) AS class, count(*) AS n FROM r GROUP BY 1""")
+def agg_pseudogene_classes(v):
+    rows = v.spark.sql(BIOTYPES.replace("FROM part", "FROM {part}"), part=v.table("part"))
+    return rows.groupBy(pseudogene_acronym(F.col("biotype")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
