@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.operators.graph import components
@@ -25,6 +25,13 @@ NEAREST, DEGREE, FAR, ALPHA = 64, 24, 6, 1.2
 BEAM, AUDIT, AIM = 24, 16, 0.99
 
 
+def _can_link(id_col: str, vec_col: str, label_col: str) -> Column:
+    """Whether a row has an id, a label and a vector of finite components that are not all zero."""
+    finite = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    some = F.exists(F.col(vec_col), lambda x: x != 0)
+    return F.coalesce(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & finite & some, F.lit(False))
+
+
 def _unit_rows(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """(vec_id, label, hi, lo, v): the vector as doubles; hi and lo identify it. Rows that can't link are left out."""
 
@@ -34,17 +41,15 @@ def _unit_rows(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) ->
         for batch in batches:
             keep, rows = [], []
             for i, values in enumerate(batch.column(2).to_pylist()):
-                if values and None not in values:
-                    x = np.asarray(values, dtype=np.float64)
-                    if np.isfinite(x).all() and x.any():
-                        keep.append(i)
-                        rows.append((x + 0.0).tobytes())
+                x = np.asarray(values, dtype=np.float64)
+                keep.append(i)
+                rows.append((x + 0.0).tobytes())
             marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in rows), dtype=">i8").reshape(-1, 2).astype(np.int64)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(rows, pa.binary())], ["vec_id", "label", "hi", "lo", "v"])
 
-    chosen = vectors.select(F.col(id_col).cast("long"), F.col(label_col).cast("string"), F.col(vec_col).cast("array<double>"))
-    return chosen.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).mapInArrow(convert, "vec_id long, label string, hi long, lo long, v binary")
+    chosen = vectors.filter(_can_link(id_col, vec_col, label_col)).select(F.col(id_col).cast("long"), F.col(label_col).cast("string"), F.col(vec_col).cast("array<double>"))
+    return chosen.mapInArrow(convert, "vec_id long, label string, hi long, lo long, v binary")
 
 
 def _units(column) -> np.ndarray:
@@ -289,9 +294,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     told = named.join(smallest, "component").select("label", "hi", "lo", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = rows.select("vec_id", "label", "hi", "lo").join(told, ["label", "hi", "lo"]).select("vec_id", "n_links", "component_id")
-    valid = rows.select("vec_id").distinct()
-    alone = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    alone = alone.join(valid, "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = vectors.filter(~_can_link(id_col, vec_col, label_col)).select(F.col(id_col).cast("long").alias("vec_id"))
+    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -326,6 +326,8 @@ def test_near_vectors_recall_and_no_false_links(spark, monkeypatch):
     x = np.concatenate([base, base[:60] + 0.05 * r.normal(size=(60, 16)), base[:1] + 0.08 * r.normal(size=(300, 16)), base[:20]])
     rows = [(i, [float(v) for v in v_], i % 2 if i < 60 else 0, "k") for i, v_ in enumerate(x)]
     rows += [(900, None, 0, "k"), (901, [0.0] * 16, 0, "k"), (902, [math.nan] * 16, 0, "k"), (903, rows[0][1], None, "k"), (904, [1.0, None], 0, "k")]
+    shared = spark.createDataFrame([*rows, (0, None, 0, "k"), (None, rows[0][1], 0, "k")], "vec_id long, embedding array<double>, label int, kept string")
+    assert neargraph.near_vectors(shared).count() == len(rows) + 2
     got = {y["vec_id"]: y for y in neargraph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string")).collect()}
     assert len(got) == len(rows)
     u = x / np.linalg.norm(x, axis=1)[:, None]
