@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.graph import components
 
-from .common import byte_slices, materialize, table
+from .common import byte_slices, give_back, materialize, table
 
 BIN_BITS = 7
 ROWS, BANDS = 5, 25
@@ -132,6 +132,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
                     pa.array([None if v is None else _keys(s, v, percent).view(np.int64) for s, v in zip(sets, values)], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "n_shingles", "hi", "lo", "prints", "bands"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(sketch, "doc long, n_shingles long, hi long, lo long, prints binary, bands array<long>")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table, with_lanes
+from .common import give_back, numbered, table, with_lanes
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -156,6 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                 columns.append(pa.array(out[5], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(cut, schema)
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,11 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(path)
-        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            read = json.load(f)
+        special, vocabulary = [t["content"] for t in read["added_tokens"]], read["model"]["vocab"]
         letters = byte_alphabet()
         ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if word not in special}
         self.width = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
@@ -49,12 +48,20 @@ class Encoder:
         self.words = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.unsure = "|".join([UNSURE, *map(re.escape, special)])
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, loaded by the few workers that meet a text they can't cut."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many(pa.array([text], pa.string()))[0]
 
     def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers; null: none."""
-        return [ids for at, n in byte_slices(texts) for ids in self._encode_slice(texts.slice(at, n))]
+        return [ids for at, n in byte_slices(texts, 4 << 20) for ids in self._encode_slice(texts.slice(at, n))]
 
     def _encode_slice(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
