@@ -1,11 +1,15 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-Equal vectors form a class. Classes are assigned to their OVERLAP nearest cluster centres of the same label. Each
-cluster shard builds a graph: a node's nearest neighbours, thinned so that no neighbour is much closer to a kept one
+Equal vectors form a class. Classes are assigned to their OVERLAP nearest cluster centres of the same label and to
+every centre within the threshold. Centres within the threshold of one another are one, so that a group of near copies
+is one shard, however large. A shard of several blocks, or whose nodes have more links than a list holds, compares all
+its pairs; any other cluster shard builds a graph: a node's nearest neighbours, thinned so that no neighbour is much closer to a kept one
 than to the node (robust pruning), and some far ones for reach. Adjacency lists of the shards are united. A search
 walks the united graph greedily from the shard's medoid to the query and then widens over everything within the
 threshold. Every pair is verified by its cosine in double precision; each shard's recall is audited against brute
-force on a fixed share of its nodes, and the walk is repeated with a wider beam where it misses.
+force on a fixed share of its nodes, and the walk is repeated with a wider beam where it misses. The links of some nodes
+of each label are also sought among all vectors of the label, and all is done again with twice the overlap if too many
+of them are missing.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ SAMPLE = 20_000  # labelled vectors of a label that its centres are fitted on, a
 PER_CLUSTER, OVERLAP, BLOCK = 250, 4, 2000
 NEAREST, DEGREE, FAR, ALPHA = 64, 24, 6, 1.2
 BEAM, AUDIT, AIM = 24, 16, 0.99
+AUDIT_NODES = 256  # of a label that are compared with all of it, about
 
 
 def _can_link(id_col: str, vec_col: str, label_col: str) -> Column:
@@ -61,7 +66,23 @@ def _units(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _fit_centres(table_):
+def _apart(centres: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """The centres of the largest clusters, without those of cosine >= least to a larger one that stays."""
+    kept = np.zeros(0, dtype=int)
+    for c in np.argsort(-sizes, kind="stable"):
+        if not len(kept) or (centres[kept] @ centres[c]).max() < least:
+            kept = np.append(kept, c)
+    return centres[np.sort(kept)]
+
+
+def _fit_centres(least: float):
+    def fit(table_):
+        return _fit(table_, least)
+
+    return fit
+
+
+def _fit(table_, least: float):
     """Spherical k-means on a label's sample; the number of centres comes with the rows."""
     x = _units(table_.column("v"))
     k = min(int(table_.column("k")[0].as_py()), len(x))
@@ -74,31 +95,52 @@ def _fit_centres(table_):
         np.add.at(sums, near, x)
         size = np.sqrt((sums * sums).sum(axis=1))
         centres[size > 0] = sums[size > 0] / size[size > 0, None]
+    centres = _apart(centres, np.bincount(near, minlength=k), least)
+    k = len(centres)
     return pa.table({"label": pa.array([table_.column("label")[0].as_py()]), "k": pa.array([k], pa.int64()), "centres": pa.array([centres.tobytes()], pa.binary())})
 
 
-def _assign(batches):
-    """One row for each of a node's nearest centres, with all of them listed."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, out = _units(batch.column(batch.schema.get_field_index("v"))), []
-        labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
-        near: list = [None] * len(x)
-        for label in set(labels.tolist()):
-            rows = np.flatnonzero(labels == label)
-            k = batch.column(batch.schema.get_field_index("k"))[int(rows[0])].as_py()
-            centres = np.frombuffer(batch.column(batch.schema.get_field_index("centres"))[int(rows[0])].as_py()).reshape(k, -1)
-            width = min(centres.shape[1], x.shape[1])
-            cos = x[rows][:, :width] @ centres[:, :width].T
-            best = np.argsort(-cos, axis=1, kind="stable")[:, :OVERLAP]
-            for r, b in zip(rows.tolist(), np.sort(best, axis=1)):
-                near[r] = b
-        for r, b in enumerate(near):
-            out += [(r, int(c)) for c in b]
-        rows = pa.array([r for r, _ in out], pa.int64())
-        kept = batch.select(["node", "label", "copies", "v"]).take(rows)
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([c for _, c in out], pa.int32()), pa.array([near[r].astype(np.int32) for r, _ in out], pa.list_(pa.int32()))], ["node", "label", "copies", "v", "shard", "shards"])
+def _assign(overlap: int, least: float):
+    """One row for each of a node's ``overlap`` nearest centres and those of cosine >= least, with all of them listed."""
+
+    def assign(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, out = _units(batch.column(batch.schema.get_field_index("v"))), []
+            labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
+            near: list = [None] * len(x)
+            for label in set(labels.tolist()):
+                rows = np.flatnonzero(labels == label)
+                k = batch.column(batch.schema.get_field_index("k"))[int(rows[0])].as_py()
+                centres = np.frombuffer(batch.column(batch.schema.get_field_index("centres"))[int(rows[0])].as_py()).reshape(k, -1)
+                width = min(centres.shape[1], x.shape[1])
+                cos = x[rows][:, :width] @ centres[:, :width].T
+                best = np.argsort(-cos, axis=1, kind="stable")[:, :overlap]
+                for r, b, c in zip(rows.tolist(), best, cos):
+                    near[r] = np.union1d(b, np.flatnonzero(c >= least))
+            for r, b in enumerate(near):
+                out += [(r, int(c)) for c in b]
+            rows = pa.array([r for r, _ in out], pa.int64())
+            kept = batch.select(["node", "label", "copies", "v"]).take(rows)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([c for _, c in out], pa.int32()), pa.array([near[r].astype(np.int32) for r, _ in out], pa.list_(pa.int32()))], ["node", "label", "copies", "v", "shard", "shards"])
+
+    return assign
+
+
+def _true_links(least: float):
+    """(node, links): links of audited nodes with the vectors of one lane of their label."""
+
+    def count(key, lane, asked):
+        if not lane.num_rows or not asked.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+        x, node, copies = _units(lane.column("v")), lane.column("node").to_numpy(), lane.column("copies").to_numpy()
+        q, ids = _units(asked.column("v")), asked.column("node").to_numpy()
+        width = min(q.shape[1], x.shape[1])
+        hit = (q[:, :width] @ x[:, :width].T >= least) & (ids[:, None] != node)
+        return pa.table({"node": pa.array(ids, pa.int64()), "links": pa.array((hit * copies).sum(axis=1), pa.int64())})
+
+    return count
 
 
 def _build(key, cell):
@@ -207,52 +249,99 @@ def _search(least: float):
         copies, block = cell.column("copies").to_numpy(), cell.column("block").to_numpy()
         n = len(node)
         shard, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        lists = cell.column("near").combine_chunks()
-        to = np.concatenate([np.zeros(0, np.int64), lists.flatten().to_numpy()]).astype(np.int64)
-        sizes = np.array([0 if v is None else len(v) for v in lists], dtype=np.int64)
-        place = np.searchsorted(node, to)
-        here = (place < n) & (node[np.minimum(place, n - 1)] == to)
-        who = np.repeat(np.arange(n), sizes)[here]
-        near, starts = place[here], np.searchsorted(who, np.arange(n + 1))
-        middle = x.mean(axis=0)
-        medoid = int((x @ middle).argmax())
         audit = np.arange(0, n, AUDIT)
         truth = x[audit] @ x.T >= least
-        beam = BEAM
-        while True:
-            a, b = _walk(x, starts, near, audit, medoid, beam, least)
-            hit = np.zeros_like(truth)
-            hit[a, b] = True
-            if (hit & truth).sum() >= AIM * truth.sum() or beam >= n:
-                break
-            beam *= 4
-        pairs = [_walk(x, starts, near, np.arange(s, min(s + 512, n)), medoid, min(beam, n), least) for s in range(0, n, 512)]
-        a = np.concatenate([p[0] + 512 * k for k, p in enumerate(pairs)])
-        b = np.concatenate([p[1] for p in pairs])
-        both = np.unique(np.concatenate([np.minimum(a, b) * n + np.maximum(a, b)]))
-        a, b = both // n, both % n
-        a, b = a[a != b], b[a != b]
+        if cell.column("blocks")[0].as_py() > 1 or truth.sum() > NEAREST * len(audit):
+            first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            runs = (first[s : s + 512] for s in range(0, len(first), 512))
+            hits = (np.nonzero(x[rows] @ x[second].T >= least) + (rows,) for rows in runs)
+            pairs = ((rows[a], second[b]) for a, b, rows in hits)
+        else:
+            lists = cell.column("near").combine_chunks()
+            to = np.concatenate([np.zeros(0, np.int64), lists.flatten().to_numpy()]).astype(np.int64)
+            sizes = np.array([0 if v is None else len(v) for v in lists], dtype=np.int64)
+            place = np.searchsorted(node, to)
+            here = (place < n) & (node[np.minimum(place, n - 1)] == to)
+            who = np.repeat(np.arange(n), sizes)[here]
+            near, starts = place[here], np.searchsorted(who, np.arange(n + 1))
+            middle = x.mean(axis=0)
+            medoid = int((x @ middle).argmax())
+            beam = BEAM
+            while True:
+                a, b = _walk(x, starts, near, audit, medoid, beam, least)
+                hit = np.zeros_like(truth)
+                hit[a, b] = True
+                if (hit & truth).sum() >= AIM * truth.sum() or beam >= n:
+                    break
+                beam *= 4
+            walks = [_walk(x, starts, near, np.arange(s, min(s + 512, n)), medoid, min(beam, n), least) for s in range(0, n, 512)]
+            a = np.concatenate([p[0] + 512 * k for k, p in enumerate(walks)])
+            b = np.concatenate([p[1] for p in walks])
+            both = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+            pairs = [(both // n, both % n)]
         # a pair belongs to the smallest shard that both are in, and there to the cell of its two blocks
-        shards = np.full((n, OVERLAP), -1)
-        for r, s in enumerate(cell.column("shards").to_pylist()):
+        lists = cell.column("shards").to_pylist()
+        shards = np.full((n, max(map(len, lists))), -1)
+        for r, s in enumerate(lists):
             shards[r, : len(s)] = s
-        common = np.full(len(a), np.iinfo(np.int64).max)
-        for p in range(OVERLAP):
-            for q in range(OVERLAP):
-                same = (shards[a, p] == shards[b, q]) & (shards[a, p] >= 0)
-                common = np.where(same, np.minimum(common, shards[a, p]), common)
-        own = (common == shard) & (np.minimum(block[a], block[b]) == i) & (np.maximum(block[a], block[b]) == j)
-        a, b = a[own], b[own]
         links = np.zeros(n, dtype=np.int64)
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
+        tree = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a, b in pairs:
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            smaller = np.zeros(len(a), dtype=bool)
+            for p in range(shards.shape[1]):
+                for q in range(shards.shape[1]):
+                    common = shards[a, p]
+                    smaller |= (common == shards[b, q]) & (common >= 0) & (common < shard)
+            a, b = a[~smaller], b[~smaller]
+            links += np.bincount(a, copies[b], minlength=n).astype(np.int64) + np.bincount(b, copies[a], minlength=n).astype(np.int64)
+            root = _local_roots(n, a, b)
+            joined = np.flatnonzero(root != np.arange(n))
+            tree.append((joined, root[joined]))
         some = np.flatnonzero(links)
-        root = _local_roots(n, a, b)
+        root = _local_roots(n, np.concatenate([a for a, _ in tree]), np.concatenate([b for _, b in tree]))
         return pa.table({"node": pa.array(node[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "root": pa.array(node[root[some]], pa.int64())})
 
     return search
 
 
+def _audited(nodes: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """(node, truth): some nodes of each label and their links among all vectors of it; those without links are left out."""
+    share = F.least(F.lit(1.0), F.lit(float(AUDIT_NODES)) / F.col("count"))
+    some = nodes.join(sizes, "label").filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
+    lanes = F.ceil(F.col("count") / BLOCK).cast("int")
+    laned = nodes.join(sizes, "label").select("label", F.pmod(F.xxhash64("node", F.lit(3)), lanes).cast("int").alias("lane"), "node", "copies", "v")
+    asked = some.select(F.col("label").alias("label"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.col("node").alias("node"), F.col("v").alias("v"))
+    cells = laned.groupBy("label", "lane").cogroup(asked.groupBy("label", "lane"))
+    counted = cells.applyInArrow(_true_links(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("truth"))
+    return materialize(counted.filter("truth > 0"))
+
+
+def _recall(truth: DataFrame, found: DataFrame) -> float:
+    """Share of the audited links that were found: of all of them or the mean of the nodes, whichever is less."""
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    both = truth.join(links, "node", "left").withColumn("links", F.least(F.coalesce("links", F.lit(0)), "truth"))
+    row = both.agg(F.sum("links") / F.sum("truth"), F.avg(F.col("links") / F.col("truth"))).first()
+    return 1.0 if row[0] is None else min(row)
+
+
+def _found(nodes: DataFrame, centres: DataFrame, overlap: int, least: float) -> DataFrame:
+    """(node, links, root) of each cell: a node's links that belong to the cell and the component they give it there."""
+    placed = nodes.join(centres, "label").mapInArrow(_assign(overlap, least), "node long, label string, copies long, v binary, shard int, shards array<int>")
+    placed = materialize(placed)
+    full = placed.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(full, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    dealt = materialize(dealt)
+    small = dealt.filter("blocks = 1").select("label", "shard", "i", "j", "node", "v")
+    built = small.groupBy("label", "shard", "i", "j").applyInArrow(_build, "node long, near array<long>")
+    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    cells = dealt.join(united, "node", "left").select("label", "shard", "i", "j", "node", "copies", "v", "shards", "block", "blocks", "near")
+    return materialize(cells.groupBy("label", "shard", "i", "j").applyInArrow(_search(least), "node long, links long, root long"))
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``vectors``.
 
@@ -262,7 +351,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     vectors count as zero where longer ones go on. Recall is that of the graph, no link is wrong.
 
     Centres are fitted on about SAMPLE vectors of each label; all vectors are assigned and searched. A shard of more
-    than BLOCK nodes is dealt to cells of two blocks each, so that a task holds at most two blocks.
+    than BLOCK nodes is dealt to cells of two blocks each, so that a task holds at most two blocks. About AUDIT_NODES
+    vectors of each label are compared with all of it; where less than AIM of their links were found, the overlap doubles.
     """
     rows = materialize(_unit_rows(vectors, id_col, vec_col, label_col))
     classes = rows.groupBy("label", "hi", "lo").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
@@ -273,18 +363,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("count"))
     sample = nodes.join(sizes, "label").filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
     sample = sample.select(F.col("node").alias("vec_id"), "label", "v", F.ceil(F.col("count") / PER_CLUSTER).alias("k"))
-    centres = materialize(sample.groupBy("label").applyInArrow(_fit_centres, "label string, k long, centres binary"))
-    placed = nodes.join(centres, "label").mapInArrow(_assign, "node long, label string, copies long, v binary, shard int, shards array<int>")
-    placed = materialize(placed)
-    full = placed.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(full, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    dealt = materialize(dealt)
-    built = dealt.select("label", "shard", "i", "j", "node", "v").groupBy("label", "shard", "i", "j").applyInArrow(_build, "node long, near array<long>")
-    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    cells = dealt.join(united, "node").select("label", "shard", "i", "j", "node", "copies", "v", "shards", "block", "near")
-    found = materialize(cells.groupBy("label", "shard", "i", "j").applyInArrow(_search(least), "node long, links long, root long"))
+    centres = materialize(sample.groupBy("label").applyInArrow(_fit_centres(least), "label string, k long, centres binary"))
+    most, overlap = centres.agg(F.max("k")).first()[0] or 0, OVERLAP
+    truth = _audited(nodes, sizes, least)
+    while True:
+        found = _found(nodes, centres, overlap, least)
+        if overlap >= most or _recall(truth, found) >= AIM:
+            break
+        overlap *= 2
 
     comps = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

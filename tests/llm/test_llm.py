@@ -339,6 +339,20 @@ def test_near_vectors_recall_and_no_false_links(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 905))
 
 
+def test_near_vectors_keep_the_links_of_a_group_of_many_centres(spark, monkeypatch):
+    monkeypatch.setattr(neargraph, "BLOCK", 300)
+    monkeypatch.setattr(neargraph, "PER_CLUSTER", 20)
+    r = np.random.default_rng(4)
+    base = r.normal(size=32)
+    x = np.concatenate([base + 0.18 * r.normal(size=(800, 32)), r.normal(size=(200, 32))])
+    rows = [(i, [float(v) for v in v_], 0) for i, v_ in enumerate(x)]
+    got = {y["vec_id"]: y for y in neargraph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (u @ u.T >= 0.93).sum(axis=1) - 1
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() and true.sum() > 500 * 500
+
+
 # --- lines -------------------------------------------------------------------------------------------------------
 
 
