@@ -236,6 +236,12 @@ def join_motif_graph(v):
     return sq.motif_graph(words)
 
 
+@query("join_motif_graph_whole", """WITH m AS (SELECT DISTINCT kmer AS m FROM (SELECT unnest(regexp_extract_all(seq, '.{5}')) AS kmer FROM v_sequences))
+SELECT a.m AS a, b.m AS b FROM m a JOIN m b ON a.m < b.m AND levenshtein(a.m, b.m) = 1""")
+def join_motif_graph_whole(v):
+    return sq.motif_graph(v.sequences.select(F.explode(bases.words(F.col("seq"), 5)).alias("motif")))
+
+
 @query("fn_hamming", """WITH t AS (SELECT seq_id, unnest(ps) AS a, generate_subscripts(ps, 1) AS i, ps FROM (SELECT seq_id, regexp_extract_all(seq, '.{20}') AS ps FROM v_sequences)), p AS (SELECT seq_id, i, a, ps[i + 1] AS b FROM t WHERE i < len(ps))
 SELECT seq_id, hamming(a, b) AS d, count(*) AS n FROM p GROUP BY 1, 2""")
 def fn_hamming(v):

@@ -35,3 +35,8 @@ def test_query_matches_sql(spark, duck, name):
     rows = sorted(tuple(plain(r[c]) for c in order) for r in got.collect())
     at = [want.columns.index(c) for c in order]
     assert rows == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
+
+
+def test_motif_graph_holds_motifs_of_every_first_letter(spark):
+    rows = catalog.QUERIES["join_motif_graph_whole"](spark, DATA).collect()
+    assert {r["a"][0] for r in rows} | {r["b"][0] for r in rows} >= set("ACGT")
