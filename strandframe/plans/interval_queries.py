@@ -218,6 +218,12 @@ def sort_natural_chrom(v):
     return rows.select("chrom", "chrom_rank", "start_pos", "end_pos", F.col("chrom_rank").cast("long").alias("k")).orderBy("chrom_rank", "start_pos", "end_pos")
 
 
+@query("sort_natural_chrom_whole", "SELECT f.chrom, chrom_rank, start_pos, end_pos FROM v_features f JOIN v_contigs c ON f.chrom = c.chrom WHERE feature_type = 'gene'")
+def sort_natural_chrom_whole(v):
+    rows = v.features.filter("feature_type = 'gene'").join(F.broadcast(v.contigs.select("chrom", "chrom_rank")), "chrom")
+    return rows.select("chrom", "chrom_rank", "start_pos", "end_pos").orderBy("chrom_rank", "start_pos", "end_pos")
+
+
 @query("sort_top_per_chrom", "SELECT chrom, start_pos, end_pos, name, score, CAST(k AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY score DESC, start_pos, end_pos, name, id) AS k FROM v_features) WHERE k <= 5")
 def sort_top_per_chrom(v):
     w = Window.partitionBy("chrom").orderBy(F.col("score").desc(), "start_pos", "end_pos", "name", "id")

@@ -188,6 +188,14 @@ def join_interval_sequence(v):
     return sq.interval_sequences(genes, v.ref_chunks).filter("seq is not null").select("chrom", "start_pos", "end_pos", "name", "seq")
 
 
+@query("join_interval_sequence_whole", """WITH g AS (SELECT chrom, string_agg(seq, '' ORDER BY chunk_id) AS whole FROM v_ref_chunks GROUP BY chrom),
+c AS (SELECT a.*, substr(whole, CAST(start_pos AS INT), CAST(end_pos - start_pos + 1 AS INT)) AS s FROM v_features a JOIN g ON a.chrom = g.chrom WHERE feature_type = 'gene')
+SELECT chrom, start_pos, end_pos, name, CASE WHEN strand = '-' THEN reverse(translate(s, 'ATGC', 'TACG')) ELSE s END AS seq FROM c WHERE s <> ''""")
+def join_interval_sequence_whole(v):
+    genes = v.features.filter("feature_type = 'gene'")
+    return sq.interval_sequences(genes, v.ref_chunks).filter("seq is not null").select("chrom", "start_pos", "end_pos", "name", "seq")
+
+
 @query("agg_quantity_map", """WITH t AS (SELECT chrom, chunk_start, unnest(range((chunk_start - 1) // 1024, (chunk_start + length(seq) - 2) // 1024 + 1)) AS win, seq FROM v_ref_chunks),
 p AS (SELECT chrom, win, substr(seq, CAST(greatest(win * 1024 + 1, chunk_start) - chunk_start + 1 AS INT), CAST(least((win + 1) * 1024, chunk_start + length(seq) - 1) - greatest(win * 1024 + 1, chunk_start) + 1 AS INT)) AS s FROM t),
 g AS (SELECT chrom, win, sum(length(s)) AS n_bases, round(sum(length(s) - length(translate(s, 'GC', ''))) / sum(length(s)), 9) AS gc FROM p GROUP BY 1, 2),

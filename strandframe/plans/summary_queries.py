@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import bases
 from strandframe.functions.names import prefixes, te_parts
 from strandframe.operators import intervals as iv
+from strandframe.operators.ordered import running
 
 from .registry import query
 
@@ -113,6 +114,12 @@ def agg_track(v):
     return tracks.filter("abs(m) > 1e-9").select("chrom", "bin_id", F.col("m").cast("float").alias("value"))
 
 
+@query("agg_members_whole", "SELECT feature_type, chrom, row_number() OVER (PARTITION BY feature_type, chrom ORDER BY start_pos, end_pos, name) - 1 AS k, name FROM v_features")
+def agg_members_whole(v):
+    rows = running(v.features.select("feature_type", "chrom", "start_pos", "end_pos", "name"), ["feature_type", "chrom"], ["start_pos", "end_pos", "name"], {"k": ("sum", F.lit(1))})
+    return rows.select("feature_type", "chrom", F.coalesce("k", F.lit(0)).cast("long").alias("k"), "name")
+
+
 @query("agg_members", "SELECT feature_type, chrom, count(*) AS n, string_agg(name, ',' ORDER BY start_pos, end_pos, name) AS members FROM v_features WHERE end_pos - start_pos >= 49 GROUP BY feature_type, chrom")
 def agg_members(v):
     rows = v.features.filter("end_pos - start_pos >= 49")
