@@ -6,7 +6,7 @@ from .chat import OP6_SQL, op6_chat_perspectives
 from .linededup import OP10_SQL, op10_line_dedup
 from .minhash import op5_minhash_near_dedup
 from .mixing import OP8_SQL, op8_mixing
-from .neargraph import op9_embedding_near_dedup
+from .neargraph import OP9_SQL, op9_embedding_near_dedup
 from .packing import op2_best_fit_packing
 from .pii import OP4_SQL, op4_pii
 from .quality import op7_quality_classifier
@@ -31,6 +31,6 @@ SQL: dict[str, str] = {
     "op4_pii": OP4_SQL,
     "op6_chat_perspectives": OP6_SQL,
     "op8_mixing": OP8_SQL,
-    "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op9_embedding_near_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }

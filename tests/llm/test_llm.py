@@ -318,39 +318,66 @@ def test_mixing_meets_its_targets(spark):
 # --- near-duplicate vectors --------------------------------------------------------------------------------------
 
 
-def test_near_vectors_recall_and_no_false_links(spark, monkeypatch):
-    monkeypatch.setattr(neargraph, "BLOCK", 150)
-    monkeypatch.setattr(neargraph, "PER_CLUSTER", 60)
-    r = np.random.default_rng(9)
-    base = r.normal(size=(120, 16))
-    x = np.concatenate([base, base[:60] + 0.05 * r.normal(size=(60, 16)), base[:1] + 0.08 * r.normal(size=(300, 16)), base[:20]])
-    rows = [(i, [float(v) for v in v_], i % 2 if i < 60 else 0, "k") for i, v_ in enumerate(x)]
-    rows += [(900, None, 0, "k"), (901, [0.0] * 16, 0, "k"), (902, [math.nan] * 16, 0, "k"), (903, rows[0][1], None, "k"), (904, [1.0, None], 0, "k")]
-    shared = spark.createDataFrame([*rows, (0, None, 0, "k"), (None, rows[0][1], 0, "k")], "vec_id long, embedding array<double>, label int, kept string")
-    assert neargraph.near_vectors(shared).count() == len(rows) + 2
-    got = {y["vec_id"]: y for y in neargraph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string")).collect()}
-    assert len(got) == len(rows)
+VECTORS = "vec_id long, embedding array<double>, label int, kept string"
+
+
+def true_links(x, label):
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    label = np.array([row[2] for row in rows[: len(x)]])
     linked = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
-    true = linked.sum(axis=1) - 1
-    found = np.array([got[i]["n_links"] for i in range(len(x))])
-    assert (found <= true).all() and found.sum() >= 0.98 * true.sum()
-    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 905))
+    return linked.sum(axis=1) - 1, neargraph._local_roots(len(x), *np.nonzero(linked))
 
 
-def test_near_vectors_keep_the_links_of_a_group_of_many_centres(spark, monkeypatch):
-    monkeypatch.setattr(neargraph, "BLOCK", 300)
-    monkeypatch.setattr(neargraph, "PER_CLUSTER", 20)
+def test_near_vectors_equal_brute_force_over_regions_and_shards(spark, monkeypatch):
+    for name, value in {"REGION": 250, "LEAF": 60, "BLOCK": 60, "LANE": 70, "BATCH": 32, "AUDIT_NODES": 10_000, "AIM": 1.0}.items():
+        monkeypatch.setattr(neargraph, name, value)
+    r = np.random.default_rng(9)
+    base = r.normal(size=(240, 24))
+    x = np.concatenate([base, base[:60] + 0.05 * r.normal(size=(60, 24)), base[:1] + 0.08 * r.normal(size=(130, 24)), base[:20]])
+    rows = [(i, [float(v) for v in v_], i % 2 if i < 60 else 0, "k") for i, v_ in enumerate(x)]
+    odd = [(900, None, 0, "k"), (901, [0.0] * 24, 0, "k"), (902, [math.nan] * 24, 0, "k"), (903, rows[0][1], None, "k"), (904, [1.0, None], 0, "k"), (905, [], 0, "k")]
+    got = {y["vec_id"]: y for y in neargraph.near_vectors(spark.createDataFrame(rows + odd, VECTORS)).collect()}
+    assert len(got) == len(rows) + len(odd)
+    true, root = true_links(x, np.array([row[2] for row in rows]))
+    assert true.sum() > 100 * 100
+    assert [got[i]["n_links"] for i in range(len(x))] == true.tolist() == [got[i]["audited_links"] for i in range(len(x))]
+    assert [got[i]["component_id"] for i in range(len(x))] == root.tolist()
+    assert all(got[i]["kept"] == (root[i] == i) for i in range(len(x)))
+    assert all(tuple(got[i][c] for c in ("n_links", "component_id", "kept", "audited_links")) == (0, i, True, None) for i in range(900, 906))
+
+
+def test_near_vectors_recall_of_a_loose_group_and_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(neargraph, "LEAF", 200)
+    monkeypatch.setattr(neargraph, "BLOCK", 200)
     r = np.random.default_rng(4)
-    base = r.normal(size=32)
-    x = np.concatenate([base + 0.18 * r.normal(size=(800, 32)), r.normal(size=(200, 32))])
-    rows = [(i, [float(v) for v in v_], 0) for i, v_ in enumerate(x)]
-    got = {y["vec_id"]: y for y in neargraph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    true = (u @ u.T >= 0.93).sum(axis=1) - 1
-    found = np.array([got[i]["n_links"] for i in range(len(x))])
-    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() and true.sum() > 500 * 500
+    x = np.concatenate([r.normal(size=32) + 0.24 * r.normal(size=(400, 32)), r.normal(size=(300, 32))])
+    rows = [(i, [float(v) for v in v_], 0, "k") for i, v_ in enumerate(x)] + [(0, None, 0, "k"), (None, [1.0] * 32, 0, "k")]
+    out = neargraph.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    assert Counter(y["vec_id"] for y in out) == Counter(row[0] for row in rows)
+    got = {y["vec_id"]: y["n_links"] for y in sorted(out, key=lambda y: y["n_links"])}
+    true, _ = true_links(x, np.zeros(len(x), dtype=int))
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() and true.sum() > 200 * 200
+    audited = [(y["n_links"], y["audited_links"]) for y in out if y["audited_links"]]
+    assert sum(a for a, _ in audited) >= 0.99 * sum(b for _, b in audited) > 0
+    assert neargraph.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_a_walk_takes_few_inner_products():
+    r = np.random.default_rng(2)
+    n = 4000
+    x = r.normal(size=(n, 32))
+    x[1::2] = x[::2] + 0.15 * r.normal(size=(n // 2, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = np.argsort(-(x @ x.T), axis=1)[:, 1:17]
+    to = np.concatenate([near, r.integers(0, n, size=(n, 4))], axis=1)
+    a, b = np.repeat(np.arange(n), 20), to.ravel()
+    both = np.unique(np.concatenate([a * n + b, b * n + a]))
+    starts = np.searchsorted(both // n, np.arange(n + 1))
+    by, at, taken = neargraph._walk(x, starts, both % n, np.arange(256), np.arange(0, n, 400), 0.93)
+    pairs = {(int(i), int(j)) for i, j in zip(by, at) if i != j}
+    want = {(i, int(j)) for i in range(256) for j in np.flatnonzero(x[i] @ x.T >= 0.93) if i != j}
+    assert pairs <= want and len(pairs) >= 0.95 * len(want) > 200
+    assert taken < 0.4 * 256 * n
 
 
 # --- lines -------------------------------------------------------------------------------------------------------
