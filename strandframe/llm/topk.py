@@ -1,10 +1,11 @@
 """Exact top-k inner products of a query set against all vectors.
 
-Candidates are sorted by length, longest first, and dealt to groups in that order; queries are dealt to groups too, and
-a task meets one group of either. Vectors are rotated to the axes of the corpus' second moments, so that the first
-axes hold most of an inner product. A pair is given up as soon as its partial sum and the Cauchy-Schwarz bound of the
-rest can't reach the query's k-th best score; whole blocks go by their greatest length alone. What is left is scored
-in integers. The longest group is searched first, and gives the later ones their thresholds.
+Candidates are sorted by length, longest first, and dealt to groups in that order. All queries meet the longest group,
+in lanes, and take their k-th best score there as a threshold. A query is then sent only to groups whose greatest length
+times its own can reach the threshold (Cauchy-Schwarz), and a group only to the parts of the queries that ask for it: what
+can't matter is not shipped. Where they meet, vectors are rotated to the axes of the corpus' second moments, so that the
+first axes hold most of an inner product; a pair is given up as soon as its partial sum and the bound of the rest can't
+reach the threshold, whole blocks go by their greatest length alone, and what is left is scored in integers.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-GROUP, QUERY_GROUP, BLOCK = 8192, 2048, 1024
+GROUP, QUERY_GROUP, BLOCK, LANES = 8192, 4096, 1024, 8
+STEPS = 64  # thresholds are rounded down to powers of 2 ** (1 / STEPS)
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -116,13 +118,34 @@ def _search(axes: np.ndarray, k: int, dim: int):
     return search
 
 
+def _bucket(x: Column) -> Column:
+    return F.floor(F.log2(x) * STEPS)
+
+
+def _reach(stored: DataFrame, asked: DataFrame, groups: int) -> DataFrame:
+    """``asked`` with reach, the last group that can hold a score of ``least`` or more, as far as lengths tell; queries
+    that no later group can serve are left out. The table of steps is bounded by the range of a double, so it is
+    broadcast."""
+    tops = stored.filter("grp > 0").groupBy("grp").agg(F.max("norm").alias("norm")).filter("norm > 0")
+    steps = tops.groupBy(_bucket(F.col("norm")).alias("step")).agg(F.max("grp").alias("last"))
+    low, high = steps.agg(F.min("step"), F.max("step")).first()
+    some = (F.col("least") > 0) & (F.col("length") > 0)
+    if low is None:  # all other candidates are zero
+        return asked.filter(~some).withColumn("reach", F.lit(groups - 1))
+    line = asked.sparkSession.range(low, high + 1).withColumnRenamed("id", "step").join(steps, "step", "left")
+    line = line.withColumn("reach", F.max("last").over(Window.orderBy(F.col("step").desc()))).drop("last")
+    step = F.greatest(F.lit(low), _bucket(F.col("least") / F.col("length") * (1 - 1e-9)))
+    told = asked.withColumn("step", F.when(some, step)).join(F.broadcast(line), "step", "left").drop("step")
+    return told.withColumn("reach", F.when(some, F.col("reach")).otherwise(groups - 1)).filter("reach > 0")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best scores of every query row, ties to the smaller id, rank from 1.
 
-    ``is_query`` is a condition on the column vec_id. A row is no candidate of a query with its id, so rows that share
-    an id are one candidate for each of their vectors. Null vectors, null ids and vectors with a null or non-finite
-    component take no part; shorter vectors count as zero where others go on. Work is queries times candidates less
-    what the bounds save; memory a task: GROUP candidates and QUERY_GROUP queries.
+    ``is_query`` is a condition on the column vec_id. A row is no candidate of a query with its id; equal rows are one,
+    and rows that share an id are one candidate, and one query, for each of their vectors. Null vectors, null ids and vectors with a null or non-finite
+    component take no part; shorter vectors count as zero where others go on; an empty table gives an empty one. Work is
+    queries times candidates less what the bounds save; a task holds GROUP candidates and QUERY_GROUP queries.
     """
     dim = vectors.agg(F.max(F.size(F.col(vec_col)))).first()[0] or 1
     dim = max(1, dim)
@@ -132,23 +155,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     groups = max(1, -(-n // GROUP))
     sorted_rows = rows.repartitionByRange(groups, F.col("norm").desc(), F.col("vec_id")) if groups > 1 else rows.repartition(1)
     stored = materialize(sorted_rows.withColumn("grp", F.spark_partition_id()))
-    queries = stored.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("asked"), F.col("norm").alias("length"))
+    queries = materialize(stored.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("asked"), F.col("norm").alias("length")))
     parts = max(1, -(-queries.count() // QUERY_GROUP))
-    queries = queries.withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    search, cell = _search(axes, k, dim), ["cell", "part"]
 
-    def meet(candidates: DataFrame, asked: DataFrame, numbers: Column) -> DataFrame:
-        left = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        right = asked.withColumn("query_grp", F.explode(numbers))
-        return left.groupBy("grp", "part").cogroup(right.groupBy("query_grp", "query_part")).applyInArrow(_search(axes, k, dim), HITS)
-
-    floor = F.lit(float("-inf"))
-    first = materialize(meet(stored.filter("grp = 0"), queries.withColumn("least", floor), F.array(F.lit(0))))
-    hits = first
-    if groups > 1:
-        least = first.groupBy("query_id").agg(F.min("score").alias("_least"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == k)
-        asked = queries.join(least, "query_id", "left").withColumn("least", F.coalesce(F.col("_least").cast("double"), floor)).drop("_least", "_n")
-        hits = first.union(meet(stored.filter("grp > 0"), asked, F.sequence(F.lit(1), F.lit(groups - 1))))
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    lanes = stored.filter("grp = 0").withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(LANES)).cast("int")).withColumn("part", F.explode(every))
+    asked = queries.withColumn("least", F.lit(float("-inf"))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    hits = first = materialize(lanes.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(search, HITS))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    if groups > 1:
+        least = first.distinct().withColumn("_k", F.row_number().over(best)).filter(F.col("_k") == k).select("query_id", F.col("score").cast("double").alias("least"))
+        asked = queries.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        reached = _reach(stored, asked, groups)
+        reached = materialize(reached.repartitionByRange(parts, "reach", "query_id").withColumn("part", F.spark_partition_id()))
+        wanted = reached.groupBy("part").agg(F.max("reach").alias("reach")).select(F.col("part").alias("part"), F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("grp"))
+        later = stored.filter("grp > 0").join(wanted, "grp").withColumnRenamed("grp", "cell")
+        asked = reached.withColumn("cell", F.explode(F.sequence(F.lit(1), F.col("reach")))).drop("reach")
+        hits = first.union(later.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(search, HITS))
     return hits.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -158,14 +183,14 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (SELECT DISTINCT * FROM scored)
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -42,13 +42,13 @@ def test_top_k_equals_brute_force_over_several_groups(spark, monkeypatch):
     r = np.random.default_rng(1)
     x = [list(map(float, v * s)) for v, s in zip(r.normal(size=(250, 8)), r.exponential(size=250))]
     x[7] = x[3]
-    rows = [(i, v, "keep") for i, v in enumerate(x)] + [(900, None, "a"), (901, [1.0, None], "a"), (902, [math.nan] * 8, "a"), (None, x[0], "a"), (903, [0.5, 0.25], "short"), (5, x[5], "again")]
+    rows = [(i, v, "keep") for i, v in enumerate(x)] + [(900, None, "a"), (901, [1.0, None], "a"), (902, [math.nan] * 8, "a"), (None, x[0], "a"), (903, [0.5, 0.25], "short"), (5, x[5], "again"), (5, x[5], "again"), (100, x[7], "other")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, 5, 256).select("query_id", "rank", "vec_id", "score").collect()))
-    full = {i: np.pad(np.floor(256 * np.array(v)), (0, 8 - len(v))) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    full = {(i, tuple(np.pad(np.floor(256 * np.array(v)), (0, 8 - len(v))))) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()}
     want = []
-    for q in (i for i in full if i % 50 == 0):
-        best = sorted((-int(full[q] @ full[c]), c) for c in full if c != q)[:5]
+    for q in {i for i, _ in full if i % 50 == 0}:
+        best = sorted({(-int(np.dot(a, b)), c) for i, a in full if i == q for c, b in full if c != q})[:5]
         want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
