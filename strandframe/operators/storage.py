@@ -10,8 +10,11 @@ LOCAL_SCRATCH = "/tmp/strandframe-scratch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is named and all runs on
+    one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
