@@ -8,10 +8,12 @@ over tasks: in order of position, the rows of a side joined are its dialogue.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, tasks_for
+from strandframe.operators.ordered import carried, dealt
+
+from .common import table
 
 ASSISTANT, SYSTEM, END = "<|assistant|>\n", "<|system|>\n", "<|end|>\n"
 
@@ -20,41 +22,30 @@ def _named(role: Column) -> Column:
     return F.concat(F.lit("<|user name="), role, F.lit("|>\n"))
 
 
-def running(rows: DataFrame, groups: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """``rows`` with each of ``sums`` added up over the rows before, within ``groups`` and by ``order``.
-
-    A group may hold any share of the rows: rows are dealt by range over (groups, order) and stored; each range has
-    its own sums, to which the totals of the group's earlier ranges are added. ``order`` must tell rows apart.
-    """
-    spark = rows.sparkSession
-    dealt = rows.withColumns({f"_s_{k}": c for k, c in sums.items()}).repartitionByRange(tasks_for(spark), *groups, *order)
-    stored = materialize(dealt.withColumn("_range", F.spark_partition_id()))
-    total = stored.groupBy(*groups, "_range").agg(*[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
-    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_t_{k}") for k in sums])
-    same = F.col("_range") == F.col("_r")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    before = Window.partitionBy(*groups, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = stored.withColumns({f"_b_{k}": F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)) for k in sums})
-    out = local.join(total, same)
-    return out.withColumns({k: (F.col(f"_b_{k}") + F.col(f"_t_{k}")).cast("long") for k in sums}).drop("_range", "_r", *[f"_{x}_{k}" for k in sums for x in "stb"], *[f"_g{i}" for i in range(len(groups))])
-
-
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system") -> DataFrame:
     """(conv_id, perspective, position, speaker, rendered, start, end, mask_start, mask_end) in code points.
 
     Turns are ordered by (turn, role, text), nulls first; equal rows are turns of their own. ``system`` and null roles
     speak but are no participants: the first keep their own header, the second are a user named "unknown". A null text
     is empty. mask_start and mask_end enclose what the assistant says, its end mark included; on other rows they
-    are both ``end``. A conversation without participants gives no rows. Other columns are left out.
+    are both ``end``. A conversation without participants gives no rows, nor do turns whose conversation is null; an
+    empty table gives an empty one. Other columns are left out, whatever their names.
+
+    Turns are dealt by range before they meet the sides of their conversation, which go to each range that holds a
+    part of it: a conversation of any length stays spread over as many tasks as it has ranges.
     """
     plain = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("_turn"), F.col(role).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(text).isNull().alias("_null"))
-    sides = plain.filter(F.col("_role").isNotNull() & (F.col("_role") != system) & F.col("conv_id").isNotNull()).select("conv_id", F.col("_role").alias("perspective")).distinct()
-    rows = plain.join(sides, "conv_id").withColumn("_mine", F.coalesce(F.col("_role") == F.col("perspective"), F.lit(False)))
+    plain = plain.filter("conv_id is not null").withColumn("_tie", F.monotonically_increasing_id())
+    order = ["_turn", "_role", "_null", "_text", "_tie"]
+    stored = dealt(plain, ["conv_id"], order)
+    sides = stored.filter(F.col("_role") != system).select(F.col("conv_id").alias("conv_id"), F.col("_role").alias("perspective")).distinct()
+    ranges = stored.select("conv_id", "_range").distinct()
+    rows = stored.join(ranges.join(sides, "conv_id"), ["conv_id", "_range"])
+    rows = rows.withColumn("_mine", F.coalesce(F.col("_role") == F.col("perspective"), F.lit(False)))
     head = F.when(F.col("_mine"), ASSISTANT).when(F.col("_role") == system, SYSTEM).otherwise(_named(F.coalesce("_role", F.lit("unknown"))))
-    rows = rows.withColumn("_head", head).withColumn("rendered", F.concat("_head", "_text", F.lit(END))).withColumn("_tie", F.monotonically_increasing_id())
-    placed = running(rows, ["conv_id", "perspective"], ["_turn", "_role", "_null", "_text", "_tie"], {"position": F.lit(1), "start": F.length("rendered")})
+    rows = rows.withColumn("_head", head).withColumn("_size", F.length("_head") + F.length("_text") + len(END))
+    placed = carried(rows, ["conv_id", "perspective"], order, {"position": ("sum", F.lit(1)), "start": ("sum", F.col("_size"))})
+    placed = placed.withColumns({k: F.coalesce(k, F.lit(0)).cast("long") for k in ("position", "start")}).withColumn("rendered", F.concat("_head", "_text", F.lit(END)))
     end = F.col("start") + F.length("rendered")
     return placed.select(
         "conv_id", "perspective", "position", F.coalesce("_role", F.lit("unknown")).alias("speaker"), "rendered", "start", end.cast("long").alias("end"),

@@ -242,8 +242,11 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_every_side_of_a_dialogue(spark):
+    clash = ["rendered", "_range", "perspective", "position"]
+    assert rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     rows = [(1, 0, "system", "Be."), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", ""), (1, 3, None, "?"), (1, 4, "cat", "é" * 5), (2, 0, "system", "alone"), (None, 0, "ann", "lost"), (3, 0, "dan", "x"), (3, 0, "dan", "x")]
-    out = rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in clash})
+    out = rotate(turns).collect()
     sides = defaultdict(list)
     for x in out:
         sides[x["conv_id"], x["perspective"]].append(x)
@@ -259,6 +262,16 @@ def test_every_side_of_a_dialogue(spark):
             assert ("<|assistant|>" in x["rendered"]) == (x["speaker"] == who)
 
 
+def test_a_long_dialogue_runs_over_many_ranges(spark):
+    rows = [(7, k, "ab"[k % 2], "t%d" % k) for k in range(3000)] + [(8, 0, "c", "x")]
+    out = rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert len(out) == 6001
+    for who in "ab":
+        parts = sorted((x for x in out if x["conv_id"] == 7 and x["perspective"] == who), key=lambda x: x["position"])
+        assert [x["position"] for x in parts] == list(range(3000)) and [x["rendered"].split("\n")[1][:-7] for x in parts] == ["t%d" % k for k in range(3000)]
+        assert all(a["end"] == b["start"] for a, b in zip(parts, parts[1:]))
+
+
 # --- quality -----------------------------------------------------------------------------------------------------
 
 
