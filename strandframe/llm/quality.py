@@ -1,9 +1,9 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts each character from the three before it, by language. Counts cover all trusted documents but a
+The model predicts each character (UTF-16 unit) from the three before it, by language. Counts cover all trusted documents but a
 held-out fifth, whose perplexities give each language's threshold as a quantile. Scoring joins counts, not text:
 
-1. One pass over the texts gives, for each cell (a run of rows of a file, by language), its distinct n-grams and how
+1. One pass over the texts gives, for each cell (a run of rows of a file, by language and size of text), its distinct n-grams and how
    often trusted documents in it hold them.
 2. These meet in count tables, sharded by n-gram, that every order's discounts and back-off weights are joined from.
 3. Each cell asks for the log-probabilities of its own n-grams, and meets its documents' texts in one cogroup.
@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import give_back, materialize, table
 
-ORDER, BITS = 4, 12
-PLAIN = 3072  # code points below it are symbols of their own; others share the rest of 4096 symbols
-CELL_ROWS = 4096
+ORDER, BITS = 4, 16  # so that an n-gram of UTF-16 units is one 64-bit number
+CELLS = ((1 << 14, 4096), (1 << 18, 256))  # rows of a cell for texts of fewer characters; longer ones are cells of their own
 HELD_CHARS = 12_000_000  # of text that a task holds before it gives out its cells
 START, STOP = "\x02", "\x03"
 HELD_OUT, QUANTILE, PRIOR, STEPS = 5, 0.995, 200.0, 10_000
 UNKNOWN = "(none)"
+LEAST = 0.01  # of a discount, so that no probability is zero
 
 
 def _mask(n: int) -> int:
@@ -36,15 +36,13 @@ def _mask(n: int) -> int:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each symbol of each text (its end mark included) as a 64-bit key, and where texts end."""
-    joined = "".join(START * (ORDER - 1) + t + STOP for t in texts)
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    symbol = code.astype(np.int64)
-    high = symbol >= PLAIN
-    symbol[high] = PLAIN + (symbol[high] * 2654435761 >> 7) % ((1 << BITS) - PLAIN)
+    head, tail = (START * (ORDER - 1)).encode("utf-16-le"), STOP.encode("utf-16-le")
+    parts = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    symbol = np.frombuffer(b"".join(x for t in parts for x in (head, t, tail)), dtype=np.uint16).astype(np.int64)
     key = np.zeros(len(symbol), dtype=np.int64)
     for back in range(ORDER):
         key[back:] |= symbol[: len(symbol) - back] << (BITS * back)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    lengths = np.array([len(t) // 2 for t in parts], dtype=np.int64)
     ends = np.cumsum(lengths + ORDER) if len(texts) else np.zeros(0, np.int64)
     keep = np.ones(len(key), dtype=bool)
     starts = ends - lengths - ORDER
@@ -53,13 +51,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], np.cumsum(lengths + 1)
 
 
-def _celled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, trusted: Column) -> DataFrame:
-    """(cell, lang, doc, text, trusted): cells follow the rows of the files that ``docs`` is read from."""
+def _celled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(cell, lang, doc, text): cells follow the rows of the files that ``docs`` is read from. A cell has at most 2 ** 26
+    characters or is one text."""
 
     def select(d: DataFrame) -> DataFrame:
         lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
-        place = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / CELL_ROWS), lang)
-        return d.select(place.alias("cell"), lang.alias("lang"), F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        text, row = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col("_metadata.row_index")
+        rows = F.when(F.length(text) < CELLS[0][0], CELLS[0][1]).when(F.length(text) < CELLS[1][0], CELLS[1][1]).otherwise(1)
+        place = F.xxhash64(F.col("_metadata.file_path"), F.floor(row / rows), rows, lang)
+        return d.select(place.alias("cell"), lang.alias("lang"), F.col(id_col).cast("long").alias("doc"), text.alias("text"))
 
     try:
         out = select(docs)
@@ -133,11 +134,12 @@ def _join_small(rows: DataFrame, small: DataFrame, how: str = "inner", lanes: in
 
 
 def _discounts(level: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3): the three discounts of a level's counts; where counts of counts are too few, fixed ones."""
+    """(lang, d1, d2, d3): the three discounts of a level's counts, LEAST at least; where counts of counts are too few,
+    fixed ones."""
     c = [F.sum((F.col("n") == k).cast("long")).alias(f"c{k}") for k in range(1, 5)]
     y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
     enough = (F.col("c1") > 0) & (F.col("c2") > 0) & (F.col("c3") > 0)
-    d = [F.when(enough, F.least(F.greatest(k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}"), F.lit(0.0)), F.lit(float(k)))).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
+    d = [F.when(enough, F.least(F.greatest(k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}"), F.lit(LEAST)), F.lit(float(k)))).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
     return level.groupBy("lang").agg(*c).select("lang", *d)
 
 
@@ -145,7 +147,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang, gram, logp): the natural logarithm of P(last symbol | those before) for every row of ``counts``.
 
     ``counts`` has (lang, gram, n), n = 0 for n-grams to be scored that training text lacks. Orders below the highest
-    count the distinct symbols before an n-gram. A context never seen backs off whole; below the first order all 4096
+    count the distinct symbols before an n-gram. A context never seen backs off whole; below the first order all 65536
     symbols are as likely.
     """
     levels = [counts]
@@ -180,10 +182,10 @@ def _score(key, packed, asked):
     out = []
     for lang, payload in zip(packed.column("lang").to_pylist(), packed.column("payload")):
         doc, texts, held = pickle.loads(zstandard.ZstdDecompressor().decompress(payload.as_py()))
-        size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-        nll = np.zeros(len(texts))
-        for at, to in _runs(size):
+        size, nll = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+        for at, to in _runs(np.array([len(t) for t in texts])):
             keys, ends = grams(texts[at:to])
+            size[at:to] = np.diff(ends, prepend=0)
             nll[at:to] = -np.add.reduceat(logp[np.searchsorted(gram, keys)], np.r_[0, ends[:-1]])
         out.append(pa.table([pa.array(doc, pa.int64()), pa.array([lang] * len(doc), pa.string()), pa.array(held, pa.bool_()), pa.array(size), pa.array(nll)], names=["doc", "lang", "held", "n_symbols", "nll"]))
     empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.bool_()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["doc", "lang", "held", "n_symbols", "nll"])
@@ -194,11 +196,12 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     """(doc, lang, held, n_symbols, nll) of every row of ``docs``; ``trusted`` has the ids of trusted documents.
 
     ``held`` marks trusted documents that the counts leave out (a fifth, by their id's hash). Null texts are empty and
-    have one symbol, their end. A null language is a language of its own. Rows without an id are scored, too.
+    have one symbol, their end. A null language is a language of its own. Rows without an id are scored, too. Equal rows
+    are rows of their own; an empty table gives an empty one; other columns are left out.
     """
     ids = trusted.select(F.col(id_col).cast("long").alias("doc")).filter("doc is not null").distinct().withColumn("good", F.lit(True))
     held = F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(HELD_OUT)) == 0
-    rows = _celled(docs, id_col, text_col, lang_col, F.lit(True)).join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "doc", "left")
+    rows = _celled(docs, id_col, text_col, lang_col).join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "doc", "left")
     good = F.coalesce("good", F.lit(False))
     rows = rows.select("cell", "lang", "doc", "text", (good & ~held).alias("train"), (good & held).alias("held"))
     wanted = materialize(rows.select("cell", "lang", "text", "train").mapInArrow(_cell_counts, "cell long, lang string, gram long, n long"))
@@ -213,7 +216,8 @@ def classify(scored: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR
 
     A document's mean is drawn to its language's held-out mean as by ``prior`` symbols of it, so that short texts are
     judged by what they show. The threshold is the ``quantile`` of the held-out documents' perplexities, exact to one
-    part in STEPS of a nat. Languages without held-out trusted text have none, and keep all.
+    part in STEPS of a nat; its bins are few for each language (their number is bounded by STEPS times the range of a
+    mean), so one task may hold those of a language. Languages without held-out trusted text have none, and keep all.
     """
     scored = materialize(scored)
     mean = scored.filter("held").groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean"))

@@ -275,10 +275,14 @@ def test_a_long_dialogue_runs_over_many_ranges(spark):
 # --- quality -----------------------------------------------------------------------------------------------------
 
 
+def units(text):
+    return "".join(map(chr, np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)))
+
+
 def brute_kneser_ney(train):
     n, m = quality.ORDER, [Counter()]
     for t in train:
-        s = quality.START * (n - 1) + t + quality.STOP
+        s = quality.START * (n - 1) + units(t) + quality.STOP
         m[0].update(s[i - n + 1 : i + 1] for i in range(n - 1, len(s)))
     for k in range(n - 1, 0, -1):
         m.append(Counter(g[-k:] for g in m[-1]))
@@ -288,12 +292,12 @@ def brute_kneser_ney(train):
         if not (by[1] and by[2] and by[3]):
             return [0, 0.5, 1.0, 1.5]
         y = by[1] / (by[1] + 2 * by[2])
-        return [0, *(min(max(k - (k + 1) * y * by[k + 1] / by[k], 0), k) for k in (1, 2, 3))]
+        return [0, *(min(max(k - (k + 1) * y * by[k + 1] / by[k], 0.01), k) for k in (1, 2, 3))]
 
     ds = [discounts(c) for c in m]
 
     def p(g, level=0):
-        low = 1 / 4096 if level == n - 1 else p(g[1:], level + 1)
+        low = 1 / 65536 if level == n - 1 else p(g[1:], level + 1)
         c, d = m[level], ds[level]
         same = [v for h, v in c.items() if h[:-1] == g[:-1]]
         if not same:
@@ -305,19 +309,29 @@ def brute_kneser_ney(train):
 
 def test_perplexity_equals_brute_force(spark):
     r = random.Random(7)
-    rows = [(i, "".join(r.choice("abcde ") for _ in range(r.randrange(0, 40))), "en", "s") for i in range(40)] + [(100, None, "en", "s"), (101, "zzé𝒳", "en", "s"), (102, "abc", None, "s"), (None, "abc", "en", "s")]
-    docs = spark.createDataFrame(rows, DOCS)
+    rows = [(i, "".join(r.choice("abcde 漢\U0001f600") for _ in range(r.randrange(0, 40))), "en", "s") for i in range(40)] + [(100, None, "en", "s"), (101, "zzé𝒳漢字かな", "en", "s"), (102, "abc", None, "s"), (None, "abc", "en", "s")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("cell", "held", "good", "gram")})
     trusted = spark.createDataFrame([(i,) for i in range(30)] + [(3,), (None,)], "doc_id long")
     scored = quality.score(docs, trusted).collect()
     held = {x["doc"] for x in scored if x["held"]}
     p = brute_kneser_ney([t for i, t, *_ in rows if i is not None and i < 30 and i not in held])
     for x in scored:
         if x["lang"] == "en" and x["doc"] is not None:
-            s = quality.START * 3 + (dict((i, t) for i, t, *_ in rows)[x["doc"]] or "") + quality.STOP
-            if "𝒳" not in s:
-                assert math.isclose(x["nll"], -sum(math.log(p(s[k - 3 : k + 1])) for k in range(3, len(s))), rel_tol=1e-9)
+            s = quality.START * 3 + units(dict((i, t) for i, t, *_ in rows)[x["doc"]] or "") + quality.STOP
+            assert x["n_symbols"] == len(s) - 3
+            assert math.isclose(x["nll"], -sum(math.log(p(s[k - 3 : k + 1])) for k in range(3, len(s))), rel_tol=1e-9)
     verdict = quality.classify(quality.score(docs, trusted)).collect()
     assert len(verdict) == len(rows) and all(x["keep"] for x in verdict if x["lang"] != "en")
+    assert quality.classify(quality.score(docs.limit(0), trusted)).count() == 0
+    assert all(x["keep"] for x in quality.classify(quality.score(docs, trusted.limit(0))).collect())
+
+
+def test_cells_of_long_texts_are_small(spark):
+    rows = [(i, "x" * n, "en", "s") for i, n in enumerate([5, 20_000, 20_000, 300_000, 300_000, 7])]
+    cells = defaultdict(list)
+    for x in quality._celled(spark.createDataFrame(rows, DOCS).coalesce(1), "doc_id", "text", "lang").collect():
+        cells[x["cell"]].append(len(x["text"]))
+    assert sorted(map(sorted, cells.values())) == [[5, 7], [20_000, 20_000], [300_000], [300_000]]
 
 
 # --- mixing ------------------------------------------------------------------------------------------------------

@@ -17,13 +17,17 @@ DATA = "/root/testdata/sf0.001"
 TO_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
+def units(text):
+    return "".join(map(chr, np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)))
+
+
 class Model:
     """Interpolated modified Kneser-Ney, counted in dictionaries."""
 
     def __init__(self, texts):
         self.counts = [Counter()]
         for t in texts:
-            s = START * (ORDER - 1) + t + STOP
+            s = START * (ORDER - 1) + units(t) + STOP
             self.counts[0].update(s[i : i + ORDER] for i in range(len(s) - ORDER + 1))
         for k in range(ORDER - 1, 0, -1):
             self.counts.append(Counter(g[-k:] for g in self.counts[-1]))
@@ -32,7 +36,7 @@ class Model:
             n = Counter(c.values())
             if n[1] and n[2] and n[3]:
                 y = n[1] / (n[1] + 2 * n[2])
-                d = [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) for k in (1, 2, 3))]
+                d = [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.01), k) for k in (1, 2, 3))]
             else:
                 d = [0, 0.5, 1.0, 1.5]
             total, spare = Counter(), defaultdict(float)
@@ -44,7 +48,7 @@ class Model:
             self.spare.append(spare)
 
     def p(self, g, level=0):
-        low = 1 / 4096 if level == ORDER - 1 else self.p(g[1:], level + 1)
+        low = 1 / 65536 if level == ORDER - 1 else self.p(g[1:], level + 1)
         total = self.total[level][g[:-1]]
         if not total:
             return low
@@ -52,7 +56,7 @@ class Model:
         return (n - self.d[level][min(n, 3)] + self.spare[level][g[:-1]] * low) / total
 
     def nll(self, t):
-        s = START * (ORDER - 1) + t + STOP
+        s = START * (ORDER - 1) + units(t) + STOP
         return -sum(math.log(self.p(s[i : i + ORDER])) for i in range(len(s) - ORDER + 1))
 
 
@@ -61,7 +65,7 @@ def quality(docs, trusted, held):
     for lang in {d["lang"] for d in docs}:
         own = [d for d in docs if d["lang"] == lang]
         model = Model([d["text"] for d in own if d["doc_id"] in trusted and d["doc_id"] not in held])
-        told = [(d, model.nll(d["text"]), len(d["text"]) + 1) for d in own]
+        told = [(d, model.nll(d["text"]), len(units(d["text"])) + 1) for d in own]
         out = [(n, k) for d, n, k in told if d["doc_id"] in held]
         if not out:
             kept += own
@@ -80,7 +84,8 @@ def line_dedup(docs):
     for d in docs:
         for line in d["text"].split("\n"):
             owner[key(line)] = min(owner.get(key(line), d["doc_id"]), d["doc_id"])
-    return [d | {"text": "\n".join(x for x in d["text"].split("\n") if len(key(x)) < 10 or owner[key(x)] == d["doc_id"])} for d in docs]
+    out = [d | {"text": "\n".join(x for x in d["text"].split("\n") if len(key(x)) < 10 or owner[key(x)] == d["doc_id"]), "was": d["text"]} for d in docs]
+    return [d for d in out if d["text"] == d["was"] or d["text"].strip(" \t\n\x0b\x0c\r")]
 
 
 def near_dedup(docs):
