@@ -32,8 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a document of smaller id holds; n_chars follows the text."""
+    """Documents without the lines that a document of smaller id holds; n_chars follows the text. A document that loses
+    every line that says anything is a copy of others and goes; one that was blank before stays."""
     kept = drop_lines(docs, line_bitmaps(docs))
+    kept = kept.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
