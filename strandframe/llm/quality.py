@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import give_back, materialize, table
 
 ORDER, BITS = 4, 16  # so that an n-gram of UTF-16 units is one 64-bit number
-CELLS = ((1 << 14, 4096), (1 << 18, 256))  # rows of a cell for texts of fewer characters; longer ones are cells of their own
+CELLS = ((1 << 18, 4096), (1 << 22, 64))  # rows of a cell for texts of fewer characters; longer ones are cells of their own
 HELD_CHARS = 12_000_000  # of text that a task holds before it gives out its cells
 START, STOP = "\x02", "\x03"
 HELD_OUT, QUANTILE, PRIOR, STEPS = 5, 0.995, 200.0, 10_000
@@ -52,8 +52,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _celled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(cell, lang, doc, text): cells follow the rows of the files that ``docs`` is read from. A cell has at most 2 ** 26
-    characters or is one text."""
+    """(cell, lang, doc, text): cells follow the rows of the files that ``docs`` is read from. A cell has at most 2 ** 30
+    characters, held compressed, or is one text."""
 
     def select(d: DataFrame) -> DataFrame:
         lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
