@@ -169,8 +169,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
         least = first.distinct().withColumn("_k", F.row_number().over(best)).filter(F.col("_k") == k).select("query_id", F.col("score").cast("double").alias("least"))
         asked = queries.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
         reached = _reach(stored, asked, groups)
-        reached = materialize(reached.repartitionByRange(parts, "reach", "query_id").withColumn("part", F.spark_partition_id()))
-        wanted = reached.groupBy("part").agg(F.max("reach").alias("reach")).select(F.col("part").alias("part"), F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("grp"))
+        # queries of a like reach form parts; there are at most as many kinds of them as bits in a group's number
+        reached = materialize(reached.withColumn("kind", F.floor(F.log2(F.col("reach").cast("double"))).cast("int")))
+        kinds = [(r["kind"], r["reach"], -(-r["n"] // QUERY_GROUP)) for r in reached.groupBy("kind").agg(F.max("reach").alias("reach"), F.count(F.lit(1)).alias("n")).collect()]
+        spread = F.lit(1)
+        for kind, _, lanes in kinds:
+            spread = F.when(F.col("kind") == kind, lanes).otherwise(spread)
+        reached = reached.withColumn("part", (F.col("kind") * (1 << 24) + F.pmod(F.xxhash64("query_id"), spread)).cast("int")).drop("kind")
+        ranges = vectors.sparkSession.createDataFrame(kinds, "kind int, reach int, lanes int")
+        wanted = ranges.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("lanes") - 1), lambda x: F.col("kind") * (1 << 24) + x)))
+        wanted = wanted.select("part", F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("grp"))
         later = stored.filter("grp > 0").join(wanted, "grp").withColumnRenamed("grp", "cell")
         asked = reached.withColumn("cell", F.explode(F.sequence(F.lit(1), F.col("reach")))).drop("reach")
         hits = first.union(later.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(search, HITS))
