@@ -15,8 +15,8 @@ def te_parts(rows: DataFrame, name: str = "name") -> DataFrame:
     return rows.withColumn("family", family).withColumn("subfamily", F.nullif(sub, F.lit(""))).withColumn("suffix", F.nullif(end, F.lit("")))
 
 
-def prefixes(rows: DataFrame, name: str = "name", most: int = 12) -> DataFrame:
-    """One row for each prefix of at most ``most`` letters, with the letter that follows it ('' at the end)."""
-    k = F.explode(F.sequence(F.lit(1), F.least(F.length(name), F.lit(most)))).alias("k")
+def prefixes(rows: DataFrame, name: str = "name") -> DataFrame:
+    """One row for each prefix, with the letter that follows it ('' at the end)."""
+    k = F.explode(F.sequence(F.lit(1), F.length(name))).alias("k")
     cut = rows.filter(F.length(name) > 0).select("*", k)
     return cut.withColumn("prefix", F.substr(F.col(name), F.lit(1), F.col("k"))).withColumn("next", F.substr(F.col(name), F.col("k") + 1, F.lit(1))).drop("k")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import running
+from .storage import materialize
 
 BIN = 4096
 STRETCH = 1 << 17
@@ -46,7 +47,7 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", size: in
     before the start match nothing. ``how``: inner, or left to keep what has no partner (by one more join)."""
     a, b = _prefixed(left, "a_"), _prefixed(right, "b_")
     if how == "left":
-        a = a.withColumn("_row", F.monotonically_increasing_id())
+        a = materialize(a.withColumn("_row", F.monotonically_increasing_id()))
     x = _binned(a.filter("a_end_pos >= a_start_pos"), F.col("a_start_pos"), F.col("a_end_pos"), size)
     y = _binned(b.filter("b_end_pos >= b_start_pos"), F.col("b_start_pos"), F.col("b_end_pos"), size).withColumnRenamed("_bin", "_bin_b")
     on = (F.col("a_chrom") == F.col("b_chrom")) & (F.col("_bin") == F.col("_bin_b")) & (F.col("a_start_pos") <= F.col("b_end_pos")) & (F.col("a_end_pos") >= F.col("b_start_pos"))

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from strandframe.functions import bases
 
 from .intervals import overlap_join
+from .storage import materialize
 
 
 def interval_sequences(intervals: DataFrame, chunks: DataFrame, upstream: int = 0, downstream: int = 0) -> DataFrame:
     """``intervals`` (chrom, start_pos, end_pos, strand) with seq: the reference between the ends and flanks, reverse
     complemented on strand '-'. Chunks (chrom, chunk_start, seq) lie end to end; what lies outside them is left out,
     an interval with no base inside has a null."""
-    rows = intervals.withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(intervals.withColumn("_row", F.monotonically_increasing_id()))
     plus = F.col("strand") != "-"
     asked = rows.select("_row", "chrom", (F.col("start_pos") - F.when(plus, upstream).otherwise(downstream)).alias("start_pos"), (F.col("end_pos") + F.when(plus, downstream).otherwise(upstream)).alias("end_pos"))
     held = chunks.select("chrom", F.col("chunk_start").alias("start_pos"), (F.col("chunk_start") + F.length("seq") - 1).alias("end_pos"), "seq")
@@ -48,16 +49,18 @@ def top_kmers(seqs: DataFrame, k: int, n: int = 3) -> DataFrame:
 def universal_motifs(seqs: DataFrame, k: int, least: float) -> DataFrame:
     """k-mers that at least that share of all sequences holds: n_seqs, n, prevalence."""
     total = seqs.count()
-    per = kmer_table(seqs, k).groupBy("kmer", "seq_id").agg(F.count(F.lit(1)).alias("n"))
-    out = per.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_seqs"), F.sum("n").alias("n"))
+    words = F.transform(bases.kmers(F.col("seq"), k), lambda x: x["kmer"])
+    # a sequence's k-mers are told apart in its row: the first of each counts for the sequence, all for the total
+    firsts = seqs.select(F.explode(F.array_distinct(words)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n_seqs"))
+    every = seqs.select(F.explode(words).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    out = firsts.filter(F.col("n_seqs") >= least * max(1, total)).join(every, "kmer")
     return out.withColumn("prevalence", F.col("n_seqs") / F.lit(max(1, total))).filter(F.col("prevalence") >= least)
 
 
 def transitions(seqs: DataFrame, k: int, ahead: int) -> DataFrame:
     """How often a k-mer is followed by another one that starts ``ahead`` bases later."""
-    rows = kmer_table(seqs, k + 0)
-    later = rows.select("seq_id", (F.col("pos") - ahead).alias("pos"), F.col("kmer").alias("follower"))
-    return rows.select("seq_id", "pos", "kmer").join(later, ["seq_id", "pos"]).groupBy("kmer", "follower").agg(F.count(F.lit(1)).alias("n"))
+    rows = kmer_table(seqs, k + ahead)  # one word that holds both
+    return rows.groupBy(F.substring("kmer", 1, k).alias("kmer"), F.substring("kmer", ahead + 1, k).alias("follower")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_words(seqs: DataFrame, k: int) -> DataFrame:
@@ -73,77 +76,6 @@ def ngram_entropy(seqs: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("seq_id").agg((F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total).alias("entropy"))
 
 
-def dyads(seqs: DataFrame, arm: int, least_loop: int, most_loop: int) -> DataFrame:
-    """Pairs of places where an arm meets its own reverse complement after a loop: pos, loop, stem.
-
-    A hash join of the k-mer table with its reverse complement, blocked by sequence and by the reach of the loop.
-    """
-    reach = 2 * arm + most_loop
-    rows = kmer_table(seqs, arm)
-    left = rows.select("seq_id", "pos", F.col("kmer").alias("stem"), F.floor(F.col("pos") / reach).alias("block"))
-    right = rows.select("seq_id", F.col("pos").alias("mate"), bases.reverse_complement(F.col("kmer")).alias("stem"))
-    right = right.withColumn("block", F.explode(F.array(F.floor(F.col("mate") / reach), F.floor(F.col("mate") / reach) - 1)))
-    gap = F.col("mate") - F.col("pos") - arm
-    return left.join(right, ["seq_id", "stem", "block"]).withColumn("loop", gap).filter(F.col("loop").between(least_loop, most_loop)).select("seq_id", "pos", "loop", "stem")
-
-
-def direct_repeats(seqs: DataFrame, k: int, reach: int) -> DataFrame:
-    """Pairs of starts of one k-mer at most ``reach`` apart in one sequence, by their shift."""
-    rows = kmer_table(seqs, k)
-    left = rows.withColumn("block", F.floor(F.col("pos") / reach))
-    right = rows.withColumnRenamed("pos", "later").withColumn("block", F.explode(F.array(F.floor(F.col("later") / reach), F.floor(F.col("later") / reach) - 1)))
-    near = (F.col("later") > F.col("pos")) & (F.col("later") - F.col("pos") <= reach)
-    return left.join(right, ["seq_id", "kmer", "block"]).filter(near).select("seq_id", "pos", (F.col("later") - F.col("pos")).alias("shift"), "kmer")
-
-
-def pwm_scan(seqs: DataFrame, pwm: DataFrame, least: float, pseudocount: float = 0.1, background: float = 0.25) -> DataFrame:
-    """Hits of matrix motifs: start, end (half-open), score normalised to 0..1, from ``least`` on; N scores zero.
-
-    Each motif becomes a sum of look-ups in its columns, so the scan is one projection per motif over k-mers.
-    """
-    table = {}
-    for r in pwm.orderBy("motif_id", "pos").collect():  # a motif library: rows of motifs times their length
-        table.setdefault(r["motif_id"], {}).setdefault(r["pos"], {})[r["base"]] = r["cnt"]
-    import math
-
-    out = None
-    for motif, columns in table.items():
-        logs = []
-        for pos in sorted(columns):
-            total = sum(columns[pos].values()) + 4 * pseudocount
-            logs.append({b: math.log2((n + pseudocount) / total / background) for b, n in columns[pos].items()})
-        low, high = sum(min(c.values()) for c in logs), sum(max(c.values()) for c in logs)
-        rows = kmer_table(seqs, len(logs))
-        raw = F.lit(0.0)
-        for i, column in enumerate(logs):
-            value = F.lit(0.0)
-            for b, x in column.items():
-                value = F.when(F.substring("kmer", i + 1, 1) == b, x).otherwise(value)
-            raw = raw + value
-        hits = rows.withColumn("score", (raw - low) / (high - low)).filter(F.col("score") >= least)
-        hits = hits.select("seq_id", F.lit(motif).alias("motif_id"), F.col("pos").alias("start"), (F.col("pos") + len(logs)).alias("end"), "score", "kmer")
-        out = hits if out is None else out.union(hits)
-    return out
-
-
-def regex_hits(seqs: DataFrame, patterns: dict[str, str], seq: str = "seq") -> DataFrame:
-    """Leftmost hits of named patterns that do not overlap: name, start (from 0), end, match. JVM only: places are
-    running sums over a pattern's matches and the pieces between them."""
-    out = None
-    text = F.col(seq)
-    keep = [c for c in seqs.columns if c != seq]
-    for name, pattern in patterns.items():
-        gaps = F.transform(F.split(text, pattern, -1), F.length)
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        rows = seqs.select(*keep, F.arrays_zip(found.alias("match"), gaps.alias("gap")).alias("z"), found.alias("m"))
-        rows = rows.filter(F.size("m") > 0).select(*keep, F.posexplode("z").alias("i", "p")).filter(F.col("p.match").isNotNull())
-        w = Window.partitionBy(*keep).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-        start = F.sum(F.col("p.gap")).over(w) + F.sum(F.length("p.match")).over(w) - F.length("p.match")
-        hits = rows.select(*keep, F.lit(name).alias("name"), start.alias("start"), (start + F.length("p.match")).alias("end"), F.col("p.match").alias("match"))
-        out = hits if out is None else out.union(hits)
-    return out
-
-
 def motif_graph(motifs: DataFrame, motif: str = "motif") -> DataFrame:
     """Edges a < b between distinct motifs of edit distance 1 whose lengths differ by at most 1.
 
@@ -180,32 +112,6 @@ def apply_variants(regions: DataFrame, variants: DataFrame) -> DataFrame:
     return rows.select("seq_id", F.concat(F.array_join("_d.parts", ""), F.substr(F.col("seq"), F.col("_d.at") + 1)).alias("personal"), F.col("_d.delta").alias("delta"), F.col("_d.n").alias("n_applied"))
 
 
-def shift_runs(seqs: DataFrame, shift: int, least: int) -> DataFrame:
-    """Runs of at least ``least`` bases that equal the base ``shift`` further on: start (from 0), length.
-
-    A run of ``shift`` or more bases is a tandem repeat of that unit; its copies are 1 + length / shift.
-    """
-    rows = kmer_table(seqs, 1)
-    w = Window.partitionBy("seq_id").orderBy("pos")
-    same = rows.withColumn("_later", F.lead("kmer", shift).over(w)).filter("kmer = _later")
-    island = same.withColumn("_island", F.col("pos") - F.row_number().over(w))
-    return island.groupBy("seq_id", "_island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length")).filter(F.col("length") >= least).drop("_island")
-
-
-def fuzzy_hits(seqs: DataFrame, pattern: str, errors: int) -> DataFrame:
-    """Starts where a pattern fits with at most ``errors`` mismatches: start, mismatches.
-
-    Of ``errors`` + 1 parts of the pattern one must fit exactly, so only such k-mers are compared base by base.
-    """
-    k, parts = len(pattern), errors + 1
-    cuts = [k * i // parts for i in range(parts + 1)]
-    seeded = F.lit(False)
-    for a, b in zip(cuts, cuts[1:]):
-        seeded = seeded | (F.substring("kmer", a + 1, b - a) == pattern[a:b])
-    rows = kmer_table(seqs, k).filter(seeded).withColumn("mismatches", bases.hamming(F.col("kmer"), F.lit(pattern)))
-    return rows.filter(F.col("mismatches") <= errors).select("seq_id", F.col("pos").alias("start"), "mismatches")
-
-
 def hit_runs(hits: DataFrame, gap: int) -> DataFrame:
     """Runs of hits (seq_id, start, end) that follow each other at most ``gap`` apart: n, first start, last end."""
     w = Window.partitionBy("seq_id").orderBy("start", "end")

@@ -177,7 +177,7 @@ def win_greedy_non_overlap(v):
 
 @query("win_smooth", """WITH c AS (SELECT chrom, (start_pos - 1) // 4096 AS win, count(*) AS n FROM v_features GROUP BY 1, 2),
 s AS (SELECT chrom, win, lag(n) OVER w AS a, n AS b, lead(n) OVER w AS c FROM c WINDOW w AS (PARTITION BY chrom ORDER BY win))
-SELECT chrom, win, round(0.25 * a + 0.5 * b + 0.25 * c, 6) AS smooth FROM s WHERE a IS NOT NULL AND c IS NOT NULL""")
+SELECT chrom, win, CAST(round(0.25 * a + 0.5 * b + 0.25 * c, 6) AS DOUBLE) AS smooth FROM s WHERE a IS NOT NULL AND c IS NOT NULL""")
 def win_smooth(v):
     counts = v.features.groupBy("chrom", F.floor((F.col("start_pos") - 1) / 4096).alias("win")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("chrom").orderBy("win")
@@ -212,9 +212,9 @@ def agg_by_type(v):
     return v.features.groupBy("feature_type").agg(F.count(F.lit(1)).alias("n"), F.min("start_pos").alias("first_start"), F.max("end_pos").alias("last_end"), F.round(F.avg(F.col("end_pos") - F.col("start_pos")), 6).alias("mean_length"))
 
 
-@query("sort_natural_chrom", "SELECT f.chrom, chrom_rank, start_pos, end_pos, CAST(row_number() OVER (ORDER BY start_pos, end_pos, name, id, score) AS BIGINT) * 0 + chrom_rank AS k FROM v_features f JOIN v_contigs c ON f.chrom = c.chrom WHERE feature_type = 'gene' AND end_pos - start_pos > 45")
+@query("sort_natural_chrom", "SELECT f.chrom, chrom_rank, start_pos, end_pos, CAST(row_number() OVER (ORDER BY start_pos, end_pos, name, id, score) AS BIGINT) * 0 + chrom_rank AS k FROM v_features f JOIN v_contigs c ON f.chrom = c.chrom WHERE feature_type = 'gene'")
 def sort_natural_chrom(v):
-    rows = v.features.filter("feature_type = 'gene' and end_pos - start_pos > 45").join(F.broadcast(v.contigs.select("chrom", "chrom_rank")), "chrom")
+    rows = v.features.filter("feature_type = 'gene'").join(F.broadcast(v.contigs.select("chrom", "chrom_rank")), "chrom")
     return rows.select("chrom", "chrom_rank", "start_pos", "end_pos", F.col("chrom_rank").cast("long").alias("k")).orderBy("chrom_rank", "start_pos", "end_pos")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import bases
 from strandframe.functions.classes import pseudogene_acronym, rna_subclass
+from strandframe.operators import scans
 from strandframe.operators import sequences as sq
 
 from .registry import query
@@ -21,19 +22,19 @@ def _seqs(v):
 s AS (SELECT seq_id, p, p - row_number() OVER (PARTITION BY seq_id ORDER BY p) AS isle FROM b WHERE c = d)
 SELECT seq_id, min(p) AS start, count(*) AS length FROM s GROUP BY seq_id, isle HAVING count(*) >= 6""")
 def srch_tandem(v):
-    return sq.shift_runs(_seqs(v), 3, 6).select("seq_id", F.col("start").cast("long").alias("start"), "length")
+    return scans.shift_runs(_seqs(v), 3, 6).select("seq_id", F.col("start").cast("long").alias("start"), "length")
 
 
 @query("srch_fuzzy", f"SELECT seq_id, pos AS start, hamming(kmer, 'GATTACAGATTA') AS mismatches FROM ({KMER.format(k=12)}) WHERE hamming(kmer, 'GATTACAGATTA') <= 3")
 def srch_fuzzy(v):
-    return sq.fuzzy_hits(_seqs(v), "GATTACAGATTA", 3).select("seq_id", F.col("start").cast("long").alias("start"), F.col("mismatches").cast("long").alias("mismatches"))
+    return scans.fuzzy_hits(_seqs(v), "GATTACAGATTA", 3).select("seq_id", F.col("start").cast("long").alias("start"), F.col("mismatches").cast("long").alias("mismatches"))
 
 
 @query("win_hit_runs", f"""WITH h AS (SELECT seq_id, start, start + n AS e FROM ({HIT_SQL.format(name='at', p='ATAT')})), l AS (SELECT *, lag(e) OVER (PARTITION BY seq_id ORDER BY start) AS prev FROM h),
 r AS (SELECT *, sum(CASE WHEN prev IS NULL OR start - prev > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM l)
 SELECT seq_id, count(*) AS n, CAST(min(start) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end" FROM r GROUP BY seq_id, run HAVING count(*) >= 2""")
 def win_hit_runs(v):
-    hits = sq.regex_hits(_seqs(v), {"at": "ATAT"}).select("seq_id", "start", "end")
+    hits = scans.regex_hits(_seqs(v), {"at": "ATAT"}).select("seq_id", "start", "end")
     return sq.hit_runs(hits, 10).filter("n >= 2").select("seq_id", "n", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import bases
-from strandframe.operators import intervals as iv
+from strandframe.operators import scans
 from strandframe.operators import sequences as sq
 
 from .registry import query
@@ -122,17 +122,17 @@ def agg_repeat_library(v):
 
 @query("join_dyads", f"WITH k AS ({KMER.format(k=10)}) SELECT a.seq_id, a.pos, b.pos - a.pos - 10 AS loop, a.kmer AS stem FROM k a JOIN k b ON a.seq_id = b.seq_id AND a.kmer = reverse(translate(b.kmer, 'ATGC', 'TACG')) AND b.pos - a.pos - 10 BETWEEN 3 AND 20")
 def join_dyads(v):
-    return sq.dyads(v.sequences.select("seq_id", "seq"), 10, 3, 20).withColumn("pos", F.col("pos").cast("long")).withColumn("loop", F.col("loop").cast("long"))
+    return scans.dyads(v.sequences.select("seq_id", "seq"), 10, 3, 20).withColumn("pos", F.col("pos").cast("long")).withColumn("loop", F.col("loop").cast("long"))
 
 
 @query("agg_stem_frequency", f"WITH k AS ({KMER.format(k=8)}) SELECT a.kmer AS stem, count(*) AS n FROM k a JOIN k b ON a.seq_id = b.seq_id AND a.kmer = reverse(translate(b.kmer, 'ATGC', 'TACG')) AND b.pos - a.pos - 8 BETWEEN 3 AND 10 GROUP BY 1")
 def agg_stem_frequency(v):
-    return sq.dyads(v.sequences.select("seq_id", "seq"), 8, 3, 10).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    return scans.dyads(v.sequences.select("seq_id", "seq"), 8, 3, 10).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("join_direct_repeats", f"WITH k AS ({KMER.format(k=12)}) SELECT a.seq_id, b.pos - a.pos AS shift, count(*) AS n FROM k a JOIN k b ON a.seq_id = b.seq_id AND a.kmer = b.kmer AND b.pos > a.pos AND b.pos - a.pos <= 60 GROUP BY 1, 2")
 def join_direct_repeats(v):
-    rows = sq.direct_repeats(v.sequences.select("seq_id", "seq"), 12, 60)
+    rows = scans.direct_repeats(v.sequences.select("seq_id", "seq"), 12, 60)
     return rows.groupBy("seq_id", F.col("shift").cast("long").alias("shift")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -142,7 +142,7 @@ k AS (SELECT seq_id, p, motif_id, len, low, high, substr(seq, CAST(p + 1 AS INT)
 s AS (SELECT seq_id, motif_id, p, len, kmer, low, high, (SELECT sum(lo) FROM w WHERE w.motif_id = k.motif_id AND substr(k.kmer, CAST(w.pos + 1 AS INT), 1) = w.base) AS raw FROM k)
 SELECT seq_id, motif_id, p AS start, p + len AS "end", round((raw - low) / (high - low), 6) AS score, kmer FROM s WHERE (raw - low) / (high - low) >= 0.9""")
 def srch_pwm(v):
-    hits = sq.pwm_scan(v.sequences.select("seq_id", "seq"), v.pwm, 0.9)
+    hits = scans.pwm_scan(v.sequences.select("seq_id", "seq"), v.pwm, 0.9)
     return hits.select("seq_id", "motif_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.round("score", 6).alias("score"), "kmer")
 
 
@@ -151,7 +151,7 @@ FROM (SELECT seq_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i, ms, gs FR
 
 
 def _hits(v, patterns):
-    hits = sq.regex_hits(v.sequences.select("seq_id", "seq"), patterns)
+    hits = scans.regex_hits(v.sequences.select("seq_id", "seq"), patterns)
     return hits.select("seq_id", "name", F.col("start").cast("long").alias("start"), F.length("match").cast("long").alias("n"), "match")
 
 
@@ -179,12 +179,12 @@ def rel_consensus(v):
     return words.filter(F.col("piece").rlike("^" + bases.iupac_regex("RNNYWS") + "$")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("join_interval_sequence", """WITH a AS (SELECT chrom, start_pos, end_pos, strand, id, score, name FROM v_features WHERE feature_type = 'gene' AND end_pos - start_pos > 40),
+@query("join_interval_sequence", """WITH a AS (SELECT chrom, start_pos, end_pos, strand, id, score, name FROM v_features WHERE feature_type = 'gene'),
 g AS (SELECT chrom, string_agg(seq, '' ORDER BY chunk_id) AS whole FROM v_ref_chunks GROUP BY chrom),
 c AS (SELECT a.*, substr(whole, CAST(start_pos AS INT), CAST(end_pos - start_pos + 1 AS INT)) AS s FROM a JOIN g ON a.chrom = g.chrom)
 SELECT chrom, start_pos, end_pos, name, CASE WHEN strand = '-' THEN reverse(translate(s, 'ATGC', 'TACG')) ELSE s END AS seq FROM c WHERE s <> ''""")
 def join_interval_sequence(v):
-    genes = v.features.filter("feature_type = 'gene' and end_pos - start_pos > 40")
+    genes = v.features.filter("feature_type = 'gene'")
     return sq.interval_sequences(genes, v.ref_chunks).filter("seq is not null").select("chrom", "start_pos", "end_pos", "name", "seq")
 
 
@@ -230,17 +230,13 @@ def seq_apply_variants(v):
 x AS (SELECT *, min(CASE WHEN c IN ('TAA', 'TAG', 'TGA') THEN pos END) OVER (PARTITION BY seq_id, frame ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM k WHERE c IN ('ATG', 'TAA', 'TAG', 'TGA'))
 SELECT seq_id, frame, min(pos) AS start, stop FROM x WHERE c = 'ATG' AND stop IS NOT NULL GROUP BY seq_id, frame, stop HAVING stop - min(pos) >= 90""")
 def seq_orfs(v):
-    codons = sq.kmer_table(v.sequences.select("seq_id", "seq"), 3).filter(F.col("kmer").isin("ATG", "TAA", "TAG", "TGA")).withColumn("frame", F.col("pos") % 3)
-    w = Window.partitionBy("seq_id", "frame").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    stop = F.min(F.when(F.col("kmer") != "ATG", F.col("pos"))).over(w)
-    rows = codons.withColumn("stop", stop).filter("kmer = 'ATG' and stop is not null").groupBy("seq_id", "frame", "stop").agg(F.min("pos").alias("start"))
-    return rows.filter("stop - start >= 90").select("seq_id", F.col("frame").cast("long").alias("frame"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    return scans.open_frames(v.sequences.select("seq_id", "seq"), 90)
 
 
-@query("join_motif_graph", """WITH m AS (SELECT DISTINCT kmer AS m FROM (SELECT unnest(regexp_extract_all(seq, '.{5}')) AS kmer FROM v_sequences) WHERE kmer < 'AC')
+@query("join_motif_graph", """WITH m AS (SELECT DISTINCT kmer AS m FROM (SELECT unnest(regexp_extract_all(seq, '.{5}')) AS kmer FROM v_sequences))
 SELECT a.m AS a, b.m AS b FROM m a JOIN m b ON a.m < b.m AND levenshtein(a.m, b.m) = 1""")
 def join_motif_graph(v):
-    words = v.sequences.select(F.explode(bases.words(F.col("seq"), 5)).alias("motif")).filter("motif < 'AC'")
+    words = v.sequences.select(F.explode(bases.words(F.col("seq"), 5)).alias("motif"))
     return sq.motif_graph(words)
 
 

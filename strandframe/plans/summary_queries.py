@@ -76,7 +76,7 @@ def te_index(v):
     return te_parts(v.te_names).rollup("family", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("te_prefix_support", """WITH p AS (SELECT substr(name, 1, k) AS prefix, substr(name, k + 1, 1) AS nxt FROM v_te_names, (SELECT unnest(range(1, 13)) AS k) WHERE k <= length(name)),
+@query("te_prefix_support", """WITH p AS (SELECT substr(name, 1, k) AS prefix, substr(name, k + 1, 1) AS nxt FROM v_te_names, (SELECT unnest(range(1, 1 + (SELECT max(length(name)) FROM v_te_names))) AS k) WHERE k <= length(name)),
 s AS (SELECT prefix, count(*) AS support, count(DISTINCT nullif(nxt, '')) AS branches FROM p GROUP BY prefix) SELECT * FROM s WHERE support >= 20 AND branches >= 2""")
 def te_prefix_support(v):
     rows = prefixes(v.te_names.select("hit_id", "name"))
@@ -84,7 +84,7 @@ def te_prefix_support(v):
     return out.filter("support >= 20 and branches >= 2")
 
 
-@query("te_longest_prefix", """WITH p AS (SELECT DISTINCT name, substr(name, 1, k) AS prefix FROM v_te_names, (SELECT unnest(range(1, 13)) AS k) WHERE k <= length(name)),
+@query("te_longest_prefix", """WITH p AS (SELECT DISTINCT name, substr(name, 1, k) AS prefix FROM v_te_names, (SELECT unnest(range(1, 1 + (SELECT max(length(name)) FROM v_te_names))) AS k) WHERE k <= length(name)),
 s AS (SELECT prefix FROM p GROUP BY prefix HAVING count(*) >= 3) SELECT name, max(prefix) AS assigned, count(*) AS depth FROM p JOIN s USING (prefix) GROUP BY name""")
 def te_longest_prefix(v):
     rows = prefixes(v.te_names.select("name").distinct()).select("name", "prefix").distinct()
@@ -120,8 +120,9 @@ def agg_members_whole(v):
     return rows.select("feature_type", "chrom", F.coalesce("k", F.lit(0)).cast("long").alias("k"), "name")
 
 
-@query("agg_members", "SELECT feature_type, chrom, count(*) AS n, string_agg(name, ',' ORDER BY start_pos, end_pos, name) AS members FROM v_features WHERE end_pos - start_pos >= 49 GROUP BY feature_type, chrom")
+@query("agg_members", "SELECT feature_type, chrom, CAST(count(*) OVER (PARTITION BY feature_type, chrom) AS BIGINT) AS n, row_number() OVER (PARTITION BY feature_type, chrom ORDER BY start_pos, end_pos, name) - 1 AS k, name FROM v_features")
 def agg_members(v):
-    rows = v.features.filter("end_pos - start_pos >= 49")
-    out = rows.groupBy("feature_type", "chrom").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "name"))).alias("m"))
-    return out.select("feature_type", "chrom", "n", F.array_join(F.col("m.name"), ",").alias("members"))
+    """Members one a row, numbered within their class: no list of a whole class."""
+    sizes = v.features.groupBy("feature_type", "chrom").agg(F.count(F.lit(1)).alias("n"))
+    rows = running(v.features.select("feature_type", "chrom", "start_pos", "end_pos", "name"), ["feature_type", "chrom"], ["start_pos", "end_pos", "name"], {"k": ("sum", F.lit(1))})
+    return rows.join(F.broadcast(sizes), ["feature_type", "chrom"]).select("feature_type", "chrom", "n", F.coalesce("k", F.lit(0)).cast("long").alias("k"), "name")

@@ -133,7 +133,7 @@ def read_clinvar(spark: SparkSession, path: str) -> DataFrame:
 
 def read_expression(spark: SparkSession, path: str) -> DataFrame:
     fields = [Field("chrom"), Field("start_pos", "bigint"), Field("end_pos", "bigint"), Field("id"), Field("type"), Field("name"), Field("strand"), Field("mean_exp", "double"), Field("total_exp", "double"), Field("num_experiments", "bigint"), Field("num_expressed", "bigint")]
-    return tabular(spark, path, fields, skip_first=True).orderBy("chrom", "start_pos")
+    return tabular(spark, path, fields, skip_first=True)
 
 
 def read_peaks(spark: SparkSession, path: str) -> DataFrame:

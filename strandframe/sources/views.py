@@ -8,6 +8,9 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.operators.ordered import running
 
 VIEWS = {
     "v_contigs": """
@@ -37,7 +40,7 @@ SELECT chrom, seq_id AS chunk_id, seq,
        CAST(1 + coalesce(sum(length(seq)) OVER (PARTITION BY chrom ORDER BY seq_id
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chunk_start
 FROM (SELECT CAST(seq_id % 24 + 1 AS STRING) AS chrom, seq_id, seq FROM v_sequences) s
-WHERE length(seq) > 0""",
+WHERE length(seq) > 0""",  # Spark's side is Views.ref_chunks, which sorts lengths alone
     "v_exons": """
 SELECT CAST(l_orderkey AS STRING) AS gene_name, CAST(l_orderkey % 24 + 1 AS STRING) AS chrom,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS exon_number,
@@ -114,7 +117,11 @@ class Views:
 
     @cached_property
     def ref_chunks(self) -> DataFrame:
-        return self.view("v_ref_chunks")
+        """The rows of v_ref_chunks: lengths alone are summed up, over ranges, and the texts are joined back."""
+        held = self.sequences.filter("length(seq) > 0").selectExpr("CAST(seq_id % 24 + 1 AS STRING) AS chrom", "seq_id AS chunk_id", "seq")
+        placed = running(held.select("chrom", "chunk_id", F.length("seq").alias("n")), ["chrom"], ["chunk_id"], {"before": ("sum", F.col("n"))})
+        placed = placed.select("chunk_id", (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("chunk_start"))
+        return held.join(placed, "chunk_id").select("chrom", "chunk_id", "seq", "chunk_start")
 
     @cached_property
     def exons(self) -> DataFrame:

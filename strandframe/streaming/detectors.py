@@ -13,28 +13,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def sliding_windows(chunks: DataFrame, window: int, stride: int, score: Callable[[str], float], least: float) -> DataFrame:
     """Windows of a stream of chunks (chrom, chunk_start, seq) whose score is at least ``least``: chrom, start, score.
 
-    A chromosome's state is the bases that later windows still need and the place of the next window, so that
-    windows over chunk ends come out once. Chunks must arrive in order, without gaps, for each chromosome.
+    A chromosome's state is the bases that later windows still need, the place of the next window and how many bases to
+    come lie before it, so that windows over chunk ends come out once. Chunks must arrive in order, without gaps, for each chromosome.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, at = state.get if state.exists else ("", 1)
+        tail, at, skip = state.get if state.exists else ("", 1, 0)
         rows = pd.concat(list(frames)).sort_values("chunk_start")
         hits = []
         for seq in rows["seq"]:
-            tail += seq
+            tail += seq[skip:]
+            skip = max(0, skip - len(seq))
             k = 0
             while k + window <= len(tail):
                 value = score(tail[k : k + window])
                 if value >= least:
                     hits.append((key[0], at + k, float(value)))
                 k += stride
-            k = min(k, len(tail))
+            skip += max(0, k - len(tail))
             tail, at = tail[k:], at + k
-        state.update((tail, at))
+        state.update((tail, at, skip))
         yield pd.DataFrame(hits, columns=["chrom", "start", "score"])
 
-    return chunks.groupBy("chrom").applyInPandasWithState(step, "chrom string, start long, score double", "tail string, at long", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("chrom").applyInPandasWithState(step, "chrom string, start long, score double", "tail string, at long, skip long", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(features: DataFrame, window: int) -> DataFrame:
