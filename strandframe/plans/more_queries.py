@@ -156,3 +156,18 @@ CASE WHEN contains(biotype, 'unprocessed') THEN 'UP' WHEN contains(biotype, 'pro
 def agg_pseudogene_classes(v):
     rows = v.spark.sql(BIOTYPES.replace("FROM part", "FROM {part}"), part=v.table("part"))
     return rows.groupBy(pseudogene_acronym(F.col("biotype")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("srch_dyads_expanded")
+def srch_dyads_expanded(v):
+    return scans.expanded_dyads(_seqs(v), 10, 3, 20)
+
+
+@query("srch_long_repeats")
+def srch_long_repeats(v):
+    return scans.long_repeats(_seqs(v), 60)
+
+
+@query("srch_pwm_both")
+def srch_pwm_both(v):
+    return scans.pwm_scan(_seqs(v), v.pwm, 0.9, both_strands=True)
