@@ -150,3 +150,45 @@ def hamming(a: Column, b: Column) -> Column:
 def one_hot(seq: Column) -> Column:
     """Per base: 0 to 3 for A, T, G, C and 4 for anything else."""
     return F.transform(F.split(F.translate(seq, BASES, "0123"), ""), lambda c: F.coalesce(c.try_cast("int"), F.lit(4)))
+
+
+def rotate(seq: Column, n: int) -> Column:
+    """The first ``n`` letters moved to the end."""
+    return F.concat(F.substr(seq, F.lit(n + 1)), F.substr(seq, F.lit(1), F.lit(n)))
+
+
+def pad(seq: Column, n: int, letter: str = "N") -> Column:
+    """Filled up at the right to ``n`` letters; a longer one stays whole."""
+    return F.when(F.length(seq) < n, F.rpad(seq, n, letter)).otherwise(seq)
+
+
+def tile(seq: Column, n: int) -> Column:
+    """Repeated and cut to ``n`` letters; an empty one stays empty."""
+    return F.substr(F.repeat(seq, F.ceil(n / F.greatest(F.length(seq), F.lit(1))).cast("int")), F.lit(1), F.lit(n))
+
+
+def crop_centre(seq: Column, n: int) -> Column:
+    """The middle ``n`` letters, or all of a shorter one."""
+    return F.substr(seq, F.floor(F.greatest(F.length(seq) - n, F.lit(0)) / 2).cast("int") + 1, F.lit(n))
+
+
+def convert(seq: Column, letters: str, to: str) -> Column:
+    """Letters of one vocabulary replaced by those at the same places of another."""
+    return F.translate(seq, letters, to)
+
+
+def repeat_phase(seq: Column, unit: str) -> Column:
+    """Struct (phase, matches): the shift of the repeated unit that agrees with most bases; the least of equals."""
+    k = len(unit)
+
+    def at(o: int) -> Column:
+        matches = F.length(seq) - hamming(seq, tile_to(F.lit(unit[o:] + unit[:o]), k, F.length(seq)))
+        return F.struct((-matches).cast("long").alias("missing"), F.lit(o).cast("long").alias("phase"))
+
+    best = F.array_min(F.array(*[at(o) for o in range(k)]))
+    return F.struct(best["phase"].alias("phase"), (-best["missing"]).alias("matches"))
+
+
+def tile_to(unit: Column, k: int, n: Column) -> Column:
+    """A unit of ``k`` letters repeated over ``n`` letters."""
+    return F.substr(F.repeat(unit, F.ceil(n / k).cast("int")), F.lit(1), n)

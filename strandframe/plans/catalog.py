@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import interval_queries, more_queries, sequence_queries, summary_queries
+from . import interval_queries, more_queries, sequence_queries, summary_queries, window_queries
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "join_overlap"
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "interval_queries", "more_queries", "sequence_queries", "summary_queries"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "interval_queries", "more_queries", "sequence_queries", "summary_queries", "window_queries"]
