@@ -130,3 +130,20 @@ m AS (SELECT seq_id, o, count(*) FILTER (c = substr('ATC', (p + o) % 3 + 1, 1))
 SELECT seq_id, o AS phase, matches FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY matches DESC, o) AS r FROM m) WHERE r = 1""")
 def agg_repeat_phase(v):
     return v.sequences.filter("length(seq) > 0").select("seq_id", F.inline(F.array(bases.repeat_phase(F.col("seq"), "ATC"))))
+
+
+@query("sort_first_features", "SELECT chrom, start_pos, end_pos, feature_type, id FROM v_features WHERE strand = '-' ORDER BY start_pos, chrom, end_pos, feature_type, id LIMIT 100")
+def sort_first_features(v):
+    """The limit is the feature: the first hundred of a strand, taken from each partition's own first hundred."""
+    return v.features.filter("strand = '-'").orderBy("start_pos", "chrom", "end_pos", "feature_type", "id").select("chrom", "start_pos", "end_pos", "feature_type", "id").limit(100)
+
+
+SLOTS = {"family": 1, "number": 2, "rest": 3}
+NAME = "^([A-Za-z]*)([0-9]*)(.*)$"
+
+
+@query("te_slot_values", " UNION ALL ".join(f"SELECT '{slot}' AS slot, regexp_extract(name, '{NAME}', {k}) AS value, count(*) AS n FROM v_te_names GROUP BY 2" for slot, k in SLOTS.items()))
+def te_slot_values(v):
+    """Distinct values of each part of a name, with how often each occurs; one pass for all parts."""
+    parts = F.array(*[F.struct(F.lit(slot).alias("slot"), F.regexp_extract("name", NAME, k).alias("value")) for slot, k in SLOTS.items()])
+    return v.te_names.select(F.inline(parts)).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
