@@ -180,6 +180,22 @@ def fuzzy_hits(seqs: DataFrame, pattern: str, errors: int) -> DataFrame:
     return scan(seqs, "start long, mismatches long", ["start", "mismatches"], find)
 
 
+def folded_copies(seqs: DataFrame, unit: str, n: int) -> DataFrame:
+    """The ``n`` places of each repeat that agree most with a unit, the first of equals: pos, matches, copy. The place that
+    ends the repeat is not tried."""
+
+    def find(text: str) -> list:
+        x, p = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8), unit.encode()
+        tried = max(0, len(x) - len(p))
+        same = np.zeros(tried, dtype=np.int64)
+        for i, letter in enumerate(p):
+            same += x[i : i + tried] == letter
+        at = np.argsort(-same, kind="stable")[:n]
+        return [at.astype(np.int64), same[at], [text[i : i + len(p)] for i in at]]
+
+    return scan(seqs, "pos long, matches long, copy string", ["pos", "matches", "copy"], find)
+
+
 def pwm_scan(seqs: DataFrame, pwm: DataFrame, least: float, pseudocount: float = 0.1, background: float = 0.25, both_strands: bool = False) -> DataFrame:
     """Hits of matrix motifs: start, end (half-open), score normalised to 0..1, from ``least`` on; other letters score zero.
 

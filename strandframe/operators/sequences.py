@@ -88,28 +88,49 @@ def motif_graph(motifs: DataFrame, motif: str = "motif") -> DataFrame:
     return a.join(b, "key").filter("a < b and levenshtein(a, b) = 1").select("a", "b").distinct()
 
 
-def apply_variants(regions: DataFrame, variants: DataFrame) -> DataFrame:
-    """Regions (seq_id, chrom, start_pos, seq) with each variant that lies in them put in: personal, delta, n_applied.
-
-    Variants (chrom, pos, ref, alt) replace ref by alt at their own position, in order; one that begins within the
-    span of an earlier one, or whose ref is not there, is skipped. One ordered fold per region.
-    """
+def _folded(regions: DataFrame, variants: DataFrame) -> DataFrame:
+    """``regions`` with _ref and _own, the aligned parts of both sides, _at, the first base not yet used, and _moved, the
+    (pos, delta) of each variant put in. One ordered fold per region."""
     from .intervals import point_join
 
     span = regions.withColumn("end_pos", F.col("start_pos") + F.length("seq") - 1)
     hits = point_join(variants, span.select("chrom", "start_pos", "end_pos", "seq_id"))
     lists = hits.groupBy(F.col("b_seq_id").alias("seq_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("a_pos") - F.col("b_start_pos")).cast("int").alias("at"), F.col("a_ref").alias("ref"), F.col("a_alt").alias("alt")))).alias("vs"))
     rows = regions.join(lists, "seq_id", "left")
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"), F.lit(0).alias("delta"), F.lit(0).alias("n"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("ref"), none.alias("own"), F.lit(0).alias("at"), F.array().cast("array<struct<pos:bigint,delta:int>>").alias("moved"))
 
     def step(acc: Column, v: Column) -> Column:
         fits = (v.at >= acc["at"]) & (F.substr(F.col("seq"), v.at + 1, F.length(v.ref)) == v.ref)
-        put = F.struct(F.concat(acc["parts"], F.array(F.substr(F.col("seq"), acc["at"] + 1, v.at - acc["at"]), v.alt)).alias("parts"), (v.at + F.length(v.ref)).alias("at"), (acc["delta"] + F.length(v.alt) - F.length(v.ref)).alias("delta"), (acc["n"] + 1).alias("n"))
+        before = F.substr(F.col("seq"), acc["at"] + 1, v.at - acc["at"])
+        wide = F.greatest(F.length(v.ref), F.length(v.alt))
+        moved = F.struct((F.col("start_pos") + v.at).cast("long").alias("pos"), (F.length(v.alt) - F.length(v.ref)).alias("delta"))
+        put = F.struct(
+            F.concat(acc["ref"], F.array(before, F.rpad(v.ref, wide, F.lit("-")))).alias("ref"), F.concat(acc["own"], F.array(before, F.rpad(v.alt, wide, F.lit("-")))).alias("own"),
+            (v.at + F.length(v.ref)).alias("at"), F.concat(acc["moved"], F.array(moved)).alias("moved"),
+        )
         return F.when(fits, put).otherwise(acc)
 
     done = F.aggregate(F.coalesce("vs", F.array().cast("array<struct<at:int,ref:string,alt:string>>")), start, step)
     rows = rows.withColumn("_d", done)
-    return rows.select("seq_id", F.concat(F.array_join("_d.parts", ""), F.substr(F.col("seq"), F.col("_d.at") + 1)).alias("personal"), F.col("_d.delta").alias("delta"), F.col("_d.n").alias("n_applied"))
+    rest = F.substr(F.col("seq"), F.col("_d.at") + 1)
+    return rows.select(*regions.columns, F.concat(F.array_join("_d.ref", ""), rest).alias("_ref"), F.concat(F.array_join("_d.own", ""), rest).alias("_own"), F.col("_d.moved").alias("_moved"))
+
+
+def apply_variants(regions: DataFrame, variants: DataFrame) -> DataFrame:
+    """Regions (seq_id, chrom, start_pos, seq) with each variant that lies in them put in: personal, delta, n_applied.
+
+    Variants (chrom, pos, ref, alt) replace ref by alt at their own position, in order; one that begins within the
+    span of an earlier one, or whose ref is not there, is skipped. A region's variants are one row.
+    """
+    delta = F.aggregate("_moved", F.lit(0), lambda s, m: s + m["delta"])
+    return _folded(regions, variants).select("seq_id", F.translate("_own", "-", "").alias("personal"), delta.alias("delta"), F.size("_moved").alias("n_applied"))
+
+
+def aligned_variants(regions: DataFrame, variants: DataFrame) -> DataFrame:
+    """Both sides of ``apply_variants`` with '-' where one has no base: seq_id, aligned_ref, aligned_personal, moved, an
+    array of (pos, delta) of the variants put in."""
+    return _folded(regions, variants).select("seq_id", F.col("_ref").alias("aligned_ref"), F.col("_own").alias("aligned_personal"), F.col("_moved").alias("moved"))
 
 
 def hit_runs(hits: DataFrame, gap: int) -> DataFrame:

@@ -31,9 +31,9 @@ def parsed(raw: Column, field: Field) -> Column:
     return value if field.default is None else F.coalesce(value, F.lit(field.default))
 
 
-def tabular(spark: SparkSession, path: str, fields: list[Field | None], sep: str = "\t", comment: str | None = "#", skip_first: bool = False) -> DataFrame:
+def tabular(spark: SparkSession, path: str, fields: list[Field | None], sep: str = "\t", comment: str | None = "#", skip_first: bool = False, derived: dict[str, Column] | None = None) -> DataFrame:
     """Delimited lines by position; None skips a column, comment lines and empty ones go. ``skip_first`` drops each
-    file's header, told by its text: that of the first column's name."""
+    file's header, told by its text: that of the first column's name. ``derived`` adds columns computed from the others."""
     lines = spark.read.text(path).filter(F.length("value") > 0)
     if comment:
         lines = lines.filter(~F.col("value").startswith(comment))
@@ -43,7 +43,7 @@ def tabular(spark: SparkSession, path: str, fields: list[Field | None], sep: str
     if skip_first:
         first = next(f.name for f in fields if f)
         out = rows.filter(F.lower(F.ltrim(F.get("c", F.lit(0)), F.lit("#"))) != first.lower()).select(*[parsed(F.get("c", F.lit(i)), f).alias(f.name) for i, f in enumerate(fields) if f])
-    return out
+    return out.withColumns(derived) if derived else out
 
 
 def plain_chrom(chrom: Column) -> Column:
@@ -187,3 +187,43 @@ def read_jaspar(spark: SparkSession, path: str, pseudocount: float = 0.0) -> Dat
     rows = records.select(head[0].alias("motif_id"), F.get(head, F.lit(1)).alias("motif_name"), F.arrays_zip(lines.alias("base"), F.regexp_extract_all("value", F.lit(r"(?m)^\s*[ACGT]\s*\[([^\]]*)\]"), F.lit(1)).alias("counts")).alias("m"))
     rows = rows.filter(F.size("m") == 4).select("motif_id", "motif_name", F.inline("m"))
     return rows.select("motif_id", "motif_name", "base", F.posexplode(F.split(F.trim("counts"), r"\s+")).alias("pos", "c")).select("motif_id", "motif_name", "pos", "base", (F.col("c").try_cast("double") + pseudocount).alias("cnt"))
+
+
+def read_lncrna(spark: SparkSession, path: str) -> DataFrame:
+    """Long non-coding RNA table: name, name_tag, parent_feature and info from a '|' list, read_types from a comma list, data
+    from two comma lists as pairs, with those left out where either is missing."""
+    kinds = {"chrom": "string", "start_pos": "bigint", "end_pos": "bigint", "info1": "string", "number1": "bigint", "strand": "string", "match_start": "bigint", "match_end": "bigint", "read_types": "string", "num_records": "bigint", "data1": "string", "data2": "string"}
+    part = lambda i: F.get(F.split("info1", "[|]", -1), F.lit(i))
+    numbers = lambda c: F.transform(F.split(c, ","), lambda x: x.try_cast("bigint"))
+    both = F.arrays_zip(numbers("data1").alias("a"), numbers("data2").alias("b"))
+    derived = {
+        "name": part(0), "name_tag": F.regexp_replace(part(0), "^hsa-lncRNA", ""), "parent_feature": F.when(part(1) != "-", part(1)).otherwise(""), "info": F.when(part(2) != "-", part(2)).otherwise(""),
+        "data": F.filter(both, lambda p: p["a"].isNotNull() & p["b"].isNotNull()),
+    }
+    out = tabular(spark, path, [Field(n, t) for n, t in kinds.items()], derived=derived).drop("info1", "data1", "data2")
+    return out.withColumn("read_types", numbers("read_types")).withColumn("chrom", plain_chrom(F.col("chrom")))
+
+
+def read_pirna(spark: SparkSession, path: str) -> DataFrame:
+    kinds = {"chrom": "string", "start_pos": "bigint", "end_pos": "bigint", "name": "string", "num": "bigint", "strand": "string"}
+    return tabular(spark, path, [Field(n, t) for n, t in kinds.items()], derived={"feature_type": F.lit("piRNA_hit")}).withColumn("chrom", plain_chrom(F.col("chrom")))
+
+
+CORE_TYPES = {"chrom": "string", "start_pos": "bigint", "end_pos": "bigint", "score": "double"}
+
+
+def read_dataset(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Feature table that ``write_features`` wrote as text, by its column list: core columns typed, all others strings."""
+    return tabular(spark, path, [Field(n, CORE_TYPES.get(n, "string")) for n in columns], comment=None, skip_first=True)
+
+
+def read_by_class(spark: SparkSession, path: str, by: str, classes: list[str] | None = None, fmt: str = "parquet") -> DataFrame:
+    """What ``write_by_class`` wrote; with ``classes`` only their folders are read."""
+    rows = spark.read.format(fmt).load(path)
+    return rows.filter(F.col(by).isin(classes)) if classes is not None else rows
+
+
+def first_rows(features: DataFrame, n: int, chrom: str | None = None) -> DataFrame:
+    """The first ``n`` features by place, of one chromosome if asked for; each partition keeps its own first ``n`` only."""
+    rows = features.filter(F.col("chrom") == chrom) if chrom is not None else features
+    return rows.orderBy("chrom", "start_pos", "end_pos").limit(n)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.operators.sequences import apply_variants
+
 CORE = ["chrom", "start_pos", "end_pos", "feature_type", "source", "score", "strand", "name", "id"]
 
 
@@ -37,3 +39,13 @@ def write_fasta(df: DataFrame, path: str, width: int = 80, overwrite: bool = Fal
 def write_by_class(df: DataFrame, path: str, by: str, fmt: str = "parquet", overwrite: bool = False) -> None:
     """One folder for each class, so that a reader of one class reads only its files."""
     df.repartition(by, F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(32))).write.partitionBy(by).mode("overwrite" if overwrite else "errorifexists").format(fmt).save(path)
+
+
+def write_personal_fasta(regions: DataFrame, variants: DataFrame, path: str, include_reference: bool = True, overwrite: bool = False) -> None:
+    """FASTA of regions (seq_id, name, chrom, start_pos, seq) with the variants in them put in, as name_personal, and as they
+    stand as name_reference. Ids must be unique."""
+    personal = apply_variants(regions.select("seq_id", "chrom", "start_pos", "seq"), variants).select("seq_id", "personal")
+    rows = regions.join(personal, "seq_id").select(F.concat("name", F.lit("_personal")).alias("name"), F.col("personal").alias("seq"))
+    if include_reference:
+        rows = rows.unionByName(regions.select(F.concat("name", F.lit("_reference")).alias("name"), "seq"))
+    write_fasta(rows, path, overwrite=overwrite)

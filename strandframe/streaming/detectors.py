@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,6 +39,13 @@ def sliding_windows(chunks: DataFrame, window: int, stride: int, score: Callable
     return chunks.groupBy("chrom").applyInPandasWithState(step, "chrom string, start long, score double", "tail string, at long, skip long", "append", GroupStateTimeout.NoTimeout)
 
 
+def streamed_hits(chunks: DataFrame, pattern: str, k: int) -> DataFrame:
+    """Every start of a ``k``-letter word that matches a regular expression in a stream of chunks, once: chrom, start. A
+    chromosome's state is its last k - 1 bases, so hits over chunk ends are found when the next chunk comes."""
+    fits = re.compile(pattern)
+    return sliding_windows(chunks, k, 1, lambda word: float(fits.fullmatch(word) is not None), 1.0).select("chrom", "start")
+
+
 def windowed_counts(features: DataFrame, window: int) -> DataFrame:
     """Features of a stream by chromosome and window of their start; partial counts are kept as state."""
     return features.groupBy("chrom", F.floor((F.col("start_pos") - 1) / window).alias("win")).agg(F.count(F.lit(1)).alias("n"))

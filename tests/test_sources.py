@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from strandframe.sources import readers as rd
 from strandframe.sources import writers as wr
-from strandframe.streaming.detectors import sliding_windows, windowed_counts
+from strandframe.streaming.detectors import sliding_windows, streamed_hits, windowed_counts
 
 
 def put(path, text):
@@ -91,3 +91,41 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("counts").collect())) == [("1", 0, 2), ("1", 1, 1), ("2", 0, 1)]
+
+
+def test_rna_tables(spark, tmp_path):
+    line = "chr3\t5\t9\thsa-lncRNA7|P|-\t2\t+\t6\t8\t1,2\t4\t10,,30\t1,2,3\n"
+    r = rd.read_lncrna(spark, put(tmp_path / "l.tsv", line)).first()
+    assert (r.chrom, r.name, r.name_tag, r.parent_feature, r["info"], r.read_types) == ("3", "hsa-lncRNA7", "7", "P", "", [1, 2])
+    assert [tuple(p) for p in r.data] == [(10, 1), (30, 3)]
+    p = rd.read_pirna(spark, put(tmp_path / "p.tsv", "chr1\t1\t30\tpiR-1\t4\t-\n")).first()
+    assert (p.chrom, p.num, p.strand, p.feature_type) == ("1", 4, "-", "piRNA_hit")
+
+
+def test_dataset_by_its_columns_and_by_class(spark, tmp_path):
+    rows = spark.createDataFrame([("1", 5, 9, "gene", 1.5, "x"), ("1", 2, 3, "exon", None, "y"), ("2", 1, 1, "gene", 2.0, None)], "chrom string, start_pos long, end_pos long, feature_type string, score double, note string")
+    wr.write_features(rows, str(tmp_path / "t"), fmt="text", partitions=1)
+    back = rd.read_dataset(spark, str(tmp_path / "t"), wr.ordered_columns(rows))
+    assert sorted(map(str, back.select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    wr.write_by_class(rows, str(tmp_path / "c"), "feature_type", fmt="json")
+    assert rd.read_by_class(spark, str(tmp_path / "c"), "feature_type", ["gene"], "json").count() == 2
+    assert [r.start_pos for r in rd.first_rows(rows, 1, "1").collect()] == [2] and rd.first_rows(rows, 9).count() == 3
+
+
+def test_personal_fasta(spark, tmp_path):
+    regions = spark.createDataFrame([(1, "r", "1", 11, "ACGT")], "seq_id long, name string, chrom string, start_pos long, seq string")
+    calls = spark.createDataFrame([("1", 12, "C", "CTT")], "chrom string, pos long, ref string, alt string")
+    wr.write_personal_fasta(regions, calls, str(tmp_path / "f"))
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "f")).collect()) == [">r_personal", ">r_reference", "ACGT", "ACTTGT"]
+
+
+def test_streamed_hits_over_borders(spark, tmp_path):
+    text, src = "TATAAACGTATATATAAAGG", str(tmp_path / "in")
+    rows = [("1", at + 1, text[at : at + 3]) for at in range(0, len(text), 3)]
+    spark.createDataFrame(rows, "chrom string, chunk_start long, seq string").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("chrom string, chunk_start long, seq string").parquet(src)
+    q = streamed_hits(stream, "TATA[AT]A", 6).writeStream.format("memory").queryName("streamed").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    want = [k + 1 for k in range(len(text) - 5) if text[k : k + 5] in ("TATAA", "TATAT") and text[k + 5] == "A"]
+    assert sorted(r.start for r in spark.table("streamed").collect()) == want and want
