@@ -64,6 +64,15 @@ def is_dna(seq: Column) -> Column:
     return seq.rlike("^[ATGCN]*$")
 
 
+def is_rna(seq: Column) -> Column:
+    return seq.rlike("^[AUGCN]*$")
+
+
+def is_consensus(seq: Column) -> Column:
+    """Bases and ambiguity codes alone."""
+    return seq.rlike(f"^[{''.join(IUPAC)}]*$")
+
+
 def composition_entropy(seq: Column) -> Column:
     """Entropy in bits of the shares of A, T, G and C."""
     total = count_of(seq, BASES)
@@ -114,6 +123,11 @@ def sequence_index(seq: Column) -> Column:
     return F.conv(F.translate(seq, BASES, "0123"), 4, 10).cast("long")
 
 
+def index_sequence(index: Column, n: int) -> Column:
+    """The sequence of ``n`` letters with that number."""
+    return F.translate(F.lpad(F.conv(index.cast("string"), 10, 4), n, "0"), "0123", BASES)
+
+
 def longest_run(seq: Column, letters: str) -> Column:
     """Length of the longest run of any of ``letters``."""
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(seq, F.lit(f"[{letters}]+"), F.lit(0)), F.length)), F.lit(0))
@@ -124,6 +138,12 @@ def iupac_regex(consensus: str) -> str:
     return "".join(c if len(IUPAC[c]) == 1 else f"[{IUPAC[c]}]" for c in consensus)
 
 
+def iupac_regex_both(consensus: str) -> str:
+    """Regular expression of a consensus or of its reverse complement."""
+    other = consensus[::-1].translate(str.maketrans(*COMPLEMENT))
+    return iupac_regex(consensus) if other == consensus else f"(?:{iupac_regex(consensus)}|{iupac_regex(other)})"
+
+
 def base_mask(base: Column) -> Column:
     """Bases of an ambiguity code as bits: A 1, C 2, G 4, T 8."""
     out = F.lit(0)
@@ -140,6 +160,11 @@ def mask_code(mask: Column) -> Column:
     return out
 
 
+def multiplicity(mask: Column) -> Column:
+    """How many bases a set holds."""
+    return F.bit_count(mask)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Places where two strings differ, as far as the shorter goes."""
     n = F.least(F.length(a), F.length(b))

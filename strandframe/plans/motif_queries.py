@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import functions as F
 
 from strandframe.functions import bases, motifs
-from strandframe.operators import assembly, pairs, scans
+from strandframe.operators import assembly, homology, pairs, scans
 from strandframe.operators import sequences as sq
 from strandframe.operators.intervals import overlap_join
 
@@ -236,3 +236,44 @@ def agg_template_groups(v):
     """Pieces of 40 bases of every sequence, grouped when within 4 mismatches."""
     pieces = v.sequences.select("seq_id", F.posexplode(bases.words(F.col("seq"), 40)).alias("i", "seq")).select((F.col("seq_id") * 100000 + F.col("i")).alias("seq_id"), "seq")
     return pairs.template_groups(pieces, 40)
+
+
+KL = "sum(CASE WHEN {x} > 0 AND {y} > 0 THEN {x} * ln({x} / {y}) WHEN {x} > 0 OR {y} > 0 THEN 1.0 ELSE 0.0 END)"
+
+
+@query("agg_profile_distances", f"""WITH t AS (SELECT source, unnest(regexp_extract_all(seq, '.{{12}}')) AS piece FROM v_sequences), n AS (SELECT source, p AS pos, substr(piece, CAST(p + 1 AS INT), 1) AS base, count(*) AS n FROM (SELECT source, piece, unnest(range(12)) AS p FROM t) GROUP BY 1, 2, 3),
+z AS (SELECT d.source, d.pos, l.base, l.o, coalesce(n, 0) AS n FROM (SELECT DISTINCT source, pos FROM n) d, (SELECT unnest(['A', 'T', 'G', 'C']) AS base, unnest([1, 2, 3, 4]) AS o) l LEFT JOIN n ON n.source = d.source AND n.pos = d.pos AND n.base = l.base),
+p AS (SELECT source, pos, base, n / sum(n) OVER (PARTITION BY source, pos) AS p, row_number() OVER (PARTITION BY source, pos ORDER BY n DESC, o) AS r FROM z),
+b AS (SELECT x.source AS a, y.source AS b, x.p, y.p AS q, x.r AS i, y.r AS j FROM p x JOIN p y ON x.pos = y.pos AND x.base = y.base AND x.source < y.source)
+SELECT a, b, count(*) FILTER ((p > 0) <> (q > 0)) / 2 AS alias, CAST(count(*) FILTER (i = 1 AND j <> 1) AS BIGINT) AS mode, round({KL.format(x='p', y='q')}, 9)::DOUBLE AS kl, round(({KL.format(x='p', y='((p + q) / 2)')} + {KL.format(x='q', y='((p + q) / 2)')}) / 2, 9)::DOUBLE AS js FROM b GROUP BY a, b""")
+def agg_profile_distances(v):
+    """Profiles of the twelve places of a word, by source, compared in pairs."""
+    letters = v.sequences.select("source", F.explode(bases.words(F.col("seq"), 12)).alias("piece"))
+    counts = [F.struct(F.lit(i).alias("pos"), F.substring("piece", i + 1, 1).alias("base")) for i in range(12)]
+    sums = letters.select("source", F.inline(F.array(*counts))).groupBy(F.col("source").alias("name"), "pos").agg(*[F.count_if(F.col("base") == b).alias(b) for b in bases.BASES])
+    out = homology.profile_distances(sums)
+    return out.withColumn("kl", F.round("kl", 9)).withColumn("js", F.round("js", 9))
+
+
+@query("fn_base_algebra", """WITH m AS (SELECT chrom, pos, CASE ref WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END AS a, (SELECT bit_or(CASE c WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END) FROM (SELECT unnest(string_split(alt, '')) AS c)) AS b FROM v_variants)
+SELECT chrom, pos, substr('ACMGRSVTWYHKDBN', CAST(a | b AS INT), 1) AS either, nullif(substr('-ACMGRSVTWYHKDBN', CAST(a & b AS INT) + 1, 1), '-') AS shared, nullif(substr('-ACMGRSVTWYHKDBN', CAST(xor(a, b) AS INT) + 1, 1), '-') AS one_alone, CAST(bit_count(a | b) AS INT) AS n_bases FROM m""")
+def fn_base_algebra(v):
+    a = bases.base_mask(F.col("ref"))
+    b = F.aggregate(F.split("alt", ""), F.lit(0), lambda s, c: s.bitwiseOR(bases.base_mask(c)))
+    rows = v.variants.select("chrom", "pos", a.alias("a"), b.alias("b"))
+    both = {"either": F.col("a").bitwiseOR(F.col("b")), "shared": F.col("a").bitwiseAND(F.col("b")), "one_alone": F.col("a").bitwiseXOR(F.col("b"))}
+    return rows.select("chrom", "pos", *[bases.mask_code(m).alias(n) for n, m in both.items()], bases.multiplicity(both["either"]).alias("n_bases"))
+
+
+@query("fn_index_back", """SELECT seq_id, i AS piece_id, piece, piece AS again FROM (SELECT seq_id, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS i FROM (SELECT seq_id, regexp_extract_all(seq, '.{20}') AS ps FROM v_sequences))""")
+def fn_index_back(v):
+    """Words of 20 bases to numbers and back."""
+    words = v.sequences.select("seq_id", F.posexplode(bases.words(F.col("seq"), 20)).alias("piece_id", "piece"))
+    return words.select("seq_id", F.col("piece_id").cast("long").alias("piece_id"), "piece", bases.index_sequence(bases.sequence_index(F.col("piece")), 20).alias("again"))
+
+
+@query("srch_homology")
+def srch_homology(v):
+    """Places most like the bases that begin the first chunk; their number is the feature."""
+    first = v.ref_chunks.filter("length(seq) >= 200").orderBy("chunk_id").select(F.substring("seq", 1, 200).alias("probe")).first()
+    return homology.homology_search(v.ref_chunks, first["probe"] if first else "A" * 200, 1024, 20)

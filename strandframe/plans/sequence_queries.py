@@ -220,7 +220,9 @@ def seq_variant_context(v):
     return sq.interval_sequences(around, v.ref_chunks).filter("seq is not null").select("chrom", "pos", "ref", "alt", F.col("seq").alias("context"))
 
 
-@query("seq_apply_variants")
+@query("seq_apply_variants", """WITH b AS (SELECT chunk_id, chrom, chunk_start + p AS pos, substr(seq, CAST(p + 1 AS INT), 1) AS c FROM (SELECT *, unnest(range(length(seq))) AS p FROM v_ref_chunks)),
+x AS (SELECT b.*, v.alt FROM b LEFT JOIN v_variants v ON b.chrom = v.chrom AND b.pos = v.pos AND v.ref = b.c)
+SELECT chunk_id AS seq_id, string_agg(coalesce(alt, c), '' ORDER BY pos) AS personal, CAST(coalesce(sum(length(alt) - 1), 0) AS INT) AS delta, CAST(count(alt) AS INT) AS n_applied FROM x GROUP BY chunk_id""")
 def seq_apply_variants(v):
     regions = v.ref_chunks.select(F.col("chunk_id").alias("seq_id"), "chrom", F.col("chunk_start").alias("start_pos"), "seq")
     return sq.apply_variants(regions, v.variants)

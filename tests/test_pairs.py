@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandframe.functions import bases, motifs
-from strandframe.operators import assembly, pairs, sequences
+from strandframe.operators import assembly, homology, pairs, sequences
 
 R = random.Random(5)
 SEQS = ["".join(R.choice("ATGC") for _ in range(n)) for n in (30, 41, 25, 60, 8, 0)]
@@ -141,3 +141,26 @@ def test_both_sides_of_variants(spark):
     a, b = sorted(sequences.aligned_variants(regions, calls).collect())
     assert (a.aligned_ref, a.aligned_personal) == ("ACGTA--CGT", "AC-TATTCGT") and [tuple(m) for m in a.moved] == [(12, -1), (15, 2)]
     assert (b.aligned_ref, b.aligned_personal, b.moved) == ("AAA", "AAA", [])
+
+
+def test_homology_finds_planted_places_on_both_strands(spark):
+    text = "".join(R.choice("ATGC") for _ in range(9000))
+    probe = "".join(R.choice("ATGC") for _ in range(120))
+    worn = probe[:40] + "".join("T" if c != "T" else "A" for c in probe[40:46]) + probe[46:]
+    text = text[:1990] + probe + text[2110:6000] + worn.translate(OTHER)[::-1] + text[6120:]
+    for cuts in ([0, 9000], [0, 2000, 2040, 2050, 6010, 9000]):  # the first hit lies over borders
+        chunks = spark.createDataFrame([("1", a + 1, text[a:b]) for a, b in zip(cuts, cuts[1:])], "chrom string, chunk_start long, seq string")
+        got = {(r.start, r.strand): r for r in homology.homology_search(chunks, probe, 256, 4).collect()}
+        assert got[1991, "+"].share == 1.0 and math.isclose(got[6001, "-"].share, 114 / 120)
+    assert homology.homology_search(chunks.limit(0), probe, 256, 4).count() == 0
+
+
+def test_profiles_equal_to_themselves_are_no_distance_apart(spark):
+    rows = [("x", 0, 3, 1, 0, 0), ("x", 1, 0, 0, 5, 5), ("y", 0, 3, 1, 0, 0), ("y", 1, 0, 0, 5, 5), ("z", 0, 0, 0, 2, 2), ("z", 1, 0, 0, 0, 0)]
+    got = {(r.a, r.b): r for r in homology.profile_distances(spark.createDataFrame(rows, "name string, pos int, A long, T long, G long, C long")).collect()}
+    assert tuple(got["x", "y"])[2:] == (0.0, 0, 0.0, 0.0)
+    assert tuple(got["x", "z"])[2:5] == (2.0, 1, 4.0)
+
+
+def test_patterns_on_both_strands():
+    assert bases.iupac_regex_both("RAT") == "(?:[AG]AT|AT[CT])" and bases.iupac_regex_both("ATAT") == "ATAT"
