@@ -121,7 +121,7 @@ def apply_variants(regions: DataFrame, variants: DataFrame) -> DataFrame:
     """Regions (seq_id, chrom, start_pos, seq) with each variant that lies in them put in: personal, delta, n_applied.
 
     Variants (chrom, pos, ref, alt) replace ref by alt at their own position, in order; one that begins within the
-    span of an earlier one, or whose ref is not there, is skipped. A region's variants are one row.
+    span of an earlier one, or whose ref is not there, is skipped. A '-' stands for no base. A region's variants are one row.
     """
     delta = F.aggregate("_moved", F.lit(0), lambda s, m: s + m["delta"])
     return _folded(regions, variants).select("seq_id", F.translate("_own", "-", "").alias("personal"), delta.alias("delta"), F.size("_moved").alias("n_applied"))

@@ -38,10 +38,15 @@ def win_hit_runs(v):
     return sq.hit_runs(hits, 10).filter("n >= 2").select("seq_id", "n", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-@query("agg_pwm_information", """WITH p AS (SELECT motif_id, pos, base, (cnt + 0.1) / (sum(cnt) OVER (PARTITION BY motif_id, pos) + 0.4) AS p FROM v_pwm)
+@query("agg_pwm_information", """WITH t AS (SELECT source, unnest(regexp_extract_all(seq, '.{12}')) AS piece FROM v_sequences), m AS (SELECT source AS motif_id, k AS pos, substr(piece, CAST(k + 1 AS INT), 1) AS base, count(*) AS cnt FROM (SELECT source, piece, unnest(range(12)) AS k FROM t) GROUP BY 1, 2, 3),
+p AS (SELECT motif_id, pos, base, (cnt + 0.1::DOUBLE) / (sum(cnt) OVER (PARTITION BY motif_id, pos) + 0.4::DOUBLE) AS p FROM m)
 SELECT motif_id, pos, round(2 + sum(p * log2(p)), 8) AS information, arg_max(base, (p, -ascii(base))) AS base FROM p GROUP BY motif_id, pos""")
 def agg_pwm_information(v):
-    return sq.pwm_information(v.pwm).withColumn("information", F.round("information", 8))
+    """Matrices of the twelve places of a word, by source."""
+    words = v.sequences.select("source", F.explode(bases.words(F.col("seq"), 12)).alias("piece"))
+    places = F.array(*[F.struct(F.lit(i).alias("pos"), F.substring("piece", i + 1, 1).alias("base")) for i in range(12)])
+    counts = words.select(F.col("source").alias("motif_id"), F.inline(places)).groupBy("motif_id", "pos", "base").agg(F.count(F.lit(1)).alias("cnt"))
+    return sq.pwm_information(counts).withColumn("information", F.round("information", 8))
 
 
 @query("seq_codon_changes", """WITH h AS (SELECT x.chrom, x.pos, x.alt, c.seq, x.pos - c.chunk_start AS place FROM v_variants x JOIN v_ref_chunks c ON x.chrom = c.chrom AND x.pos BETWEEN c.chunk_start AND c.chunk_start + length(c.seq) - 1 WHERE length(ref) = 1 AND length(alt) = 1),
