@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .alignment import op11_tokenizer_alignment
+from .annscan import op12_nearest_neighbours
 from .chat import OP6_SQL, op6_chat_perspectives
 from .linededup import OP10_SQL, op10_line_dedup
 from .minhash import op5_minhash_near_dedup
@@ -12,6 +14,7 @@ from .pii import OP4_SQL, op4_pii
 from .quality import op7_quality_classifier
 from .sharding import op3_jump_sharding
 from .topk import OP1_SQL, op1_exact_top_k
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 SQL: dict[str, str] = {
