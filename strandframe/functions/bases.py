@@ -217,3 +217,10 @@ def repeat_phase(seq: Column, unit: str) -> Column:
 def tile_to(unit: Column, k: int, n: Column) -> Column:
     """A unit of ``k`` letters repeated over ``n`` letters."""
     return F.substr(F.repeat(unit, F.ceil(n / k).cast("int")), F.lit(1), n)
+
+
+def zygosity(genotype: Column) -> Column:
+    """absent, homozygous or heterozygous, from allele numbers divided by / or |; null where an allele is not known."""
+    alleles = F.split(genotype, r"[/|]")
+    known = F.forall(alleles, lambda a: a.rlike("^[0-9]+$"))
+    return F.when(known, F.when(F.forall(alleles, lambda a: a == "0"), "absent").when(F.size(F.array_distinct(alleles)) == 1, "homozygous").otherwise("heterozygous"))

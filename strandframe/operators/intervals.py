@@ -67,6 +67,14 @@ def point_join(points: DataFrame, features: DataFrame, pos: str = "pos", size: i
     return a.join(b, (F.col("a_chrom") == F.col("b_chrom")) & (F.col("_bin") == F.col("_bin_b")) & inside).drop("_bin", "_bin_b")
 
 
+def covering_counts(points: DataFrame, features: DataFrame, pos: str = "pos") -> DataFrame:
+    """``points`` with n_features, how many features cover each. Points are told apart as rows, so equal ones keep theirs."""
+    rows = materialize(points.withColumn("_row", F.monotonically_increasing_id()))
+    hits = point_join(rows.select("chrom", pos, "_row"), features.select("chrom", "start_pos", "end_pos"), pos)
+    counts = hits.groupBy(F.col("a__row").alias("_row")).agg(F.count(F.lit(1)).alias("n_features"))
+    return rows.join(counts, "_row", "left").drop("_row").withColumn("n_features", F.coalesce("n_features", F.lit(0)))
+
+
 def containment_join(outer: DataFrame, inner: DataFrame, strict: bool = False) -> DataFrame:
     """Pairs where the first interval contains the second; ``strict`` asks for room at both ends."""
     pairs = overlap_join(outer, inner)

@@ -33,6 +33,47 @@ def kmer_codes(code: np.ndarray, k: int, mates: bool = False) -> np.ndarray:
     return out
 
 
+def counted_kmers(keys: list[pa.Array], texts: pa.Array, k: int, most: int = 1 << 20):
+    """(row with the keys, k-mer, how often it starts, rows that hold it) for the texts of a batch, summed over rows of
+    equal keys; in several parts where more than about ``most`` k-mers are open."""
+    numbers: dict[tuple, int] = {}
+    first, held, size = [], [], 0
+    odd: dict[tuple[int, str], list[int]] = {}
+
+    def told():
+        group, code, n = (np.concatenate([h[c] for h in held] or [np.zeros(0, np.int64)]) for c in range(3))
+        order = np.lexsort((code, group))
+        group, code, n = group[order], code[order], n[order]
+        new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (code[1:] != code[:-1])]) if len(code) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(n, new) if len(new) else n
+        letters = np.frombuffer(b"ACGT", dtype="S1")[(code[new, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
+        words = [w.decode() for w in np.ascontiguousarray(letters).view(f"S{k}").ravel().tolist()] + [w for _, w in odd]
+        rows = np.r_[np.array(first, dtype=np.int64)[group[new]], np.array([first[g] for g, _ in odd], dtype=np.int64)]
+        rest = np.array([*odd.values()], dtype=np.int64).reshape(-1, 2)
+        return pa.array(rows), pa.array(words, pa.string()), pa.array(np.r_[sums, rest[:, 0]]), pa.array(np.r_[np.diff(np.r_[new, len(code)]), rest[:, 1]])
+
+    for i, text in enumerate(texts.to_pylist()):
+        at = tuple(c[i].as_py() for c in keys)
+        if at not in numbers:
+            numbers[at] = len(first)
+            first.append(i)
+        codes = kmer_codes(coded(text), k)
+        code, n = np.unique(codes[codes >= 0], return_counts=True)
+        held.append((np.full(len(code), numbers[at]), code, n))
+        size += len(code)
+        seen = set()
+        for p in np.flatnonzero(codes < 0).tolist():
+            both = odd.setdefault((numbers[at], text[p : p + k]), [0, 0])
+            both[0] += 1
+            both[1] += text[p : p + k] not in seen
+            seen.add(text[p : p + k])
+        if size > most:
+            yield told()
+            numbers, first, held, size, odd = {}, [], [], 0, {}
+    if size or odd:
+        yield told()
+
+
 def scan(seqs: DataFrame, schema: str, names: list[str], find: Callable[[str], list[np.ndarray]], key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """Rows (key, *names) of what ``find`` gives for each sequence: one array a name, of equal lengths."""
     kind = dict(seqs.dtypes)[key]

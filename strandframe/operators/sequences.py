@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import bases
 
-from .intervals import overlap_join
 from .storage import materialize
 
 
+PIECE = 4096
+
+
+def pieces(chunks: DataFrame, size: int = PIECE) -> DataFrame:
+    """Chunks (chrom, chunk_start, seq) cut where a position is a multiple of ``size``: chrom, bin, at, piece. Each base is
+    in one row, whatever the length of its chunk."""
+    head = (size - F.pmod(F.col("chunk_start"), F.lit(size))).cast("int")
+    rest = F.regexp_extract_all(F.substr(F.col("seq"), head + 1), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    cut = F.concat(F.array(F.substr(F.col("seq"), F.lit(1), head)), rest)
+    rows = chunks.filter("length(seq) > 0").select("chrom", "chunk_start", F.posexplode(cut).alias("_i", "piece"))
+    number = F.floor(F.col("chunk_start") / size) + F.col("_i")
+    return rows.select("chrom", number.alias("bin"), F.greatest(number * size, F.col("chunk_start")).alias("at"), "piece")
+
+
 def interval_sequences(intervals: DataFrame, chunks: DataFrame, upstream: int = 0, downstream: int = 0) -> DataFrame:
     """``intervals`` (chrom, start_pos, end_pos, strand) with seq: the reference between the ends and flanks, reverse
     complemented on strand '-'. Chunks (chrom, chunk_start, seq) lie end to end; what lies outside them is left out,
-    an interval with no base inside has a null."""
+    an interval with no base inside has a null. The reference is shuffled once, in pieces; an interval's ends go to each
+    piece that it meets."""
     rows = materialize(intervals.withColumn("_row", F.monotonically_increasing_id()))
     plus = F.col("strand") != "-"
-    asked = rows.select("_row", "chrom", (F.col("start_pos") - F.when(plus, upstream).otherwise(downstream)).alias("start_pos"), (F.col("end_pos") + F.when(plus, downstream).otherwise(upstream)).alias("end_pos"))
-    held = chunks.select("chrom", F.col("chunk_start").alias("start_pos"), (F.col("chunk_start") + F.length("seq") - 1).alias("end_pos"), "seq")
-    pairs = overlap_join(asked, held)
-    first = F.greatest("a_start_pos", "b_start_pos")
-    part = F.substr("b_seq", (first - F.col("b_start_pos") + 1).cast("int"), (F.least("a_end_pos", "b_end_pos") - first + 1).cast("int"))
-    whole = pairs.groupBy("a__row").agg(F.array_sort(F.collect_list(F.struct(first.alias("at"), part.alias("part")))).alias("parts"))
-    joined = whole.select(F.col("a__row").alias("_row"), F.array_join(F.col("parts.part"), "").alias("seq"))
+    first = F.col("start_pos") - F.when(plus, upstream).otherwise(downstream)
+    last = F.col("end_pos") + F.when(plus, downstream).otherwise(upstream)
+    asked = rows.select("_row", "chrom", first.alias("_from"), last.alias("_to")).filter("_from <= _to")
+    asked = asked.withColumn("bin", F.explode(F.sequence(F.floor(F.col("_from") / PIECE), F.floor(F.col("_to") / PIECE))))
+    met = asked.join(pieces(chunks), ["chrom", "bin"]).filter((F.col("_from") < F.col("at") + F.length("piece")) & (F.col("_to") >= F.col("at")))
+    low = F.greatest("_from", "at")
+    part = F.substr("piece", (low - F.col("at") + 1).cast("int"), (F.col("_to") - low + 1).cast("int"))
+    whole = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("part")))).alias("parts"))
+    joined = whole.select("_row", F.array_join(F.col("parts.part"), "").alias("seq"))
     out = rows.join(joined, "_row", "left").drop("_row")
     return out.withColumn("seq", F.when(F.col("strand") == "-", bases.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
 
@@ -46,15 +63,32 @@ def top_kmers(seqs: DataFrame, k: int, n: int = 3) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def kmer_counts(seqs: DataFrame, k: int, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
+    """(keys, kmer, n, n_seqs): how often each k-mer starts in the sequences, and how many of them hold it.
+
+    Each Arrow batch is counted before a row leaves it: a k-mer of A, C, G and T is a number of 2 * k bits (k up to 31),
+    so a batch sends one row for each k-mer and combination of ``keys`` that it has. K-mers with other letters are kept as
+    they are spelled. Rows with a null sequence hold none."""
+    from .scans import counted_kmers
+
+    keys = keys or []
+
+    def count(batches):
+        for batch in batches:
+            for rows, words, n, n_seqs in counted_kmers(batch.columns[: len(keys)], batch.column(len(keys)), k):
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[: len(keys)]), words, n, n_seqs], [*keys, "kmer", "n", "n_seqs"])
+
+    kinds = dict(seqs.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "kmer string, n long, n_seqs long"])
+    parts = seqs.select(*keys, F.col(seq)).filter(F.col(seq).isNotNull()).mapInArrow(count, schema)
+    return parts.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"), F.sum("n_seqs").alias("n_seqs"))
+
+
 def universal_motifs(seqs: DataFrame, k: int, least: float) -> DataFrame:
     """k-mers that at least that share of all sequences holds: n_seqs, n, prevalence."""
-    total = seqs.count()
-    words = F.transform(bases.kmers(F.col("seq"), k), lambda x: x["kmer"])
-    # a sequence's k-mers are told apart in its row: the first of each counts for the sequence, all for the total
-    firsts = seqs.select(F.explode(F.array_distinct(words)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n_seqs"))
-    every = seqs.select(F.explode(words).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    out = firsts.filter(F.col("n_seqs") >= least * max(1, total)).join(every, "kmer")
-    return out.withColumn("prevalence", F.col("n_seqs") / F.lit(max(1, total))).filter(F.col("prevalence") >= least)
+    total = max(1, seqs.count())
+    out = kmer_counts(seqs, k).filter(F.col("n_seqs") >= least * total)
+    return out.select("kmer", "n_seqs", "n", (F.col("n_seqs") / F.lit(total)).alias("prevalence")).filter(F.col("prevalence") >= least)
 
 
 def transitions(seqs: DataFrame, k: int, ahead: int) -> DataFrame:

@@ -237,10 +237,11 @@ def set_ordered_union(v):
     return both.select("chrom", "start_pos", "end_pos", "feature_type").orderBy("chrom", "start_pos", "end_pos")
 
 
-@query("set_names", "SELECT name FROM v_features WHERE chrom = '1' UNION SELECT name FROM v_features WHERE chrom = '2'")
+@query("set_names", "SELECT chrom, name FROM v_features WHERE feature_type = 'gene' UNION SELECT chrom, name FROM v_features WHERE source = 'repeats'")
 def set_names(v):
-    one, two = (v.features.filter(F.col("chrom") == c).select("name") for c in "12")
-    return one.union(two).distinct()
+    """Names of every chromosome that genes or repeats have, each once."""
+    genes, repeats = (v.features.filter(c).select("chrom", "name") for c in ("feature_type = 'gene'", "source = 'repeats'"))
+    return genes.union(repeats).distinct()
 
 
 @query("join_novel_names", "SELECT DISTINCT name FROM v_features f WHERE feature_type = 'CDS' AND NOT EXISTS (SELECT 1 FROM v_features g WHERE g.feature_type = 'gene' AND g.name = f.name)")

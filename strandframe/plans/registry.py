@@ -25,3 +25,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return enter
+
+
+def also(name: str, of: str) -> None:
+    """Enter a query under an earlier name too."""
+    QUERIES[name], SQL[name] = QUERIES[of], SQL[of]

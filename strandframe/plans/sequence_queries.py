@@ -9,7 +9,7 @@ from strandframe.functions import bases
 from strandframe.operators import scans
 from strandframe.operators import sequences as sq
 
-from .registry import query
+from .registry import also, query
 
 KMER = "SELECT seq_id, grp, p AS pos, substr(seq, CAST(p + 1 AS INT), {k}) AS kmer FROM (SELECT *, unnest(range(length(seq) - {k} + 1)) AS p FROM v_sequences)"
 
@@ -76,7 +76,7 @@ def seq_tiles_gc(v):
 
 @query("agg_kmer_counts", f"SELECT grp, kmer, count(*) AS n FROM ({KMER.format(k=5)}) GROUP BY grp, kmer")
 def agg_kmer_counts(v):
-    return sq.kmer_table(v.sequences.select("grp", "seq"), 5).groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    return sq.kmer_counts(v.sequences, 5, ["grp"]).select("grp", "kmer", "n")
 
 
 @query("agg_top_kmers", f"SELECT seq_id, kmer, n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY n DESC, kmer) AS r FROM (SELECT seq_id, kmer, count(*) AS n FROM ({KMER.format(k=4)}) GROUP BY 1, 2)) WHERE r <= 3")
@@ -188,14 +188,6 @@ def join_interval_sequence(v):
     return sq.interval_sequences(genes, v.ref_chunks).filter("seq is not null").select("chrom", "start_pos", "end_pos", "name", "seq")
 
 
-@query("join_interval_sequence_whole", """WITH g AS (SELECT chrom, string_agg(seq, '' ORDER BY chunk_id) AS whole FROM v_ref_chunks GROUP BY chrom),
-c AS (SELECT a.*, substr(whole, CAST(start_pos AS INT), CAST(end_pos - start_pos + 1 AS INT)) AS s FROM v_features a JOIN g ON a.chrom = g.chrom WHERE feature_type = 'gene')
-SELECT chrom, start_pos, end_pos, name, CASE WHEN strand = '-' THEN reverse(translate(s, 'ATGC', 'TACG')) ELSE s END AS seq FROM c WHERE s <> ''""")
-def join_interval_sequence_whole(v):
-    genes = v.features.filter("feature_type = 'gene'")
-    return sq.interval_sequences(genes, v.ref_chunks).filter("seq is not null").select("chrom", "start_pos", "end_pos", "name", "seq")
-
-
 @query("agg_quantity_map", """WITH t AS (SELECT chrom, chunk_start, unnest(range((chunk_start - 1) // 1024, (chunk_start + length(seq) - 2) // 1024 + 1)) AS win, seq FROM v_ref_chunks),
 p AS (SELECT chrom, win, substr(seq, CAST(greatest(win * 1024 + 1, chunk_start) - chunk_start + 1 AS INT), CAST(least((win + 1) * 1024, chunk_start + length(seq) - 1) - greatest(win * 1024 + 1, chunk_start) + 1 AS INT)) AS s FROM t),
 g AS (SELECT chrom, win, sum(length(s)) AS n_bases, round(sum(length(s) - length(translate(s, 'GC', ''))) / sum(length(s)), 9) AS gc FROM p GROUP BY 1, 2),
@@ -203,10 +195,8 @@ f AS (SELECT chrom, unnest(range((start_pos - 1) // 1024, (end_pos - 1) // 1024
 SELECT g.chrom, g.win, CAST(n_bases AS BIGINT) AS n_bases, gc, (SELECT count(*) FROM f WHERE f.chrom = g.chrom AND f.win = g.win AND feature_type = 'gene') AS genes, (SELECT count(*) FROM f WHERE f.chrom = g.chrom AND f.win = g.win AND feature_type = 'exon') AS exons FROM g""")
 def agg_quantity_map(v):
     size = 1024
-    end = F.col("chunk_start") + F.length("seq") - 1
-    cut = v.ref_chunks.withColumn("win", F.explode(F.sequence(F.floor((F.col("chunk_start") - 1) / size), F.floor((end - 1) / size))))
-    first, last = F.greatest(F.col("win") * size + 1, F.col("chunk_start")), F.least((F.col("win") + 1) * size, end)
-    parts = cut.select("chrom", "win", F.substr("seq", (first - F.col("chunk_start") + 1).cast("int"), (last - first + 1).cast("int")).alias("s"))
+    shifted = v.ref_chunks.withColumn("chunk_start", F.col("chunk_start") - 1)  # windows are counted from the first base
+    parts = sq.pieces(shifted, size).select("chrom", F.col("bin").alias("win"), F.col("piece").alias("s"))
     tracks = parts.groupBy("chrom", "win").agg(F.sum(F.length("s")).alias("n_bases"), F.round(F.sum(bases.count_of(F.col("s"), "GC")) / F.sum(F.length("s")), 9).alias("gc"))
     touched = v.features.withColumn("win", F.explode(F.sequence(F.floor((F.col("start_pos") - 1) / size), F.floor((F.col("end_pos") - 1) / size))))
     counts = touched.groupBy("chrom", "win").agg(F.count_if(F.col("feature_type") == "gene").alias("genes"), F.count_if(F.col("feature_type") == "exon").alias("exons"))
@@ -242,12 +232,6 @@ def join_motif_graph(v):
     return sq.motif_graph(words)
 
 
-@query("join_motif_graph_whole", """WITH m AS (SELECT DISTINCT kmer AS m FROM (SELECT unnest(regexp_extract_all(seq, '.{5}')) AS kmer FROM v_sequences))
-SELECT a.m AS a, b.m AS b FROM m a JOIN m b ON a.m < b.m AND levenshtein(a.m, b.m) = 1""")
-def join_motif_graph_whole(v):
-    return sq.motif_graph(v.sequences.select(F.explode(bases.words(F.col("seq"), 5)).alias("motif")))
-
-
 @query("fn_hamming", """WITH t AS (SELECT seq_id, unnest(ps) AS a, generate_subscripts(ps, 1) AS i, ps FROM (SELECT seq_id, regexp_extract_all(seq, '.{20}') AS ps FROM v_sequences)), p AS (SELECT seq_id, i, a, ps[i + 1] AS b FROM t WHERE i < len(ps))
 SELECT seq_id, hamming(a, b) AS d, count(*) AS n FROM p GROUP BY 1, 2""")
 def fn_hamming(v):
@@ -255,3 +239,7 @@ def fn_hamming(v):
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     rows = v.sequences.filter("length(seq) >= 40").select("seq_id", F.inline(pairs))
     return rows.groupBy("seq_id", bases.hamming(F.col("a"), F.col("b")).cast("long").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+
+
+also("join_interval_sequence_whole", "join_interval_sequence")
+also("join_motif_graph_whole", "join_motif_graph")

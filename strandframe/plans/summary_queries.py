@@ -12,9 +12,9 @@ from strandframe.operators.ordered import running
 from .registry import query
 
 
-@query("agg_length_map", "SELECT length(ref) - 1 AS ref_extra, length(alt) - 1 AS alt_extra, count(*) AS n FROM v_variants GROUP BY 1, 2")
+@query("agg_length_map", "SELECT length(ref) - 1 AS ref_extra, length(alt) - 1 AS alt_extra, count(*) AS n FROM v_indels GROUP BY 1, 2")
 def agg_length_map(v):
-    return v.variants.groupBy((F.length("ref") - 1).cast("long").alias("ref_extra"), (F.length("alt") - 1).cast("long").alias("alt_extra")).agg(F.count(F.lit(1)).alias("n"))
+    return v.indels.groupBy((F.length("ref") - 1).cast("long").alias("ref_extra"), (F.length("alt") - 1).cast("long").alias("alt_extra")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_quality", "SELECT chrom, count(*) AS n, round(avg(qual), 6) AS mean, round(stddev_pop(qual), 6) AS sd, round(median(qual), 6) AS median, min(qual) AS least, max(qual) AS most FROM v_variants GROUP BY chrom")
@@ -22,12 +22,14 @@ def agg_quality(v):
     return v.variants.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("qual"), 6).alias("mean"), F.round(F.stddev_pop("qual"), 6).alias("sd"), F.round(F.median("qual"), 6).alias("median"), F.min("qual").alias("least"), F.max("qual").alias("most"))
 
 
-@query("agg_long_variants", """SELECT x.chrom, x.pos, length(alt) - length(ref) AS delta, count(f.chrom) AS n_features FROM v_variants x
-LEFT JOIN v_features f ON x.chrom = f.chrom AND x.pos BETWEEN f.start_pos AND f.end_pos WHERE abs(length(alt) - length(ref)) > 1 GROUP BY x.chrom, x.pos, alt, ref""")
+@query("agg_long_variants", """WITH x AS (SELECT *, row_number() OVER () AS k FROM v_indels WHERE abs(length(alt) - length(ref)) > 1)
+SELECT x.chrom, x.pos, x.ref, x.alt, length(alt) - length(ref) AS delta, count(f.chrom) AS n_features FROM x
+LEFT JOIN v_features f ON x.chrom = f.chrom AND x.pos BETWEEN f.start_pos AND f.end_pos GROUP BY k, x.chrom, x.pos, x.ref, x.alt""")
 def agg_long_variants(v):
-    long_ = v.variants.filter("abs(length(alt) - length(ref)) > 1")
-    hits = iv.point_join(long_, v.features).groupBy(F.col("a_chrom").alias("chrom"), F.col("a_pos").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
-    return long_.join(hits, ["chrom", "pos"], "left").select("chrom", "pos", (F.length("alt") - F.length("ref")).cast("long").alias("delta"), F.coalesce("n", F.lit(0)).alias("n_features"))
+    """Each variant that changes the length by more than one, with the features over its place; several may share one."""
+    long_ = v.indels.filter("abs(length(alt) - length(ref)) > 1")
+    counted = iv.covering_counts(long_, v.features)
+    return counted.select("chrom", "pos", "ref", "alt", (F.length("alt") - F.length("ref")).cast("long").alias("delta"), "n_features")
 
 
 @query("agg_substitutions", "SELECT ref || alt AS change, count(*) AS n, round(avg(qual), 6) AS mean_qual FROM v_variants WHERE length(ref) = length(alt) GROUP BY 1")
@@ -97,15 +99,25 @@ def te_name_counts(v):
     return v.te_names.agg(*[F.sum(F.contains("name", F.lit(x)).cast("long")).alias(x.lower()) for x in ("Alu", "L1", "MIR")])
 
 
-@query("fn_overlap_length", """SELECT chrom, start_pos, end_pos, greatest(least(end_pos, 60000) - greatest(start_pos, 20000), 0) AS shared FROM v_features WHERE chrom = '9'""")
+REGIONS = "(VALUES ('1', 100, 5000), ('9', 20000, 60000), ('9', 50000, 50010), ('24', 1, 1000000000)) AS t(chrom, from_pos, to_pos)"
+
+
+@query("fn_overlap_length", f"""SELECT f.chrom, start_pos, end_pos, from_pos, to_pos, greatest(least(end_pos, to_pos) - greatest(start_pos, from_pos), 0) AS shared FROM v_features f JOIN {REGIONS} ON f.chrom = t.chrom
+UNION ALL SELECT chrom, start_pos, end_pos, NULL, NULL, 0 FROM v_features WHERE chrom NOT IN (SELECT chrom FROM {REGIONS})""")
 def fn_overlap_length(v):
-    return v.features.filter("chrom = '9'").select("chrom", "start_pos", "end_pos", F.greatest(F.least("end_pos", F.lit(60000)) - F.greatest("start_pos", F.lit(20000)), F.lit(0)).alias("shared"))
+    """What every feature shares with each asked region of its chromosome; a feature without one shares nothing."""
+    regions = v.spark.sql(f"SELECT chrom, CAST(from_pos AS LONG) AS from_pos, CAST(to_pos AS LONG) AS to_pos FROM {REGIONS}")
+    rows = v.features.select("chrom", "start_pos", "end_pos").join(regions, "chrom", "left")
+    shared = F.greatest(F.least("end_pos", "to_pos") - F.greatest("start_pos", "from_pos"), F.lit(0))
+    return rows.withColumn("shared", F.when(F.col("from_pos").isNull(), F.lit(0)).otherwise(shared).cast("long"))
 
 
-@query("fn_variant_kind", """SELECT chrom, pos, ref, alt, length(alt) - length(ref) AS delta, CASE WHEN length(alt) = length(ref) THEN 'SNV' WHEN length(alt) > length(ref) THEN 'insertion' ELSE 'deletion' END AS kind FROM v_variants""")
+@query("fn_variant_kind", """SELECT chrom, pos, ref, alt, genotype, length(alt) - length(ref) AS delta, CASE WHEN length(alt) = length(ref) THEN 'SNV' WHEN length(alt) > length(ref) THEN 'insertion' ELSE 'deletion' END AS kind,
+  CASE WHEN genotype IN ('0/0', '0|0') THEN 'absent' WHEN split_part(replace(genotype, '|', '/'), '/', 1) = split_part(replace(genotype, '|', '/'), '/', 2) THEN 'homozygous' ELSE 'heterozygous' END AS zygosity FROM v_indels""")
 def fn_variant_kind(v):
     delta = (F.length("alt") - F.length("ref")).cast("long")
-    return v.variants.select("chrom", "pos", "ref", "alt", delta.alias("delta"), F.when(delta == 0, "SNV").when(delta > 0, "insertion").otherwise("deletion").alias("kind"))
+    kind = F.when(delta == 0, "SNV").when(delta > 0, "insertion").otherwise("deletion")
+    return v.indels.select("chrom", "pos", "ref", "alt", "genotype", delta.alias("delta"), kind.alias("kind"), bases.zygosity(F.col("genotype")).alias("zygosity"))
 
 
 @query("agg_track", "SELECT chrom, (pos - 1) // 4096 AS bin_id, CAST(avg(qual) AS FLOAT) AS value FROM v_variants GROUP BY 1, 2 HAVING abs(avg(qual)) > 1e-9")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.operators.ordered import running
+from strandframe.operators.storage import materialize
 
 VIEWS = {
     "v_contigs": """
@@ -31,6 +32,11 @@ SELECT CAST(user_id % 24 + 1 AS STRING) AS chrom, event_id * 15 + 1 AS pos,
        substr('GCATTA', CAST(event_id % 4 AS INT) + 1, CAST(user_id % 3 AS INT) + 1) AS alt,
        value AS qual, event_type AS variant_class
 FROM events""",
+    "v_indels": """
+SELECT chrom, pos, substr(concat(ref, 'GATTACA'), 1, CAST(pos % 7 AS INT) + 1) AS ref, ref AS alt, qual, concat(pos % 2, '/', pos % 3 % 2) AS genotype
+FROM v_variants WHERE pos % 7 > 0
+UNION ALL
+SELECT chrom, pos, ref, concat(alt, substr('CCGGTT', 1, CAST(pos % 4 AS INT))) AS alt, qual, '1|1' AS genotype FROM v_variants""",
     "v_sequences": """
 SELECT doc_id AS seq_id, lang AS grp, source,
        translate(upper(regexp_replace(text, '[^A-Za-z]', ''{g})), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ATGCATGCATGCATGCATGCATGCAT') AS seq
@@ -67,8 +73,8 @@ SELECT motif_id, pos, base, CAST(cnt AS DOUBLE) AS cnt FROM (VALUES
  ('M2',0,'A',0),('M2',0,'C',20),('M2',0,'G',0),('M2',0,'T',0),('M2',1,'A',10),('M2',1,'C',0),('M2',1,'G',10),('M2',1,'T',0),
  ('M2',2,'A',0),('M2',2,'C',0),('M2',2,'G',20),('M2',2,'T',0)) AS t(motif_id, pos, base, cnt)""",
 }
-BASE = {"v_contigs": ["orders"], "v_features": ["lineitem"], "v_variants": ["events"], "v_sequences": ["documents"], "v_ref_chunks": ["documents"], "v_exons": ["lineitem"], "v_gene_info": ["part"], "v_te_names": ["part"], "v_pwm": []}
-NEEDS = {"v_ref_chunks": ["v_sequences"]}
+BASE = {"v_contigs": ["orders"], "v_features": ["lineitem"], "v_variants": ["events"], "v_indels": ["events"], "v_sequences": ["documents"], "v_ref_chunks": ["documents"], "v_exons": ["lineitem"], "v_gene_info": ["part"], "v_te_names": ["part"], "v_pwm": []}
+NEEDS = {"v_indels": ["v_variants"], "v_ref_chunks": ["v_sequences"]}
 
 
 def duck(sql: str) -> str:
@@ -113,17 +119,22 @@ class Views:
     def variants(self) -> DataFrame:
         return self.view("v_variants")
 
+    @cached_property
+    def indels(self) -> DataFrame:
+        return self.view("v_indels")
+
     @cached_property
     def sequences(self) -> DataFrame:
         return self.view("v_sequences")
 
     @cached_property
     def ref_chunks(self) -> DataFrame:
-        """The rows of v_ref_chunks: lengths alone are summed up, over ranges, and the texts are joined back."""
-        held = self.sequences.filter("length(seq) > 0").selectExpr("CAST(seq_id % 24 + 1 AS STRING) AS chrom", "seq_id AS chunk_id", "seq")
-        placed = running(held.select("chrom", "chunk_id", F.length("seq").alias("n")), ["chrom"], ["chunk_id"], {"before": ("sum", F.col("n"))})
+        """The rows of v_ref_chunks: texts are stored once with their lengths, which alone are summed up, over ranges."""
+        held = self.sequences.selectExpr("CAST(seq_id % 24 + 1 AS STRING) AS chrom", "seq_id AS chunk_id", "seq").withColumn("n", F.length("seq"))
+        held = materialize(held.filter("n > 0"))
+        placed = running(held.select("chrom", "chunk_id", "n"), ["chrom"], ["chunk_id"], {"before": ("sum", F.col("n"))})
         placed = placed.select("chunk_id", (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("chunk_start"))
-        return held.join(placed, "chunk_id").select("chrom", "chunk_id", "seq", "chunk_start")
+        return held.join(placed.hint("shuffle_hash"), "chunk_id").select("chrom", "chunk_id", "seq", "chunk_start")
 
     @cached_property
     def exons(self) -> DataFrame:
