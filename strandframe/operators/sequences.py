@@ -45,6 +45,11 @@ def interval_sequences(intervals: DataFrame, chunks: DataFrame, upstream: int =
     return out.withColumn("seq", F.when(F.col("strand") == "-", bases.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
 
 
+def subfeature_sequences(subfeatures: DataFrame, chunks: DataFrame, without: tuple[str, ...] = ("intron", "variant"), kind: str = "kind") -> DataFrame:
+    """Sequences in reading direction of sub-features of every kind but ``without``; those outside the reference go."""
+    return interval_sequences(subfeatures.filter(~F.col(kind).isin(*without)), chunks).filter("seq is not null and seq <> ''")
+
+
 def tiles(seqs: DataFrame, size: int, seq: str = "seq") -> DataFrame:
     """Windows of ``size`` bases laid end to end over each sequence: win (from 0), piece; the last may be shorter."""
     cut = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))

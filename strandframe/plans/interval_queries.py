@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandframe.operators.coding import cds_features
 from strandframe.operators import intervals as iv
 from strandframe.operators.ordered import running
 
@@ -65,9 +66,11 @@ def rel_window_coordinates(v):
 
 @query("rel_cds", f"SELECT {COLS} FROM v_features WHERE feature_type = 'CDS' UNION ALL SELECT chrom, start_pos + 1, end_pos - 1, 'CDS', source, name FROM v_features WHERE feature_type = 'gene' AND end_pos - start_pos > 30")
 def rel_cds(v):
-    own = v.features.filter("feature_type = 'CDS'").selectExpr(*COLS.split(", "))
-    made = v.features.filter("feature_type = 'gene' and end_pos - start_pos > 30").selectExpr("chrom", "start_pos + 1 as start_pos", "end_pos - 1 as end_pos", "'CDS' as feature_type", "source", "name")
-    return own.unionByName(made)
+    """CDS rows, and those made for genes of more than 30 bases, whose coding part begins and ends one base within."""
+    long_ = F.col("end_pos") - F.col("start_pos") > 30
+    kind = F.when(F.col("feature_type") == "gene", "transcript").otherwise(F.col("feature_type"))
+    rows = v.features.withColumns({"feature_type": kind, "cds_start": F.when(long_, F.col("start_pos") + 1), "cds_end": F.when(long_, F.col("end_pos") - 1)})
+    return cds_features(rows).withColumn("name", F.coalesce("name", "parent")).selectExpr(*COLS.split(", "))
 
 
 @query("join_overlap", """SELECT a.chrom, a.start_pos AS gene_start, a.end_pos AS gene_end, a.name AS gene, b.start_pos, b.end_pos, b.name

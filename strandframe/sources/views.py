@@ -56,6 +56,10 @@ SELECT CAST(l_orderkey AS STRING) AS gene_name, CAST(l_orderkey % 24 + 1 AS STRI
             ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) + CAST(l_quantity AS BIGINT) - 1 AS end_pos,
        CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand
 FROM lineitem""",
+    "v_segments": """
+SELECT CAST(l_orderkey AS STRING) AS transcript, CAST(l_orderkey % 24 + 1 AS STRING) AS chrom, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
+       (l_orderkey % 960 - l_orderkey % 24) * 12 + 60 * n AS start_pos, (l_orderkey % 960 - l_orderkey % 24) * 12 + 60 * n + CAST(l_quantity AS BIGINT) - 1 AS end_pos
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) x""",
     "v_gene_info": """
 SELECT CAST(p_partkey AS STRING) AS name, p_name AS description, p_type AS type_of_gene, p_brand AS map_location FROM part""",
     "v_te_names": """
@@ -73,7 +77,7 @@ SELECT motif_id, pos, base, CAST(cnt AS DOUBLE) AS cnt FROM (VALUES
  ('M2',0,'A',0),('M2',0,'C',20),('M2',0,'G',0),('M2',0,'T',0),('M2',1,'A',10),('M2',1,'C',0),('M2',1,'G',10),('M2',1,'T',0),
  ('M2',2,'A',0),('M2',2,'C',0),('M2',2,'G',20),('M2',2,'T',0)) AS t(motif_id, pos, base, cnt)""",
 }
-BASE = {"v_contigs": ["orders"], "v_features": ["lineitem"], "v_variants": ["events"], "v_indels": ["events"], "v_sequences": ["documents"], "v_ref_chunks": ["documents"], "v_exons": ["lineitem"], "v_gene_info": ["part"], "v_te_names": ["part"], "v_pwm": []}
+BASE = {"v_contigs": ["orders"], "v_features": ["lineitem"], "v_variants": ["events"], "v_indels": ["events"], "v_sequences": ["documents"], "v_ref_chunks": ["documents"], "v_exons": ["lineitem"], "v_segments": ["lineitem"], "v_gene_info": ["part"], "v_te_names": ["part"], "v_pwm": []}
 NEEDS = {"v_indels": ["v_variants"], "v_ref_chunks": ["v_sequences"]}
 
 
@@ -140,6 +144,10 @@ class Views:
     def exons(self) -> DataFrame:
         return self.view("v_exons")
 
+    @cached_property
+    def segments(self) -> DataFrame:
+        return self.view("v_segments")
+
     @cached_property
     def gene_info(self) -> DataFrame:
         return self.view("v_gene_info")
