@@ -1,7 +1,6 @@
 """Near-duplicate documents by one-permutation MinHash with optimal densification.
 
-A document is the set of its word shingles' 64-bit hashes. Documents with equal sets form a class, which its smallest
-id stands for. One hash function deals the set over bins; a bin's value is the smallest hash in it, and an empty bin
+A document is the set of its word shingles' 64-bit hashes. Documents with equal sets form a class, one node of the graph. One hash function deals the set over bins; a bin's value is the smallest hash in it, and an empty bin
 takes the value of a filled one picked by its own random walk (Shrivastava, 2017). Bands of bins give bucket keys.
 Within a bucket only a star of edges is a candidate: from the member that shares the most buckets with others, in a
 family of copies the one they were made from, to each of the rest. Candidates are confirmed on the full sets. Only
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.graph import components
 
-from .common import byte_slices, give_back, materialize, table
+from .common import byte_slices, give_back, materialize, table, tasks_for
 
 BIN_BITS = 7
 ROWS, BANDS = 5, 25
@@ -138,17 +137,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, shingles, low) of the wanted nodes, from their whole texts; low has the upper halves of the lowest hashes."""
+    """(node, shingles, low) of the wanted nodes (node, least_id, hi, lo), from the whole texts of the rows with their least
+    id; of texts that share that id only the one whose set is the node's. low has the upper halves of the lowest hashes."""
 
     def sets(batches):
+        import xxhash
+
         for batch in batches:
             for at, n in byte_slices(batch.column(1)):
-                got = shingle_sets(batch.column(1).slice(at, n), words)
-                low = [(s[:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes() for s in got]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([s.tobytes() for s in got], pa.binary()), pa.array(low, pa.binary())], ["node", "shingles", "low"])
+                part = batch.slice(at, n)
+                got = shingle_sets(part.column(1), words)
+                marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in got), dtype=">i8").reshape(-1, 2)
+                own = np.flatnonzero((marks[:, 0] == part.column(2).to_numpy()) & (marks[:, 1] == part.column(3).to_numpy()))
+                low = [(got[i][:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array([got[i].tobytes() for i in own], pa.binary()), pa.array(low, pa.binary())], ["node", "shingles", "low"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string"))
-    return own.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, shingles binary, low binary").groupBy("node").agg(F.max("shingles").alias("shingles"), F.max("low").alias("low"))
+    own = docs.select(F.col(id_col).cast("long").alias("least_id"), F.col(text_col).cast("string").alias("text"))
+    met = own.join(wanted.hint("shuffle_hash"), "least_id").select("node", "text", "hi", "lo")
+    return met.mapInArrow(sets, "node long, shingles binary, low binary").groupBy("node").agg(F.max("shingles").alias("shingles"), F.max("low").alias("low"))
 
 
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -241,14 +247,27 @@ def _across(percent: int, best_only: bool):
 
 
 def _still_apart(entries: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Cells of at most two blocks of the members of those buckets whose members are in several components."""
+    """Cells of at most two blocks of the members of those buckets whose members are in several components.
+
+    Only pairs with a member outside the bucket's largest component matter. Members of that component are sent once for
+    each block of the others, the others to all blocks; so a stray member in a large bucket costs one row a block.
+    """
     member = _with_component(entries, comps)
-    mixed = member.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("band")
-    rest = member.join(mixed, "band", "left_semi").join(nodes, "node")
-    dealt = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    return cells.select("band", "i", "j", "comp", *nodes.columns, (F.col("mine") == F.col("i")).alias("a"), (F.col("mine") == F.col("j")).alias("b"))
+    sizes = materialize(member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("own")))
+    largest = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("own").alias("n"), F.max(F.struct("own", "comp")).alias("top")).filter("comps > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    mixed = largest.select("band", F.col("top.comp").alias("largest"), blocks(F.col("top.own")).alias("many"), blocks(F.col("n") - F.col("top.own")).alias("few"))
+    rest = member.drop("n").join(mixed, "band").join(nodes, "node")
+    inside = F.col("comp") == F.col("largest")
+    mine = F.pmod(F.xxhash64("node"), F.when(inside, F.col("many")).otherwise(F.col("few"))).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda i, j, a, b: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(a).alias("a") if isinstance(a, bool) else a.alias("a"), F.lit(b).alias("b") if isinstance(b, bool) else b.alias("b"))
+    # i < 0: block -1 - i of the largest component meets block j of the others; else two blocks of the others meet
+    of_largest = F.transform(numbers(F.col("few")), lambda r: cell(-1 - F.col("mine"), r, True, False))
+    across = F.transform(numbers(F.col("many")), lambda m: cell(-1 - m, F.col("mine"), False, True))
+    among = F.transform(numbers(F.col("few")), lambda r: cell(F.least(F.col("mine"), r), F.greatest(F.col("mine"), r), F.col("mine") <= r, F.col("mine") >= r))
+    dealt = rest.withColumn("mine", mine).withColumn("cell", F.explode(F.when(inside, of_largest).otherwise(F.concat(across, among))))
+    return dealt.select("band", "cell.i", "cell.j", "comp", *nodes.columns, "cell.a", "cell.b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -256,8 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. component_id is the
     smallest id reachable by links. Documents without words, with a null text or a null id are linked with nothing;
-    a null id has a null component and is kept. Repeated rows are one node, and each keeps its row; texts that share an
-    id but differ are compared by one of them. A link between
+    a null id has a null component and is kept. Repeated rows are one node, and each keeps its row. Rows that share an id
+    but differ are compared each by its own set, and component_id is that of the row. A link between
     different sets of more than 96 shingles is found with probability of about 0.9999 or more at 85 percent (25 bands
     of 5), one of smaller sets always.
     """
@@ -265,9 +284,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
     sketch = materialize(sketches(keyed, "_id", "_text", words, percent))
     full = sketch.filter("n_shingles > 0 and doc is not null")
-    classes = full.groupBy("hi", "lo").agg(F.min("doc").alias("node"))
-    classes = materialize(classes)
-    nodes = full.join(classes, ["hi", "lo"]).filter("doc = node").select("node", "n_shingles", "prints", "bands", "hi", "lo").dropDuplicates(["node", "hi", "lo"])
+    # nodes are numbered in the order of their smallest ids, so the smallest node of a component has its smallest id
+    least = full.groupBy("hi", "lo").agg(F.min("doc").alias("least_id"))
+    dealt = least.repartitionByRange(tasks_for(docs.sparkSession), "least_id", "hi", "lo").sortWithinPartitions("least_id", "hi", "lo")
+    classes = materialize(dealt.withColumn("node", F.monotonically_increasing_id()))
+    nodes = full.join(classes, ["hi", "lo"]).filter("doc = least_id").select("node", "n_shingles", "prints", "bands").dropDuplicates(["node"])
+    nodes = materialize(nodes)
     entries = nodes.select("node", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = materialize(entries.join(shared, "band"))
@@ -278,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialize(stars)
 
     touched = entries.select("node").distinct()
-    sets = materialize(_sets_of(keyed, touched, "_id", "_text", words))
+    sets = materialize(_sets_of(keyed, classes.join(touched, "node", "left_semi"), "_id", "_text", words))
     links = materialize(_confirm(sets, stars, percent))
 
     sketched = materialize(nodes.join(touched, "node", "left_semi").select("node", "n_shingles", "prints", "bands"))
@@ -293,7 +315,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = tried.union(more)
         comps = components(links)
 
-    labelled = _with_component(classes, comps).select("hi", "lo", F.col("comp").alias("component_id"))
+    smallest = classes.select(F.col("node").alias("comp"), F.col("least_id").alias("component_id"))
+    labelled = _with_component(classes, comps).join(smallest, "comp").select("hi", "lo", "component_id")
     out = sketch.select("doc", "n_shingles", "hi", "lo").join(labelled, ["hi", "lo"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc").isNull()
     out = out.withColumn("component_id", F.when(alone, F.col("doc")).otherwise(F.col("component_id")))

@@ -32,10 +32,11 @@ SAMPLE = 16_384  # nodes that the centres of one split are fitted on, at most ab
 SPLIT = 512  # centres of one split, at most; what is still too large is split again
 REGION, LEAF, BLOCK = 32_768, 2000, 2000  # nodes of a region, a shard, a block of a dense shard, at most
 LANE = 16_384  # nodes whose walks one task does, at most about
-OVERLAP, DEPTH = 3, 5
+OVERLAP, WIDEST, DEPTH = 3, 12, 5
 NEAREST, DEGREE, FAR, ALPHA = 48, 16, 2, 1.2
 BEAM, WIDTH, BATCH = 24, 4, 256
 AUDIT_NODES, AIM = 256, 0.99
+MANY_LABELS = 65_536
 
 
 def _can_link(id_col: str, vec_col: str, label_col: str) -> Column:
@@ -426,11 +427,21 @@ def _found(nodes: DataFrame, overlap: int, least: float) -> tuple[DataFrame, int
     graph = graph.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(9)), F.col("lanes")).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
     walks = graph.groupBy("label", "region", "lane").applyInArrow(_search(least), FOUND)
 
+    return materialize(walks.union(_in_cells(members, dense, least))), max(k, m)
+
+
+def _in_cells(members: DataFrame, dense: DataFrame, least: float) -> DataFrame:
+    """Links of dense shards (label, shard, node, copies, v), all pairs of a shard in cells of two blocks."""
     blocks = members.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, ["label", "shard"]).join(dense, "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    exact = dealt.groupBy("label", "shard", "i", "j").applyInArrow(_all_pairs(least), FOUND)
-    return materialize(walks.union(exact)), max(k, m)
+    return dealt.groupBy("label", "shard", "i", "j").applyInArrow(_all_pairs(least), FOUND)
+
+
+def _every_pair(nodes: DataFrame, least: float) -> DataFrame:
+    """All links, each label being one dense shard; for when walks miss too many."""
+    members = nodes.select("label", F.lit(0).cast("long").alias("shard"), "node", "copies", "v")
+    return materialize(_in_cells(members, nodes.select("node", F.array(F.lit(0).cast("long")).alias("dense")), least))
 
 
 # --- auditing ----------------------------------------------------------------------------------------------------
@@ -454,7 +465,8 @@ def _true_links(least: float):
 def _audited(nodes: DataFrame, least: float) -> DataFrame:
     """(node, truth): about AUDIT_NODES nodes of each label and their links among all vectors of it."""
     sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    sized = nodes.join(sizes, "label")
+    few = sizes.count() <= MANY_LABELS  # one row a label goes to every task, so that no label meets in one
+    sized = nodes.join(F.broadcast(sizes) if few else sizes, "label")
     lanes = F.ceil(F.col("n") / LANE).cast("int")
     share = F.least(F.lit(1.0), F.lit(float(AUDIT_NODES)) / F.col("n"))
     some = sized.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
@@ -482,7 +494,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
 
     Recall is that of the walks; no link is wrong. About AUDIT_NODES nodes of each label are compared with all of it:
     audited_links is their true number of links (null elsewhere), so that the sum of n_links over that of audited_links
-    is the recall. Where it is below AIM, the overlap doubles. A split is fitted on about SAMPLE nodes; all are assigned
+    is the recall. Where it is below AIM, the overlap doubles, up to WIDEST; where it is too low even then,
+    all pairs of each label are compared in cells, and the recall is 1. A split is fitted on about SAMPLE nodes; all are assigned
     and searched. A task holds REGION nodes with their lists, or two blocks of a dense shard.
     """
     rows = materialize(_marked_rows(vectors, id_col, vec_col, label_col))
@@ -493,7 +506,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     truth, overlap = _audited(nodes, least), OVERLAP
     while True:
         found, most = _found(nodes, overlap, least)
-        if overlap >= most or _recall(truth, found) >= AIM:
+        if _recall(truth, found) >= AIM:
+            break
+        if overlap >= min(WIDEST, max(1, most // 3)):  # a node is in a third of the centres at most
+            found = _every_pair(nodes, least)
             break
         overlap *= 2
 
@@ -513,7 +529,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings")).drop("audited_links")
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 OP9_SQL = """
@@ -531,5 +547,6 @@ WITH RECURSIVE v AS (
 ), named AS (
   SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
 )
-SELECT n.vec_id, (SELECT count(*) FROM links l WHERE l.a = n.vec_id) AS n_links, component_id, n.vec_id = component_id AS kept FROM named n
-"""
+SELECT n.vec_id, (SELECT count(*) FROM links l WHERE l.a = n.vec_id) AS n_links, component_id, n.vec_id = component_id AS kept,
+  CASE WHEN n.vec_id IN (SELECT vec_id FROM v) THEN (SELECT count(*) FROM links l WHERE l.a = n.vec_id) END AS audited_links FROM named n
+"""  # where a label has no more than AUDIT_NODES rows, all of them are audited

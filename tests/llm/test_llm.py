@@ -459,4 +459,56 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     for x in out:
         total[x["sequence_id"]] += x["length"]
     assert out and max(total.values()) <= 2048 and len(total) <= -(-sum(total.values()) // 2048) + 1
-    assert hashlib.sha256(b"").hexdigest()
+
+
+# --- rows that share an id, audits, clashing columns -----------------------------------------------------------------
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    r = random.Random(31)
+    a, b = words(r, 300), words(r, 300)
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, a + " more", "en", "s"), (3, b + " more", "en", "s"), (4, words(r, 300), "en", "s"), (1, a, "en", "s")]
+    got = Counter((x["doc"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == Counter({(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 1, (4, 4, True): 1})
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+    alone = minhash.near_duplicates(spark.createDataFrame([(1, None, "en", "s"), (2, "", "en", "s"), (None, "a b c d e f", "en", "s")], DOCS)).collect()
+    assert sorted(((x["doc"], x["component_id"], x["kept"]) for x in alone), key=str) == sorted([(1, 1, True), (2, 2, True), (None, None, True)], key=str)
+
+
+def test_stray_members_of_a_large_bucket_cost_a_row_a_block(spark, monkeypatch):
+    """1200 members of one component and 3 strays: no square of the bucket is sent out, and a stray's link is found."""
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    entries = spark.range(1203).select(F.col("id").alias("node"), F.lit(5).cast("long").alias("band"), F.lit(1203).cast("long").alias("n"))
+    comps = spark.range(1200).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+    nodes = spark.range(1203).select(F.col("id").alias("node"), F.lit(10).cast("long").alias("n_shingles"))
+    cells = minhash._still_apart(entries, nodes, comps).collect()
+    assert len(cells) == 1200 + 3 * 12 + 3
+    met = defaultdict(set)
+    for c in cells:
+        met[c["i"], c["j"]].add((c["node"], c["a"], c["b"]))
+    pairs = {(min(x[0], y[0]), max(x[0], y[0])) for own in met.values() for x in own for y in own if x[0] != y[0] and ((x[1] and y[2]) or (x[2] and y[1]))}
+    assert {(i, s) for i in range(1200) for s in range(1200, 1203)} | {(1200, 1201), (1200, 1202), (1201, 1202)} <= pairs
+
+
+def test_an_audit_that_fails_ends_in_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neargraph, "WIDEST", 3)
+    monkeypatch.setattr(neargraph, "BLOCK", 50)
+    monkeypatch.setattr(neargraph, "_recall", lambda truth, found: 0.5)
+    r = np.random.default_rng(14)
+    x = np.concatenate([r.normal(size=16) + 0.15 * r.normal(size=(150, 16)), r.normal(size=(150, 16))])
+    rows = [(i, [float(v) for v in v_], 0, "k") for i, v_ in enumerate(x)]
+    got = {y["vec_id"]: y for y in neargraph.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    true, root = true_links(x, np.zeros(len(x), dtype=int))
+    assert [got[i]["n_links"] for i in range(300)] == true.tolist() and [got[i]["component_id"] for i in range(300)] == root.tolist()
+
+
+def test_columns_named_as_the_new_ones_are_replaced(spark):
+    rows = [(i, 5, "x", "y", "z", "w") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, sequence_id string, offset string, shard string, slot string")
+    out = pack(df, capacity=16)
+    assert dict(out.dtypes)["sequence_id"] == dict(out.dtypes)["offset"] == "bigint" and Counter(x["offset"] for x in out.collect()) == Counter({0: 3, 5: 3, 10: 3})
+    dealt = shard(df, 4)
+    assert dict(dealt.dtypes)["shard"] == "int" and {x["shard"] for x in dealt.collect()} <= {0, 1, 2, 3}
