@@ -40,8 +40,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates: five words, similarity of 0.8 or more."""
-    found = near_duplicates(docs, words=5, percent=80)
+    """The document of smallest id of each group of near-duplicates: five words, similarity of 0.8 or more.
+
+    A document is compared by its text and, where an earlier stage changed that, by its text in ``documents`` too: a near
+    copy that lost most lines to the document it was made from is still told by what it was. It stays if it is the
+    smallest of its group by either. The text before is read once and shuffled by id, for all kept documents; only
+    changed ones go on."""
+    kept = docs.select("doc_id", F.xxhash64("text").alias("_hash"))
+    whole = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = whole.join(kept.hint("shuffle_hash"), "doc_id").filter(F.xxhash64("text") != F.col("_hash")).select("doc_id", "text")
+    found = near_duplicates(docs.select("doc_id", "text").union(materialize(before)), words=5, percent=80)
     return _without(docs, found.filter("not kept").select(F.col("doc").alias("doc_id")))
 
 
