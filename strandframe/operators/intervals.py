@@ -13,7 +13,7 @@ from .ordered import running
 from .storage import materialize
 
 BIN = 4096
-STRETCH = 1 << 17
+LEVELS = 64  # ranks taken one after the other
 
 
 def region(features: DataFrame, chrom: str, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -125,33 +125,33 @@ def density(features: DataFrame, contigs: DataFrame, window: int) -> DataFrame:
 
 
 def greedy_non_overlap(features: DataFrame, rank: Column) -> DataFrame:
-    """Features kept when taken by (rank, start, end) unless they overlap one kept before, per chromosome.
+    """Features kept when taken by (rank, start, end, feature_type, name) unless they overlap one kept before, per
+    chromosome; a null rank comes last.
 
-    Only features of one island can overlap, so islands are folded by themselves, those that begin in one stretch of
-    ``STRETCH`` bases in one group; a feature alone in its island is kept without a fold.
+    Ranks are few: each in turn loses what overlaps the kept ones before it, and a pass along the line chooses among the
+    rest. With more than LEVELS ranks the choice is made in rounds over all overlapping pairs instead. No task holds an
+    island. Features with a null end or an end before the start go.
     """
-    isles = coalesce_intervals(features, ["chrom"], gap=0)
-    placed = overlap_join(features.select("chrom", "start_pos", "end_pos", "feature_type", "name").withColumn("rank", rank), isles)
-    cols = ["chrom", "start_pos", "end_pos", "feature_type", "name", "rank"]
-    rows = placed.select(*[F.col(f"a_{c}").alias(c) for c in cols], F.col("b_n").alias("n"), F.floor(F.col("b_start_pos") / STRETCH).alias("stretch"))
-
-    def fold(pdf):
-        import bisect
-
-        kept, starts, ends = [], [], []
-        pdf = pdf.sort_values(["rank", "start_pos", "end_pos", "feature_type", "name"])
-        for k, (s, e) in enumerate(zip(pdf["start_pos"], pdf["end_pos"])):
-            i = bisect.bisect_right(starts, e)
-            if i == 0 or ends[i - 1] < s:
-                at = bisect.bisect_left(starts, s)
-                starts.insert(at, s)
-                ends.insert(at, e)
-                kept.append(k)
-        return pdf.iloc[kept][cols]
-
-    kinds = dict(rows.dtypes)
-    folded = rows.filter("n > 1").groupBy("chrom", "stretch").applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in cols))
-    return folded.unionByName(rows.filter("n = 1").select(*cols))
+    from .priority import along_the_line, left_out
+
+    cols, ties = ["chrom", "start_pos", "end_pos", "feature_type", "name", "rank"], ("feature_type", "name")
+    rows = features.select("chrom", "start_pos", "end_pos", "feature_type", "name", rank.alias("rank")).filter("end_pos >= start_pos and chrom is not null")
+    rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()))
+    levels = [r[0] for r in rows.select("rank").distinct().limit(LEVELS + 1).collect()]
+    if len(levels) > LEVELS:
+        pairs = overlap_join(rows, rows).filter("a__id <> b__id")
+        at = lambda s: F.struct(F.col(f"{s}_rank").isNull().alias("last"), *[F.col(f"{s}_{c}").alias(c) for c in ("rank", "start_pos", "end_pos", *ties, "_id")])
+        ordered = pairs.filter(at("a") < at("b")).select(F.col("a__id").alias("first"), F.col("b__id").alias("then"))
+        return rows.join(left_out(ordered).withColumnRenamed("node", "_id"), "_id", "left_anti").select(*cols)
+    kept = None
+    for level in sorted(levels, key=lambda x: (x is None, x)):
+        own = rows.filter(F.col("rank").eqNullSafe(F.lit(level)))
+        if kept is not None:
+            hit = overlap_join(own.select("chrom", "start_pos", "end_pos", "_id"), kept.select("chrom", "start_pos", "end_pos")).select(F.col("a__id").alias("_id"))
+            own = own.join(hit, "_id", "left_anti")
+        chosen = along_the_line(own.select(*cols), ties=ties)
+        kept = materialize(chosen if kept is None else kept.union(chosen.select(*cols)))
+    return kept.select(*cols) if kept is not None else rows.select(*cols)
 
 
 def infer_introns(exons: DataFrame) -> DataFrame:

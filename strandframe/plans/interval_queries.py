@@ -172,7 +172,12 @@ def win_strand_order(v):
     return v.exons.select("gene_name", "start_pos", "end_pos", "strand", F.row_number().over(Window.partitionBy("gene_name").orderBy(key)).alias("nth"), F.when(F.col("strand") == "-", F.col("end_pos")).otherwise(F.col("start_pos")).alias("five_prime"))
 
 
-@query("win_greedy_non_overlap")
+@query("win_greedy_non_overlap", """WITH RECURSIVE f AS (SELECT chrom, start_pos, end_pos, feature_type, name, CASE feature_type WHEN 'gene' THEN 0 WHEN 'exon' THEN 1 ELSE 2 END AS rank FROM v_features),
+o AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY rank, start_pos, end_pos, feature_type, name) AS k FROM f),
+w AS (SELECT chrom, CAST(0 AS BIGINT) AS k, false AS keep, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS kept FROM (SELECT DISTINCT chrom FROM f)
+  UNION ALL SELECT chrom, k, keep, CASE WHEN keep THEN list_append(kept, {'s': s, 'e': e}) ELSE kept END FROM (
+    SELECT w.chrom, o.k, o.start_pos AS s, o.end_pos AS e, w.kept, len(list_filter(w.kept, lambda x: x.s <= o.end_pos AND x.e >= o.start_pos)) = 0 AS keep FROM w JOIN o ON o.chrom = w.chrom AND o.k = w.k + 1))
+SELECT o.chrom, start_pos, end_pos, feature_type, name, rank FROM o JOIN w ON w.chrom = o.chrom AND w.k = o.k WHERE keep""")
 def win_greedy_non_overlap(v):
     rank = F.when(F.col("feature_type") == "gene", 0).when(F.col("feature_type") == "exon", 1).otherwise(2)
     return iv.greedy_non_overlap(v.features, rank)

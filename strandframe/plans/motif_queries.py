@@ -218,8 +218,8 @@ def join_sequence_pairs(v):
 
 @query("srch_similar_clusters")
 def srch_similar_clusters(v):
-    """Genes grouped by alignment score: at least 0.8 of the longer length."""
-    return pairs.similar_clusters(_numbered_genes(v).select("seq_id", "seq"), 12, 0.8)
+    """Genes with the first longer one whose alignment score is at least 0.8 of the longer length."""
+    return pairs.similar_clusters(_numbered_genes(v).select("seq_id", "seq"), 12, 0.8, greedy=True)
 
 
 TEMPLATES = """t AS (SELECT s AS t, count(*) AS copies, min(seq_id) AS least FROM (SELECT seq_id * 100000 + i AS seq_id, substr(seq, CAST(i * 40 + 1 AS INT), 40) AS s FROM (SELECT *, unnest(range(length(seq) // 40)) AS i FROM v_sequences)) GROUP BY s)"""
@@ -238,6 +238,13 @@ def agg_template_groups(v):
     return pairs.template_groups(pieces, 40)
 
 
+@query("agg_template_centroids")
+def agg_template_centroids(v):
+    """The same pieces taken in order, each with those within 4 mismatches that have no group yet."""
+    pieces = v.sequences.select("seq_id", F.posexplode(bases.words(F.col("seq"), 40)).alias("i", "seq")).select((F.col("seq_id") * 100000 + F.col("i")).alias("seq_id"), "seq")
+    return pairs.template_groups(pieces, 40, greedy=True)
+
+
 KL = "sum(CASE WHEN {x} > 0 AND {y} > 0 THEN {x} * ln({x} / {y}) WHEN {x} > 0 OR {y} > 0 THEN 1.0 ELSE 0.0 END)"
 
 
