@@ -6,6 +6,9 @@ of ``documents``. Null ids pass every stage: they are rejected by no classifier
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,26 @@ from strandframe.llm.minhash import near_duplicates
 from strandframe.llm.mixing import mix
 from strandframe.llm.packing import pack, pieces
 from strandframe.llm.quality import classify, score, trusted_ids
+from strandframe.operators.storage import discard, recorded
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_left: dict[str, list[str]] = {}  # what the last stage of an application has stored on its way
+
+
+def _stage(f: Callable) -> Callable:
+    """A stage that first removes what the one before stored on its way: a stage's result is written before the next begins,
+    so only the tables of one stage take up disk at a time. What the last stage stores stays, as its result is lazy."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left.pop(spark.sparkContext.applicationId, []))
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        if f.__name__ != "packing":
+            _left[spark.sparkContext.applicationId] = paths
+        return out
+
+    return run
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -24,6 +45,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text is within their language's threshold. Where rows
     share an id, one rejected row rejects them."""
@@ -31,6 +53,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, materialize(verdict.filter("not keep").select(F.col("doc").alias("doc_id"))))
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document of smaller id holds; n_chars follows the text. A document that loses
     every line that says anything is a copy of others and goes; one that was blank before stays."""
@@ -39,6 +62,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates: five words, similarity of 0.8 or more.
 
@@ -53,11 +77,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, found.filter("not kept").select(F.col("doc").alias("doc_id")))
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks: each at least once, none more than twice."""
     return mix(docs, max_passes=2.0).select(*COLUMNS)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with the sequence and the place that each has."""
     import public_tokenizers

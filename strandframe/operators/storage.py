@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SCRATCH = "/tmp/strandframe-scratch"
+_written: list[list[str]] = []  # tables written within each ``recorded`` block that is open
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +31,33 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for block in _written:
+        block.append(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are written within the block."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield paths
+    finally:
+        _written.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that nothing will read again."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files of DataFrames that are gone. Spark removes them when the driver's collector finds that,
+    which on a driver with little garbage may be long after a large job."""
+    gc.collect()
+    spark._jvm.System.gc()
