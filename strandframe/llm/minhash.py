@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.graph import components
 
-from .common import byte_slices, give_back, materialize, table, tasks_for
+from .common import byte_slices, give_back, materialize, table, tasks_for, tidy
 
 BIN_BITS = 7
 ROWS, BANDS = 5, 25
@@ -153,8 +153,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array([got[i].tobytes() for i in own], pa.binary()), pa.array(low, pa.binary())], ["node", "shingles", "low"])
 
     own = docs.select(F.col(id_col).cast("long").alias("least_id"), F.col(text_col).cast("string").alias("text"))
-    met = own.join(wanted.hint("shuffle_hash"), "least_id").select("node", "text", "hi", "lo")
-    return met.mapInArrow(sets, "node long, shingles binary, low binary").groupBy("node").agg(F.max("shingles").alias("shingles"), F.max("low").alias("low"))
+    met = own.join(wanted.hint("shuffle_hash"), "least_id").withColumn("_mark", F.xxhash64("text"))
+    # repeated rows are one; they are together already
+    once = met.groupBy("least_id", "node", "_mark").agg(F.first("text").alias("text"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+    return once.select("node", "text", "hi", "lo").mapInArrow(sets, "node long, shingles binary, low binary")
 
 
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -301,6 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     touched = entries.select("node").distinct()
     sets = materialize(_sets_of(keyed, classes.join(touched, "node", "left_semi"), "_id", "_text", words))
+    tidy(docs.sparkSession)
     links = materialize(_confirm(sets, stars, percent))
 
     sketched = materialize(nodes.join(touched, "node", "left_semi").select("node", "n_shingles", "prints", "bands"))
@@ -311,6 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cells = _still_apart(entries, known, comps).groupBy("band", "i", "j")
         more = cells.applyInArrow(_across(percent, best_only), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
         more = materialize(more)
+        tidy(docs.sparkSession)
         links = materialize(links.union(_confirm(sets, more, percent)))
         tried = tried.union(more)
         comps = components(links)
