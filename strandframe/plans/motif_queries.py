@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import functions as F
 
 from strandframe.functions import bases, motifs
-from strandframe.operators import assembly, homology, pairs, scans
+from strandframe.operators import alignment, assembly, homology, pairs, scans
 from strandframe.operators import sequences as sq
 from strandframe.operators.intervals import overlap_join
 
@@ -245,6 +245,36 @@ def agg_template_centroids(v):
     return pairs.template_groups(pieces, 40, greedy=True)
 
 
+CLASS_SQL = "CASE WHEN x || y IN ('AG', 'GA') THEN 'R' WHEN x || y IN ('CT', 'TC') THEN 'Y' WHEN x || y IN ('CG', 'GC') THEN 'S' WHEN x || y IN ('AT', 'TA') THEN 'W' WHEN x || y IN ('GT', 'TG') THEN 'K' ELSE 'M' END"
+
+
+@query("agg_aligned_spectrum", """WITH t AS (SELECT source, unnest(list_zip(ps[1:len(ps) - 1], ps[2:])) AS z FROM (SELECT source, regexp_extract_all(seq, '.{20}') AS ps FROM v_sequences)),
+l AS (SELECT source, substr(z[1], i, 1) AS x, substr(z[2], i, 1) AS y FROM t, (SELECT unnest(range(1, 21)) AS i)), c AS (SELECT source, x || y AS change, count(*) AS n FROM l WHERE x <> y GROUP BY 1, 2)
+SELECT source, change, n, round(n / sum(n) OVER (PARTITION BY source) - 1.0 / 12, 9) AS excess FROM c""")
+def agg_aligned_spectrum(v):
+    """Changes between words of 20 bases and the ones after them, laid on each other, by source."""
+    words = bases.words(F.col("seq"), 20)
+    last = F.greatest(F.size(words) - 1, F.lit(0))
+    both = F.zip_with(F.slice(words, F.lit(1), last), F.slice(words, F.lit(2), last), lambda a, b: F.struct(a.alias("one"), b.alias("two")))
+    rows = v.sequences.filter("length(seq) >= 40").select("source", F.inline(both))
+    found = alignment.relative(alignment.spectrum(rows, "one", "two", ["source"]), ["source"], 12)
+    return found.withColumn("excess", F.round("excess", 9))
+
+
+@query("fn_strand_spectrum", f"""WITH {GENES_SQL}, l AS (SELECT place, substr(seq, i, 1) AS x, substr({RC.format(s='seq')}, i, 1) AS y FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM q))
+SELECT place, {CLASS_SQL} AS change, count(*) AS n FROM l WHERE x <> y GROUP BY 1, 2""")
+def fn_strand_spectrum(v):
+    """Classes of change between each gene and its own other strand."""
+    rows = _genes_read(v).withColumn("other", bases.reverse_complement(F.col("seq")))
+    return alignment.spectrum(rows, "seq", "other", ["place"], by_class=True)
+
+
+@query("join_aligned_pairs")
+def join_aligned_pairs(v):
+    """Genes that share a word of 16 bases, aligned, with both gapped strings."""
+    return alignment.align_pairs(pairs.shared_word_pairs(_numbered_genes(v).select("seq_id", "seq"), 16))
+
+
 KL = "sum(CASE WHEN {x} > 0 AND {y} > 0 THEN {x} * ln({x} / {y}) WHEN {x} > 0 OR {y} > 0 THEN 1.0 ELSE 0.0 END)"
 
 

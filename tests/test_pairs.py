@@ -164,3 +164,20 @@ def test_profiles_equal_to_themselves_are_no_distance_apart(spark):
 
 def test_patterns_on_both_strands():
     assert bases.iupac_regex_both("RAT") == "(?:[AG]AT|AT[CT])" and bases.iupac_regex_both("ATAT") == "ATAT"
+
+
+def test_a_word_that_many_hold_is_dealt_to_blocks(spark):
+    rows = [(i, "w" if i < 300 else f"v{i % 7}", f"t{i}") for i in range(340)]
+    df = spark.createDataFrame(rows, "node long, word string, t string")
+    got = pairs.self_pairs(df, ["word"], "node", block=50).collect()
+    want = {(i, j) for i, a, _ in rows for j, b, _ in rows if i < j and a == b}
+    assert len(got) == len(want) and {tuple(sorted((x["x_node"], x["y_node"]))) for x in got} == want
+    assert all(x["x_t"] == f"t{x['x_node']}" for x in got)
+
+
+def test_shifts_of_long_and_odd_pairs():
+    r = random.Random(3)
+    a = "".join(r.choice("ACGT") for _ in range(3000))
+    share, at, run, run_at = pairs.shift_scores([a, "éé", "", "ACGT"], [a[37:] + a[:37], "ee", "ACG", "ACGTACGT"], 1)
+    assert at[0] == 37 and run_at[0] == 37 and run[0] >= 3000 - 37
+    assert share.tolist()[1:] == [0.0, 0.0, 1.0] and run.tolist()[1:] == [1, 0, 4]
