@@ -109,27 +109,66 @@ def dyads(seqs: DataFrame, arm: int, least_loop: int, most_loop: int) -> DataFra
     return scan(seqs, "pos long, loop long, stem string", ["pos", "loop", "stem"], find)
 
 
-def expanded_dyads(seqs: DataFrame, arm: int, least_loop: int, most_loop: int) -> DataFrame:
+def common_lengths(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far x[i:] and y[j:] are equal, for each pair of places; values below 0 equal nothing.
+
+    Places are ranked by the 1, 2, 4, 8 ... letters from them on, each rank from two of the one before, so equal ranks
+    are equal pieces for certain. Ranks are made as long as some pair still matches; then each pair goes on by ever
+    shorter pieces. Work grows with the length times the logarithm of the longest match, not with the matches."""
+    both = np.concatenate([np.where(x < 0, -1 - np.arange(len(x)), x), [-1], np.where(y < 0, -1 - len(x) - 1 - np.arange(len(y)), y), [-2 - len(x) - len(y)]])
+    p, q = i.astype(np.int64), j + len(x) + 1
+    done, open_ = np.zeros(len(p), dtype=np.int64), np.arange(len(p))
+    ranks, size = [np.unique(both, return_inverse=True)[1].astype(np.int64)], 1
+    ends = np.r_[np.arange(len(x), -1, -1), np.arange(len(y), -1, -1)]  # letters before the side's end
+    while len(open_):
+        rank = ranks[-1]
+        a, b = p[open_] + done[open_], q[open_] + done[open_]
+        same = (ends[a] >= size) & (ends[b] >= size) & (rank[a] == rank[b])
+        open_ = open_[same]
+        done[open_] += size
+        if len(open_):
+            n, far = len(rank), np.minimum(np.arange(len(rank)) + size, len(rank) - 1)
+            ranks.append(np.unique(rank * n + rank[far], return_inverse=True)[1].astype(np.int64))
+            size *= 2
+    for level in range(len(ranks) - 1, -1, -1):
+        size, rank = 1 << level, ranks[level]
+        a, b = p + done, q + done
+        same = (ends[a] >= size) & (ends[b] >= size) & (rank[a] == rank[b])
+        done[same] += size
+    return done
+
+
+def expanded_dyads(seqs: DataFrame, arm: int, least_loop: int, most_loop: int, nested: bool = True) -> DataFrame:
     """Dyads grown to their full arms: start, end (half-open), arm, loop. Those of one centre are one, with the longest arm;
-    one within the arms of another of the same centre goes. A loop may close to ``least_loop`` as arms grow inwards."""
+    one within the arms of another of the same centre goes, and if not ``nested`` one that lies within any other. A loop may
+    close to ``least_loop`` as arms grow inwards. A centre's outermost arms alone are grown, all of a row together."""
 
     def find(text: str) -> list:
-        code = coded(text)
+        code = coded(text).astype(np.int64)
         n = len(code)
         left, right = kmer_codes(code, arm), kmer_codes(code, arm, mates=True)
-        best: dict[int, tuple[int, int, int]] = {}
-        for loop in range(least_loop, most_loop + 1):
+        at, loops = [], []
+        for loop in range(most_loop, least_loop - 1, -1):
             a, b = left[: max(0, len(left) - arm - loop)], right[arm + loop :]
-            for i in np.flatnonzero((a == b) & (a >= 0)).tolist():
-                s, e, inner, outer = i, i + 2 * arm + loop, i + arm, i + arm + loop
-                while s > 0 and e < n and code[s - 1] < 4 and code[s - 1] == 3 - code[e]:
-                    s, e = s - 1, e + 1
-                while outer - inner - 2 >= least_loop and code[inner] < 4 and code[inner] == 3 - code[outer - 1]:
-                    inner, outer = inner + 1, outer - 1
-                if s + e not in best or best[s + e][1] < e:
-                    best[s + e] = (s, e, inner - s)
-        rows = sorted(best.values())
-        return [np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 2)] + [np.array([e - s - 2 * a for s, e, a in rows], dtype=np.int64)]
+            hit = np.flatnonzero((a == b) & (a >= 0))
+            at.append(hit)
+            loops.append(np.full(len(hit), loop))
+        s, loop = np.concatenate(at).astype(np.int64), np.concatenate(loops).astype(np.int64)
+        e = s + 2 * arm + loop
+        one = np.unique(s + e, return_index=True)[1]  # the first of a centre has the longest loop: its outermost arms
+        s, e, loop = s[one], e[one], loop[one]
+        inner = s + arm
+        back, mates = np.where(code < 4, code, -1)[::-1], np.where(code < 4, 3 - code, -1)
+        out = common_lengths(back, mates, n - s, e)
+        deep = common_lengths(np.where(code < 4, code, -1), mates[::-1], inner, n - (inner + loop))
+        deep = np.minimum(deep, np.maximum(loop - least_loop, 0) // 2)
+        s, e, inner = s - out, e + out, inner + deep
+        order = np.lexsort((-e, s))
+        s, e, inner = s[order], e[order], inner[order]
+        if not nested and len(s):
+            keep = np.r_[True, e[1:] > np.maximum.accumulate(e)[:-1]]
+            s, e, inner = s[keep], e[keep], inner[keep]
+        return [s, e, inner - s, e - s - 2 * (inner - s)]
 
     return scan(seqs, "start long, end long, arm long, loop long", ["start", "end", "arm", "loop"], find)
 

@@ -163,11 +163,25 @@ def agg_pseudogene_classes(v):
     return rows.groupBy(pseudogene_acronym(F.col("biotype")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("srch_dyads_expanded")
+PAIRED = "substr(seq, CAST({p} + 1 AS INT), 1) = translate(substr(seq, CAST({q} + 1 AS INT), 1), 'ATGC', 'TACG')"
+DYADS_SQL = f"""RECURSIVE k AS ({KMER.format(k=10)}), h AS (SELECT a.seq_id, 2 * a.pos + 20 + b.pos - a.pos - 10 AS c, min(a.pos) AS s FROM k a JOIN k b ON a.seq_id = b.seq_id AND a.kmer = reverse(translate(b.kmer, 'ATGC', 'TACG')) AND b.pos - a.pos - 10 BETWEEN 3 AND 20 GROUP BY 1, 2),
+o AS (SELECT h.seq_id, c, s FROM h UNION ALL SELECT o.seq_id, c, s - 1 FROM o JOIN v_sequences v ON v.seq_id = o.seq_id WHERE s > 0 AND c - s < length(seq) AND {PAIRED.format(p='(s - 1)', q='(c - s)')}),
+i AS (SELECT h.seq_id, c, s + 10 AS x FROM h UNION ALL SELECT i.seq_id, c, x + 1 FROM i JOIN v_sequences v ON v.seq_id = i.seq_id WHERE c - 2 * x - 2 >= 3 AND {PAIRED.format(p='x', q='(c - x - 1)')}),
+d AS (SELECT o.seq_id, o.c, min(o.s) AS s, max(i.x) AS x FROM (SELECT seq_id, c, min(s) AS s FROM o GROUP BY 1, 2) o JOIN (SELECT seq_id, c, max(x) AS x FROM i GROUP BY 1, 2) i ON i.seq_id = o.seq_id AND i.c = o.c GROUP BY 1, 2)"""
+DYAD_ROW = 'CAST(s AS BIGINT) AS start, CAST(c - s AS BIGINT) AS "end", CAST(x - s AS BIGINT) AS arm, CAST(c - 2 * x AS BIGINT) AS loop'
+
+
+@query("srch_dyads_expanded", f"WITH {DYADS_SQL} SELECT seq_id, {DYAD_ROW} FROM d")
 def srch_dyads_expanded(v):
     return scans.expanded_dyads(_seqs(v), 10, 3, 20)
 
 
+@query("srch_dyads_maximal", f"WITH {DYADS_SQL} SELECT seq_id, {DYAD_ROW} FROM d WHERE NOT EXISTS (SELECT 1 FROM d w WHERE w.seq_id = d.seq_id AND w.c <> d.c AND w.s <= d.s AND w.c - w.s >= d.c - d.s)")
+def srch_dyads_maximal(v):
+    """Grown dyads that lie within no other one."""
+    return scans.expanded_dyads(_seqs(v), 10, 3, 20, nested=False)
+
+
 @query("srch_long_repeats")
 def srch_long_repeats(v):
     return scans.long_repeats(_seqs(v), 60)

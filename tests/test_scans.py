@@ -95,3 +95,35 @@ def test_windows_farther_apart_than_they_are_long(spark, tmp_path):
     hits = sliding_windows(stream, 4, 10, lambda s: 1.0, 0.5)
     hits.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["start"] for r in spark.read.parquet(out).collect()) == [1, 11, 21]
+
+
+def test_common_lengths_equal_walks():
+    r = np.random.default_rng(3)
+    for letters, n in ((2, 60), (4, 200), (1, 40)):
+        x, y = r.integers(0, letters, n), r.integers(0, letters, n + 7)
+        x[r.integers(0, n, 3)] = -1
+        y[r.integers(0, n, 3)] = -1
+        i, j = r.integers(0, n + 1, 300), r.integers(0, n + 8, 300)
+        want = []
+        for a, b in zip(i, j):
+            k = 0
+            while a + k < n and b + k < n + 7 and x[a + k] == y[b + k] >= 0:
+                k += 1
+            want.append(k)
+        assert scans.common_lengths(x, y, i, j).tolist() == want
+
+
+def test_dyads_that_lie_within_no_other(spark):
+    every = [tuple(x) for x in scans.expanded_dyads(frame(spark), 4, 3, 7).collect()]
+    want = [x for x in every if not any(x != y and x[0] == y[0] and y[1] <= x[1] and y[2] >= x[2] for y in every)]
+    assert sorted(map(tuple, scans.expanded_dyads(frame(spark), 4, 3, 7, nested=False).collect())) == sorted(want)
+
+
+def test_a_long_repeat_of_two_letters_is_quick(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "AT" * 32_000)], "seq_id long, seq string")
+    scans.expanded_dyads(spark.createDataFrame([(1, "AT" * 20)], "seq_id long, seq string"), 6, 3, 8).collect()
+    began = time.time()
+    assert [tuple(x)[1:3] for x in scans.expanded_dyads(df, 6, 3, 8, nested=False).collect()] == [(0, 64_000)]
+    assert time.time() - began < 15
