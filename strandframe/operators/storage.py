@@ -38,6 +38,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``materialize`` as a table bucketed by ``key``: joins on it with as many partitions do not shuffle the table again."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/tables/{name}"
+    df.write.option("path", path).bucketBy(buckets, key).saveAsTable(f"strandframe_{name}")
+    for block in _written:
+        block.append(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.table(f"strandframe_{name}")
+
+
 @contextmanager
 def recorded() -> Iterator[list[str]]:
     """The paths of the tables that are written within the block."""
