@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandframe.operators.storage import materialize, shared_dir, tidy
+from strandframe.operators.storage import materialize, materialize_bucketed, shared_dir, tidy
 
-__all__ = ["ascii_lower", "byte_slices", "give_back", "materialize", "numbered", "shared_dir", "table", "tasks_for", "tidy", "with_lanes"]
+__all__ = ["ascii_lower", "byte_slices", "give_back", "materialize", "materialize_bucketed", "numbered", "shared_dir", "table", "tasks_for", "tidy", "with_lanes"]
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.graph import components
 
-from .common import byte_slices, give_back, materialize, table, tasks_for, tidy
+from .common import byte_slices, give_back, materialize, materialize_bucketed, table, tasks_for, tidy
 
 BIN_BITS = 7
 ROWS, BANDS = 5, 25
 WALK = 256
 BLOCK = 1024
 SMALL = 96  # sets up to this size also get the keys of an exact prefix filter
+PACKED = 6  # bytes of a hash that are compared: two sets of 1000 have a false match once in some 10 ** 8 pairs
 LOWEST = 1024  # smallest hashes by which pairs are sifted before they are confirmed
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -136,47 +137,89 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(sketch, "doc long, n_shingles long, hi long, lo long, prints binary, bands array<long>")
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """The upper PACKED bytes of each hash, in order: what is stored and sent of a set."""
+    return np.ascontiguousarray(shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // PACKED, 8), dtype=np.uint8)
+    out[:, :PACKED] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, PACKED)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, shingles, low) of the wanted nodes (node, least_id, hi, lo), from the whole texts of the rows with their least
-    id; of texts that share that id only the one whose set is the node's. low has the upper halves of the lowest hashes."""
+    """(least_id, node, shingles) of the wanted nodes (node, least_id, hi, lo), from the whole texts of the rows with their
+    least id; of texts that share that id only the one whose set is the node's. Stored by least_id, as texts meet."""
 
     def sets(batches):
         import xxhash
 
         for batch in batches:
-            for at, n in byte_slices(batch.column(1)):
+            for at, n in byte_slices(batch.column(2)):
                 part = batch.slice(at, n)
-                got = shingle_sets(part.column(1), words)
+                got = shingle_sets(part.column(2), words)
                 marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in got), dtype=">i8").reshape(-1, 2)
-                own = np.flatnonzero((marks[:, 0] == part.column(2).to_numpy()) & (marks[:, 1] == part.column(3).to_numpy()))
-                low = [(got[i][:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array([got[i].tobytes() for i in own], pa.binary()), pa.array(low, pa.binary())], ["node", "shingles", "low"])
+                own = np.flatnonzero((marks[:, 0] == part.column(3).to_numpy()) & (marks[:, 1] == part.column(4).to_numpy()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array([_packed(got[i]) for i in own], pa.binary())], ["least_id", "node", "shingles"])
 
     own = docs.select(F.col(id_col).cast("long").alias("least_id"), F.col(text_col).cast("string").alias("text"))
     met = own.join(wanted.hint("shuffle_hash"), "least_id").withColumn("_mark", F.xxhash64("text"))
     # repeated rows are one; they are together already
     once = met.groupBy("least_id", "node", "_mark").agg(F.first("text").alias("text"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
-    return once.select("node", "text", "hi", "lo").mapInArrow(sets, "node long, shingles binary, low binary")
+    rows = once.select("least_id", "node", "text", "hi", "lo").mapInArrow(sets, "least_id long, node long, shingles binary")
+    return materialize_bucketed(rows, "least_id", tasks_for(docs.sparkSession))
+
+
+def _lowest(sets: DataFrame) -> DataFrame:
+    """(node, low): the upper halves of the LOWEST lowest hashes."""
+
+    def lowest(batches):
+        for batch in batches:
+            low = [(_unpacked(x[: PACKED * LOWEST]) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["node", "low"])
 
+    return sets.select("node", "shingles").mapInArrow(lowest, "node long, low binary")
 
-def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets have 100 * intersection >= percent * union."""
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that may be links by their sizes and signatures, within four deviations."""
+    share = percent / 100
+
+    def test(batches):
+        for batch in batches:
+            small, large = (np.asarray(f(batch.column(2).to_numpy(), batch.column(3).to_numpy()), dtype=np.int64) for f in (np.minimum, np.maximum))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in (4, 5))
+            slack = 4 * np.sqrt(share * (1 - share) / np.clip(small / 2, 1, 1 << BIN_BITS))
+            yield batch.filter(pa.array((100 * small >= percent * large) & ((x == y).mean(axis=1) >= share - slack))).select(["u", "v"])
+
+    told = nodes.select("node", "n_shingles", "prints")
+    side = lambda k: told.toDF(k, f"n_{k}", f"p_{k}")
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "p_u", "p_v").mapInArrow(test, "u long, v long")
+
+
+def _confirm(sets: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets have 100 * intersection >= percent * union.
+
+    Sets lie by least_id and are not shuffled as they lie: v's are fetched where they are and sent on with their pairs, u's,
+    the centres of stars, once each; a centre of very many pairs is a skewed key of a plain join."""
 
     def check(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
             for x, y in zip(a, b):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([_unpacked(x), _unpacked(y)])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+    ids = classes.select("node", "least_id")
+    fetched = lambda rows: rows.hint("shuffle_hash").join(sets.withColumnRenamed("node", "_node"), "least_id").filter("node = _node")
+    right = fetched(pairs.withColumnRenamed("v", "node").join(ids, "node")).select("u", F.col("node").alias("v"), F.col("shingles").alias("b"))
+    left = fetched(pairs.select(F.col("u").alias("node")).distinct().join(ids, "node")).select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    return right.join(left, "u").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
 def _sifted(low: list[np.ndarray], size: np.ndarray, i: int, to: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,24 +341,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     popular = entries.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = entries.join(popular, "node")
     centers = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("center"))
-    stars = entries.join(centers, "band").filter("node <> center").select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct()
-    stars = materialize(stars)
+    stars = entries.join(centers, "band").filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
+    stars = materialize(_likely(stars, nodes, percent))
 
     touched = entries.select("node").distinct()
-    sets = materialize(_sets_of(keyed, classes.join(touched, "node", "left_semi"), "_id", "_text", words))
+    sets = _sets_of(keyed, classes.join(touched, "node", "left_semi"), "_id", "_text", words)
+    tidy(docs.sparkSession)
+    links = materialize(_confirm(sets, classes, stars, percent))
     tidy(docs.sparkSession)
-    links = materialize(_confirm(sets, stars, percent))
 
     sketched = materialize(nodes.join(touched, "node", "left_semi").select("node", "n_shingles", "prints", "bands"))
     comps = components(links)
-    tried = stars
+    tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     for best_only in (True, False):
-        known = sketched.drop("bands") if best_only else sketched.join(sets.select("node", "low"), "node")
+        known = sketched.drop("bands") if best_only else sketched.join(_lowest(sets), "node")
         cells = _still_apart(entries, known, comps).groupBy("band", "i", "j")
         more = cells.applyInArrow(_across(percent, best_only), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
         more = materialize(more)
         tidy(docs.sparkSession)
-        links = materialize(links.union(_confirm(sets, more, percent)))
+        links = materialize(links.union(_confirm(sets, classes, more, percent)))
         tried = tried.union(more)
         comps = components(links)
 
