@@ -129,3 +129,15 @@ def test_streamed_hits_over_borders(spark, tmp_path):
     q.stop()
     want = [k + 1 for k in range(len(text) - 5) if text[k : k + 5] in ("TATAA", "TATAT") and text[k + 5] == "A"]
     assert sorted(r.start for r in spark.table("streamed").collect()) == want and want
+
+
+def test_bed_dfam_and_repeat_dump(spark, tmp_path):
+    a, b = rd.read_bed(spark, put(tmp_path / "a.bed", "track name=x\nbrowser position\nchr1\t5\t9\tn\t7.5\t-\n2\t1\t3\tm\t.\t.\n")).orderBy("chrom").collect()
+    assert (a.chrom, a.start_pos, a.end_pos, a.name, a.score, a.strand) == ("1", 5, 9, "n", 7.5, "-")
+    assert (b.chrom, b.score, b.strand) == ("2", None, ".")
+    line = "chr7\t100\t180\tAluY\t55.5\t-\tDF01\t1e-9\t0.3\t1\t80\t99\t181\t5000\t4.5\n"
+    d = rd.read_dfam(spark, put(tmp_path / "d.tsv", line)).first()
+    assert (d.chrom, d.start_pos, d.end_pos, d.name, d.bits, d.e_value, d.start_hmm, d.end_hmm, d.sq_len, d.kimura_div) == ("7", 100, 180, "AluY", 55.5, 1e-9, 1, 80, 5000, 4.5)
+    line = "585\t463\t13\t6\t17\tchr1\t10000\t10468\t-249\t+\t(TAACCC)n\tSimple_repeat\tSimple_repeat\t1\t471\t0\t1\n"
+    r = rd.read_rmsk(spark, put(tmp_path / "r.tsv", line)).first()
+    assert (r.chrom, r.start_pos, r.end_pos, r.strand, r.name, r.repeat_class, r.repeat_family) == ("1", 10001, 10468, "+", "(TAACCC)n", "Simple_repeat", "Simple_repeat")
