@@ -18,7 +18,7 @@ from strandframe.llm.minhash import near_duplicates
 from strandframe.llm.mixing import mix
 from strandframe.llm.packing import pack, pieces
 from strandframe.llm.quality import classify, score, trusted_ids
-from strandframe.operators.storage import discard, recorded
+from strandframe.operators.storage import discard, recorded, tidy
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 _left: dict[str, list[str]] = {}  # what the last stage of an application has stored on its way
@@ -73,7 +73,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.select("doc_id", F.xxhash64("text").alias("_hash"))
     whole = table(spark, sf_dir, "documents").select("doc_id", "text")
     before = whole.join(kept.hint("shuffle_hash"), "doc_id").filter(F.xxhash64("text") != F.col("_hash")).select("doc_id", "text")
-    found = near_duplicates(docs.select("doc_id", "text").union(materialize(before)), words=5, percent=80)
+    before = materialize(before)
+    tidy(spark)
+    found = near_duplicates(docs.select("doc_id", "text").union(before), words=5, percent=80)
     return _without(docs, found.filter("not kept").select(F.col("doc").alias("doc_id")))
 
 
