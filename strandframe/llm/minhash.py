@@ -294,14 +294,15 @@ def _across(percent: int, best_only: bool):
 def _still_apart(entries: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
     """Cells of at most two blocks of the members of those buckets whose members are in several components.
 
-    Only pairs with a member outside the bucket's largest component matter. Members of that component are sent once for
-    each block of the others, the others to all blocks; so a stray member in a large bucket costs one row a block.
+    A bucket of one block is one cell. In larger ones only pairs with a member outside the bucket's largest component
+    matter: members of that component are sent once for each block of the others, the others to all blocks, so a stray
+    member costs one row a block.
     """
     member = _with_component(entries, comps)
     sizes = materialize(member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("own")))
     largest = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("own").alias("n"), F.max(F.struct("own", "comp")).alias("top")).filter("comps > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    mixed = largest.select("band", F.col("top.comp").alias("largest"), blocks(F.col("top.own")).alias("many"), blocks(F.col("n") - F.col("top.own")).alias("few"))
+    mixed = largest.select("band", (F.col("n") <= BLOCK).alias("whole"), F.col("top.comp").alias("largest"), blocks(F.col("top.own")).alias("many"), blocks(F.col("n") - F.col("top.own")).alias("few"))
     rest = member.drop("n").join(mixed, "band").join(nodes, "node")
     inside = F.col("comp") == F.col("largest")
     mine = F.pmod(F.xxhash64("node"), F.when(inside, F.col("many")).otherwise(F.col("few"))).cast("int")
@@ -311,7 +312,8 @@ def _still_apart(entries: DataFrame, nodes: DataFrame, comps: DataFrame) -> Data
     of_largest = F.transform(numbers(F.col("few")), lambda r: cell(-1 - F.col("mine"), r, True, False))
     across = F.transform(numbers(F.col("many")), lambda m: cell(-1 - m, F.col("mine"), False, True))
     among = F.transform(numbers(F.col("few")), lambda r: cell(F.least(F.col("mine"), r), F.greatest(F.col("mine"), r), F.col("mine") <= r, F.col("mine") >= r))
-    dealt = rest.withColumn("mine", mine).withColumn("cell", F.explode(F.when(inside, of_largest).otherwise(F.concat(across, among))))
+    one = F.array(cell(F.lit(0), F.lit(0), True, True))
+    dealt = rest.withColumn("mine", mine).withColumn("cell", F.explode(F.when(F.col("whole"), one).when(inside, of_largest).otherwise(F.concat(across, among))))
     return dealt.select("band", "cell.i", "cell.j", "comp", *nodes.columns, "cell.a", "cell.b")
 
 
