@@ -163,11 +163,12 @@ def agg_pseudogene_classes(v):
     return rows.groupBy(pseudogene_acronym(F.col("biotype")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-PAIRED = "substr(seq, CAST({p} + 1 AS INT), 1) = translate(substr(seq, CAST({q} + 1 AS INT), 1), 'ATGC', 'TACG')"
-DYADS_SQL = f"""RECURSIVE v AS MATERIALIZED (SELECT seq_id, seq FROM v_sequences), k AS ({KMER.format(k=10)}), h AS (SELECT a.seq_id, 2 * a.pos + 20 + b.pos - a.pos - 10 AS c, min(a.pos) AS s FROM k a JOIN k b ON a.seq_id = b.seq_id AND a.kmer = reverse(translate(b.kmer, 'ATGC', 'TACG')) AND b.pos - a.pos - 10 BETWEEN 3 AND 20 GROUP BY 1, 2),
-o AS (SELECT h.seq_id, c, s FROM h UNION ALL SELECT o.seq_id, c, s - 1 FROM o JOIN v ON v.seq_id = o.seq_id WHERE s > 0 AND c - s < length(seq) AND {PAIRED.format(p='(s - 1)', q='(c - s)')}),
-i AS (SELECT h.seq_id, c, s + 10 AS x FROM h UNION ALL SELECT i.seq_id, c, x + 1 FROM i JOIN v ON v.seq_id = i.seq_id WHERE c - 2 * x - 2 >= 3 AND {PAIRED.format(p='x', q='(c - x - 1)')}),
-d AS (SELECT o.seq_id, o.c, min(o.s) AS s, max(i.x) AS x FROM (SELECT seq_id, c, min(s) AS s FROM o GROUP BY 1, 2) o JOIN (SELECT seq_id, c, max(x) AS x FROM i GROUP BY 1, 2) i ON i.seq_id = o.seq_id AND i.c = o.c GROUP BY 1, 2)"""
+# how many letters two strings of a length share from their first on
+SHARED = "coalesce(nullif(list_position(list_transform(list_zip(string_split({a}, ''), string_split({b}, '')), lambda z: z[1] <> z[2]), true), 0) - 1, {n})"
+DYADS_SQL = f"""k AS ({KMER.format(k=10)}), f AS (SELECT a.seq_id, 2 * a.pos + 20 + b.pos - a.pos - 10 AS c, min(a.pos) AS s FROM k a JOIN k b ON a.seq_id = b.seq_id AND a.kmer = reverse(translate(b.kmer, 'ATGC', 'TACG')) AND b.pos - a.pos - 10 BETWEEN 3 AND 20 GROUP BY 1, 2),
+h AS (SELECT f.*, seq, least(s, length(seq) - (c - s)) AS n, (c - 2 * s - 23) // 2 AS m FROM f JOIN v_sequences v ON v.seq_id = f.seq_id),
+d AS (SELECT seq_id, c, s - {SHARED.format(a='reverse(substr(seq, CAST(s - n + 1 AS INT), CAST(n AS INT)))', b="translate(substr(seq, CAST(c - s + 1 AS INT), CAST(n AS INT)), 'ATGC', 'TACG')", n='n')} AS s,
+  s + 10 + {SHARED.format(a='substr(seq, CAST(s + 11 AS INT), CAST(m AS INT))', b="reverse(translate(substr(seq, CAST(c - s - 10 - m + 1 AS INT), CAST(m AS INT)), 'ATGC', 'TACG'))", n='m')} AS x FROM h)"""
 DYAD_ROW = 'CAST(s AS BIGINT) AS start, CAST(c - s AS BIGINT) AS "end", CAST(x - s AS BIGINT) AS arm, CAST(c - 2 * x AS BIGINT) AS loop'
 
 
