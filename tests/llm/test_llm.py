@@ -1,6 +1,5 @@
 """The operators on small tables with nulls, empties, ties, repeats and clashing columns, against brute force."""
 
-import hashlib
 import math
 import random
 import re
