@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.operators.graph import components
+from strandframe.operators.storage import discard, recorded
 
 from .common import byte_slices, give_back, materialize, materialize_bucketed, table, tasks_for, tidy
 
@@ -329,14 +330,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
-    sketch = materialize(sketches(keyed, "_id", "_text", words, percent))
+    with recorded() as wide:
+        sketch = materialize(sketches(keyed, "_id", "_text", words, percent))
     full = sketch.filter("n_shingles > 0 and doc is not null")
     # nodes are numbered in the order of their smallest ids, so the smallest node of a component has its smallest id
     least = full.groupBy("hi", "lo").agg(F.min("doc").alias("least_id"))
     dealt = least.repartitionByRange(tasks_for(docs.sparkSession), "least_id", "hi", "lo").sortWithinPartitions("least_id", "hi", "lo")
     classes = materialize(dealt.withColumn("node", F.monotonically_increasing_id()))
     nodes = full.join(classes, ["hi", "lo"]).filter("doc = least_id").select("node", "n_shingles", "prints", "bands").dropDuplicates(["node"])
-    nodes = materialize(nodes)
+    with recorded() as whole:
+        nodes = materialize(nodes)
+    # from here on a row of docs is its set's identity alone; the sketches are those of the nodes
+    sketch = materialize(sketch.select("doc", "n_shingles", "hi", "lo"))
+    discard(docs.sparkSession, wide)
     entries = nodes.select("node", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = materialize(entries.join(shared, "band"))
@@ -347,13 +353,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialize(_likely(stars, nodes, percent))
 
     touched = entries.select("node").distinct()
+    sketched = materialize(nodes.join(touched, "node", "left_semi").select("node", "n_shingles", "prints", "bands"))
+    discard(docs.sparkSession, whole)
     tidy(docs.sparkSession)
     sets = _sets_of(keyed, classes.join(touched, "node", "left_semi"), "_id", "_text", words)
     tidy(docs.sparkSession)
     links = materialize(_confirm(sets, classes, stars, percent))
     tidy(docs.sparkSession)
 
-    sketched = materialize(nodes.join(touched, "node", "left_semi").select("node", "n_shingles", "prints", "bands"))
     comps = components(links)
     tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     for best_only in (True, False):
