@@ -6,12 +6,19 @@ does not parse become the column's default. Positions come out 1-based with both
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.operators.ordered import running
+from strandframe.operators.storage import materialize
+
 
 @dataclass(frozen=True)
 class Field:
@@ -167,16 +174,77 @@ def header_place(header: Column) -> list[Column]:
     return [part(1).alias("chrom"), part(2).try_cast("bigint").alias("start_pos"), part(3).try_cast("bigint").alias("end_pos"), part(4).alias("strand")]
 
 
+def _fragments(lines: DataFrame) -> DataFrame:
+    """(file, block, line, header, seq): lines (file, block, line, value) of one record that a batch holds end to end, as
+    one text. A fragment that begins with its record's header has it; in one that goes on from an earlier one it is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, block, line, value = batch.columns
+            texts = value.to_pylist()
+            head = pc.starts_with(value, ">").to_numpy(zero_copy_only=False)
+            other = file.dictionary_encode().indices.to_numpy(), block.to_numpy()
+            new = head.copy()
+            new[0] = True
+            new[1:] |= (other[0][1:] != other[0][:-1]) | (other[1][1:] != other[1][:-1])
+            starts = np.flatnonzero(new)
+            headers, seqs = [], []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)]):
+                headers.append(texts[i][1:].strip() if head[i] else None)
+                seqs.append("".join("".join(texts[i + int(head[i]) : j]).split()).upper())
+            at = pa.array(starts)
+            yield pa.RecordBatch.from_arrays([file.take(at), block.take(at), line.take(at), pa.array(headers, pa.string()), pa.array(seqs, pa.string())], ["file", "block", "line", "header", "seq"])
+
+    return lines.select("file", "block", "line", "value").mapInArrow(run, "file string, block long, line long, header string, seq string")
+
+
 def read_fasta(spark: SparkSession, path: str, chunk: int = 65_536) -> DataFrame:
     """FASTA as (name, header, chunk_id, chunk_start, seq): upper-cased chunks of ``chunk`` bases.
 
-    Records are split off by Spark's own line reader, at '>'; a record passes through one row, so it must fit one
-    (2 GB), while everything later works on its chunks.
+    Files are read by byte ranges, so a record may lie over any number of tasks and be of any length; only a line must
+    fit a row. What a batch holds of a record is one fragment, stored once; which record a fragment belongs to and where in
+    it comes from running sums over fragments without their bases. Fragments are then cut at chunk borders and met by
+    chunk. A header is a line that begins with '>'; white space within sequences goes, lines before a file's first header
+    are of no record, a record without bases has no chunks. Records of one name in one or more files stay apart by header
+    alone, as their chunks do not tell files.
     """
-    text = spark.read.option("lineSep", ">").text(path).withColumn("file", F.col("_metadata.file_path"))
-    records = text.filter(F.length(F.trim("value")) > 0).select("file", F.split("value", "\n", 2)[0].alias("header"), F.upper(F.regexp_replace(F.get(F.split("value", "\n", 2), F.lit(1)), r"\s", "")).alias("seq"))
-    pieces = records.select("file", F.trim("header").alias("header"), F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{chunk}}}"), F.lit(0))).alias("chunk_id", "seq"))
-    return pieces.select(F.split("header", r"\s|\|")[0].alias("name"), "header", "chunk_id", (F.col("chunk_id").cast("long") * chunk + 1).alias("chunk_start"), "seq")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    key = ["file", "block", "line"]
+    stored = materialize(_fragments(lines).filter("header is not null or seq <> ''"))
+    light = stored.select(*key, "header", F.length("seq").cast("long").alias("n"), F.col("header").isNotNull().cast("long").alias("_first"))
+    sums = running(light, ["file"], ["block", "line"], {"_record": ("sum", F.col("_first")), "_before": ("sum", F.col("n"))})
+    placed = sums.select(*key, "header", "n", (F.coalesce("_record", F.lit(0)) + F.col("_first")).alias("record"), F.coalesce("_before", F.lit(0)).alias("before"))
+    heads = placed.filter("header is not null").select("file", "record", "header", F.col("before").alias("begin"))
+    placed = placed.filter("n > 0").drop("header").join(heads, ["file", "record"]).select(*key, "record", "header", (F.col("before") - F.col("begin")).alias("at"))
+    held = stored.select(*key, "seq").join(placed.hint("shuffle_hash"), key)
+    of = lambda x: F.floor(x / chunk)
+    skipped = lambda c: F.greatest(c * chunk - F.col("at"), F.lit(0))
+    upto = lambda c: F.least((c + 1) * chunk - F.col("at"), F.length("seq").cast("long"))
+    slices = F.transform(F.sequence(of(F.col("at")), of(F.col("at") + F.length("seq") - 1)), lambda c: F.struct(c.alias("chunk"), (F.col("at") + skipped(c)).alias("from"), F.substr(F.col("seq"), (skipped(c) + 1).cast("int"), (upto(c) - skipped(c)).cast("int")).alias("text")))
+    cut = held.select("file", "record", "header", F.inline(slices))
+    met = cut.groupBy("file", "record", "chunk").agg(F.first("header").alias("header"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("from", "text"))), lambda p: p["text"]), "").alias("seq"))
+    return met.select(F.split("header", r"\s|\|")[0].alias("name"), "header", F.col("chunk").cast("int").alias("chunk_id"), (F.col("chunk") * chunk + 1).alias("chunk_start"), "seq")
+
+
+def fasta_references(chunks: DataFrame) -> DataFrame:
+    """(name, header, length) of each record of ``read_fasta``; lengths are those up to the last chunk's end."""
+    ends = F.col("chunk_start") + F.length("seq") - 1
+    return chunks.groupBy("name", "header").agg(F.max(ends).cast("long").alias("length"))
+
+
+def read_region(spark: SparkSession, path: str, name: str, start: int, end: int, chunk: int = 65_536) -> DataFrame:
+    """One row (name, start_pos, end_pos, seq): bases ``start`` to ``end`` of a record that ``write_chunks`` stored in chunks of
+    ``chunk``; less where the record ends, none where it has no base there. The filters on name and chunk_start
+    reach the scan, and chunks lie in their order, so only row groups that hold the region are read. The region is one row."""
+    near = spark.read.parquet(path).filter((F.col("name") == name) & (F.col("chunk_start") > start - chunk) & (F.col("chunk_start") <= end))
+    low = F.greatest(F.lit(start) - F.col("chunk_start"), F.lit(0))
+    bases = F.substr(F.col("seq"), (low + 1).cast("int"), (F.lit(end) - F.col("chunk_start") + 1 - low).cast("int"))
+    parts = near.select("chunk_start", bases.alias("text")).filter("text <> ''")
+    row = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_start", "text"))), lambda p: p["text"]), "").alias("seq"))
+    first = F.lit(max(1, start)).cast("long")
+    return row.filter("seq <> ''").select(F.lit(name).alias("name"), first.alias("start_pos"), (first + F.length("seq") - 1).alias("end_pos"), "seq")
 
 
 def read_jaspar(spark: SparkSession, path: str, pseudocount: float = 0.0) -> DataFrame:

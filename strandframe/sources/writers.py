@@ -36,6 +36,14 @@ def write_fasta(df: DataFrame, path: str, width: int = 80, overwrite: bool = Fal
     df.select(F.concat(F.lit(">"), F.concat_ws(" ", *head), F.lit("\n"), body).alias("value")).write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
+def write_chunks(chunks: DataFrame, path: str, partitions: int | None = None, row_group: int = 1 << 20, overwrite: bool = False) -> None:
+    """Chunks of ``read_fasta`` dealt by range over name and place and sorted, in small row groups, so that a read of one
+    region opens the files that hold it alone and in them a few row groups."""
+    n = partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = chunks.repartitionByRange(n, "name", "chunk_start").sortWithinPartitions("name", "chunk_start")
+    rows.write.mode("overwrite" if overwrite else "errorifexists").option("parquet.block.size", row_group).parquet(path)
+
+
 def write_by_class(df: DataFrame, path: str, by: str, fmt: str = "parquet", overwrite: bool = False) -> None:
     """One folder for each class, so that a reader of one class reads only its files."""
     df.repartition(by, F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(32))).write.partitionBy(by).mode("overwrite" if overwrite else "errorifexists").format(fmt).save(path)
