@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import bases
 from strandframe.operators import scans
 from strandframe.operators import sequences as sq
+from strandframe.operators import substrings
 
 from .registry import also, query
 
@@ -104,6 +105,29 @@ def agg_distinct_words(v):
     return sq.distinct_words(v.sequences.select("seq_id", "seq"), 8)
 
 
+@query("agg_distinct_substrings")
+def agg_distinct_substrings(v):
+    return substrings.distinct_substrings(v.sequences)
+
+
+@query("agg_substring_profile", " UNION ALL ".join(f"SELECT seq_id, CAST({k} AS BIGINT) AS length, count(DISTINCT kmer) AS n_distinct FROM ({KMER.format(k=k)}) GROUP BY seq_id" for k in range(1, 9)))
+def agg_substring_profile(v):
+    return substrings.substring_profile(v.sequences, 8)
+
+
+HALVES = "SELECT seq_id, substr(seq, 1, length(seq) // 2) AS a, substr(seq, length(seq) // 2 + 1) AS b FROM v_sequences"
+WORDS_OF = " UNION ".join("SELECT seq_id, substr({side}, CAST(p AS INT), %d) AS word FROM (SELECT *, unnest(range(1, length({side}) - %d + 2)) AS p FROM h)" % (k, k) for k in range(1, 9))
+
+
+@query("agg_new_substrings", f"""WITH h AS ({HALVES}), n AS (SELECT seq_id, count(*) AS n FROM (({WORDS_OF.format(side="b")}) EXCEPT ({WORDS_OF.format(side="a")})) GROUP BY seq_id)
+SELECT seq_id, coalesce(n, 0) AS n_distinct FROM h LEFT JOIN n USING (seq_id)""")
+def agg_new_substrings(v):
+    """Substrings of up to eight letters that a sequence's second half has and its first has not."""
+    half = F.floor(F.length("seq") / 2).cast("int")
+    halves = v.sequences.select("seq_id", F.substr("seq", F.lit(1), half).alias("a"), F.substr("seq", half + 1).alias("b"))
+    return substrings.distinct_substrings(halves, 8, seq="b", beside="a")
+
+
 @query("agg_base_profile", """WITH t AS (SELECT grp, unnest(ps) AS piece FROM (SELECT grp, regexp_extract_all(seq, '.{12}') AS ps FROM v_sequences)), b AS (SELECT grp, p, substr(piece, CAST(p + 1 AS INT), 1) AS base FROM (SELECT grp, piece, unnest(range(12)) AS p FROM t))
 SELECT grp, p AS pos, base, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY grp, p), 9) AS share FROM b GROUP BY grp, p, base""")
 def agg_base_profile(v):
