@@ -9,6 +9,8 @@ from strandframe.functions import bases
 from strandframe.operators import scans
 from strandframe.operators import sequences as sq
 from strandframe.operators import substrings
+from strandframe.operators.storage import fresh_path
+from strandframe.sources import readers, writers
 
 from .registry import also, query
 
@@ -105,6 +107,15 @@ def agg_distinct_words(v):
     return sq.distinct_words(v.sequences.select("seq_id", "seq"), 8)
 
 
+@query("src_fasta_chunks", """SELECT CAST(seq_id AS VARCHAR) AS name, CAST(c AS INT) AS chunk_id, CAST(c * 300 + 1 AS BIGINT) AS chunk_start, md5(substr(seq, CAST(c * 300 + 1 AS INT), 300)) AS seq
+FROM (SELECT seq_id, upper(seq) AS seq, unnest(range((length(seq) + 299) // 300)) AS c FROM v_sequences)""")
+def src_fasta_chunks(v):
+    """All sequences written as FASTA and read again by byte ranges, in chunks of 300 bases."""
+    path = fresh_path(v.spark)
+    writers.write_fasta(v.sequences.select(F.col("seq_id").cast("string").alias("name"), "seq"), path)
+    return readers.read_fasta(v.spark, path, 300).select("name", "chunk_id", "chunk_start", F.md5("seq").alias("seq"))
+
+
 @query("agg_distinct_substrings")
 def agg_distinct_substrings(v):
     return substrings.distinct_substrings(v.sequences)
