@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAND = 16  # diagonals on either side of what the lengths ask for, at first
-CELLS = 1 << 25  # cells of the tables that are open at once, a byte each
+CELLS = 1 << 22  # cells of the tables that are open at once, a byte each
 UNIT = 1_000_000  # scores are whole numbers of this part
 FAR = -(1 << 60)
 

@@ -181,3 +181,14 @@ def test_shifts_of_long_and_odd_pairs():
     share, at, run, run_at = pairs.shift_scores([a, "éé", "", "ACGT"], [a[37:] + a[:37], "ee", "ACG", "ACGTACGT"], 1)
     assert at[0] == 37 and run_at[0] == 37 and run[0] >= 3000 - 37
     assert share.tolist()[1:] == [0.0, 0.0, 1.0] and run.tolist()[1:] == [1, 0, 4]
+
+
+def test_shared_words_of_repeats_and_copies_are_stored_by_key(spark, monkeypatch):
+    r = random.Random(8)
+    run = "".join(r.choice("ATGC") for _ in range(60))
+    texts = [run, "T" + run[3:], "A" * 30, "A" * 25 + "CC", run[20:50], run, "CAT" * 9, "G" + "CAT" * 8, run[:7], run[5:13], "A" * 30]
+    stored = []
+    monkeypatch.setattr(pairs, "materialize", lambda df, keep=pairs.materialize: stored.append(df.columns) or keep(df))
+    got = sorted((x.a, x.b, x.a_seq, x.b_seq) for x in pairs.shared_word_pairs(frame(spark, list(enumerate(texts))), 8).collect())
+    assert got == [(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and words(a, 8) & words(b, 8)]
+    assert ["p", "q"] in stored  # pairs come to their texts when each is there once, by keys
