@@ -192,3 +192,20 @@ def test_shared_words_of_repeats_and_copies_are_stored_by_key(spark, monkeypatch
     got = sorted((x.a, x.b, x.a_seq, x.b_seq) for x in pairs.shared_word_pairs(frame(spark, list(enumerate(texts))), 8).collect())
     assert got == [(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and words(a, 8) & words(b, 8)]
     assert ["p", "q"] in stored  # pairs come to their texts when each is there once, by keys
+
+
+def test_near_templates_meet_by_two_spread_parts(spark, monkeypatch):
+    r = random.Random(4)
+    texts = ["".join(r.choice("ATGC") for _ in range(40)) for _ in range(12)]
+    for t in texts[:8]:
+        texts.append("".join(r.choice("ATGCNx") if i in r.sample(range(40), 5) else c for i, c in enumerate(t)))
+    texts += [texts[0][:36] + "NNNN", texts[0][:35] + "NNNNN", texts[0][:36] + "xxxx"]
+    texts += ["ACGTACGT" + "".join(r.choice("ATGC") for _ in range(32)) for _ in range(60)]
+    met = []
+    monkeypatch.setattr(pairs, "self_pairs", lambda rows, *a, keep=pairs.self_pairs: met.append(keep(rows, *a)) or met[-1])
+    near = pairs._near_texts(spark.createDataFrame(list(enumerate(texts)), "least long, t string"), 40, 4)
+    want = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and sum(x != y for x, y in zip(a, b)) <= 4]
+    assert sorted(map(tuple, near.collect())) == want and len(want) > 3
+    assert met[0].count() < 1000  # one common word of 8 letters would bring all pairs of 60 together
+    got = {x.centroid: x.template for x in pairs.template_groups(frame(spark, [(0, "ACGTNACGTR"), (1, "xCGTNACYTA")]), 10).collect()}
+    assert got == {0: "ACGTNACGTR", 1: "CGTNACYTA"}
