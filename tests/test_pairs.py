@@ -209,3 +209,21 @@ def test_near_templates_meet_by_two_spread_parts(spark, monkeypatch):
     assert met[0].count() < 1000  # one common word of 8 letters would bring all pairs of 60 together
     got = {x.centroid: x.template for x in pairs.template_groups(frame(spark, [(0, "ACGTNACGTR"), (1, "xCGTNACYTA")]), 10).collect()}
     assert got == {0: "ACGTNACGTR", 1: "CGTNACYTA"}
+
+
+def test_clusters_pair_no_lengths_too_far_apart(spark, monkeypatch):
+    r = random.Random(6)
+    word = "".join(r.choice("ATGC") for _ in range(12))
+    texts = [word + "".join(r.choice("ATGC") for _ in range(3 * n)) for n in range(10)]
+    texts += [t[:-1] + ("A" if t[-1] != "A" else "C") for t in texts[3:]]
+    made = []
+    monkeypatch.setattr(pairs, "shared_word_pairs", lambda *a, keep=pairs.shared_word_pairs, **k: made.append(keep(*a, **k)) or made[-1])
+    got = dict(map(tuple, pairs.similar_clusters(frame(spark, list(enumerate(texts))), 10, 0.8).collect()))
+    want = {i: i for i in range(len(texts))}
+    for _ in texts:
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts[:i]):
+                if aligned(a, b) >= 0.8 * max(len(a), len(b)) - 1e-9:
+                    want[i] = want[j] = min(want[i], want[j])
+    assert got == want
+    assert all(min(len(x.a_seq), len(x.b_seq)) >= 0.89 * max(len(x.a_seq), len(x.b_seq)) for x in made[0].collect())
