@@ -12,6 +12,8 @@ that misses loses nothing. Small sets, whose signatures say little, also meet by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -172,6 +174,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
     return materialize_bucketed(rows, "least_id", tasks_for(docs.sparkSession))
 
 
+def _fetched(sets: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) with the shingles of their nodes, brought to where the sets lie: these are not shuffled.
+
+    A plain node = _node would become a key of the join, for which the table's buckets do not serve."""
+    asked = rows.join(classes.select("node", "least_id"), "node").hint("shuffle_hash")
+    return asked.join(sets.withColumnRenamed("node", "_node"), "least_id").filter("node - _node = 0").drop("_node", "least_id")
+
+
 def _lowest(sets: DataFrame) -> DataFrame:
     """(node, low): the upper halves of the LOWEST lowest hashes."""
 
@@ -216,10 +226,8 @@ def _confirm(sets: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
-    ids = classes.select("node", "least_id")
-    fetched = lambda rows: rows.hint("shuffle_hash").join(sets.withColumnRenamed("node", "_node"), "least_id").filter("node = _node")
-    right = fetched(pairs.withColumnRenamed("v", "node").join(ids, "node")).select("u", F.col("node").alias("v"), F.col("shingles").alias("b"))
-    left = fetched(pairs.select(F.col("u").alias("node")).distinct().join(ids, "node")).select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = _fetched(sets, classes, pairs.withColumnRenamed("v", "node")).select("u", F.col("node").alias("v"), F.col("shingles").alias("b"))
+    left = _fetched(sets, classes, pairs.select(F.col("u").alias("node")).distinct()).select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     return right.join(left, "u").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
@@ -292,19 +300,23 @@ def _across(percent: int, best_only: bool):
     return pairs
 
 
-def _still_apart(entries: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+def _still_apart(entries: DataFrame, nodes: DataFrame, comps: DataFrame, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Cells of at most two blocks of the members of those buckets whose members are in several components.
 
     A bucket of one block is one cell. In larger ones only pairs with a member outside the bucket's largest component
     matter: members of that component are sent once for each block of the others, the others to all blocks, so a stray
-    member costs one row a block.
+    member costs one row a block. ``also`` gives more columns of the nodes (node) that are in such a bucket; no other
+    node is sent.
     """
     member = _with_component(entries, comps)
     sizes = materialize(member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("own")))
     largest = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("own").alias("n"), F.max(F.struct("own", "comp")).alias("top")).filter("comps > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     mixed = largest.select("band", (F.col("n") <= BLOCK).alias("whole"), F.col("top.comp").alias("largest"), blocks(F.col("top.own")).alias("many"), blocks(F.col("n") - F.col("top.own")).alias("few"))
-    rest = member.drop("n").join(mixed, "band").join(nodes, "node")
+    apart = materialize(member.drop("n").join(mixed, "band"))
+    met = apart.select("node").distinct()
+    told = nodes.join(met, "node", "left_semi")
+    rest = apart.join(told.join(also(met), "node") if also else told, "node")
     inside = F.col("comp") == F.col("largest")
     mine = F.pmod(F.xxhash64("node"), F.when(inside, F.col("many")).otherwise(F.col("few"))).cast("int")
     numbers = lambda n: F.sequence(F.lit(0), n - 1)
@@ -315,7 +327,7 @@ def _still_apart(entries: DataFrame, nodes: DataFrame, comps: DataFrame) -> Data
     among = F.transform(numbers(F.col("few")), lambda r: cell(F.least(F.col("mine"), r), F.greatest(F.col("mine"), r), F.col("mine") <= r, F.col("mine") >= r))
     one = F.array(cell(F.lit(0), F.lit(0), True, True))
     dealt = rest.withColumn("mine", mine).withColumn("cell", F.explode(F.when(F.col("whole"), one).when(inside, of_largest).otherwise(F.concat(across, among))))
-    return dealt.select("band", "cell.i", "cell.j", "comp", *nodes.columns, "cell.a", "cell.b")
+    return dealt.select("band", "cell.i", "cell.j", "comp", *[c for c in rest.columns if c not in {*apart.columns} - {"node"}], "cell.a", "cell.b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -364,8 +376,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = components(links)
     tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     for best_only in (True, False):
-        known = sketched.drop("bands") if best_only else sketched.join(_lowest(sets), "node")
-        cells = _still_apart(entries, known, comps).groupBy("band", "i", "j")
+        if best_only:
+            cells = _still_apart(entries, sketched.drop("bands"), comps)
+        else:
+            cells = _still_apart(entries, sketched, comps, lambda met: _lowest(_fetched(sets, classes, met)))
+        cells = cells.groupBy("band", "i", "j")
         more = cells.applyInArrow(_across(percent, best_only), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
         more = materialize(more)
         tidy(docs.sparkSession)

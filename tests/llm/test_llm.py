@@ -511,3 +511,15 @@ def test_columns_named_as_the_new_ones_are_replaced(spark):
     assert dict(out.dtypes)["sequence_id"] == dict(out.dtypes)["offset"] == "bigint" and Counter(x["offset"] for x in out.collect()) == Counter({0: 3, 5: 3, 10: 3})
     dealt = shard(df, 4)
     assert dict(dealt.dtypes)["shard"] == "int" and {x["shard"] for x in dealt.collect()} <= {0, 1, 2, 3}
+
+
+def test_sets_are_not_shuffled_where_they_lie_in_buckets(spark):
+    """A pair's sets are brought to it by the buckets they are stored in; a join on more keys would shuffle all of them."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = spark.range(50).select(F.col("id").alias("least_id"), F.col("id").alias("node"), F.lit(minhash._packed(np.arange(1, 9, dtype=np.uint64) << np.uint64(40))).alias("shingles"))
+    sets = minhash.materialize_bucketed(own, "least_id", n)
+    classes = own.select("node", "least_id")
+    links = minhash._confirm(sets, classes, spark.createDataFrame([(1, 2), (3, 4), (3, 99)], "u long, v long"), 80)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 2 and "disabled by query planner" not in plan
+    assert sorted(map(tuple, links.collect())) == [(1, 2), (3, 4)]
