@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.functions import bases, motifs
+
 CODES = np.full(256, 4, dtype=np.int8)
 for _k, _b in enumerate(b"ACGT"):
     CODES[_b] = _k
@@ -33,6 +38,17 @@ def kmer_codes(code: np.ndarray, k: int, mates: bool = False) -> np.ndarray:
     return out
 
 
+def distinct_codes(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-mer numbers of an array in their order, but for -1, and how often each comes; counted without a sort
+    where there are few numbers."""
+    codes = codes[codes >= 0]
+    if 4**k <= max(4096, len(codes)):
+        n = np.bincount(codes, minlength=1)
+        own = np.flatnonzero(n)
+        return own, n[own]
+    return np.unique(codes, return_counts=True)
+
+
 def counted_kmers(keys: list[pa.Array], texts: pa.Array, k: int, most: int = 1 << 20):
     """(row with the keys, k-mer, how often it starts, rows that hold it) for the texts of a batch, summed over rows of
     equal keys; in several parts where more than about ``most`` k-mers are open."""
@@ -58,7 +74,7 @@ def counted_kmers(keys: list[pa.Array], texts: pa.Array, k: int, most: int = 1 <
             numbers[at] = len(first)
             first.append(i)
         codes = kmer_codes(coded(text), k)
-        code, n = np.unique(codes[codes >= 0], return_counts=True)
+        code, n = distinct_codes(codes, k)
         held.append((np.full(len(code), numbers[at]), code, n))
         size += len(code)
         seen = set()
@@ -74,16 +90,50 @@ def counted_kmers(keys: list[pa.Array], texts: pa.Array, k: int, most: int = 1 <
         yield told()
 
 
-def scan(seqs: DataFrame, schema: str, names: list[str], find: Callable[[str], list[np.ndarray]], key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """Rows (key, *names) of what ``find`` gives for each sequence: one array a name, of equal lengths."""
+def _words(text: str, k: int) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """The distinct k-mers of A, C, G and T of a text as numbers in their order, how often each starts, and those with
+    other letters as they are spelled with how often they start."""
+    codes = kmer_codes(coded(text), k)
+    own, n = distinct_codes(codes, k)
+    odd: dict[str, int] = {}
+    for p in np.flatnonzero(codes < 0).tolist():
+        odd[text[p : p + k]] = odd.get(text[p : p + k], 0) + 1
+    return own, n, odd
+
+
+def word_counts(text: str, k: int) -> np.ndarray:
+    """How often each distinct k-mer of a text starts in it, in no order that means anything."""
+    _, n, odd = _words(text, k)
+    return np.r_[n, np.array([*odd.values()], dtype=np.int64)]
+
+
+def top_words(text: str, k: int, n: int) -> tuple[list[str], np.ndarray]:
+    """The n most frequent k-mers of a text with their counts; ties go to the lesser k-mer."""
+    own, counts, odd = _words(text, k)
+    first = np.argsort(-counts, kind="stable")[:n]
+    spelled = [("".join("ACGT"[(c >> 2 * (k - 1 - i)) & 3] for i in range(k)), m) for c, m in zip(own[first].tolist(), counts[first].tolist())]
+    best = sorted([*spelled, *odd.items()], key=lambda x: (-x[1], x[0].encode()))[:n]
+    return [w for w, _ in best], np.array([m for _, m in best], dtype=np.int64)
+
+
+def scan(seqs: DataFrame, schema: str, names: list[str], find: Callable[[str], list[np.ndarray]], key: str = "seq_id", seq: str = "seq", most: int = 1 << 14) -> DataFrame:
+    """Rows (key, *names) of what ``find`` gives for each sequence: one array a name, of equal lengths. About ``most`` rows
+    are sent on together."""
     kind = dict(seqs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held, size = [], [], 0
             for i in range(batch.num_rows):
                 found = [pa.array(a) for a in find(batch.column(1)[i].as_py() or "")]
                 if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(found[0]), i))), *found], [key, *names])
+                    rows.append(np.full(len(found[0]), i))
+                    held.append(found)
+                    size += len(found[0])
+                if held and (size >= most or i + 1 == batch.num_rows):
+                    columns = [pa.concat_arrays([h[c] for h in held]) for c in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), *columns], [key, *names])
+                    rows, held, size = [], [], 0
 
     return seqs.select(key, seq).mapInArrow(run, f"{key} {kind}, {schema}")
 
@@ -245,6 +295,63 @@ def open_frames(seqs: DataFrame, least: int) -> DataFrame:
     return scan(seqs, "frame long, start long, stop long", ["frame", "start", "stop"], find)
 
 
+def literal_places(seqs: DataFrame, word: str) -> DataFrame:
+    """Of every start of a word of A, C, G and T in each sequence that has one: n, n_in_frame (starts divisible by 3), first."""
+    wanted = kmer_codes(coded(word), len(word))[0]
+
+    def find(text: str) -> list:
+        at = np.flatnonzero(kmer_codes(coded(text), len(word)) == wanted).astype(np.int64)
+        return [np.array(x, dtype=np.int64) for x in ([len(at)], [int((at % 3 == 0).sum())], at[:1])] if len(at) else [at] * 3
+
+    return scan(seqs, "n long, n_in_frame long, first long", ["n", "n_in_frame", "first"], find)
+
+
+def word_places(seqs: DataFrame, pattern: str, k: int, key: str) -> DataFrame:
+    """Every start of a ``k``-letter word that a regular expression matches as a whole, overlapping ones too: pos (from 0), kmer."""
+    ahead, whole = re.compile(f"(?={pattern})", re.DOTALL), re.compile(pattern, re.DOTALL)
+
+    def find(text: str) -> list:
+        at = [i for i in (m.start() for m in ahead.finditer(text)) if i + k <= len(text) and whole.fullmatch(text, i, i + k)]
+        return [np.array(at, dtype=np.int64), [text[i : i + k] for i in at]]
+
+    return scan(seqs, "pos long, kmer string", ["pos", "kmer"], find, key=key)
+
+
+def unit_phases(seqs: DataFrame, unit: str) -> DataFrame:
+    """Of each sequence with a letter (phase, matches): the shift of the repeated unit that agrees with most letters; the
+    least of equals."""
+
+    def find(text: str) -> list:
+        if not text:
+            return [np.zeros(0, np.int64)] * 2
+        x = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
+        place = np.arange(len(x)) % len(unit)
+        seen = np.array([np.bincount(place[x == ord(c)], minlength=len(unit)) for c in unit])  # by letter of the unit and place
+        shifts = np.arange(len(unit))
+        matches = np.array([seen[(shifts + o) % len(unit), shifts].sum() for o in shifts], dtype=np.int64)
+        best = int(matches.argmax())
+        return [np.array([best], dtype=np.int64), matches[best : best + 1]]
+
+    return scan(seqs, "phase long, matches long", ["phase", "matches"], find)
+
+
+def consensus_scores(seqs: DataFrame, key: str, seq: str) -> DataFrame:
+    """Of each consensus in ambiguity codes (key, entropy, logprob, minimal): mean over its letters of p ln(1/p), N at the ends
+    counting nothing but length (1 for an empty one); minus the sum of ln(4 - bases of the code), N left out; the MD5 of
+    the consensus with one base for each code. Letters are counted once."""
+    weight, odds = ([f(len(of)) for of in bases.IUPAC.values()] for f in (lambda n: math.log(n) / n, lambda n: -math.log(4 - n) if n < 4 else 0.0))
+    minimal = str.maketrans(motifs.MINIMAL)
+
+    def find(text: str) -> list:
+        ends = len(text) - len(text.strip("N"))
+        n = [text.count(c) for c in bases.IUPAC]
+        inner = [m - ends * (c == "N") for c, m in zip(bases.IUPAC, n)]
+        entropy = sum(m * w for m, w in zip(inner, weight)) / len(text) if text else 1.0
+        return [np.array([entropy]), np.array([sum(m * o for m, o in zip(n, odds))]), [hashlib.md5(text.translate(minimal).encode()).hexdigest()]]
+
+    return scan(seqs, "entropy double, logprob double, minimal string", ["entropy", "logprob", "minimal"], find, key=key, seq=seq)
+
+
 def fuzzy_hits(seqs: DataFrame, pattern: str, errors: int) -> DataFrame:
     """Starts where a pattern fits with at most ``errors`` mismatches: start, mismatches."""
 

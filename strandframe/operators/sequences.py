@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,11 +64,36 @@ def kmer_table(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return seqs.select(*[c for c in seqs.columns if c != seq], F.inline(bases.kmers(F.col(seq), k)))
 
 
+def _told_by_row(seqs: DataFrame, k: int, schema: str, tell: Callable, merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``tell`` gives of each sequence, one row or more of (seq_id, *schema), no k-mer being shuffled. Sequences that
+    share a seq_id are one: those alone are counted by k-mer, and ``merged`` gives their rows from (seq_id, kmer, n)."""
+    from .scans import scan
+
+    own = materialize(scan(seqs, f"part int, {schema}", ["part", *[c.split()[0] for c in schema.split(", ")]], tell))
+    heads = own.filter("part = 0").groupBy("seq_id").agg(F.count(F.lit(1)).alias("rows"))
+    many = materialize(heads.filter("rows > 1").select(F.col("seq_id").alias("_many")))
+    if many.isEmpty():
+        return own.drop("part")
+    shares = F.col("seq_id").eqNullSafe(F.col("_many"))
+    again = kmer_counts(seqs.join(many, shares, "left_semi"), k, ["seq_id"]).select("seq_id", "kmer", "n")
+    alone = own.join(many, shares, "left_anti").drop("part")
+    return alone.unionByName(merged(again).select(*alone.columns))
+
+
 def top_kmers(seqs: DataFrame, k: int, n: int = 3) -> DataFrame:
     """The n most frequent k-mers of each sequence; ties go to the lesser k-mer."""
-    counts = kmer_table(seqs, k).groupBy("seq_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("seq_id").orderBy(F.col("n").desc(), "kmer")
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    from .scans import top_words
+
+    def tell(text: str) -> list:
+        words, counts = top_words(text, k, n)
+        ranks = np.arange(1, len(words) + 1, dtype=np.int32)
+        return [ranks - 1, words, counts, ranks]
+
+    def merged(counts: DataFrame) -> DataFrame:
+        w = Window.partitionBy("seq_id").orderBy(F.col("n").desc(), "kmer")
+        return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+    return _told_by_row(seqs, k, "kmer string, n long, rank int", tell, merged)
 
 
 def kmer_counts(seqs: DataFrame, k: int, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
@@ -98,21 +126,36 @@ def universal_motifs(seqs: DataFrame, k: int, least: float) -> DataFrame:
 
 def transitions(seqs: DataFrame, k: int, ahead: int) -> DataFrame:
     """How often a k-mer is followed by another one that starts ``ahead`` bases later."""
-    rows = kmer_table(seqs, k + ahead)  # one word that holds both
-    return rows.groupBy(F.substring("kmer", 1, k).alias("kmer"), F.substring("kmer", ahead + 1, k).alias("follower")).agg(F.count(F.lit(1)).alias("n"))
+    rows = kmer_counts(seqs, k + ahead)  # one word that holds both
+    return rows.groupBy(F.substring("kmer", 1, k).alias("kmer"), F.substring("kmer", ahead + 1, k).alias("follower")).agg(F.sum("n").alias("n"))
 
 
 def distinct_words(seqs: DataFrame, k: int) -> DataFrame:
     """Distinct k-mers over all k-mers of each sequence: a linguistic complexity of one word length."""
-    rows = kmer_table(seqs, k).groupBy("seq_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_total"))
+    from .scans import word_counts
+
+    def tell(text: str) -> list:
+        n = word_counts(text, k)
+        found = [[0], [len(n)], [int(n.sum())]] if len(n) else [[], [], []]
+        return [np.array(x, dtype=t) for x, t in zip(found, (np.int32, np.int64, np.int64))]
+
+    merged = lambda counts: counts.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_total"))
+    return _told_by_row(seqs, k, "n_distinct long, n_total long", tell, merged)
 
 
 def ngram_entropy(seqs: DataFrame, k: int) -> DataFrame:
     """Entropy in bits of each sequence's k-mers, all starts counted."""
-    rows = kmer_table(seqs, k).groupBy("seq_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    from .scans import word_counts
+
+    def tell(text: str) -> list:
+        n = word_counts(text, k)
+        total = n.sum()
+        found = [[0], [np.log2(total) - (n * np.log2(n)).sum() / total]] if len(n) else [[], []]
+        return [np.array(x, dtype=t) for x, t in zip(found, (np.int32, np.float64))]
+
     total = F.sum("n")
-    return rows.groupBy("seq_id").agg((F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total).alias("entropy"))
+    merged = lambda counts: counts.groupBy("seq_id").agg((F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total).alias("entropy"))
+    return _told_by_row(seqs, k, "entropy double", tell, merged)
 
 
 def motif_graph(motifs: DataFrame, motif: str = "motif") -> DataFrame:

@@ -30,10 +30,8 @@ def _consensus(v):
 @query("fn_consensus_scores", f"""WITH {CONSENSUS}, i AS (SELECT doc_id, s, {INNER} AS i, replace(s, 'N', '') AS p FROM c)
 SELECT doc_id, CASE WHEN length(s) < 1 THEN 1.0 ELSE round(({ENTROPY})::DOUBLE / length(s), 9) END::DOUBLE AS entropy, round((0 - {LOGPROB})::DOUBLE, 6) AS logprob, md5(translate(s, '{LETTERS}', '{''.join(motifs.MINIMAL[c] for c in LETTERS)}')) AS minimal FROM i""")
 def fn_consensus_scores(v):
-    s = F.col("s")
-    return _consensus(v).select(
-        "doc_id", F.round(motifs.consensus_entropy(s), 9).alias("entropy"), F.round(motifs.consensus_logprob(F.translate(s, "N", "")), 6).alias("logprob"), F.md5(motifs.consensus_minimal(s).cast("binary")).alias("minimal"),
-    )
+    rows = scans.consensus_scores(_consensus(v), "doc_id", "s")
+    return rows.select("doc_id", F.round("entropy", 9).alias("entropy"), F.round("logprob", 6).alias("logprob"), "minimal")
 
 
 @query("srch_repeat_score", """SELECT seq_id, round((len(regexp_extract_all(seq, 'GAT')) + 0.5 * (len(regexp_extract_all(seq, '.AT')) + len(regexp_extract_all(seq, 'G.T')) + len(regexp_extract_all(seq, 'GA.')))) / nullif(length(seq), 0), 9)::DOUBLE AS score FROM v_sequences""")
@@ -253,10 +251,8 @@ l AS (SELECT source, substr(z[1], i, 1) AS x, substr(z[2], i, 1) AS y FROM t, (S
 SELECT source, change, n, round(n / sum(n) OVER (PARTITION BY source) - 1.0 / 12, 9) AS excess FROM c""")
 def agg_aligned_spectrum(v):
     """Changes between words of 20 bases and the ones after them, laid on each other, by source."""
-    words = bases.words(F.col("seq"), 20)
-    last = F.greatest(F.size(words) - 1, F.lit(0))
-    both = F.zip_with(F.slice(words, F.lit(1), last), F.slice(words, F.lit(2), last), lambda a, b: F.struct(a.alias("one"), b.alias("two")))
-    rows = v.sequences.filter("length(seq) >= 40").select("source", F.inline(both))
+    last = F.floor(F.length("seq") / 20).cast("int") * 20 - 20  # words that have one after them, end to end, and the latter
+    rows = v.sequences.filter("length(seq) >= 40").select("source", F.substr("seq", F.lit(1), last).alias("one"), F.substr("seq", F.lit(21), last).alias("two"))
     found = alignment.relative(alignment.spectrum(rows, "one", "two", ["source"]), ["source"], 12)
     return found.withColumn("excess", F.round("excess", 9))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandframe.functions import bases
-from strandframe.operators import assembly
+from strandframe.operators import assembly, scans
 from strandframe.operators import sequences as sq
 from strandframe.operators.intervals import density, infer_introns
+from strandframe.operators.storage import materialize
 
 from .registry import query
 from .sequence_queries import KMER
@@ -100,9 +101,7 @@ def agg_gap_spectrum(v):
 
 @query("fn_places", f"SELECT seq_id, count(*) AS n, count(*) FILTER (pos % 3 = 0) AS n_in_frame, min(pos) AS first FROM ({KMER.format(k=3)}) WHERE kmer = 'ATG' GROUP BY seq_id")
 def fn_places(v):
-    at = F.filter(bases.kmers(F.col("seq"), 3), lambda x: x["kmer"] == "ATG")
-    rows = v.sequences.select("seq_id", F.transform(at, lambda x: x["pos"].cast("long")).alias("at")).filter("size(at) > 0")
-    return rows.select("seq_id", F.size("at").cast("long").alias("n"), F.size(F.filter("at", lambda p: p % 3 == 0)).cast("long").alias("n_in_frame"), F.array_min("at").alias("first"))
+    return scans.literal_places(v.sequences.select("seq_id", "seq"), "ATG")
 
 
 @query("fn_shapes", """SELECT seq_id, md5(substr(seq, 4) || substr(seq, 1, 3)) AS rotated, CASE WHEN length(seq) < 40 THEN rpad(seq, 40, 'N') ELSE seq END = seq AS long_enough,
@@ -119,7 +118,8 @@ def fn_shapes(v):
 p AS (SELECT grp, n / sum(n) OVER (PARTITION BY grp) AS p, sum(n) OVER (PARTITION BY grp, a) / sum(n) OVER (PARTITION BY grp) AS pa, sum(n) OVER (PARTITION BY grp, b) / sum(n) OVER (PARTITION BY grp) AS pb FROM n)
 SELECT grp, round(sum(p * log2(p / (pa * pb))), 9) AS bits FROM p GROUP BY grp""")
 def agg_mutual_information(v):
-    pairs = sq.kmer_table(v.sequences.select("grp", "seq"), 2).groupBy("grp", F.substring("kmer", 1, 1).alias("a"), F.substring("kmer", 2, 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = sq.kmer_counts(v.sequences, 2, ["grp"]).select("grp", F.substring("kmer", 1, 1).alias("a"), F.substring("kmer", 2, 1).alias("b"), "n")
+    pairs = materialize(pairs)  # a few rows, met four times
     a, b = pairs.groupBy("grp", "a").agg(F.sum("n").alias("na")), pairs.groupBy("grp", "b").agg(F.sum("n").alias("nb"))
     rows = pairs.join(a, ["grp", "a"]).join(b, ["grp", "b"]).join(pairs.groupBy("grp").agg(F.sum("n").alias("all")), "grp")
     return rows.groupBy("grp").agg(F.round(F.sum(F.col("n") / F.col("all") * F.log2(F.col("n") * F.col("all") / (F.col("na") * F.col("nb")))), 9).alias("bits"))
@@ -129,7 +129,7 @@ def agg_mutual_information(v):
 m AS (SELECT seq_id, o, count(*) FILTER (c = substr('ATC', (p + o) % 3 + 1, 1)) AS matches FROM b, (SELECT unnest(range(3)) AS o) GROUP BY 1, 2)
 SELECT seq_id, o AS phase, matches FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY matches DESC, o) AS r FROM m) WHERE r = 1""")
 def agg_repeat_phase(v):
-    return v.sequences.filter("length(seq) > 0").select("seq_id", F.inline(F.array(bases.repeat_phase(F.col("seq"), "ATC"))))
+    return scans.unit_phases(v.sequences.select("seq_id", "seq"), "ATC")
 
 
 @query("sort_first_features", "SELECT chrom, start_pos, end_pos, feature_type, id FROM v_features WHERE strand = '-' ORDER BY start_pos, chrom, end_pos, feature_type, id LIMIT 100")
