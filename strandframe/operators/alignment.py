@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,13 +124,37 @@ def differences(one: Column, two: Column) -> Column:
 def spectrum(rows: DataFrame, one: str, two: str, keys: list[str], by_class: bool = False) -> DataFrame:
     """(keys, change, n): how often each base stands across from another one, as two letters, or by the ambiguity code of
     both (R, Y, S, W, K, M) whatever their order. Gaps and other letters do not count."""
-    found = rows.select(*keys, F.explode(differences(F.col(one), F.col(two))).alias("change")).filter(F.col("change").rlike("^[ATGC]{2}$"))
+    names = [x + y for x in "ATGC" for y in "ATGC"]
     if by_class:
-        code = F.lit(None).cast("string")
-        for c, (x, y) in CLASSES.items():
-            code = F.when(F.col("change").isin(x + y, y + x), c).otherwise(code)
-        found = found.withColumn("change", code)
-    return found.groupBy(*keys, "change").agg(F.count(F.lit(1)).alias("n"))
+        names = [next((c for c, of in CLASSES.items() if set(of) == {*n}), n) for n in names]
+    kinds = sorted(set(names))
+    number = np.array([kinds.index(n) for n in names])
+    code = np.full(128, 4, dtype=np.int64)
+    code[[ord(b) for b in "ATGC"]] = range(4)
+
+    def letters(texts: pa.Array, most: np.ndarray) -> np.ndarray:
+        x = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+        size = pc.utf8_length(texts).to_numpy().astype(np.int64)
+        place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+        x = x[place < np.repeat(most, size)]
+        return code[np.where(x < 128, x, 0)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: dict[tuple, int] = {}
+            own = [groups.setdefault(k, i) for i, k in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:])))] if keys else [0] * batch.num_rows
+            most = np.minimum(*(pc.utf8_length(batch.column(c)).to_numpy().astype(np.int64) for c in (0, 1)))
+            x, y = (letters(batch.column(c), most) for c in (0, 1))
+            at = np.flatnonzero((x != y) & (x < 4) & (y < 4))
+            row = np.repeat(np.array(own, dtype=np.int64), most)[at]
+            told, n = np.unique(row * len(kinds) + number[4 * x[at] + y[at]], return_counts=True)
+            taken = [c.take(pa.array(told // len(kinds))) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array([kinds[t] for t in (told % len(kinds)).tolist()], pa.string()), pa.array(n.astype(np.int64))], [*keys, "change", "n"])
+
+    types = dict(rows.dtypes)
+    read = rows.select(F.col(one).alias("_one"), F.col(two).alias("_two"), *keys).filter("_one is not null and _two is not null")
+    parts = read.mapInArrow(count, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "change string, n long"]))
+    return parts.groupBy(*keys, "change").agg(F.sum("n").alias("n"))
 
 
 def relative(spectra: DataFrame, keys: list[str], kinds: int) -> DataFrame:
