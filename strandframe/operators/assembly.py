@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import bases
 
+from .scans import word_places
 from .sequences import interval_sequences
 
 
@@ -108,18 +109,18 @@ def chunked_hits(chunks: DataFrame, pattern: str, k: int) -> DataFrame:
     end = F.col("chunk_start") + F.length("seq") - 1
     tails = chunks.select("chrom", "chunk_start", F.col("seq").alias("body"), (end + 1).alias("start_pos"), (end + k - 1).alias("end_pos"), F.lit("+").alias("strand"))
     rows = interval_sequences(tails, chunks).withColumn("text", F.concat("body", F.coalesce("seq", F.lit(""))))
-    found = F.filter(bases.kmers(F.col("text"), k), lambda x: x["kmer"].rlike(f"^(?:{pattern})$"))
-    return rows.select("chrom", "chunk_start", F.inline(found)).select("chrom", (F.col("chunk_start") + F.col("pos")).alias("pos"), F.col("kmer").alias("word"))
+    found = word_places(rows.select(F.struct("chrom", "chunk_start").alias("at"), F.col("text").alias("seq")), pattern, k, "at")
+    return found.select("at.chrom", (F.col("at.chunk_start") + F.col("pos")).alias("pos"), F.col("kmer").alias("word"))
 
 
 def motif_around(features: DataFrame, chunks: DataFrame, pattern: str, k: int, flank: int) -> DataFrame:
     """Starts of a ``k``-letter pattern within ``flank`` bases of each feature, in its reading direction: ``relative``
     to its first base (from 0) and in_feature."""
     rows = interval_sequences(features, chunks, flank, flank).filter("seq is not null and seq <> ''")
-    found = F.filter(bases.kmers(F.col("seq"), k), lambda x: x["kmer"].rlike(f"^(?:{pattern})$"))
     first = F.greatest(F.col("start_pos") - flank, F.lit(1))  # the reference begins at 1, so the window may begin late
     lead = F.when(F.col("strand") == "-", first + F.length("seq") - 1 - F.col("end_pos")).otherwise(F.col("start_pos") - first)
-    hits = rows.withColumn("lead", lead).select(*features.columns, "lead", F.inline(found))
+    found = word_places(rows.select(F.struct(*features.columns, lead.alias("lead")).alias("at"), "seq"), pattern, k, "at")
+    hits = found.select("at.*", "pos", "kmer")
     relative = F.col("pos") - F.col("lead")
     return hits.select(*features.columns, relative.alias("relative"), F.col("kmer").alias("word"), relative.between(F.lit(0), F.col("end_pos") - F.col("start_pos")).alias("in_feature"))
 

@@ -42,7 +42,9 @@ def interval_sequences(intervals: DataFrame, chunks: DataFrame, upstream: int =
     met = asked.join(pieces(chunks), ["chrom", "bin"]).filter((F.col("_from") < F.col("at") + F.length("piece")) & (F.col("_to") >= F.col("at")))
     low = F.greatest("_from", "at")
     part = F.substr("piece", (low - F.col("at") + 1).cast("int"), (F.col("_to") - low + 1).cast("int"))
-    whole = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("part")))).alias("parts"))
+    # parts are cut before they are dealt: the aggregate, which sorts what it reads, would else sort a piece for each interval
+    cut = met.select("_row", low.alias("at"), part.alias("part")).repartition("_row")
+    whole = cut.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
     joined = whole.select("_row", F.array_join(F.col("parts.part"), "").alias("seq"))
     out = rows.join(joined, "_row", "left").drop("_row")
     return out.withColumn("seq", F.when(F.col("strand") == "-", bases.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
