@@ -12,7 +12,8 @@ that misses loses nothing. Small sets, whose signatures say little, also meet by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.operators.graph import components
-from strandframe.operators.storage import discard, recorded
+from strandframe.operators.storage import discard, materialize_parts, recorded
 
 from .common import byte_slices, give_back, materialize, materialize_bucketed, table, tasks_for, tidy
 
@@ -31,6 +32,8 @@ WALK = 256
 BLOCK = 1024
 SMALL = 96  # sets up to this size also get the keys of an exact prefix filter
 PACKED = 6  # bytes of a hash that are compared: two sets of 1000 have a false match once in some 10 ** 8 pairs
+WAVES = 4  # parts in which texts and sets are shuffled, one after the other, so that only one part's files take up disk
+WAVE_ROWS = 16384  # sets that one more wave is worth
 LOWEST = 1024  # smallest hashes by which pairs are sifted before they are confirmed
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -167,11 +170,25 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array([_packed(got[i]) for i in own], pa.binary())], ["least_id", "node", "shingles"])
 
     own = docs.select(F.col(id_col).cast("long").alias("least_id"), F.col(text_col).cast("string").alias("text"))
-    met = own.join(wanted.hint("shuffle_hash"), "least_id").withColumn("_mark", F.xxhash64("text"))
-    # repeated rows are one; they are together already
-    once = met.groupBy("least_id", "node", "_mark").agg(F.first("text").alias("text"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
-    rows = once.select("least_id", "node", "text", "hi", "lo").mapInArrow(sets, "least_id long, node long, shingles binary")
-    return materialize_bucketed(rows, "least_id", tasks_for(docs.sparkSession))
+
+    def part(wave: int) -> DataFrame:
+        met = _wave(own, "least_id", wave, WAVES).join(_wave(wanted, "least_id", wave, WAVES).hint("shuffle_hash"), "least_id").withColumn("_mark", F.xxhash64("text"))
+        # repeated rows are one; they are together already
+        once = met.groupBy("least_id", "node", "_mark").agg(F.first("text").alias("text"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+        return once.select("least_id", "node", "text", "hi", "lo").mapInArrow(sets, "least_id long, node long, shingles binary")
+
+    return materialize_parts((part(k) for k in range(WAVES)), "least_id", tasks_for(docs.sparkSession))
+
+
+def _wave(rows: DataFrame, key: str, wave: int, of: int) -> DataFrame:
+    """One of so many parts of ``rows`` by ``key``."""
+    return rows.filter(F.pmod(F.xxhash64(key), F.lit(of)) == wave)
+
+
+def _waves(rows: DataFrame, key: str) -> Iterator[DataFrame]:
+    """Stored ``rows`` in up to WAVES parts, by how many they are."""
+    of = min(WAVES, 1 + rows.count() // WAVE_ROWS)
+    return (_wave(rows, key, k, of) for k in range(of))
 
 
 def _fetched(sets: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -231,6 +248,15 @@ def _confirm(sets: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
     return right.join(left, "u").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
+def _confirmed(sets: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``_confirm`` of stored pairs, all of them, stored; in waves by u, each of which lets go of the sets that it has sent."""
+    links = []
+    for part in _waves(pairs, "u"):
+        links.append(materialize(_confirm(sets, classes, part, percent)))
+        tidy(pairs.sparkSession)
+    return reduce(DataFrame.union, links)
+
+
 def _sifted(low: list[np.ndarray], size: np.ndarray, i: int, to: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of ``to`` may be linked with i by their lowest hashes, and which of them are for certain (whole sets)."""
     mine, lengths = low[i], np.array([len(low[t]) for t in to])
@@ -300,20 +326,29 @@ def _across(percent: int, best_only: bool):
     return pairs
 
 
-def _still_apart(entries: DataFrame, nodes: DataFrame, comps: DataFrame, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Cells of at most two blocks of the members of those buckets whose members are in several components.
+def _apart(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of those buckets whose members are in several components, stored, with what ``_cells`` deals them by."""
+    member = _with_component(entries, comps)
+    sizes = materialize(member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("own")))
+    largest = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("own").alias("n"), F.max(F.struct("own", "comp")).alias("top")).filter("comps > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    mixed = largest.select("band", (F.col("n") <= BLOCK).alias("whole"), F.col("top.comp").alias("largest"), blocks(F.col("top.own")).alias("many"), blocks(F.col("n") - F.col("top.own")).alias("few"))
+    return materialize(member.drop("n").join(mixed, "band"))
+
+
+def _still_apart(entries: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """The cells of all buckets whose members are in several components."""
+    return _cells(_apart(entries, comps), nodes)
+
+
+def _cells(apart: DataFrame, nodes: DataFrame, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Cells of at most two blocks of the members of whole buckets, from ``_apart``.
 
     A bucket of one block is one cell. In larger ones only pairs with a member outside the bucket's largest component
     matter: members of that component are sent once for each block of the others, the others to all blocks, so a stray
     member costs one row a block. ``also`` gives more columns of the nodes (node) that are in such a bucket; no other
     node is sent.
     """
-    member = _with_component(entries, comps)
-    sizes = materialize(member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("own")))
-    largest = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("own").alias("n"), F.max(F.struct("own", "comp")).alias("top")).filter("comps > 1")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    mixed = largest.select("band", (F.col("n") <= BLOCK).alias("whole"), F.col("top.comp").alias("largest"), blocks(F.col("top.own")).alias("many"), blocks(F.col("n") - F.col("top.own")).alias("few"))
-    apart = materialize(member.drop("n").join(mixed, "band"))
     met = apart.select("node").distinct()
     told = nodes.join(met, "node", "left_semi")
     rest = apart.join(told.join(also(met), "node") if also else told, "node")
@@ -344,6 +379,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
     with recorded() as wide:
         sketch = materialize(sketches(keyed, "_id", "_text", words, percent))
+    tidy(docs.sparkSession)
     full = sketch.filter("n_shingles > 0 and doc is not null")
     # nodes are numbered in the order of their smallest ids, so the smallest node of a component has its smallest id
     least = full.groupBy("hi", "lo").agg(F.min("doc").alias("least_id"))
@@ -355,9 +391,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # from here on a row of docs is its set's identity alone; the sketches are those of the nodes
     sketch = materialize(sketch.select("doc", "n_shingles", "hi", "lo"))
     discard(docs.sparkSession, wide)
+    tidy(docs.sparkSession)
     entries = nodes.select("node", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = materialize(entries.join(shared, "band"))
+    tidy(docs.sparkSession)
     popular = entries.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = entries.join(popular, "node")
     centers = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("center"))
@@ -369,22 +407,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(docs.sparkSession, whole)
     tidy(docs.sparkSession)
     sets = _sets_of(keyed, classes.join(touched, "node", "left_semi"), "_id", "_text", words)
-    tidy(docs.sparkSession)
-    links = materialize(_confirm(sets, classes, stars, percent))
-    tidy(docs.sparkSession)
+    links = _confirmed(sets, classes, stars, percent)
 
     comps = components(links)
     tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     for best_only in (True, False):
-        if best_only:
-            cells = _still_apart(entries, sketched.drop("bands"), comps)
-        else:
-            cells = _still_apart(entries, sketched, comps, lambda met: _lowest(_fetched(sets, classes, met)))
-        cells = cells.groupBy("band", "i", "j")
-        more = cells.applyInArrow(_across(percent, best_only), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
-        more = materialize(more)
-        tidy(docs.sparkSession)
-        links = materialize(links.union(_confirm(sets, classes, more, percent)))
+        apart, met = _apart(entries, comps), []
+        for part in [apart] if best_only else _waves(apart, "band"):
+            cells = _cells(part, sketched.drop("bands")) if best_only else _cells(part, sketched, lambda met: _lowest(_fetched(sets, classes, met)))
+            met.append(materialize(cells.groupBy("band", "i", "j").applyInArrow(_across(percent, best_only), "u long, v long").distinct()))
+            del cells
+            tidy(docs.sparkSession)
+        more = materialize(reduce(DataFrame.union, met).distinct().join(tried, ["u", "v"], "left_anti"))
+        links = links.union(_confirmed(sets, classes, more, percent))
         tried = tried.union(more)
         comps = components(links)
 

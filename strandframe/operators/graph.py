@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize, recorded, tidy
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,13 +27,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (long columns u, v).
 
-    Loops, repeated edges and edges with a null end are ignored. Each round stores its edges in the shared folder;
-    the number of rounds grows with the logarithm of the largest component.
+    Loops, repeated edges and edges with a null end are ignored. Each round stores its edges in the shared folder and
+    lets go of those of the round before; the number of rounds grows with the logarithm of the largest component.
     """
-    current = materialize(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct())
+    spark = edges.sparkSession
+    with recorded() as last:
+        current = materialize(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct())
     state = None
     for _ in range(max_rounds):
-        current = materialize(_star(_star(current, large=True), large=False))
+        with recorded() as paths:
+            current = materialize(_star(_star(current, large=True), large=False))
+        discard(spark, last)
+        last = paths
+        tidy(spark)
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             break

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,9 +48,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def materialize_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``materialize`` as a table bucketed by ``key``: joins on it with as many partitions do not shuffle the table again."""
-    spark, name = df.sparkSession, uuid.uuid4().hex
-    path = f"{shared_dir(spark)}/tables/{name}"
-    df.write.option("path", path).bucketBy(buckets, key).saveAsTable(f"strandframe_{name}")
+    return materialize_parts([df], key, buckets)
+
+
+def materialize_parts(parts: Iterable[DataFrame], key: str, buckets: int) -> DataFrame:
+    """``materialize_bucketed`` of one or more ``parts`` as one table. A part is written and its shuffle files let go before the next is asked for."""
+    path = None
+    for df in parts:
+        if path is None:
+            spark, name = df.sparkSession, uuid.uuid4().hex
+            path = f"{shared_dir(spark)}/tables/{name}"
+        df.write.option("path", path).mode("append").bucketBy(buckets, key).saveAsTable(f"strandframe_{name}")
+        del df
+        tidy(spark)
     for block in _written:
         block.append(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,7 +76,7 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _written.remove(paths)
+        _written[:] = [x for x in _written if x is not paths]  # an outer block may have written the same so far
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
