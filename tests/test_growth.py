@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from strandframe.operators import alignment, scans
+from strandframe.operators import alignment, pairs, scans
 from strandframe.operators import sequences as sq
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +79,14 @@ def test_consensus_scores_and_phases(spark):
     assert got[1]["minimal"] == hashlib.md5(b"AAAAACA").hexdigest()
     phases = scans.unit_phases(spark.createDataFrame([(1, "TCATCA"), (2, "GGG"), (3, "")], "seq_id long, seq string"), "ATC")
     assert {r["seq_id"]: (r["phase"], r["matches"]) for r in phases.collect()} == {1: (1, 6), 2: (0, 0)}
+
+
+def test_letters_of_an_alignment_do_not_become_rows(spark):
+    texts = ["-" * (i % 5) + "AC-G" * 20 + "é-T" for i in range(200)] + [None, "", "---", "-é"]
+    df = spark.createDataFrame([(i % 7, s) for i, s in enumerate(texts)], "g long, s string")
+    got = pairs.trimmed_alignment(df, "g", "s", 2)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    groups = {g: [s or "" for i, s in enumerate(texts) if i % 7 == g] for g in range(7)}
+    full = {g: [p for p in range(90) if sum(s[p : p + 1] not in ("", "-") for s in own) >= 2] for g, own in groups.items()}
+    want = [(i % 7, s, (s or "")[full[i % 7][0] : full[i % 7][-1] + 1]) for i, s in enumerate(texts)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
