@@ -251,18 +251,39 @@ def shift_runs(seqs: DataFrame, shift: int, least: int) -> DataFrame:
     return scan(seqs, "start long, length long", ["start", "length"], find)
 
 
+def _longest_run(bits: int) -> tuple[int, int]:
+    """(place, length) of the first of the longest runs of ones, (0, 0) without one: starts of runs of 1, 2, 4 ... ones, put
+    together from the longest down."""
+    if not bits:
+        return 0, 0
+    starts, size = [bits], 1
+    while more := starts[-1] & (starts[-1] >> size):
+        starts.append(more)
+        size *= 2
+    at = starts.pop()
+    for k in reversed(range(len(starts))):
+        if longer := at & (starts[k] >> size):
+            at, size = longer, size + (1 << k)
+    return (at & -at).bit_length() - 1, size
+
+
 def long_repeats(seqs: DataFrame, reach: int, z: float = 2.0, least: int = 8) -> DataFrame:
     """Runs that a sequence shares with itself shifted by 1 to ``reach``, if longer than the mean of the shifts' longest
-    runs by ``z`` of their deviations and than ``least``: shift, start, length. One run a shift, the first of its longest."""
+    runs by ``z`` of their deviations and than ``least``: shift, start, length. One run a shift, the first of its longest.
+
+    Letters are two bits, each of all letters one number, so a shift is compared a machine word at a time."""
+
+    def number(of: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(of, bitorder="little").tobytes(), "little")
 
     def find(text: str) -> list:
         x = coded(text)
+        low, high, known = number(x & 1), number(x & 2), number(x < 4)
         runs = []
         for shift in range(1, min(reach, len(x) - 1) + 1):
-            same = np.r_[False, (x[:-shift] == x[shift:]) & (x[:-shift] < 4), False]
-            edge = np.flatnonzero(same[1:] != same[:-1])
-            size = edge[1::2] - edge[::2]
-            runs.append((shift, int(edge[::2][size.argmax()]), int(size.max())) if len(size) else (shift, 0, 0))
+            both = known & (known >> shift)
+            other = (low ^ (low >> shift)) | (high ^ (high >> shift))
+            runs.append((shift, *_longest_run(both ^ (both & other))))
         if not runs:
             return [np.zeros(0, np.int64)] * 3
         rows = np.array(runs, dtype=np.int64)

@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -90,3 +92,17 @@ def test_letters_of_an_alignment_do_not_become_rows(spark):
     full = {g: [p for p in range(90) if sum(s[p : p + 1] not in ("", "-") for s in own) >= 2] for g, own in groups.items()}
     want = [(i % 7, s, (s or "")[full[i % 7][0] : full[i % 7][-1] + 1]) for i, s in enumerate(texts)]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_longest_runs_take_words_not_letters():
+    """A million letters and 60 shifts in little time; before, each shift listed the ends of all its runs."""
+    pick = random.Random(3)
+    for _ in range(300):
+        text = "".join(pick.choices("01", [1, pick.choice([1, 9])], k=pick.randrange(0, 70)))
+        longest = max((len(r) for r in text.split("0")), default=0)
+        assert scans._longest_run(int(text[::-1] or "0", 2)) == ((text.index("1" * longest), longest) if longest else (0, 0))
+    bits = int.from_bytes(pick.randbytes(125_000), "little")
+    began = time.process_time()
+    for shift in range(1, 61):
+        scans._longest_run(bits & (bits >> shift))
+    assert time.process_time() - began < 1.5
