@@ -6,6 +6,10 @@ Interval tables have chrom, start_pos and end_pos. Joins cut positions into bins
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from .storage import materialize
 
 BIN = 4096
 LEVELS = 64  # ranks taken one after the other
+STRETCH = 1 << 16  # positions of a stretch whose whole islands are decided where they lie
+CROWDED = 1 << 18  # rows of a stretch beyond which it is left to the general way
 
 
 def region(features: DataFrame, chrom: str, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -124,19 +130,17 @@ def density(features: DataFrame, contigs: DataFrame, window: int) -> DataFrame:
     return grid.select("chrom", "win").join(counts, ["chrom", "win"], "left").select("chrom", "win", (F.col("win") * window + 1).alias("win_start"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.lit(float(window))).alias("density"))
 
 
-def greedy_non_overlap(features: DataFrame, rank: Column) -> DataFrame:
-    """Features kept when taken by (rank, start, end, feature_type, name) unless they overlap one kept before, per
-    chromosome; a null rank comes last.
+def _general(features: DataFrame) -> DataFrame:
+    """``greedy_non_overlap`` of islands of any size, from its rows.
 
     Ranks are few: each in turn loses what overlaps the kept ones before it, and a pass along the line chooses among the
     rest. With more than LEVELS ranks the choice is made in rounds over all overlapping pairs instead. No task holds an
-    island. Features with a null end or an end before the start go.
+    island.
     """
     from .priority import along_the_line, left_out
 
     cols, ties = ["chrom", "start_pos", "end_pos", "feature_type", "name", "rank"], ("feature_type", "name")
-    rows = features.select("chrom", "start_pos", "end_pos", "feature_type", "name", rank.alias("rank")).filter("end_pos >= start_pos and chrom is not null")
-    rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()))
+    rows = materialize(features.select(*cols).withColumn("_id", F.monotonically_increasing_id()))
     levels = [r[0] for r in rows.select("rank").distinct().limit(LEVELS + 1).collect()]
     if len(levels) > LEVELS:
         pairs = overlap_join(rows, rows).filter("a__id <> b__id")
@@ -154,6 +158,106 @@ def greedy_non_overlap(features: DataFrame, rank: Column) -> DataFrame:
     return kept.select(*cols) if kept is not None else rows.select(*cols)
 
 
+def _taken(rank: list, start: list, end: list) -> list[int]:
+    """What a greedy pass takes of one island, whose rows come by (start, end, ties)."""
+    begins, ends, out = [], [], []
+    for i in sorted(range(len(rank)), key=lambda i: (rank[i] is None, rank[i] != rank[i], rank[i])):
+        at = bisect_left(ends, start[i])  # the first one taken that does not end before this begins
+        if at == len(ends) or begins[at] > end[i]:
+            begins.insert(at, start[i])
+            ends.insert(at, end[i])
+            out.append(i)
+    return out
+
+
+def _decided(part: pa.Table, stretch: int) -> pa.Table:
+    """The rows of whole stretches that are kept for certain or still open (_open). Each stretch has first its mark, whose
+    end is how far the stretches before reach; an island is open if these reach it, or if it reaches the next stretch."""
+    mark = part.column("_kind").to_numpy() == 0
+    base = part.column("_stretch").to_numpy() * stretch
+    begin, end = part.column("start_pos").to_numpy(), part.column("end_pos").to_numpy()
+    width = stretch + 2
+    shift = np.cumsum(mark) * width
+    reach = np.maximum.accumulate(np.clip(end - base, -1, stretch) + shift)
+    first = mark | np.r_[True, begin[1:] - base[1:] + shift[1:] > reach[:-1]]
+    at = np.flatnonzero(first)
+    size = np.diff(np.r_[at, len(first)])
+    last = at + size - 1
+    open_ = mark[at] | (reach[last] - shift[last] >= stretch)
+    keep = np.repeat(open_, size) & ~mark
+    keep[at[(size == 1) & ~open_]] = True
+    undecided = np.repeat(open_, size)
+    many = np.flatnonzero((size > 1) & ~open_)
+    if len(many):
+        rows = np.flatnonzero(np.repeat((size > 1) & ~open_, size))
+        rank = part.column("rank").take(pa.array(rows)).to_pylist()
+        starts, ends, k = begin[rows].tolist(), end[rows].tolist(), 0
+        for i in many.tolist():
+            n = int(size[i])
+            keep[at[i] + np.array(_taken(rank[k : k + n], starts[k : k + n], ends[k : k + n]))] = True
+            k += n
+    out = part.append_column("_open", pa.array(undecided)).filter(pa.array(keep))
+    return out.drop_columns(["_stretch", "_kind"])
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Rows (chrom, start_pos, end_pos, feature_type, name, rank) that a greedy pass keeps for certain, and those that must be
+    looked at further (_open), stored. Chromosomes are cut into stretches; a stretch is streamed in order by one task and
+    an island that lies in one, away from what reaches in or on, is decided there. Islands over borders and crowded
+    stretches stay open as a whole."""
+    cols, stretch = rows.columns, STRETCH
+    placed = rows.withColumn("_stretch", F.floor(F.col("start_pos") / stretch))
+    counted = placed.groupBy("chrom", "_stretch").agg(F.max("end_pos").alias("_reach"), F.count(F.lit(1)).alias("_n"))
+    # one row a stretch, so a chromosome's are few
+    before = Window.partitionBy("chrom").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    marks = materialize(counted.withColumn("_before", F.max("_reach").over(before)))
+    crowded = marks.filter(F.col("_n") > CROWDED).select("chrom", "_stretch")
+    aside = None
+    if not crowded.isEmpty():
+        aside = placed.join(F.broadcast(crowded), ["chrom", "_stretch"], "left_semi").select(*cols, F.lit(True).alias("_open"))
+        placed = placed.join(F.broadcast(crowded), ["chrom", "_stretch"], "left_anti")
+    marks = marks.filter(F.col("_n") <= CROWDED)
+    kinds = dict(rows.dtypes)
+    blank = {"start_pos": F.col("_stretch") * stretch, "end_pos": F.coalesce("_before", F.col("_stretch") * stretch - 1), "chrom": F.col("chrom")}
+    marked = marks.select(*[blank.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in cols], "_stretch", F.lit(0).alias("_kind"))
+    both = placed.select(*cols, "_stretch", F.lit(1).alias("_kind")).union(marked)
+    order = ["chrom", "_stretch", "_kind", "start_pos", "end_pos", "feature_type", "name"]
+
+    def decide(batches):
+        held: list[pa.RecordBatch] = []  # from the last mark on; a stretch is at most CROWDED rows
+        for batch in batches:
+            marks_at = np.flatnonzero(batch.column(len(cols) + 1).to_numpy() == 0)
+            if len(marks_at):
+                cut = int(marks_at[-1])
+                whole = [*held, batch.slice(0, cut)]
+                if sum(b.num_rows for b in whole):
+                    yield from _decided(pa.Table.from_batches(whole), stretch).to_batches()
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield from _decided(pa.Table.from_batches(held), stretch).to_batches()
+
+    dealt = both.repartition("chrom", "_stretch").sortWithinPartitions(*order)
+    out = dealt.mapInArrow(decide, rows.schema.add("_open", "boolean"))
+    return materialize(out.select(*cols, "_open") if aside is None else out.select(*cols, "_open").union(aside))
+
+
+def greedy_non_overlap(features: DataFrame, rank: Column) -> DataFrame:
+    """Features kept when taken by (rank, start, end, feature_type, name) unless they overlap one kept before, per
+    chromosome; a null rank comes last.
+
+    Islands that lie within a stretch of the line are decided there (``_settled``), those over borders or in crowded
+    stretches by ``_general``. No task holds an island of any size. Features with a null end or an end before the start go.
+    """
+    cols = ["chrom", "start_pos", "end_pos", "feature_type", "name", "rank"]
+    rows = features.select("chrom", "start_pos", "end_pos", "feature_type", "name", rank.alias("rank")).filter("end_pos >= start_pos and chrom is not null")
+    settled = _settled(rows)
+    still = settled.filter("_open").select(*cols)
+    kept = settled.filter("not _open").select(*cols)
+    return kept if still.isEmpty() else kept.union(_general(still).select(*cols))
+
+
 def infer_introns(exons: DataFrame) -> DataFrame:
     """Gaps between a gene's exons in order of position: intron_number, start_pos, end_pos."""
     w = Window.partitionBy("gene_name").orderBy("start_pos", "end_pos")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandframe.operators import intervals as iv
 from strandframe.operators import pairs
 from strandframe.operators.priority import along_the_line, greedy_groups, left_out
+from strandframe.operators.storage import recorded
 
 
 def test_left_out_equals_a_sequential_pass(spark):
@@ -77,6 +78,29 @@ def test_greedy_non_overlap_equals_a_sequential_fold(spark, monkeypatch, levels)
     assert sorted((x["chrom"], x["start_pos"], x["end_pos"], x["name"]) for x in got) == sorted((x[0], x[1], x[2], x[4]) for x in kept)
 
 
+@pytest.mark.parametrize("crowded", [1000, 40])
+def test_greedy_non_overlap_over_stretches(spark, monkeypatch, crowded):
+    """Islands within stretches, over borders, below one long feature and in crowded stretches."""
+    monkeypatch.setattr(iv, "STRETCH", 64)
+    monkeypatch.setattr(iv, "CROWDED", crowded)
+    r = random.Random(11)
+    rows = [(c, s, s + r.choice([0, 1, 2, 3, 9]), "gene", f"n{i}", r.choice([0, 1, 1, None])) for i, (c, s) in enumerate((r.choice("12"), r.randrange(1, 1500)) for _ in range(300))]
+    rows += [("1", s, s + 2, "gene", f"m{s}", 1) for s in range(200, 250)] + [("2", 130, 400, "gene", "long", 5), ("1", -70, -60, "gene", "low", 1), ("1", 63, 64, "gene", "edge", 0)]
+    kept = []
+    for x in sorted(rows, key=lambda x: (x[5] is None, x[5] or 0, x[1], x[2], x[3], x[4])):
+        if not any(x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1] for y in kept):
+            kept.append(x)
+    df = spark.createDataFrame(rows, "chrom string, start_pos long, end_pos long, feature_type string, name string, p int")
+    assert sorted(x["name"] for x in iv.greedy_non_overlap(df, F.col("p")).collect()) == sorted(x[4] for x in kept)
+
+
+def test_islands_away_from_borders_take_no_rounds(spark):
+    df = spark.createDataFrame([("1", 100 * i, 100 * i + 150 * (i % 2), "gene", f"n{i}", i % 3) for i in range(1, 60)], "chrom string, start_pos long, end_pos long, feature_type string, name string, p int")
+    with recorded() as paths:
+        got = iv.greedy_non_overlap(df, F.col("p")).count()
+    assert len(paths) <= 2 and 30 <= got < 59
+
+
 def test_greedy_centroids_are_the_longest_first(spark):
     r = random.Random(2)
     base = ["".join(r.choice("ACGT") for _ in range(40)) for _ in range(4)]
