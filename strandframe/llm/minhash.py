@@ -4,10 +4,11 @@ A document is the set of its word shingles' 64-bit hashes. Documents with equal
 takes the value of a filled one picked by its own random walk (Shrivastava, 2017). Bands of bins give bucket keys.
 Within a bucket only a star of edges is a candidate: from the member that shares the most buckets with others, in a
 family of copies the one they were made from, to each of the rest. Candidates are confirmed on the full sets. Only
-buckets whose members are then still in different components are looked at again, block by block: first each member
-outside the block's largest component offers its likeliest partner in another one; then all pairs from different
-components are sifted by their signatures and their 1024 lowest hashes, and what may be a link is confirmed, so a star
-that misses loses nothing. Small sets, whose signatures say little, also meet by an exact prefix filter.
+buckets whose members are then still in different components are looked at again, block by block: all pairs from
+different components are sifted by their signatures and their 1024 lowest hashes, and of those that may be links as many
+are confirmed as join the block's components. Where one of them turns out not to be a link, all other pairs of its bucket
+are confirmed, so a star that misses loses nothing. Small sets, whose signatures say little, also meet by an exact prefix
+filter. Buckets of the same members are one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.operators.graph import components
+from strandframe.operators.graph import joined_further, joined_to
 from strandframe.operators.storage import discard, materialize_parts, recorded
 
 from .common import byte_slices, give_back, materialize, materialize_bucketed, table, tasks_for, tidy
@@ -34,6 +35,7 @@ SMALL = 96  # sets up to this size also get the keys of an exact prefix filter
 PACKED = 6  # bytes of a hash that are compared: two sets of 1000 have a false match once in some 10 ** 8 pairs
 WAVES = 4  # parts in which texts and sets are shuffled, one after the other, so that only one part's files take up disk
 WAVE_ROWS = 16384  # sets that one more wave is worth
+CELL_ROWS = 1 << 17  # rows with their lowest hashes that one more wave is worth
 LOWEST = 1024  # smallest hashes by which pairs are sifted before they are confirmed
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -154,9 +156,9 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, of: int = WAVES) -> DataFrame:
     """(least_id, node, shingles) of the wanted nodes (node, least_id, hi, lo), from the whole texts of the rows with their
-    least id; of texts that share that id only the one whose set is the node's. Stored by least_id, as texts meet."""
+    least id; of texts that share that id only the one whose set is the node's. Stored by least_id, as texts meet, in ``of`` parts."""
 
     def sets(batches):
         import xxhash
@@ -172,12 +174,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
     own = docs.select(F.col(id_col).cast("long").alias("least_id"), F.col(text_col).cast("string").alias("text"))
 
     def part(wave: int) -> DataFrame:
-        met = _wave(own, "least_id", wave, WAVES).join(_wave(wanted, "least_id", wave, WAVES).hint("shuffle_hash"), "least_id").withColumn("_mark", F.xxhash64("text"))
+        met = _wave(own, "least_id", wave, of).join(_wave(wanted, "least_id", wave, of).hint("shuffle_hash"), "least_id").withColumn("_mark", F.xxhash64("text"))
         # repeated rows are one; they are together already
         once = met.groupBy("least_id", "node", "_mark").agg(F.first("text").alias("text"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
         return once.select("least_id", "node", "text", "hi", "lo").mapInArrow(sets, "least_id long, node long, shingles binary")
 
-    return materialize_parts((part(k) for k in range(WAVES)), "least_id", tasks_for(docs.sparkSession))
+    return materialize_parts((part(k) for k in range(of)), "least_id", tasks_for(docs.sparkSession))
 
 
 def _wave(rows: DataFrame, key: str, wave: int, of: int) -> DataFrame:
@@ -185,9 +187,13 @@ def _wave(rows: DataFrame, key: str, wave: int, of: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key), F.lit(of)) == wave)
 
 
-def _waves(rows: DataFrame, key: str) -> Iterator[DataFrame]:
+def _wave_count(rows: DataFrame, each: int | None = None) -> int:
+    return min(WAVES, 1 + rows.count() // (each or WAVE_ROWS))
+
+
+def _waves(rows: DataFrame, key: str, each: int | None = None) -> Iterator[DataFrame]:
     """Stored ``rows`` in up to WAVES parts, by how many they are."""
-    of = min(WAVES, 1 + rows.count() // WAVE_ROWS)
+    of = _wave_count(rows, each)
     return (_wave(rows, key, k, of) for k in range(of))
 
 
@@ -257,8 +263,8 @@ def _confirmed(sets: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     return reduce(DataFrame.union, links)
 
 
-def _sifted(low: list[np.ndarray], size: np.ndarray, i: int, to: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``to`` may be linked with i by their lowest hashes, and which of them are for certain (whole sets)."""
+def _sifted(low: list[np.ndarray], size: np.ndarray, i: int, to: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of ``to`` may be linked with i by their lowest hashes, which of them are for certain (whole sets), and how alike they seem."""
     mine, lengths = low[i], np.array([len(low[t]) for t in to])
     flat, who = np.concatenate([low[t] for t in to]), np.repeat(np.arange(len(to)), lengths)
     whole = (size[to] <= LOWEST) & (size[i] <= LOWEST)
@@ -269,15 +275,15 @@ def _sifted(low: list[np.ndarray], size: np.ndarray, i: int, to: np.ndarray, per
     union = np.bincount(who, weights=flat <= ends[who], minlength=len(to)) + np.searchsorted(mine, ends, side="right") - both
     share = percent / 100
     slack = np.where(whole, 1e-9, 4 * np.sqrt(share * (1 - share) / np.maximum(union, 1)))
-    return both >= (share - slack) * union, whole
+    return both >= (share - slack) * union, whole, both / np.maximum(union, 1)
 
 
-def _across(percent: int, best_only: bool):
-    """Pairs of a cell's members in different components that may be linked by their sketches.
+def _across(percent: int, every: bool):
+    """(u, v, band, rest): pairs of a cell's members in different components that may be linked by their sketches.
 
-    Each pair has a member outside the cell's largest component. ``best_only`` gives for each of these members its
-    most similar partner alone; else all pairs come, each in the first bucket that both are in, but of those known
-    to be links only one for a member and a component. Bounds are four deviations.
+    Each pair has a member outside the cell's largest component and comes in the first bucket that both are in. ``every``
+    gives all of them. Else pairs come as long as they join components, certain ones first and then the most similar;
+    rest tells that others were left out that matter only if this one is no link. Bounds are four deviations.
     """
     share = percent / 100
 
@@ -286,46 +292,79 @@ def _across(percent: int, best_only: bool):
         sides = (cell.column("a").to_numpy(), cell.column("b").to_numpy())
         prints = np.frombuffer(b"".join(cell.column("prints").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
         band = key[0].as_py()
-        if not best_only:
-            keys = [np.array(x, dtype=np.int64) for x in cell.column("bands").to_pylist()]
-            bands = np.array([k[:BANDS] for k in keys])
-            low = [np.frombuffer(x, dtype=np.uint32) for x in cell.column("low").to_pylist()]
+        bands = np.array([np.array(x[:BANDS], dtype=np.int64) for x in cell.column("bands").to_pylist()])
+        low = [np.frombuffer(x, dtype=np.uint32) for x in cell.column("low").to_pylist()]
         names, number = np.unique(comp, return_inverse=True)
         largest = names[np.bincount(number).argmax()]
-        u, v = [], []
+        # components that the certain pairs so far have joined, and those that all pairs given have
+        sure, tried = number.copy(), number.copy()
+        u, v, known = [], [], []
+        withheld = False
+
+        def give(i: int, to: np.ndarray, certain: bool) -> None:
+            u.extend([node[i]] * len(to))
+            v.extend(node[to].tolist())
+            known.extend([certain] * len(to))
+
         for i in np.flatnonzero(comp != largest).tolist():
             other = (sides[0][i] & sides[1]) | (sides[1][i] & sides[0])
-            fits = other & (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            if not best_only:
-                fits &= (comp == largest) | (node > node[i])
-            to = np.flatnonzero(fits)
+            fits = other & (sure != sure[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            to = np.flatnonzero(fits & ((comp == largest) | (node > node[i])))
             if not len(to):
                 continue
             agree = (prints[to] == prints[i]).mean(axis=1)
             sampled = np.clip(np.minimum(size[to], size[i]) / 2, 1, 1 << BIN_BITS)
-            likely = agree >= share - 4 * np.sqrt(share * (1 - share) / sampled)
-            if best_only:
-                to = to[[np.where(likely, agree, -1).argmax()]] if likely.any() else to[:0]
-            elif likely.any():
-                to = to[likely]
-                same = bands[to] == bands[i]
-                first = np.where(same.any(axis=1), bands[i][same.argmax(axis=1)], band)
-                to = to[first == band]
-                if len(to):
-                    ok, certain = _sifted(low, size, i, to, percent)
-                    to, certain = to[ok], certain[ok]
-                    _, one = np.unique(comp[to[certain]], return_index=True)
-                    to = np.r_[to[certain][one], to[~certain]]
-            else:
-                to = to[:0]
-            u += [node[i]] * len(to)
-            v += node[to].tolist()
+            to = to[agree >= share - 4 * np.sqrt(share * (1 - share) / sampled)]
+            same = bands[to] == bands[i]
+            to = to[np.where(same.any(axis=1), bands[i][same.argmax(axis=1)], band) == band]
+            if not len(to):
+                continue
+            ok, certain, alike = _sifted(low, size, i, to, percent)
+            to, certain, alike = to[ok], certain[ok], alike[ok]
+            if every:
+                give(i, to, True)
+                continue
+            _, one = np.unique(sure[to[certain]], return_index=True)
+            chosen = to[certain][one]
+            give(i, chosen, True)
+            for label in (sure, tried):
+                label[np.isin(label, label[chosen])] = label[i]
+            to, alike = to[~certain], alike[~certain]
+            there = sure[to] != sure[i]
+            to, alike = to[there], alike[there]
+            order = np.argsort(-alike, kind="stable")
+            best = to[order][np.sort(np.unique(tried[to[order]], return_index=True)[1])]
+            best = best[tried[best] != tried[i]]
+            withheld |= len(best) < len(to)
+            give(i, best, False)
+            tried[np.isin(tried, tried[best])] = tried[i]
         u, v = np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
-        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+        rest = np.array(known, dtype=bool) | withheld
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v)), "band": pa.array(np.full(len(u), band, dtype=np.int64)), "rest": pa.array(rest)})
 
     return pairs
 
 
+def _different(entries: DataFrame) -> DataFrame:
+    """(band, n, weight): buckets of several members, of those with the same members only one: the one by the first band of
+    all, so that no pair loses the first bucket that both are in. weight is n for each bucket that it stands for."""
+    mark = lambda *seed: F.bit_xor(F.xxhash64("node", *map(F.lit, seed)))
+    held = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), mark().alias("x"), mark(1).alias("y"), F.min(F.least("place", F.lit(BANDS))).alias("place")).filter("n > 1")
+    one = held.groupBy("n", "x", "y").agg(F.min(F.struct("place", "band")).alias("first"), F.sum("n").alias("weight"))
+    return one.select(F.col("first.band").alias("band"), "n", "weight")
+
+
+def _met(apart: DataFrame, nodes: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, every: bool) -> DataFrame:
+    """The pairs (u, v, band, rest) of the cells of ``apart``, stored."""
+    met = []
+    for part in _waves(apart, "band", CELL_ROWS):
+        cells = _cells(part, nodes, lambda met: _lowest(_fetched(sets, classes, met)))
+        met.append(materialize(cells.groupBy("band", "i", "j").applyInArrow(_across(percent, every), "u long, v long, band long, rest boolean")))
+        del cells
+        tidy(apart.sparkSession)
+    return reduce(DataFrame.union, met)
+
+
 def _apart(entries: DataFrame, comps: DataFrame) -> DataFrame:
     """The members of those buckets whose members are in several components, stored, with what ``_cells`` deals them by."""
     member = _with_component(entries, comps)
@@ -392,11 +431,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = materialize(sketch.select("doc", "n_shingles", "hi", "lo"))
     discard(docs.sparkSession, wide)
     tidy(docs.sparkSession)
-    entries = nodes.select("node", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    entries = materialize(entries.join(shared, "band"))
+    entries = nodes.select("node", F.posexplode("bands").alias("place", "band"))
+    entries = materialize(entries.join(_different(entries), "band").drop("place"))
     tidy(docs.sparkSession)
-    popular = entries.groupBy("node").agg(F.sum("n").alias("weight"))
+    popular = entries.groupBy("node").agg(F.sum("weight").alias("weight"))
+    entries = entries.drop("weight")
     weighed = entries.join(popular, "node")
     centers = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("center"))
     stars = entries.join(centers, "band").filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
@@ -406,22 +445,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialize(nodes.join(touched, "node", "left_semi").select("node", "n_shingles", "prints", "bands"))
     discard(docs.sparkSession, whole)
     tidy(docs.sparkSession)
-    sets = _sets_of(keyed, classes.join(touched, "node", "left_semi"), "_id", "_text", words)
+    sets = _sets_of(keyed, classes.join(touched, "node", "left_semi"), "_id", "_text", words, _wave_count(sketched))
     links = _confirmed(sets, classes, stars, percent)
 
-    comps = components(links)
-    tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    for best_only in (True, False):
-        apart, met = _apart(entries, comps), []
-        for part in [apart] if best_only else _waves(apart, "band"):
-            cells = _cells(part, sketched.drop("bands")) if best_only else _cells(part, sketched, lambda met: _lowest(_fetched(sets, classes, met)))
-            met.append(materialize(cells.groupBy("band", "i", "j").applyInArrow(_across(percent, best_only), "u long, v long").distinct()))
-            del cells
-            tidy(docs.sparkSession)
-        more = materialize(reduce(DataFrame.union, met).distinct().join(tried, ["u", "v"], "left_anti"))
-        links = links.union(_confirmed(sets, classes, more, percent))
-        tried = tried.union(more)
-        comps = components(links)
+    comps = joined_to(links)
+    given = _met(_apart(entries, comps), sketched, sets, classes, percent, every=False)
+    pairs = materialize(given.select("u", "v").distinct())
+    found = _confirmed(sets, classes, pairs, percent)
+    comps = joined_further(comps, found)
+    # where a pair that stood for others was no link and nothing else has joined its components, these others are asked
+    side = lambda k: comps.toDF(k, f"_{k}")
+    doubtful = given.filter("rest").join(found, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
+    doubtful = materialize(doubtful.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("band").distinct())
+    if not doubtful.isEmpty():
+        again = _apart(entries.join(doubtful, "band", "left_semi"), comps)
+        tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(pairs)
+        more = materialize(_met(again, sketched, sets, classes, percent, every=True).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
+        comps = joined_further(comps, _confirmed(sets, classes, more, percent))
 
     smallest = classes.select(F.col("node").alias("comp"), F.col("least_id").alias("component_id"))
     labelled = _with_component(classes, comps).join(smallest, "comp").select("hi", "lo", "component_id")

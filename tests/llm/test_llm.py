@@ -492,6 +492,28 @@ def test_stray_members_of_a_large_bucket_cost_a_row_a_block(spark, monkeypatch):
     assert {(i, s) for i in range(1200) for s in range(1200, 1203)} | {(1200, 1201), (1200, 1202), (1201, 1202)} <= pairs
 
 
+def test_buckets_of_the_same_members_are_one(spark):
+    """The one by the first band stays and weighs as much as all; a bucket of one member goes."""
+    rows = [(n, p, b) for p, b, held in ((4, 40, (1, 2)), (2, 20, (2, 1)), (30, 7, (1, 2)), (5, 50, (1, 2, 3)), (6, 60, (3,))) for n in held]
+    got = minhash._different(spark.createDataFrame(rows, "node long, place int, band long"))
+    assert sorted(map(tuple, got.collect())) == [(20, 2, 6), (50, 3, 3)]
+
+
+def test_pairs_of_a_cell_join_its_components_and_no_more():
+    """200 equal sets in as many components give 199 pairs, not their square."""
+    shingles = np.sort(minhash.mix(np.arange(1, 400, dtype=np.uint64)))
+    value, n = minhash.signature(shingles), 200
+    cell = {
+        "node": list(range(n)), "comp": list(range(n)), "n_shingles": [len(shingles)] * n, "a": [True] * n, "b": [True] * n,
+        "prints": [(value & np.uint64(255)).astype(np.uint8).tobytes()] * n, "bands": [minhash._bands(value).view(np.int64).tolist()] * n,
+        "low": [(shingles >> np.uint64(32)).astype(np.uint32).tobytes()] * n,
+    }
+    key = (pa.scalar(cell["bands"][0][0], pa.int64()),)
+    few, every = (minhash._across(85, x)(key, pa.table(cell)) for x in (False, True))
+    assert few.num_rows == n - 1 and all(few.column("rest").to_pylist())
+    assert every.num_rows == n * (n - 1) // 2
+
+
 def test_an_audit_that_fails_ends_in_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(neargraph, "WIDEST", 3)
     monkeypatch.setattr(neargraph, "BLOCK", 50)

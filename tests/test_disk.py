@@ -20,6 +20,20 @@ def test_components_keep_the_last_round_only(spark):
     assert {tuple(r) for r in got.select("node", "component").collect()} == {(n, 0) for n in range(41)}
 
 
+def test_components_of_stars_take_no_round(spark):
+    stars = spark.range(1, 40).select((F.col("id") * 100 % 7).alias("u"), (F.col("id") + 100).alias("v"))
+    with recorded() as paths:
+        got = graph.components(stars)
+    assert len(paths) == 1
+    assert {tuple(r) for r in got.collect()} == {(r.v, r.u) for r in stars.collect()} | {(n, n) for n in range(7)}
+
+
+def test_more_links_join_what_was_joined(spark):
+    links = lambda *x: spark.createDataFrame(list(x), "u long, v long")
+    joined = graph.joined_further(graph.joined_to(links((5, 6), (6, 7), (2, 9))), links((7, 9), (3, 4), (1, 3), (6, 5)))
+    assert sorted(map(tuple, joined.collect())) == [(3, 1), (4, 1), (5, 2), (6, 2), (7, 2), (9, 2)]
+
+
 def test_waves_are_all_rows_once(spark, monkeypatch):
     monkeypatch.setattr(minhash, "WAVE_ROWS", 40)
     waves = [[r[0] for r in w.collect()] for w in minhash._waves(spark.range(100), "id")]
