@@ -514,6 +514,26 @@ def test_pairs_of_a_cell_join_its_components_and_no_more():
     assert every.num_rows == n * (n - 1) // 2
 
 
+def test_pairs_left_out_are_asked_when_their_stand_in_is_no_link(spark, monkeypatch):
+    """Stars are lost and the first pairs of all cells are no links: the pairs left out are found all the same."""
+    asked, met = [], minhash._met
+
+    def poor(*a, every):
+        asked.append(every)
+        far = met(*a, every=every)
+        return far if every else minhash.materialize(far.select(F.lit(0).cast("long").alias("u"), F.lit(1 << 50).alias("v"), "band", F.lit(True).alias("rest")))
+
+    monkeypatch.setattr(minhash, "_met", poor)
+    monkeypatch.setattr(minhash, "_likely", lambda pairs, nodes, percent: pairs.limit(0))
+    r = random.Random(77)
+    rows = []
+    for k in range(4):
+        text = words(r, 300)
+        rows += [(10 * k + i, text + " z%d" % i) for i in range(5)]
+    got = {x["doc"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows} and asked == [False, True]
+
+
 def test_an_audit_that_fails_ends_in_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(neargraph, "WIDEST", 3)
     monkeypatch.setattr(neargraph, "BLOCK", 50)
