@@ -11,6 +11,7 @@ from strandframe.functions import bases, motifs
 from strandframe.operators import alignment, assembly, homology, pairs, scans
 from strandframe.operators import sequences as sq
 from strandframe.operators.intervals import overlap_join
+from strandframe.operators.storage import discard, materialize, recorded, tidy
 
 from .registry import query
 from .window_queries import RC, WHOLE
@@ -205,19 +206,25 @@ def fn_strand_guide(v):
 
 
 def _numbered_genes(v):
-    return _genes_read(v).select(F.xxhash64("place").alias("seq_id"), "place", "seq")
+    """seq_id and seq of genes, stored: they are read once, and what reading them has stored is let go."""
+    with recorded() as paths:
+        genes = materialize(_genes_read(v).select(F.xxhash64("place").alias("seq_id"), "seq"))
+    discard(v.spark, paths[:-1])
+    v.__dict__.pop("ref_chunks", None)
+    tidy(v.spark)
+    return genes
 
 
 @query("join_sequence_pairs")
 def join_sequence_pairs(v):
     """Genes whose sequences share a word of 16 bases, scored by alignment, best shift and longest run."""
-    return pairs.score_pairs(pairs.shared_word_pairs(_numbered_genes(v).select("seq_id", "seq"), 16))
+    return pairs.score_pairs(pairs.shared_word_pairs(_numbered_genes(v), 16))
 
 
 @query("srch_similar_clusters")
 def srch_similar_clusters(v):
     """Genes with the first longer one whose alignment score is at least 0.8 of the longer length."""
-    return pairs.similar_clusters(_numbered_genes(v).select("seq_id", "seq"), None, 0.8, greedy=True)
+    return pairs.similar_clusters(_numbered_genes(v), None, 0.8, greedy=True)
 
 
 TEMPLATES = """t AS (SELECT s AS t, count(*) AS copies, min(seq_id) AS least FROM (SELECT seq_id * 100000 + i AS seq_id, substr(seq, CAST(i * 40 + 1 AS INT), 40) AS s FROM (SELECT *, unnest(range(length(seq) // 40)) AS i FROM v_sequences)) GROUP BY s)"""
@@ -268,7 +275,7 @@ def fn_strand_spectrum(v):
 @query("join_aligned_pairs")
 def join_aligned_pairs(v):
     """Genes that share a word of 16 bases, aligned, with both gapped strings."""
-    return alignment.align_pairs(pairs.shared_word_pairs(_numbered_genes(v).select("seq_id", "seq"), 16))
+    return alignment.align_pairs(pairs.shared_word_pairs(_numbered_genes(v), 16))
 
 
 KL = "sum(CASE WHEN {x} > 0 AND {y} > 0 THEN {x} * ln({x} / {y}) WHEN {x} > 0 OR {y} > 0 THEN 1.0 ELSE 0.0 END)"

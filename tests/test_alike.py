@@ -1,11 +1,14 @@
 """Alike texts are found whatever words they share."""
 
+import os
 import random
 
 import pytest
 
 from strandframe.operators import alike, pairs
+from strandframe.operators.storage import recorded
 from strandframe.plans import motif_queries
+from strandframe.sources.views import Views
 
 
 def score(a, b):
@@ -63,3 +66,13 @@ def test_genes_without_a_common_word_are_one_cluster(spark, monkeypatch):
     monkeypatch.setattr(motif_queries, "_numbered_genes", lambda v: genes)
     assert sorted(map(tuple, motif_queries.srch_similar_clusters(None).collect())) == [(1, 1), (2, 1), (3, 3)]
     assert sorted(map(tuple, pairs.similar_clusters(genes, 12, 0.8).collect())) == [(1, 1), (2, 2), (3, 3)]  # where a word is asked for
+
+
+def test_genes_are_read_once_and_what_reading_stored_is_let_go(spark):
+    views = Views(spark, "/root/testdata/sf0.001")
+    with recorded() as paths:
+        genes = motif_queries._numbered_genes(views)
+    left = [p for p in paths if os.path.exists(p)]
+    assert len(left) == 1 and all(left[0] in f for f in genes.inputFiles())
+    assert "Exchange" not in genes._jdf.queryExecution().executedPlan().toString()
+    assert views.ref_chunks.count() > 0  # still there for who asks again
