@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,55 +20,77 @@ FAR = -(1 << 60)
 CLASSES = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC"}
 
 
-def _points(texts: list[str], width: int, fill: int) -> np.ndarray:
-    out = np.full((len(texts), width), fill, dtype=np.int32)
-    for i, t in enumerate(texts):
-        out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), dtype=np.int32)
+def _letters(texts: list[str], before: int, height: int, fill: int) -> np.ndarray:
+    """Code points by place, a column a text, after ``before`` rows of ``fill`` and filled up to ``height``."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    out = np.full((height, len(texts)), fill, dtype=np.int32)
+    who = np.repeat(np.arange(len(texts)), size)
+    out[before + np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size), who] = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.int32)
     return out
 
 
-def _banded(left: list[str], right: list[str], low: int, high: int, match: int, mismatch: int, gap: int) -> tuple[np.ndarray, list[str], list[str]]:
+def _small(*sides: np.ndarray) -> list[np.ndarray]:
+    """The same letters in a byte each where code points, -1 and -2 fit."""
+    return [x.astype(np.uint8) for x in sides] if all(x.max(initial=0) < 254 for x in sides) else list(sides)
+
+
+def _banded(left: list[str], right: list[str], low: int, high: int, match: int, mismatch: int, gap: int, strings: bool = True) -> tuple[np.ndarray, list[str], list[str]]:
     """Best alignments within the diagonals ``low`` to ``high`` (place in right less place in left), all pairs together, a
-    row of the band at a time; equals go on along the diagonal first, then by a gap in the right one."""
+    row of the band at a time; equals go on along the diagonal first, then by a gap in the right one. Pairs lie side by
+    side, so each step is a few operations over all of them; cells behind the end of the right one reach none before it."""
     na, nb = np.array([len(t) for t in left]), np.array([len(t) for t in right])
-    rows, pairs, d = int(na.max(initial=0)), len(left), np.arange(low, high + 1)
-    a = _points(left, rows + 1, -1)
-    b = _points(right, int(nb.max(initial=0)) + 1, -2)
-    moves = np.zeros((rows + 1, pairs, len(d)), dtype=np.uint8)
-    inside = lambda i: (i + d >= 0)[None, :] & (i + d[None, :] <= nb[:, None])
-    h = np.where(inside(0), gap * d[None, :], FAR)
-    moves[0] = 2
+    rows, pairs, width = int(na.max(initial=0)), len(left), high - low + 1
+    reach = (rows + int(nb.max(initial=0)) + 2 * width) * max(match, -mismatch, -gap)
+    kind, far = (np.int16, -(1 << 14)) if reach < 1 << 13 else (np.int32, -(1 << 29)) if reach < 1 << 28 else (np.int64, FAR)
+    points, ahead = _letters(left, 0, rows, -1), max(0, -low)
+    others = _letters(right, ahead, ahead + max(int(nb.max(initial=0)), rows + high), -2)
+    a, b = _small(points, others)
+    moves = np.full((rows + 1 if strings else 1, width, pairs), 2, dtype=np.uint8)
+    h = np.full((width, pairs), far, dtype=kind)
+    h[-low:] = np.arange(high + 1, dtype=kind)[:, None] * gap
     score = np.where(na == 0, gap * nb, 0)
+    down, one = np.full_like(h, far), np.zeros(pairs, dtype=kind)
     for i in range(1, rows + 1):
-        j = i + d
-        fit = np.where(a[:, i - 1, None] == b[:, np.clip(j - 1, 0, b.shape[1] - 1)], match, mismatch)
-        straight = np.where((j >= 1)[None, :], h + fit, FAR)
-        down = np.full_like(h, FAR)
-        down[:, :-1] = h[:, 1:] + gap
-        best = np.where(inside(i), np.maximum(straight, down), FAR)
-        new = np.where(inside(i), np.maximum.accumulate(best - gap * d, axis=1) + gap * d, FAR)
-        moves[i] = np.where(new == straight, 0, np.where(new == down, 1, 2))
+        straight = (b[ahead + i + low - 1 : ahead + i + high] == a[i - 1]).astype(kind)
+        straight *= match - mismatch
+        straight += mismatch
+        straight += h
+        np.add(h[1:], kind(gap), out=down[:-1])
+        new = np.maximum(straight, down)
+        new[: max(0, -i - low)] = far
+        for d in range(1, width):
+            np.add(new[d - 1], kind(gap), out=one)
+            np.maximum(new[d], one, out=new[d])
+        np.maximum(new, kind(far), out=new)
+        if strings:
+            other = new != straight
+            np.add(other, other & (new != down), out=moves[i], dtype=np.uint8)
         h = new
         done = np.flatnonzero(na == i)
-        score[done] = h[done, nb[done] - i - low]
+        score[done] = h[nb[done] - i - low, done]
+    if not strings:
+        return score, [], []
     i, j, who = na.copy(), nb.copy(), np.arange(pairs)
-    taken = []
-    while ((i > 0) | (j > 0)).any():
+    taken, open_ = [], (i > 0) | (j > 0)
+    while open_.any():
+        move = np.where(i == 0, 2, moves[i, np.clip(j - i - low, 0, width - 1), who])
+        up, back = open_ & (move != 2), open_ & (move != 1)
+        taken.append((np.where(up, points[i - 1, who] if rows else 45, 45), np.where(back, others[ahead + j - 1, who] if len(others) else 45, 45), open_))
+        i, j = i - up, j - back
         open_ = (i > 0) | (j > 0)
-        move = np.where(i == 0, 2, moves[i, who, np.clip(j - i - low, 0, len(d) - 1)])
-        taken.append((np.where(open_ & (move != 2), i, 0), np.where(open_ & (move != 1), j, 0)))
-        i = i - (open_ & (move != 2))
-        j = j - (open_ & (move != 1))
+    if not taken:
+        return score, [""] * pairs, [""] * pairs
+    kept = np.array([t[2] for t in reversed(taken)]).T
+    ends = np.cumsum(kept.sum(axis=1)).tolist()
     sides = []
-    for side, texts in ((0, left), (1, right)):
-        places = np.array([t[side] for t in reversed(taken)], dtype=np.int64).reshape(len(taken), pairs)
-        both = np.array([(t[0] > 0) | (t[1] > 0) for t in reversed(taken)], dtype=bool).reshape(len(taken), pairs)
-        sides.append(["".join([text[p - 1] if p else "-" for p in places[both[:, k], k].tolist()]) for k, text in enumerate(texts)])
+    for side in (0, 1):
+        text = np.array([t[side] for t in reversed(taken)], dtype=np.int32).T[kept].tobytes().decode("utf-32-le")
+        sides.append([text[x:y] for x, y in zip([0, *ends], ends)])
     return score, *sides
 
 
-def aligned(left: list[str], right: list[str], match: float = 1.0, mismatch: float = -0.9, gap: float = -1.0) -> tuple[list[float], list[str], list[str]]:
-    """The best global alignment of each pair: score and both strings with '-' where the other one has more.
+def aligned(left: list[str], right: list[str], match: float = 1.0, mismatch: float = -0.9, gap: float = -1.0, strings: bool = True) -> tuple[list[float], list[str], list[str]]:
+    """The best global alignment of each pair: score and, if ``strings``, both strings with '-' where the other one has more.
 
     A path that leaves the band has two more gaps for each diagonal beyond it, which bounds its score; where the best one
     in the band is no worse the alignment is the best of all, else the pair is done again with a band twice as wide. Open
@@ -75,7 +98,8 @@ def aligned(left: list[str], right: list[str], match: float = 1.0, mismatch: flo
     if not (match >= 0 >= gap and match >= mismatch):
         raise ValueError("a match must not cost, a gap must not pay, a mismatch must not be better than a match")
     m, x, g = (round(v * UNIT) for v in (match, mismatch, gap))
-    n = len(left)
+    unit = math.gcd(m, x, g) or 1  # small whole numbers, so that scores take few bytes
+    m, x, g, n = m // unit, x // unit, g // unit, len(left)
     score, one, two = [0.0] * n, [""] * n, [""] * n
     todo, band = sorted(range(n), key=lambda k: (len(right[k]) - len(left[k]), len(left[k]))), BAND
     while todo:
@@ -89,12 +113,12 @@ def aligned(left: list[str], right: list[str], match: float = 1.0, mismatch: flo
                     break
                 (low, high, longest), to = new, to + 1
             part = todo[at:to]
-            found = _banded([left[k] for k in part], [right[k] for k in part], low - band, high + band, m, x, g)
-            for k, s, p, q in zip(part, found[0].tolist(), *found[1:]):
+            found = _banded([left[k] for k in part], [right[k] for k in part], low - band, high + band, m, x, g, strings)
+            for k, s, p, q in zip(part, found[0].tolist(), *(found[1:] if strings else ([""] * len(part),) * 2)):
                 total, apart = len(left[k]) + len(right[k]), abs(len(left[k]) - len(right[k]))
                 gaps = apart + 2 * (band + 1)
                 if gaps > total or 2 * s >= m * (total - gaps) + 2 * g * gaps:
-                    score[k], one[k], two[k] = s / UNIT, p, q
+                    score[k], one[k], two[k] = s * unit / UNIT, p, q
                 else:
                     again.append(k)
             at = to

@@ -184,7 +184,7 @@ def _of_all(left: list[str], right: list[str] | None, least: float) -> tuple[np.
     out, ready = [], []
 
     def judge() -> None:
-        scores = aligned([left[i] for i, _ in ready], [both[j] for _, j in ready])[0]
+        scores = aligned([left[i] for i, _ in ready], [both[j] for _, j in ready], strings=False)[0]
         out.extend(p for p, s in zip(ready, scores) if s >= least * max(len(left[p[0]]), len(both[p[1]])))
         ready.clear()
 
