@@ -14,7 +14,7 @@ from strandframe.functions import bases, proteins
 
 from .intervals import infer_introns, point_join
 from .sequences import apply_variants, interval_sequences
-from .storage import materialize
+from .storage import materialize, tidy
 
 KEYS = ["transcript", "chrom", "strand"]
 
@@ -48,6 +48,12 @@ def coding_map(segments: DataFrame) -> DataFrame:
     return rows.withColumns({"segment": F.row_number().over(w), "before": earlier})
 
 
+def _placed_sequences(mapped: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``mapped`` with seq. Segments of many transcripts in one place are read once."""
+    place = ["chrom", "start_pos", "end_pos", "strand"]
+    return mapped.join(materialize(interval_sequences(mapped.select(*place).distinct(), chunks)), place)
+
+
 def _read(parts: DataFrame, seq: Column) -> DataFrame:
     """One row a transcript from its segments' sequences, each in reading direction: n_segments, complete, first (the
     segment read first), coding, and places, the segments' map. A segment that lies outside the reference has no bases."""
@@ -107,18 +113,22 @@ def codon_changes_of(variants: DataFrame, segments: DataFrame, chunks: DataFrame
 
     Variants (chrom, pos, ref, alt) are those of the plus strand. Those before the start codon or behind the first stop,
     in transcripts without a start or with bases outside the reference, whose ref is not there or whose codon is not whole,
-    have no row. A transcript's sequence is sent to its variants once; a variant keeps only its codon.
+    have no row. Only transcripts that a variant lies in are read; a transcript's sequence is sent to its variants once, and
+    a variant keeps only its codon.
     """
     mapped = materialize(coding_map(segments))
-    read = _translated(_read(interval_sequences(mapped, chunks), F.col("seq")), starts, within, True)
-    # the stop codon itself is coding too; what lies behind it is not
-    used = F.when(F.col("translation_end").isNull(), F.length("coding")).otherwise(3 * (F.length("protein") + 1))
-    read = read.filter("complete and start_at is not null").select(*KEYS, "start_at", F.substr(F.col("coding"), F.lit(1), used.cast("int")).alias("coding"))
+    tidy(segments.sparkSession)
     hits = point_join(variants.filter("length(ref) = 1 and length(alt) = 1 and ref <> alt"), mapped)
     minus = F.col("b_strand") == "-"
     offset = F.col("b_before") + F.when(minus, F.col("b_end_pos") - F.col("a_pos")).otherwise(F.col("a_pos") - F.col("b_start_pos"))
     own = lambda c: F.when(minus, bases.complement(F.col(c))).otherwise(F.col(c))
-    asked = hits.select(*[F.col(f"b_{k}").alias(k) for k in KEYS], F.col("a_pos").alias("pos"), F.col("a_ref").alias("ref"), F.col("a_alt").alias("alt"), offset.alias("offset"), own("a_ref").alias("_ref"), own("a_alt").alias("_alt"))
+    asked = materialize(hits.select(*[F.col(f"b_{k}").alias(k) for k in KEYS], F.col("a_pos").alias("pos"), F.col("a_ref").alias("ref"), F.col("a_alt").alias("alt"), offset.alias("offset"), own("a_ref").alias("_ref"), own("a_alt").alias("_alt")))
+    met = materialize(mapped.join(asked.select(*KEYS).distinct(), KEYS, "left_semi"))
+    tidy(segments.sparkSession)
+    read = _translated(_read(_placed_sequences(met, chunks), F.col("seq")), starts, within, True)
+    # the stop codon itself is coding too; what lies behind it is not
+    used = F.when(F.col("translation_end").isNull(), F.length("coding")).otherwise(3 * (F.length("protein") + 1))
+    read = read.filter("complete and start_at is not null").select(*KEYS, "start_at", F.substr(F.col("coding"), F.lit(1), used.cast("int")).alias("coding"))
     at = (F.col("offset") - F.col("start_at")).cast("int")
     found = asked.join(read, KEYS).filter(at >= 0).select(*KEYS, "pos", "ref", "alt", "_ref", "_alt", at.alias("_at"), F.substr(F.col("coding"), at - at % 3 + 1, F.lit(3)).alias("codon"))
     place = F.col("_at") % 3
