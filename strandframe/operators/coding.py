@@ -147,16 +147,25 @@ def protein_changes(segments: DataFrame, variants: DataFrame, chunks: DataFrame,
     Variants of all lengths are put into the segments where they begin (``apply_variants``), so an insertion moves the
     frame of what follows. A transcript without a start on either side has an empty protein there. A variant over a
     segment's border has no ref there and is left out."""
-    mapped = materialize(coding_map(segments))
-    plus = mapped.withColumns({"reads": F.col("strand"), "strand": F.lit("+")}).withColumn("seg_id", F.monotonically_increasing_id())
-    parts = materialize(interval_sequences(plus, chunks))
+    mapped = materialize(coding_map(segments).dropna(subset=KEYS))
+    tidy(segments.sparkSession)
+    place = ["chrom", "start_pos", "end_pos"]
+    places = mapped.select(*place).distinct().withColumns({"strand": F.lit("+"), "seg_id": F.monotonically_increasing_id()})  # read and changed once for all transcripts
+    parts = materialize(interval_sequences(materialize(places), chunks).drop("strand"))
     put = apply_variants(parts.filter("seq is not null and seq <> ''").select(F.col("seg_id").alias("seq_id"), "chrom", "start_pos", "seq"), variants)
-    both = parts.join(put, parts["seg_id"] == put["seq_id"], "left").drop("seq_id").withColumn("strand", F.col("reads"))
-    turned = lambda c: F.when(F.col("strand") == "-", bases.reverse_complement(F.col(c))).otherwise(F.col(c))
-    both = materialize(both.withColumns({"seq": turned("seq"), "personal": turned("personal")}))
-    reference = _translated(_read(both, F.col("seq")), starts, within, verify).select(*KEYS, F.coalesce("protein", F.lit("")).alias("protein"))
-    own = _translated(_read(both, F.col("personal")), starts, within, verify).select(*KEYS, F.coalesce("protein", F.lit("")).alias("personal"))
-    n = both.groupBy(*KEYS).agg(F.coalesce(F.sum("n_applied"), F.lit(0)).cast("long").alias("n_applied"))
-    rows = reference.join(own, KEYS, "full").join(n, KEYS).fillna("", ["protein", "personal"])
+    told = materialize(parts.join(put, parts["seg_id"] == put["seq_id"], "left").select(*place, "seq", "personal", "n_applied"))
+    tidy(segments.sparkSession)
+    turned = lambda c: F.coalesce(F.when(F.col("strand") == "-", bases.reverse_complement(F.col(c))).otherwise(F.col(c)), F.lit(""))
+    one = F.struct("segment", turned("seq").alias("seq"), turned("personal").alias("personal"))
+    both = mapped.join(told, place).groupBy(*KEYS).agg(F.coalesce(F.sum("n_applied"), F.lit(0)).cast("long").alias("n_applied"), F.array_sort(F.collect_list(one)).alias("s"))
+    rows = both.select(*KEYS, "n_applied", *[c for x in ("seq", "personal") for c in (F.element_at("s", 1)[x].alias(f"_first_{x}"), F.array_join(f"s.{x}", "").alias(f"_joined_{x}"))])
+    rows = rows.filter("_joined_seq <> '' or _joined_personal <> ''")
+    for x in ("seq", "personal"):
+        at = proteins.first_start(F.col(f"_first_{x}"), starts, within)
+        rows = rows.withColumn("_every", bases.translate_codons(F.substr(F.col(f"_joined_{x}"), (at if verify else F.coalesce(at, F.lit(0))) + 1)))
+        rows = rows.withColumn("_stop", F.nullif(F.locate("*", F.col("_every")), F.lit(0)))
+        whole = F.when(F.col("_stop").isNotNull(), F.substr(F.col("_every"), F.lit(1), F.col("_stop") - 1)).otherwise(F.col("_every")) if verify else F.col("_every")
+        rows = rows.withColumn(f"_own_{x}", F.coalesce(whole, F.lit("")))
+    rows = rows.select(*KEYS, "n_applied", F.col("_own_seq").alias("protein"), F.col("_own_personal").alias("personal"))
     rows = rows.withColumn("changes", proteins.changes(F.col("protein"), F.col("personal")))
     return rows.select(*KEYS, "n_applied", "protein", "personal", "changes", F.array_join("changes.notation", ", ").alias("summary"), proteins.identity(F.col("protein"), F.col("personal")).alias("identity"))

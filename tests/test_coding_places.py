@@ -34,3 +34,15 @@ def test_codon_effects_read_only_transcripts_that_variants_lie_in(spark, monkeyp
     mine = lambda rows, i: sorted(tuple(x)[1:] for x in rows if x["transcript"] == f"t{i}")
     assert {x["transcript"] for x in got if x["strand"] == "+"} == {f"t{i}" for i in range(40) if i % 4}
     assert all(mine(got, i) == mine(plain, 1 if i % 4 else 0) for i in range(40)) and mine(got, 1)
+
+
+def test_protein_changes_read_and_change_a_place_once(spark, monkeypatch):
+    segments, variants, chunks = _tables(spark)
+    asked = _reads(monkeypatch)
+    got = {x["transcript"]: x for x in coding.protein_changes(segments, variants, chunks).collect()}
+    assert asked == [6] and got.keys() == {f"t{i}" for i in range(40)} | {"far"}
+    alone = [coding.coding_sequences(segments.filter(f"transcript = 't{i}'"), chunks).first()["protein"] or "" for i in (0, 1)]
+    for i in range(40):
+        assert got[f"t{i}"]["protein"] == alone[1 if i % 4 else 0] and got[f"t{i}"]["n_applied"] == 4
+    assert got["far"]["n_applied"] == 0 and got["far"]["protein"] == got["far"]["personal"]
+    assert got["t1"]["protein"] != got["t1"]["personal"]
