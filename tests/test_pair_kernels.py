@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandframe.operators import alignment, pairs
 
@@ -67,3 +68,17 @@ def test_shifts_equal_plain_loops(errors):
             best = max((j - i for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i:j].count(False) <= errors), default=0)
             run = max(run, (best, shift), key=lambda x: x[0])
         assert tuple(x[k] for x in got) == (*share, *run)
+
+
+def test_near_templates_meet_in_waves_of_parts(spark, monkeypatch):
+    r = random.Random(9)
+    texts = ["".join(r.choice("ATGC") for _ in range(20)) for _ in range(30)]
+    texts += ["".join(r.choice("ATGC") if i in r.sample(range(20), 3) else c for i, c in enumerate(t)) for t in texts]
+    texts = sorted(set(texts))
+    want = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and sum(x != y for x, y in zip(a, b)) <= 2]
+    df, met, keep = spark.createDataFrame(list(enumerate(texts)), "least long, t string"), [], pairs.self_pairs
+    monkeypatch.setattr(pairs, "self_pairs", lambda rows, *a: met.append(rows.groupBy("least").count().agg(F.max("count")).first()[0]) or keep(rows, *a))
+    for wave, sizes in ((1, [1] * 6), (len(texts) * 4, [4, 2]), (1 << 23, [6])):
+        monkeypatch.setattr(pairs, "WAVE", wave)
+        met.clear()
+        assert sorted(map(tuple, pairs._near_texts(df, 20, 2).collect())) == want and met == sizes and len(want) > 10
