@@ -82,3 +82,13 @@ def test_near_templates_meet_in_waves_of_parts(spark, monkeypatch):
         monkeypatch.setattr(pairs, "WAVE", wave)
         met.clear()
         assert sorted(map(tuple, pairs._near_texts(df, 20, 2).collect())) == want and met == sizes and len(want) > 10
+
+
+def test_template_centres_do_not_depend_on_waves(spark, monkeypatch):
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, "".join(r.choice("AC") for _ in range(20))) for i in range(60)], "seq_id long, seq string")
+    want = sorted(map(tuple, pairs.template_groups(df, 20, greedy=True).collect()))
+    cells, keep = [], pairs.self_pairs
+    monkeypatch.setattr(pairs, "self_pairs", lambda *a: cells.append(1) or keep(*a))
+    monkeypatch.setattr(pairs, "WAVE", 130)
+    assert sorted(map(tuple, pairs.template_groups(df, 20, greedy=True).collect())) == want and len(cells) == 3
